@@ -312,3 +312,16 @@ def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM g),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM c WHERE n > 1),
+one AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM one ANTI JOIN hit USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
