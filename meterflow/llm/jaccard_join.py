@@ -37,7 +37,7 @@ from .words import mix, pair, slices, string_parts, words_of
 
 SHINGLE = 3
 THRESHOLD = 90
-BITS = 26
+BITS = 27
 DIMENSIONS = 32
 _U = np.uint64
 

@@ -1,7 +1,7 @@
 """A count-min sketch of counts saturated at two, built per partition and merged on Spark.
 
-Two rows of 2^bits counters are kept per task and sent as blocks of bit maps ("once", "twice or more"); blocks are
-merged by a shuffle on their number, and the merged "twice" maps (2 * 2^bits / 8 bytes, a fixed bound) go to all
+``ROWS`` rows of 2^bits counters are kept per task as two bit maps ("once", "twice or more") and sent in blocks; blocks
+are merged by a shuffle on their number, and the merged "twice" maps (ROWS * 2^bits / 8 bytes, a fixed bound) go to all
 tasks.  An estimate never falls below the true count, so ``repeated`` loses nothing; a sketch too small for its
 input only flags more.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .words import mix
 
 BLOCK = 1 << 16
-_SALT = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+ROWS = 4
+_SALT = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 _BLOCKS = "row int, block int, once binary, twice binary"
 
 
@@ -26,23 +27,37 @@ def _place(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys ^ _SALT[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _bits(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and their bits of sorted distinct places."""
+    byte = places >> 3
+    head = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+    return byte[head], np.bitwise_or.reduceat(np.uint8(128) >> (places & 7).astype(np.uint8), head)
+
+
 class Sketch:
     def __init__(self, bits: int):
         self.bits = bits
-        self.count = np.zeros((2, 1 << bits), dtype=np.uint8)
+        size = max(BLOCK, 1 << bits) // 8
+        self.once, self.twice = (np.zeros((ROWS, size), dtype=np.uint8) for _ in range(2))
 
     def add(self, keys: np.ndarray) -> None:
-        for row in (0, 1):
+        for row in range(ROWS):
             at, n = np.unique(_place(keys, row, self.bits), return_counts=True)
-            self.count[row, at] = np.minimum(self.count[row, at] + np.minimum(n, 2), 2)
+            byte, bit = _bits(at)
+            self.twice[row, byte] |= self.once[row, byte] & bit
+            self.once[row, byte] |= bit
+            if (n > 1).any():
+                byte, bit = _bits(at[n > 1])
+                self.twice[row, byte] |= bit
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
-        for row in (0, 1):
-            for first in range(0, 1 << self.bits, BLOCK):
-                part = self.count[row, first : first + BLOCK]
-                if part.any():
-                    bits = [np.packbits(part >= k).tobytes() for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([first // BLOCK], pa.int32()), pa.array([bits[0]], pa.binary()), pa.array([bits[1]], pa.binary())], ["row", "block", "once", "twice"])
+        step = BLOCK // 8
+        for row in range(ROWS):
+            for i in range(0, self.once.shape[1], step):
+                once = self.once[row, i : i + step]
+                if once.any():
+                    bits = [pa.array([x.tobytes()], pa.binary()) for x in (once, self.twice[row, i : i + step])]
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([i // step], pa.int32()), *bits], ["row", "block", "once", "twice"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +76,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Merged "twice" bit maps, shape (2, 2^bits / 8), of all keys that ``keys`` gives for the batches of ``rows``."""
+    """Merged "twice" bit maps, shape (ROWS, 2^bits / 8), of all keys that ``keys`` gives for the batches of ``rows``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -74,7 +89,7 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
             yield from own.blocks()
 
     merged = rows.mapInArrow(build, _BLOCKS).repartition("row", "block").mapInArrow(_merge, "row int, block int, twice binary")
-    out = np.zeros((2, max(1, (1 << bits) // 8)), dtype=np.uint8)
+    out = np.zeros((ROWS, max(BLOCK, 1 << bits) // 8), dtype=np.uint8)
     for r in merged.toArrow().to_pylist():
         first = r["block"] * BLOCK // 8
         piece = np.frombuffer(r["twice"], np.uint8)
@@ -85,7 +100,7 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
 def repeated(maps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether each key is estimated to occur twice or more."""
     out = np.ones(len(keys), dtype=bool)
-    for row in (0, 1):
+    for row in range(ROWS):
         at = _place(keys, row, bits)
         out &= (maps[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return out

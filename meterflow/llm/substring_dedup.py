@@ -31,7 +31,7 @@ from .words import Words, pair, slices, string_parts, words_of
 
 WINDOW = 35
 GRAM = 18
-BITS = 26
+BITS = 27
 _U = np.uint64
 
 
