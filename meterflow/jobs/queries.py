@@ -1,4 +1,451 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each beside the SQL that gives the same rows.
+
+Scrape bodies are rendered from ``events``: a target is user_id % 20, a scrape is a day, a line is an event; every event whose
+id is divisible by 997 is a malformed line, which fails its whole body.  Label sets come from ``customer`` and ``nation``,
+groups from ``supplier``, Kubernetes snapshots from ``part``, ``orders``, ``lineitem`` and ``customer``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import exposition as X
+from ..functions import labels as L
+from ..functions import units as U
+from ..operators import delivery as D
+from ..operators import histograms as H
+from ..operators import kubernetes as K
+from ..operators import scrapes as S
+from ..operators import staleness as ST
+from ..operators import targets as T
+from ..operators.relabel import Rule, relabel
 
 QUERIES: dict = {}
 SQL: dict = {}
+DAY_MS = 86_400_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- scrapes -----------------------------------------------------------------------------------------------------------
+
+
+def scrapes(spark, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    value = F.when(F.col("event_id") % 997 == 0, "oops").otherwise(F.col("value").cast("string"))
+    line = F.concat("event_type", F.lit('{k="'), F.get_json_object("props", "$.k"), F.lit('",user="'), "user_id", F.lit('",id="'), "event_id", F.lit('"} '), value, F.lit(" "), "ms")
+    day = F.floor(F.col("ms") / DAY_MS)
+    e = e.select((F.col("user_id") % 20).alias("t"), day.alias("d"), F.struct("event_id", line.alias("line")).alias("x"))
+    g = e.groupBy("t", "d").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return g.select((F.col("d") * 100 + F.col("t")).alias("scrape_id"), F.concat(F.lit("t"), "t").alias("target_id"), (F.col("d") * DAY_MS).alias("start_ms"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body"), F.lit(0.5).alias("duration_s"), F.lit(None).cast("string").alias("fetch_error"))
+
+
+RULES = [Rule("drop", ("__name__",), regex="err.*"), Rule("replace", ("user",), regex="(.*)", target_label="customer", replacement="c-$1"), Rule("labeldrop", regex="user")]
+
+
+def pipeline(spark, sf: str):
+    target = F.create_map(F.lit("job"), F.lit("events"), F.lit("k"), F.lit("target"), F.lit("instance"), F.col("target_id"))
+    return S.scrape_pipeline(scrapes(spark, sf), target, RULES, F.create_map(F.lit("region"), F.lit("eu"), F.lit("job"), F.lit("unused")))
+
+
+EV = f"""e AS (SELECT *, user_id % 20 AS t, (epoch_us(ts) // 1000) // {DAY_MS} AS d, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events),
+n AS (SELECT *, d * 100 + t AS scrape_id, row_number() OVER (PARTITION BY t, d ORDER BY event_id) AS line_no FROM e),
+s AS (SELECT scrape_id, 't' || any_value(t) AS target_id, any_value(d) * {DAY_MS} AS start_ms, count(*) AS lines,
+        count(*) FILTER (event_type NOT LIKE 'err%') AS good, min(line_no) FILTER (event_id % 997 = 0) AS bad FROM n GROUP BY scrape_id)"""
+
+
+@query(f"WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, event_type AS name, 4 AS n_labels, value, ms AS ts_ms FROM n JOIN s USING (scrape_id) WHERE bad IS NULL")
+def parse_sample_lines(spark, sf):
+    df = S.parse_samples(S.fail_malformed_bodies(scrapes(spark, sf)))
+    return df.select("scrape_id", "line_no", L.get(F.col("labels"), "__name__").alias("name"), F.size("labels").alias("n_labels"), "value", "ts_ms")
+
+
+@query(f"WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' END AS error, bad::INTEGER AS error_line, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped FROM s")
+def fail_malformed_bodies(spark, sf):
+    return S.fail_malformed_bodies(scrapes(spark, sf)).select("scrape_id", "error", "error_line", "scraped")
+
+
+@query(f"WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' WHEN lines > 12 THEN 'sample limit exceeded' END AS error, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL AND lines <= 12 THEN lines ELSE 0 END::INTEGER AS passed FROM s")
+def enforce_sample_limit(spark, sf):
+    return S.fail_malformed_bodies(scrapes(spark, sf), sample_limit=12).select("scrape_id", "error", "scraped", F.size("lines").alias("passed"))
+
+
+@query(f"""WITH {EV}, b AS (SELECT scrape_id, sum(octet_length(encode(event_type || '{{k="' || k || '",user="' || user_id || '",id="' || event_id || '"}} ' || CASE WHEN event_id % 997 = 0 THEN 'oops' ELSE value::VARCHAR END || ' ' || ms)) + 1) - 1 AS bytes FROM n GROUP BY 1)
+SELECT scrape_id, bytes > 1000 AS too_big FROM b""")
+def enforce_body_size_limit(spark, sf):
+    df = S.fail_malformed_bodies(scrapes(spark, sf), body_limit=1000)
+    return df.select("scrape_id", F.coalesce(F.col("error") == "body size limit exceeded", F.lit(False)).alias("too_big"))
+
+
+@query(f"""WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, '__name__=' || event_type || ',customer=c-' || user_id || ',exported_k=' || k || ',id=' || event_id || ',instance=' || target_id || ',job=events,k=target,region=eu' AS labels, value, ms AS ts_ms
+FROM n JOIN s USING (scrape_id) WHERE bad IS NULL AND event_type NOT LIKE 'err%'""")
+def scrape_pipeline(spark, sf):
+    return pipeline(spark, sf)[1].select("scrape_id", "line_no", shown("labels"), "value", "ts_ms")
+
+
+def shown(labels: str, sort: bool = False):
+    """Labels as one string, for comparison."""
+    c = L.sort_labels(F.col(labels)) if sort else F.col(labels)
+    return F.array_join(F.transform(c, lambda p: F.concat(p["name"], F.lit("="), p["value"])), ",").alias(labels)
+
+
+@query(f"WITH {EV} SELECT scrape_id, target_id, start_ms, (bad IS NULL)::INTEGER AS up, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL THEN good ELSE 0 END AS kept FROM s")
+def scrape_stats(spark, sf):
+    return S.scrape_stats(*pipeline(spark, sf)).drop("duration_s", "error")
+
+
+@query(f"""WITH {EV}, r AS (SELECT scrape_id, start_ms AS ts_ms, (bad IS NULL)::DOUBLE AS up, CASE WHEN bad IS NULL THEN lines ELSE 0 END::DOUBLE AS a, CASE WHEN bad IS NULL THEN good ELSE 0 END::DOUBLE AS b FROM s)
+SELECT scrape_id, ts_ms, 'up' AS name, up AS value FROM r UNION ALL SELECT scrape_id, ts_ms, 'scrape_duration_seconds', 0.5 FROM r
+UNION ALL SELECT scrape_id, ts_ms, 'scrape_samples_scraped', a FROM r UNION ALL SELECT scrape_id, ts_ms, 'scrape_samples_post_metric_relabeling', b FROM r
+UNION ALL SELECT scrape_id, ts_ms, 'scrape_series_added', b FROM r""")
+def scrape_report_series(spark, sf):
+    return S.report_series(S.scrape_stats(*pipeline(spark, sf))).select("scrape_id", "ts_ms", "name", "value")
+
+
+@query(f"""WITH {EV}, o AS (SELECT *, bad IS NOT NULL AS f, lag(bad IS NOT NULL) OVER (PARTITION BY target_id ORDER BY start_ms) AS p, sum((bad IS NULL)::INT) OVER (PARTITION BY target_id ORDER BY start_ms) AS i FROM s)
+SELECT scrape_id, CASE WHEN f AND coalesce(NOT p, true) THEN 'down' WHEN NOT f AND p THEN 'recovered' WHEN f THEN 'failing' END AS transition, sum(f::INT) OVER (PARTITION BY target_id, i ORDER BY start_ms)::BIGINT AS failures FROM o""")
+def scrape_health_transitions(spark, sf):
+    return S.scrape_health_transitions(S.scrape_stats(*pipeline(spark, sf))).select("scrape_id", "transition", "failures")
+
+
+@query(f"WITH {EV} SELECT (start_ms // {7 * DAY_MS} * {7 * DAY_MS})::BIGINT AS bucket_ms, count(*) AS scrapes, count(bad) AS failures, sum(CASE WHEN bad IS NULL THEN lines ELSE 0 END)::BIGINT AS samples_scraped, sum(CASE WHEN bad IS NULL THEN good ELSE 0 END)::BIGINT AS samples_kept FROM s GROUP BY 1")
+def ingestion_metrics(spark, sf):
+    return S.ingestion_metrics(S.scrape_stats(*pipeline(spark, sf)), 7 * DAY_MS)
+
+
+@query("""SELECT event_id, value AS parsed, CASE event_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN NULL WHEN 2 THEN '-inf' ELSE 'inf' END AS special, event_id * 1000 + 500 AS from_seconds, event_id AS from_ms FROM events""")
+def parse_values_and_timestamps(spark, sf):
+    e = table(spark, sf, "events")
+    odd = F.element_at(F.array(F.lit("nan"), F.lit("0x1p3"), F.lit("-INF"), F.lit("++Infinity")), (F.col("event_id") % 4 + 1).cast("int"))
+    v = X.parse_metric_value(odd)
+    special = F.when(F.isnan(v), "NaN").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return e.select("event_id", X.parse_metric_value(F.concat(F.lit("+"), F.col("value").cast("string"))).alias("parsed"), special.alias("special"), X.parse_sample_timestamp(F.concat("event_id", F.lit(".5"))).alias("from_seconds"), X.parse_sample_timestamp(F.col("event_id").cast("string")).alias("from_ms"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'protobuf' WHEN 3 THEN 'protobuf' WHEN 4 THEN 'text' END AS format FROM events""")
+def body_format(spark, sf):
+    kinds = ["text/plain; version=0.0.4", "application/vnd.google.protobuf; proto=io.prometheus.client.MetricFamily; encoding=delimited", "application/vnd.google.protobuf; proto=other; encoding=delimited", 'Application/VND.google.protobuf;PROTO="io.prometheus.client.MetricFamily"; Encoding=delimited', "weird/type"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", X.body_format(kind).alias("format"))
+
+
+# --- labels and relabeling ---------------------------------------------------------------------------------------------
+
+CU = "c AS (SELECT c_custkey, c_name, c_mktsegment, n_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'z' || c_custkey % 7 END AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def customers(spark, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    zone = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("z"), F.col("c_custkey") % 7))
+    labels = F.create_map(F.lit("__meta_name"), "c_name", F.lit("__meta_segment"), "c_mktsegment", F.lit("nation"), "n_name", F.lit("zone"), zone)
+    return c.select("c_custkey", labels.alias("labels"))
+
+
+def _rel(name: str, rules: list[Rule], labels: str, where: str = "true"):
+    """Registers one relabeling query; ``labels`` is SQL for the sorted labels, zone left out when empty."""
+
+    def run(spark, sf):
+        return relabel(customers(spark, sf), rules).select("c_custkey", shown("labels", sort=True))
+
+    run.__name__ = name
+    query(f"WITH {CU}, z AS (SELECT *, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment AS m, 'nation=' || n_name AS na, CASE WHEN zone <> '' THEN ',zone=' || zone ELSE '' END AS zo FROM c) SELECT c_custkey, {labels} AS labels FROM z WHERE {where}")(run)
+
+
+_rel("relabel_replace", [Rule("replace", ("nation", "zone"), regex=r"NATION_(\d+);(.*)", target_label="nation_${1}", replacement="$2-${1}$$"), Rule("replace", ("zone",), target_label="zone2")], "m || ',' || na || ',nation_' || substr(n_name, 8) || '=' || zone || '-' || substr(n_name, 8) || '$' || zo || replace(zo, 'zone', 'zone2')")
+_rel("relabel_keep", [Rule("keep", ("__meta_segment", "nation"), regex="F.*;NATION_1[0-9]*")], "m || ',' || na || zo", "c_mktsegment LIKE 'F%' AND n_name LIKE 'NATION_1%'")
+_rel("relabel_drop", [Rule("drop", ("zone",), regex="z[12]|")], "m || ',' || na || zo", "zone NOT IN ('z1', 'z2', '')")
+_rel("relabel_keepequal", [Rule("lowercase", ("zone",), target_label="copy"), Rule("replace", ("nation",), regex=".*_(.)", target_label="copy", replacement="z$1"), Rule("keepequal", ("zone",), target_label="copy")], "'__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || CASE WHEN zone <> '' THEN ',copy=' || zone ELSE '' END || ',' || na || zo", "zone = CASE WHEN length(n_name) = 8 THEN 'z' || substr(n_name, 8) ELSE zone END")
+_rel("relabel_dropequal", [Rule("dropequal", ("zone",), target_label="missing")], "m || ',' || na || zo", "zone <> ''")
+_rel("relabel_hashmod", [Rule("hashmod", ("__meta_name",), target_label="__shard", modulus=1000)], "m || ',__shard=' || (('0x' || substr(md5(c_name), 17, 16))::UBIGINT % 1000) || ',' || na || zo")
+_rel("relabel_labelmap", [Rule("labelmap", regex="__meta_(.*)", replacement="flag_$1")], "m || ',flag_name=' || c_name || ',flag_segment=' || c_mktsegment || ',' || na || zo")
+_rel("relabel_labeldrop", [Rule("labeldrop", regex="__.*")], "na || zo")
+_rel("relabel_labelkeep", [Rule("labelkeep", regex="__meta_n.*|zone")], "'__meta_name=' || c_name || zo")
+_rel("relabel_lowercase", [Rule("lowercase", ("__meta_segment",), target_label="low")], "m || ',low=' || lower(c_mktsegment) || ',' || na || zo")
+_rel("relabel_uppercase", [Rule("uppercase", ("__meta_name", "zone"), separator="/", target_label="up")], "m || ',' || na || ',up=' || upper(c_name || '/' || zone) || zo")
+_rel("drop_empty_labels", [], "m || ',' || na || zo")
+
+
+@query(f"""WITH {CU} SELECT c_custkey, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',exported_nation=' || n_name || ',nation=home,region=r,zone=' || zone AS mine, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',nation=' || n_name || ',region=r,zone=' || zone AS theirs FROM c""")
+def merge_target_labels(spark, sf):
+    target = F.create_map(F.lit("nation"), F.lit("home"), F.lit("region"), F.lit("r"))
+    df = customers(spark, sf)
+    df = df.select("c_custkey", L.merge_target_labels(F.col("labels"), target, F.lit(False)).alias("mine"), L.merge_target_labels(F.col("labels"), target, F.lit(True)).alias("theirs"))
+    return df.select("c_custkey", shown("mine", True), shown("theirs", True))
+
+
+@query(f"WITH {CU} SELECT c_custkey, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',dc=x,nation=' || n_name || ',zone=' || zone AS labels FROM c")
+def add_external_labels(spark, sf):
+    more = F.create_map(F.lit("zone"), F.lit("ext"), F.lit("dc"), F.lit("x"))
+    return customers(spark, sf).withColumn("labels", L.add_external_labels(F.col("labels"), more)).select("c_custkey", shown("labels", True))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand || '-' || p_name, '[^a-zA-Z0-9_]', '_', 'g') AS name FROM part")
+def sanitize_label_name(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", L.sanitize_label_name(F.concat("p_brand", F.lit("-"), "p_name")).alias("name"))
+
+
+@query("""SELECT p_partkey, p_partkey * 3600000 + p_size * 60000 + 5 AS ms, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 0 END::BIGINT AS odd, (p_size * 1048576 + 512 * 1024)::DOUBLE AS bytes FROM part""")
+def parse_units(spark, sf):
+    p = table(spark, sf, "part")
+    odd = F.when(F.col("p_partkey") % 2 == 0, "1m1h").otherwise("0")
+    size = F.concat("p_size", F.lit(".5MiB"))
+    return p.select("p_partkey", U.parse_duration_ms(F.concat("p_partkey", F.lit("h"), "p_size", F.lit("m5ms"))).alias("ms"), U.parse_duration_ms(odd).alias("odd"), U.parse_size_bytes(size).cast("double").alias("bytes"))
+
+
+# --- staleness ---------------------------------------------------------------------------------------------------------
+
+
+def history(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Samples and scrapes per user and day; days divisible by 11 with the user failed and have no samples."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("target_id"), (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / DAY_MS) * DAY_MS).alias("start_ms"), F.concat("event_type", F.lit("|"), F.get_json_object("props", "$.k").cast("int") % 5).alias("identity"), "event_id", "user_id")
+    failed = (F.floor(F.col("start_ms") / DAY_MS) + F.col("user_id")) % 11 == 0
+    samples = e.where(~failed).select("target_id", "start_ms", "identity", F.col("event_id").alias("line_no"), F.create_map(F.lit("id"), "identity").alias("labels"), F.when(F.col("event_id") % 10 == 0, F.col("start_ms") + 1).otherwise(F.col("start_ms")).alias("ts_ms"))
+    return samples, e.select("target_id", "start_ms").distinct()
+
+
+HI = f"""h AS (SELECT 'u' || user_id AS target_id, (epoch_us(ts) // 1000) // {DAY_MS} * {DAY_MS} AS start_ms, event_type || '|' || (json_extract_string(props, '$.k')::INT % 5) AS identity, event_id, ((epoch_us(ts) // 1000) // {DAY_MS} + user_id) % 11 = 0 AS failed FROM events),
+sc AS (SELECT *, lead(start_ms) OVER (PARTITION BY target_id ORDER BY start_ms) AS next_start FROM (SELECT DISTINCT target_id, start_ms FROM h)),
+tr AS (SELECT DISTINCT target_id, start_ms, identity FROM h WHERE NOT failed AND event_id % 10 <> 0)"""
+
+
+@query(f"WITH {HI} SELECT target_id, start_ms, identity FROM tr")
+def tracked_identities(spark, sf):
+    return ST.tracked_identities(history(spark, sf)[0]).drop("labels")
+
+
+@query(f"WITH {HI} SELECT target_id, identity, next_start AS ts_ms, true AS is_stale FROM tr JOIN sc USING (target_id, start_ms) WHERE next_start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tr x WHERE x.target_id = tr.target_id AND x.identity = tr.identity AND x.start_ms = sc.next_start)")
+def stale_markers(spark, sf):
+    return ST.stale_markers(*history(spark, sf)).select("target_id", "identity", "ts_ms", "is_stale")
+
+
+@query(f"WITH {HI} SELECT target_id, count(tr.identity) AS tracked FROM sc LEFT JOIN tr USING (target_id, start_ms) WHERE next_start IS NULL GROUP BY 1")
+def tracked_series_count(spark, sf):
+    return ST.tracked_series_count(*history(spark, sf))
+
+
+@query(f"""WITH {HI}, r AS (SELECT target_id, start_ms + 1000 AS ts_ms, start_ms FROM sc WHERE next_start IS NULL AND target_id LIKE '%7')
+SELECT target_id, identity, ts_ms FROM r JOIN tr USING (target_id, start_ms) UNION ALL
+SELECT target_id, unnest(['up', 'scrape_duration_seconds', 'scrape_samples_scraped', 'scrape_samples_post_metric_relabeling', 'scrape_series_added']), ts_ms FROM r""")
+def removed_target_markers(spark, sf):
+    samples, starts = history(spark, sf)
+    removed = starts.where(F.col("target_id").endswith("7")).groupBy("target_id").agg((F.max("start_ms") + 1000).alias("ts_ms"))
+    return ST.removed_target_markers(samples, starts, removed).drop("is_stale")
+
+
+# --- targets -----------------------------------------------------------------------------------------------------------
+
+
+def groups(spark, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    host = F.lower(F.regexp_replace("s_name", "#", "-"))
+    addresses = F.transform(F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int")), lambda i: F.concat(host, F.lit(":"), (9000 + i).cast("string")))
+    labels = F.create_map(F.lit("nation"), "n_name", F.lit("__param_module"), F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd"))
+    return s.select(F.lit("file").alias("source"), addresses.alias("targets"), labels.alias("labels"), "s_suppkey")
+
+
+GR = "a AS (SELECT s_suppkey, n_name, lower(replace(s_name, '#', '-')) || ':' || (9000 + unnest(range(0, s_suppkey % 3 + 1))) AS addr, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS module FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+TARGET_RULES = [Rule("drop", ("__address__",), regex=".*:9002"), Rule("replace", ("nation",), regex="NATION_(.*)", target_label="env", replacement="n$1")]
+
+
+@query(f"WITH {GR} SELECT 'https://' || addr || '/custom' AS url, module, 'env=n' || substr(n_name, 8) || ',instance=' || addr || ',job=suppliers,nation=' || n_name AS labels FROM a WHERE addr NOT LIKE '%:9002'")
+def build_targets(spark, sf):
+    t = T.build_targets(groups(spark, sf), "suppliers", TARGET_RULES, "https", "custom", {"module": ["default"], "x": []})
+    return t.select("url", F.element_at("params", F.lit("module")).alias("module"), shown("labels"))
+
+
+@query(f"WITH {GR} SELECT 'http://' || addr || '/metrics' AS url FROM a WHERE s_suppkey % 5 <> 0")
+def distinct_targets(spark, sf):
+    g = groups(spark, sf).where(F.col("s_suppkey") % 5 != 0)
+    return T.distinct_targets(T.build_targets(T.merge_target_groups(g, g), "j")).select("url")
+
+
+@query(f"WITH {GR} SELECT 'http://' || addr || '/metrics' AS url, CASE WHEN s_suppkey % 3 = 0 THEN 'added' WHEN s_suppkey % 2 = 0 THEN 'removed' ELSE 'unchanged' END AS change FROM a")
+def diff_targets(spark, sf):
+    g = groups(spark, sf)
+    old, new = T.build_targets(g.where("s_suppkey % 3 <> 0"), "j"), T.build_targets(g.where("s_suppkey % 3 = 0 OR s_suppkey % 2 <> 0"), "j")
+    return T.diff_targets(old, new, ["url", "labels"]).select("url", "change")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR || 's' ELSE '1m' END AS scrape_interval, CASE WHEN s_suppkey % 3 = 0 THEN true ELSE false END AS honor_labels FROM supplier")
+def effective_job_settings(spark, sf):
+    jobs = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_suppkey", F.lit("s"))).alias("scrape_interval"), F.when(F.col("s_suppkey") % 3 == 0, True).alias("honor_labels"))
+    return T.effective_job_settings(jobs, {"scrape_interval": "1m", "honor_labels": False})
+
+
+# --- Kubernetes --------------------------------------------------------------------------------------------------------
+
+PODS = """SELECT named_struct('name', concat('pod-', p_partkey), 'namespace', concat('ns', p_partkey % 5), 'uid', concat('u', p_partkey), 'labels', map('app', p_type, 'a.b', p_brand), 'annotations', cast(map() AS map<string,string>),
+  'ownerReferences', array(named_struct('kind', 'ReplicaSet', 'name', concat('rs-', p_size), 'controller', p_partkey % 2 = 0))) AS metadata,
+ named_struct('nodeName', concat('NATION_', p_size), 'containers', array(named_struct('name', 'main', 'image', p_name, 'ports', array(named_struct('name', 'http', 'containerPort', cast(8000 + p_size % 4 AS int), 'protocol', 'TCP'), named_struct('name', 'adm', 'containerPort', 9000, 'protocol', 'TCP'))), named_struct('name', 'side', 'image', 'side', 'ports', cast(null AS array<struct<name:string,containerPort:int,protocol:string>>))),
+  'initContainers', cast(null AS array<struct<name:string,image:string,ports:array<struct<name:string,containerPort:int,protocol:string>>>>)) AS spec,
+ named_struct('podIP', CASE WHEN p_partkey % 10 = 0 THEN null WHEN p_partkey % 7 = 0 THEN concat('fd00::', p_partkey) ELSE concat('10.0.', p_partkey div 250, '.', p_partkey % 250) END, 'hostIP', '1.1.1.1', 'phase', 'Running', 'conditions', array(named_struct('type', 'Ready', 'status', 'True')),
+  'containerStatuses', array(named_struct('name', 'main', 'containerID', concat('cid-', p_partkey))), 'initContainerStatuses', cast(null AS array<struct<name:string,containerID:string>>)) AS status FROM part_"""
+PO = "po AS (SELECT *, 'ns' || p_partkey % 5 AS ns, 'pod-' || p_partkey AS pod, CASE WHEN p_partkey % 7 = 0 THEN '[fd00::' || p_partkey || ']' ELSE '10.0.' || p_partkey // 250 || '.' || p_partkey % 250 END AS host, CASE WHEN p_partkey % 7 = 0 THEN 'fd00::' || p_partkey ELSE '10.0.' || p_partkey // 250 || '.' || p_partkey % 250 END AS ip FROM part WHERE p_partkey % 10 <> 0)"
+
+
+def pods(spark, sf: str) -> DataFrame:
+    return spark.sql(PODS.replace("part_", "{part}"), part=table(spark, sf, "part"))
+
+
+def nodes(spark, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.struct(F.col("n_name").alias("name"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("labels"), F.create_map().cast(K.EMPTY).alias("annotations")).alias("metadata"))
+
+
+def services(spark, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.struct(F.concat(F.lit("svc-"), "c_custkey").alias("name"), F.concat(F.lit("ns"), F.col("c_custkey") % 5).alias("namespace"), F.create_map(F.lit("team"), "c_mktsegment").alias("labels"), F.create_map().cast(K.EMPTY).alias("annotations")).alias("metadata"))
+
+
+SLICES = """SELECT named_struct('name', concat('slice-', o_orderkey), 'namespace', concat('ns', o_custkey % 5), 'labels', map('kubernetes.io/service-name', concat('svc-', o_custkey)), 'annotations', cast(map() AS map<string,string>)) AS metadata,
+ 'IPv4' AS addressType, array(named_struct('name', 'p', 'port', cast(8000 + o_orderkey % 4 AS int), 'protocol', 'TCP', 'appProtocol', cast(null AS string))) AS ports,
+ array(named_struct('addresses', array(concat('10.1.', o_orderkey % 250, '.1')), 'conditions', named_struct('ready', true, 'serving', cast(null AS boolean), 'terminating', false), 'hostname', cast(null AS string), 'nodeName', cast(null AS string), 'zone', o_orderpriority,
+  'targetRef', named_struct('kind', CASE WHEN o_orderkey % 3 = 0 THEN 'Node' ELSE 'Pod' END, 'name', concat('pod-', o_orderkey % p), 'namespace', concat('ns', (o_orderkey % p) % 5)))) AS endpoints FROM orders_ CROSS JOIN n_"""
+SL = "sl AS (SELECT *, 'ns' || o_custkey % 5 AS ns, 'slice-' || o_orderkey AS slice, 8000 + o_orderkey % 4 AS port, o_orderkey % (SELECT count(*) FROM part) AS pk FROM orders)"
+
+
+def slices(spark, sf: str) -> DataFrame:
+    n = table(spark, sf, "part").agg(F.count("*").alias("p"))
+    return spark.sql(SLICES.replace("FROM orders_ CROSS JOIN n_", "FROM {o} CROSS JOIN {n}"), o=table(spark, sf, "orders"), n=n)
+
+
+@query(f"""WITH {PO}, x AS (SELECT *, unnest([0, 1, 2]) AS i FROM po JOIN nation ON n_name = 'NATION_' || p_size)
+SELECT pod, CASE i WHEN 0 THEN host || ':' || (8000 + p_size % 4) WHEN 1 THEN host || ':9000' ELSE ip END AS address, CASE WHEN i < 2 THEN 'main' ELSE 'side' END AS container, CASE WHEN i < 2 THEN 'cid-' || p_partkey ELSE '' END AS id, p_type AS app, p_brand AS ab, CASE WHEN p_partkey % 2 = 0 THEN 'rs-' || p_size END AS controller, n_regionkey::VARCHAR AS region FROM x""")
+def pod_targets(spark, sf):
+    t = K.pod_targets(pods(spark, sf), nodes(spark, sf))
+    get = lambda k, n: F.try_element_at("labels", F.lit(K.P + k)).alias(n)
+    return t.select("pod", "address", get("pod_container_name", "container"), get("pod_container_id", "id"), get("pod_label_app", "app"), get("pod_label_a_b", "ab"), get("pod_controller_name", "controller"), get("node_label_region", "region"))
+
+
+@query(f"""WITH {SL} SELECT slice, '10.1.' || o_orderkey % 250 || '.1:' || port AS address, o_orderpriority AS zone, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS team,
+ CASE WHEN o_orderkey % 3 <> 0 THEN p_type END AS app, CASE WHEN o_orderkey % 3 <> 0 AND 8000 + p_size % 4 = port THEN 'main' END AS container FROM sl LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = pk""")
+def endpointslice_targets(spark, sf):
+    t = K.join_backing_pod(K.join_owning_service(K.endpointslice_targets(slices(spark, sf)), services(spark, sf)), pods(spark, sf))
+    get = lambda k, n: F.try_element_at("labels", F.lit(K.P + k)).alias(n)
+    return t.select("slice", "address", get("endpointslice_endpoint_zone", "zone"), get("service_label_team", "team"), get("pod_label_app", "app"), get("pod_container_name", "container"))
+
+
+@query(f"""WITH {SL}, {PO}, x AS (SELECT slice, pod, port, host, unnest([8000 + p_size % 4, 9000]) AS cp FROM sl JOIN po ON p_partkey = pk WHERE o_orderkey % 3 <> 0)
+SELECT slice, pod, cp::INTEGER AS port, host || ':' || cp AS address FROM x WHERE cp <> port""")
+def uncovered_pod_ports(spark, sf):
+    return K.uncovered_pod_ports(K.endpointslice_targets(slices(spark, sf)), pods(spark, sf)).select("slice", "pod", "port", "address")
+
+
+# --- delivery ----------------------------------------------------------------------------------------------------------
+
+ENDPOINTS = [("a", "v1", True, 500), ("b", "v2", False, 2000), ("c", "v2", True, 100)]
+EP = "ep AS (SELECT * FROM (VALUES ('a', true, 500), ('b', false, 2000), ('c', true, 100)) t(endpoint, native, size)), f AS (SELECT * FROM events CROSS JOIN ep), g AS (SELECT *, event_type = 'view' AS is_histogram FROM f WHERE native OR event_type <> 'view'), b AS (SELECT *, (row_number() OVER (PARTITION BY endpoint ORDER BY event_id) - 1) // size AS batch_id FROM g)"
+
+
+def batches(spark, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "event_type", "props", F.col("user_id").alias("target_id"), (F.col("event_type") == "view").alias("is_histogram"))
+    out = spark.createDataFrame(ENDPOINTS, "endpoint string, message string, send_native_histograms boolean, max_samples_per_send int")
+    return D.assign_batches(D.drop_native_histograms(D.fan_out_endpoints(e, out)), ["event_id"])
+
+
+@query(f"WITH {EP} SELECT endpoint, event_id FROM f")
+def fan_out_endpoints(spark, sf):
+    out = spark.createDataFrame(ENDPOINTS, "endpoint string, message string, send_native_histograms boolean, max_samples_per_send int")
+    return D.fan_out_endpoints(table(spark, sf, "events").select("event_id"), out).select("endpoint", "event_id")
+
+
+@query(f"WITH {EP} SELECT endpoint, event_id, batch_id FROM b")
+def assign_batches(spark, sf):
+    return batches(spark, sf).select("endpoint", "event_id", "batch_id")
+
+
+@query(f"WITH {EP} SELECT endpoint, batch_id, count(*) FILTER (NOT is_histogram) AS n_samples, count(*) FILTER (is_histogram) AS n_histograms FROM b GROUP BY 1, 2")
+def batch_counts(spark, sf):
+    return D.batch_counts(batches(spark, sf)).drop("shard")
+
+
+@query(f"""WITH {EP}, l AS (SELECT endpoint, batch_id, row_number() OVER (PARTITION BY endpoint, batch_id ORDER BY event_id) AS r, unnest(['k', json_extract_string(props, '$.k'), 'type', event_type, 'u', CASE WHEN user_id % 4 = 0 THEN '' ELSE user_id::VARCHAR END]) AS symbol, unnest(range(0, 6)) AS p FROM b),
+f1 AS (SELECT endpoint, batch_id, symbol, min(r * 10 + p) AS m FROM l WHERE symbol <> '' GROUP BY 1, 2, 3)
+SELECT endpoint, batch_id, symbol, row_number() OVER (PARTITION BY endpoint, batch_id ORDER BY m)::INTEGER AS ref FROM f1 UNION ALL SELECT DISTINCT endpoint, batch_id, '', 0 FROM b""")
+def symbol_table(spark, sf):
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    user = F.when(F.col("target_id") % 4 == 0, "").otherwise(F.col("target_id").cast("string"))
+    df = batches(spark, sf).withColumn("labels", F.array(pair("k", F.get_json_object("props", "$.k")), pair("type", F.col("event_type")), pair("u", user)))
+    return D.symbol_table(df, ["endpoint", "batch_id"], ["event_id"])
+
+
+@query(f"""WITH {EP}, c AS (SELECT endpoint, batch_id, count(*) FILTER (NOT is_histogram) AS n FROM b GROUP BY 1, 2)
+SELECT endpoint, batch_id, CASE batch_id % 5 WHEN 0 THEN 'retry' WHEN 1 THEN 'retry' WHEN 2 THEN 'dropped' WHEN 3 THEN CASE WHEN n > 0 THEN 'partial' ELSE 'ok' END ELSE 'ok' END AS outcome FROM c""")
+def delivery_outcomes(spark, sf):
+    counts = D.batch_counts(batches(spark, sf))
+    status = F.element_at(F.array(F.lit(None).cast("int"), F.lit(429), F.lit(404), F.lit(200), F.lit(204)), (F.col("batch_id") % 5 + 1).cast("int"))
+    written = F.when(F.col("batch_id") % 5 == 3, F.greatest(F.col("n_samples") - 1, F.lit(0))).otherwise(F.col("n_samples"))
+    sent = counts.select("endpoint", "batch_id", status.alias("http_status"), written.alias("samples_written"), F.col("n_histograms").alias("histograms_written"))
+    return D.delivery_outcomes(sent, counts).select("endpoint", "batch_id", "outcome")
+
+
+# --- histograms --------------------------------------------------------------------------------------------------------
+
+
+def buckets(spark, sf: str) -> DataFrame:
+    """Counts of line quantities by supplier, as schema-3 buckets."""
+    return table(spark, sf, "lineitem").groupBy("l_suppkey", F.lit("positive").alias("side"), F.col("l_quantity").cast("bigint").alias("index")).agg(F.count("*").alias("count"))
+
+
+BU = "bu AS (SELECT l_suppkey, l_quantity::BIGINT AS i, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {BU} SELECT l_suppkey, 'positive' AS side, i AS index, n AS count FROM bu")
+def histogram_buckets(spark, sf):
+    spans = H.encode_buckets(buckets(spark, sf), ["l_suppkey"])
+    return H.histogram_buckets(spans, ["l_suppkey"], "spans", "deltas", "positive")
+
+
+@query(f"WITH {BU} SELECT l_suppkey, 'positive' AS side, ((i - 1) >> 2) + 1 AS index, sum(n)::BIGINT AS count FROM bu GROUP BY 1, 3")
+def reduce_histogram_resolution(spark, sf):
+    return H.reduce_histogram_resolution(buckets(spark, sf), ["l_suppkey"], 2)
+
+
+@query(f"WITH {BU}, t AS (SELECT l_suppkey, s, count(DISTINCT ((i - 1) >> s) + 1) AS n FROM bu CROSS JOIN range(0, 8) r(s) GROUP BY 1, 2) SELECT l_suppkey, (min(s) FILTER (n <= 20))::INTEGER AS shift FROM t GROUP BY 1")
+def limit_histogram_buckets(spark, sf):
+    return H.limit_histogram_buckets(buckets(spark, sf).withColumn("schema", F.lit(3)), ["l_suppkey"], 20)
+
+
+@query(f"WITH {BU} SELECT l_suppkey, count(*)::INTEGER AS n, NULL::VARCHAR AS sound, 'unsupported schema' AS low, 'negative bucket count' AS negative, 'spans do not cover the buckets' AS short FROM bu GROUP BY 1")
+def validate_native_histogram(spark, sf):
+    s = H.encode_buckets(buckets(spark, sf), ["l_suppkey"])
+    check = lambda schema, d: H.validate_native_histogram(F.lit(schema), F.col("spans"), d)
+    return s.select("l_suppkey", F.size("deltas").alias("n"), check(3, F.col("deltas")).alias("sound"), check(-5, F.col("deltas")).alias("low"), check(3, F.transform("deltas", lambda d: F.lit(-1).cast("bigint"))).alias("negative"), check(3, F.slice("deltas", 2, 100000)).alias("short"))
+
+
+CLASSIC = "q AS (SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS total, count(*) FILTER (l_quantity <= 10) AS b10, count(*) FILTER (l_quantity <= 25) AS b25 FROM lineitem GROUP BY 1)"
+
+
+def classic(spark, sf: str) -> DataFrame:
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("count"), F.sum("l_quantity").alias("sum"), F.count_if(F.col("l_quantity") <= 10).alias("b10"), F.count_if(F.col("l_quantity") <= 25).alias("b25"))
+    b = lambda le, c: F.struct(F.lit(le).cast("double").alias("upper_bound"), F.col(c).alias("cumulative_count"))
+    return g.withColumn("buckets", F.array(b(10, "b10"), b(25, "b25")))
+
+
+@query(f"""WITH {CLASSIC} SELECT flag, '_count' AS suffix, NULL::VARCHAR AS le, n::DOUBLE AS value FROM q UNION ALL SELECT flag, '_sum', NULL, total FROM q UNION ALL
+SELECT flag, '_bucket', '10', b10 FROM q UNION ALL SELECT flag, '_bucket', '25', b25 FROM q UNION ALL SELECT flag, '_bucket', '+Inf', n FROM q""")
+def expand_classic_histogram(spark, sf):
+    out = H.expand_classic_histogram(classic(spark, sf), ["flag"])
+    return out.withColumn("le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("int").cast("string")))
+
+
+@query(f"""WITH {CLASSIC} SELECT flag, '_count' AS suffix, NULL::DOUBLE AS quantile, n::DOUBLE AS value FROM q UNION ALL SELECT flag, '_sum', NULL, total FROM q UNION ALL SELECT flag, '', 0.5, b10 FROM q UNION ALL SELECT flag, '', 0.9, b25 FROM q""")
+def expand_summary(spark, sf):
+    p = lambda q, c: F.struct(F.lit(q).alias("quantile"), F.col(c).cast("double").alias("value"))
+    return H.expand_summary(classic(spark, sf).withColumn("quantiles", F.array(p(0.5, "b10"), p(0.9, "b25"))), ["flag"])
+
+
+@query("SELECT p_partkey, least(p_size - 20, 8)::INTEGER AS schema, greatest(p_size - 28, 0)::INTEGER AS shift FROM part")
+def cap_histogram_schema(spark, sf):
+    return H.cap_histogram_schema(table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 20).alias("schema")))
