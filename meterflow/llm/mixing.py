@@ -40,7 +40,7 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
                 out[i] = unit * weights[i]
             break
         for i in over:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
             left -= out[i]
         open_ = [i for i in open_ if i not in set(over)]
     return out
@@ -97,7 +97,8 @@ class Mix:
         totals = keyed.groupBy("_source", "_block").agg(F.sum("_size").alias("words"), F.first("_passes").alias("_passes"), F.first("_rest").alias("_rest"), F.first("_n_blocks").alias("_n_blocks"))
         ranked = totals.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
         before = F.col("upto") - F.col("words")
-        ranked = ranked.withColumns({"whole": F.col("upto") <= F.col("_rest"), "edge": (F.col("upto") > F.col("_rest")) & (before < F.col("_rest")), "before": before})
+        more = (F.col("_passes") < cap) & (F.col("_rest") > 0)
+        ranked = ranked.withColumns({"whole": more & (F.col("upto") <= F.col("_rest")), "edge": more & (F.col("upto") > F.col("_rest")) & (before < F.col("_rest")), "before": before})
         # permuted draws: pass p covers indices p * n_blocks + rank, the last pass only a prefix of the permutation
         ranked = ranked.withColumn("draws", F.col("_passes") + (F.col("whole") | F.col("edge")).cast("int"))
         ranked = written(ranked.drop("_rest"), "mix-blocks")

@@ -42,6 +42,8 @@ def _stream(seed: int, n: int) -> np.ndarray:
 _BYTE = [_stream(11, 256), _stream(12, 256)]
 _PLACE = [_stream(21, _PERIOD) | _U(1), _stream(22, _PERIOD) | _U(1)]
 _FAR = [_stream(31, _PERIOD) | _U(1), _stream(32, _PERIOD) | _U(1)]
+for _far in _FAR:
+    _far[0] = 1  # short words hash alike whatever stands beside them
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
