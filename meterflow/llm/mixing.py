@@ -19,7 +19,7 @@ begin with an underscore are reserved and replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +119,7 @@ class Mix:
         edges = self.blocks.where("edge").select("_bs", "_bb", "before")
         at_edge = keyed.join(edges, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
         at_edge = at_edge.withColumn("room", F.col("_rest") - F.col("before")).select("_source", "_u", "_size", "room")
-        self.picks = at_edge.groupBy("_source").applyInPandas(_fill, "_ks string, _ku long")
+        self.picks = at_edge.groupBy("_source").applyInArrow(_fill, "_ks string, _ku long")
 
     def blocked(self, keyed: DataFrame) -> DataFrame:
         """Rows with their source's figures and their block."""
@@ -135,19 +135,21 @@ class Mix:
         return out.withColumn("_copies", F.when(last, F.slice("_shards", 1, F.size("_shards") - 1)).otherwise(F.col("_shards")))
 
 
-def _fill(block: pd.DataFrame) -> pd.DataFrame:
+def _fill(block: pa.Table) -> pa.Table:
     """The documents of a boundary block that fit into what is left, in permuted order; one more if that is nearer."""
-    block = block.groupby("_u", as_index=False, sort=True).agg(_size=("_size", "sum"), _source=("_source", "first"), room=("room", "first"))
-    room, taken, spare = float(block["room"].iloc[0]), [], []
-    for u, size in zip(block["_u"], block["_size"], strict=True):
-        if size <= room:
+    sizes: dict[int, int] = {}
+    for u, size in zip(block["_u"].to_pylist(), block["_size"].to_pylist(), strict=True):
+        sizes[u] = sizes.get(u, 0) + size
+    room, taken, spare = block["room"][0].as_py(), [], []
+    for u in sorted(sizes):
+        if sizes[u] <= room:
             taken.append(u)
-            room -= size
+            room -= sizes[u]
         else:
-            spare.append((size, u))
+            spare.append((sizes[u], u))
     if spare and min(spare)[0] < 2 * room:
         taken.append(min(spare)[1])
-    return pd.DataFrame({"_ks": [block["_source"].iloc[0]] * len(taken), "_ku": taken})
+    return pa.table({"_ks": pa.array([block["_source"][0].as_py()] * len(taken), pa.string()), "_ku": pa.array(taken, pa.int64())})
 
 
 def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
