@@ -112,7 +112,7 @@ def loss_and_slopes(score: np.ndarray, grade: np.ndarray, cut: np.ndarray) -> tu
     return float(-np.log(p).mean()), by_score, by_cut
 
 
-def fit(codes: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int = GRADES, bits: int = BITS, min_df: int = 30, steps: int = 200, l2: float = 1e-3, rate: float = 0.1) -> Model:
+def fit(codes: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int = GRADES, bits: int = BITS, min_df: int = 30, steps: int = 200, l2: float = 3e-3, rate: float = 0.1) -> Model:
     """Adam on the whole sample; thresholds stay ordered (a first one plus positive gaps)."""
     size, docs = 1 << bits, len(at) - 1
     weight = np.zeros(size)
@@ -135,7 +135,7 @@ def fit(codes: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int = GRAD
         _, by_score, by_cut = loss_and_slopes(score, grade, _cuts(x[n:]))
         by_gap = by_cut[::-1].cumsum()[::-1]
         by_gap[1:] *= np.exp(x[n + 1 :])
-        g = np.concatenate([np.bincount(codes, weights=by_score[owner], minlength=n) * value + l2 * x[:n], by_gap])
+        g = np.concatenate([np.bincount(codes, weights=by_score[owner], minlength=n) * value + l2 * value**4 * x[:n], by_gap])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6) / np.sqrt(1 + t / 50)
     weight[used] = x[:n] * value

