@@ -202,9 +202,9 @@ def test_hmm_recursions(monkeypatch):
 
 
 def test_classifier(spark, docs, none):
-    good = [(i, " ".join(words(60)), 2) for i in range(200)]
-    loud = [(1000 + i, " ".join(w.upper() + "!!" for w in words(60)), 1) for i in range(100)]
-    rude = [(2000 + i, " ".join(["awful", *words(60), "wretched"]), 0) for i in range(100)]
+    good = [(i, " ".join(words(15)), 2) for i in range(1200)]
+    loud = [(2000 + i, " ".join(w.upper() + "!!" for w in words(15)), 1) for i in range(400)]
+    rude = [(3000 + i, " ".join(["awful", *words(15), "wretched"]), 0) for i in range(400)]
     df = spark.createDataFrame(good + loud + rude, "doc_id long, text string, grade int")
     model = quality_classifier.train(df.where("doc_id % 2 = 0"))
     assert (np.diff(model.cut) > 0).all()
