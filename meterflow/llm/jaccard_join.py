@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import repeated, repeated_maps
+from .sketch import packed, repeated, repeated_maps, unpacked
 from .storage import written
 from .substring_dedup import rolled
 from .words import mix, pair, slices, string_parts, words_of
@@ -234,10 +234,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         for _, u, at in _sets_of(batch, shingle):
             yield signatures(u, at, threshold)[0]
 
-    shared = spark.sparkContext.broadcast(repeated_maps(rows.select("t"), all_signatures, bits))
+    shared = spark.sparkContext.broadcast(packed(repeated_maps(rows.select("t"), all_signatures, bits)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
+        maps = unpacked(shared.value)
         for batch in batches:
             seen: set[bytes] = set()
             for part, u, at in _sets_of(batch, shingle):
@@ -265,6 +265,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 )
 
     described = written(rows.mapInArrow(describe, "doc_id long, n_shingles long, key binary, sigs array<long>, shingles binary"), "shingle-sets")
+    shared.destroy()  # nothing reads it any more
     met = described.where("sigs IS NOT NULL").select("key", F.explode("sigs").alias("sig"))
     shared_sigs = met.groupBy("sig").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w").drop("w")
     blocks = written(components(met.join(shared_sigs, "sig").select(F.col("key").alias("u"), "v")), "blocks")

@@ -8,6 +8,7 @@ input only flags more.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,6 +98,15 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
     return out
 
 
+def packed(maps: np.ndarray) -> tuple[tuple[int, ...], bytes]:
+    """The maps for a broadcast: mostly zeros in small corpora, so compressed."""
+    return maps.shape, zlib.compress(maps.tobytes(), 1)
+
+
+def unpacked(value: tuple[tuple[int, ...], bytes]) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(value[1]), np.uint8).reshape(value[0])
+
+
 def repeated(maps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether each key is estimated to occur twice or more."""
     out = np.ones(len(keys), dtype=bool)

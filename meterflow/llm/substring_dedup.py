@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import repeated, repeated_maps
+from .sketch import packed, repeated, repeated_maps, unpacked
 from .storage import written
 from .words import Words, pair, slices, string_parts, words_of
 
@@ -133,7 +133,7 @@ def _runs_of(batch: pa.RecordBatch, text: str, window: int, gram: int):
 
 def _emit_runs(text: str, shared, window: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
+        maps = unpacked(shared.value)
         for batch in batches:
             found = []
             for _, w, r in _runs_of(batch, text, window, gram):
@@ -218,7 +218,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
         for _, _, r in _runs_of(batch, "t", window, gram):
             yield r.anchors
 
-    shared = spark.sparkContext.broadcast(repeated_maps(texts, anchors, bits))
+    shared = spark.sparkContext.broadcast(packed(repeated_maps(texts, anchors, bits)))
     runs = texts.mapInArrow(_emit_runs("t", shared, window, gram, bits), _RUNS)
     masks = written(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "a long, b long, mask long"), "window-masks")
 
@@ -226,7 +226,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
     whole = docs.select(*carried).withColumn("_t", F.col(text).cast("string"))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
+        maps = unpacked(shared.value)
         for batch in batches:
             for part, w, r in _runs_of(batch, "_t", window, gram):
                 n = part.num_rows
@@ -249,6 +249,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.drop("_t").schema)
     found = whole.mapInArrow(suspects, f"{kinds}{', ' if kinds else ''}n_words long, _ka long, _kb long, _a array<long>, _b array<long>, _at array<int>")
     found = written(found, "suspects")
+    shared.destroy()  # both passes that read it have been written
     flat = found.where(F.size("_a") > 0).select("_ka", "_kb", F.explode(F.arrays_zip("_a", "_b", "_at")).alias("r"))
     flat = flat.select("_ka", "_kb", F.col("r._a").alias("a"), F.col("r._b").alias("b"), F.col("r._at").alias("at"))
     hits = flat.join(masks, ["a", "b"]).groupBy(F.col("_ka").alias("_ja"), F.col("_kb").alias("_jb")).agg(F.collect_set(F.struct("at", "mask")).alias("_hits"))
