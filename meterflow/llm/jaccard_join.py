@@ -5,14 +5,17 @@ A document's set holds the distinct hashed shingles of its lower-cased words.  T
 
 *Meeting.*  Token hashes are cut into G groups (ranges of the hash space); sets that link differ in at most
 (|a| + |b|) * (100 - t) / (100 + t) tokens, so with more groups than that some group is equal in both.  G is chosen per size
-class with E groups to spare, so that an equal group is not an empty one (sets with more than E empty groups use
+class, with E groups to spare, so that an equal group is not an empty one (sets with more than E empty groups use
 the least hashes of their prefix instead).  A set's signatures are the hashes of its groups; a count-min sketch drops
-those that occur once.  Sets that share a signature fall into one block (connected components).
+those that occur once.
 
-*Joining.*  In a block, the group counts of every set are a point; points are indexed in an R-tree, whose boxes bound the
-overlap with a query by the summed minima of the query's counts and the box's upper corner.  Pairs that survive the
-bound, and are not already connected, are verified exactly.  Blocks beyond a size are cut into slices, and every pair of
-slices is a task, so no task holds an unbounded group.
+*Bounding.*  The group counts of a set (with more dimensions for larger sets) are its point.  The points that share a
+signature are indexed in an R-tree, whose boxes bound the overlap with a query by the summed minima of the query's counts
+and the box's upper corner.  Sets connected by pairs that survive the bound form a block, so that a common shingle alone
+joins nothing.  Signatures with the same members are searched once.
+
+*Verifying.*  In a block, pairs that survive the bound, and are not already connected, are verified exactly.  Signatures
+and blocks beyond a size are cut into slices, and every pair of slices is a task, so no task holds an unbounded group.
 
 Edge cases: null and empty texts, and texts without words, have empty sets, no links and themselves as component; texts
 with fewer words than a shingle are one shingle; null ids link like others and never become a component's id unless all
@@ -38,7 +41,7 @@ from .words import mix, pair, slices, string_parts, words_of
 SHINGLE = 3
 THRESHOLD = 90
 BITS = 27
-DIMENSIONS = 32
+MAX_DEPTH = 16
 _U = np.uint64
 
 
@@ -160,10 +163,43 @@ class RTree:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def count_points(u: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Points of consecutive sets: counts of their hashes in 2^d ranges, about 3 to 6 hashes each, 32 ranges at least."""
+    n = np.diff(at)
+    depth = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 6)), 5, MAX_DEPTH).astype(np.int64)
+    size = 1 << depth
+    base = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat(base[:-1], n) + (u >> np.repeat(64 - depth, n).astype(_U)).astype(np.int64)
+    raw = np.bincount(place, minlength=base[-1]).astype("<u4").tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def _folded(points: list[bytes]) -> np.ndarray:
+    """Points of several depths at the least of them: neighbouring ranges add up."""
+    counts = [np.frombuffer(p, "<u4").astype(np.int64) for p in points]
+    least = min(len(c) for c in counts)
+    return np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
+
+
+def near(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Pairs (row numbers) that connect all pairs of ``left`` and ``right`` that survive the bound: a spanning forest."""
+    tree = RTree(points[right], sizes[right])
+    label = np.arange(len(sizes))
+    out = []
+    for a in left.tolist():
+        found = right[tree.search(points[a], int(sizes[a]), threshold)]
+        others, first = np.unique(label[found], return_index=True)
+        for other, b in zip(others.tolist(), found[first].tolist(), strict=True):
+            if other != label[a]:
+                out.append((a, b))
+        label[np.isin(label, others)] = label[a]
+    return out
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links between sets of ``left`` and of ``right`` (row numbers) that connect all that is linked: a spanning forest."""
     n = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> _U(59)).astype(np.int64), minlength=DIMENSIONS) for s in sets])
+    points = _folded([p for s in sets for p in count_points(s, np.array([0, len(s)]))])
     tree = RTree(points[right], n[right])
     parent = list(range(len(sets)))
 
@@ -175,11 +211,11 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
     out = []
     for a in left.tolist():
-        near = right[tree.search(points[a], int(n[a]), threshold)]
-        if len(near) > 1:  # likely links first
-            near = near[np.argsort(-(np.minimum(points[a], points[near]).sum(axis=1) / (n[a] + n[near])), kind="stable")]
+        found = right[tree.search(points[a], int(n[a]), threshold)]
+        if len(found) > 1:  # likely links first
+            found = found[np.argsort(-(np.minimum(points[a], points[found]).sum(axis=1) / (n[a] + n[found])), kind="stable")]
         root = find(a)
-        for b in near.tolist():
+        for b in found.tolist():
             other = find(b)
             if other == root:
                 continue
@@ -225,6 +261,13 @@ def _tasks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _cut(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (k, group, cuts) in the tasks that hold every pair of slices of their group: mine, task."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return rows.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).drop("other", "cuts")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int = BITS, slice_rows: int = 2000, slice_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -243,7 +286,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             for part, u, at in _sets_of(batch, shingle):
                 n = np.diff(at)
                 with np.errstate(over="ignore"):
-                    key = _pack(_sums(mix(u ^ _U(0xA5A5)), at), _sums(mix(u ^ _U(0x5A5A5A)), at) + n.astype(_U))
+                    short = _sums(mix(u ^ _U(0xA5A5)), at)
+                    key = _pack(short, _sums(mix(u ^ _U(0x5A5A5A)), at) + n.astype(_U))
                 sig, who = signatures(u, at, threshold)
                 hit = repeated(maps, sig, bits)
                 sig, who = sig[hit].view(np.int64), who[hit]
@@ -251,6 +295,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 sig, where = sig[order], np.searchsorted(who[order], np.arange(len(n) + 1))
                 sets: list[bytes | None] = []
                 lists: list[np.ndarray | None] = []
+                points: list[bytes | None] = count_points(u, at)
                 for i, k in enumerate(key.to_pylist()):
                     if where[i + 1] > where[i] and k not in seen:
                         seen.add(k)
@@ -259,24 +304,44 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                     else:
                         sets.append(None)
                         lists.append(None)
+                        points[i] = None
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), key, pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "sigs", "shingles"],
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), key, pa.array(short.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(sets, pa.binary())],
+                    ["doc_id", "n_shingles", "key", "k", "sigs", "point", "shingles"],
                 )
 
-    described = written(rows.mapInArrow(describe, "doc_id long, n_shingles long, key binary, sigs array<long>, shingles binary"), "shingle-sets")
+    described = written(rows.mapInArrow(describe, "doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
     shared.destroy()  # nothing reads it any more
-    met = described.where("sigs IS NOT NULL").select("key", F.explode("sigs").alias("sig"))
-    shared_sigs = met.groupBy("sig").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w").drop("w")
-    blocks = written(components(met.join(shared_sigs, "sig").select(F.col("key").alias("u"), "v")), "blocks")
-
-    members = described.where("shingles IS NOT NULL").select("key", "n_shingles", "shingles").join(blocks.withColumnRenamed("node", "key"), "key")
-    sizes = described.where("shingles IS NOT NULL").select("key", "n_shingles").distinct().join(blocks.withColumnRenamed("node", "key"), "key")
-    sizes = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / slice_rows), F.ceil(F.sum("n_shingles") / slice_shingles)).cast("int").alias("cuts"))
-    mine = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")
-    placed = members.join(sizes, "root").withColumn("mine", mine)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    placed = placed.withColumn("task", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
+    # k, half of the key, names sets until they are verified; equal halves of different sets only share a block
+    met = described.where("sigs IS NOT NULL").select("k", F.explode("sigs").alias("sig"))
+    # rows, extremes and sum of hashes tell groups of members apart
+    groups = met.groupBy("sig").agg(F.count("*").alias("rows"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
+    groups = groups.where("v <> w").groupBy("rows", "v", "w", "x").agg(F.min("sig").alias("sig"))
+    groups = groups.select("sig", F.ceil(F.col("rows") / slice_rows).cast("int").alias("cuts"))
+    points = described.where("sigs IS NOT NULL").select("k", "n_shingles", "point").dropDuplicates(["k"])
+    small = written(met.join(groups, "sig").distinct(), "meetings")
+    tasks = _cut(small, "sig").join(points, "k").repartition("task").sortWithinPartitions("task")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tasks(batches, "task"):
+            keys, first = np.unique(t["k"].to_numpy(), return_index=True)
+            if len(keys) < 2:
+                continue
+            spots = t["point"].to_pylist()
+            sizes, side = t["n_shingles"].to_numpy()[first], t["mine"].to_numpy()[first]
+            left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+            pairs = near(_folded([spots[i] for i in first.tolist()]), sizes, left, right, threshold)
+            if pairs:
+                ends = keys[np.array(pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+
+    blocks = written(components(tasks.mapInArrow(meet, "u long, v long")).withColumnRenamed("node", "k"), "blocks")
+
+    sets = described.where("shingles IS NOT NULL")
+    placed = sets.select("k", "n_shingles").distinct().join(blocks, "k")
+    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / slice_rows), F.ceil(F.sum("n_shingles") / slice_shingles)).cast("int").alias("cuts"))
+    # written, so that Spark knows its size: few sets are placed in most corpora, and then the others are not shuffled
+    placed = written(_cut(placed.select("k", "root").join(sizes, "root"), "root").select("k", "mine", "task"), "placed")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[bytes, bytes]] = []
@@ -296,7 +361,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
 
-    tasks = placed.select("task", "key", "mine", "shingles").repartition("task").sortWithinPartitions("task")
+    tasks = sets.select("k", "key", "shingles").join(placed, "k").drop("k").repartition("task").sortWithinPartitions("task")
     groups = components(tasks.mapInArrow(join, "u binary, v binary"))
 
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
