@@ -103,9 +103,7 @@ def _signatures(u: np.ndarray, at: np.ndarray, c: np.ndarray, threshold: int) ->
         who = owner[head]
         sig = mix(total ^ mix(part[head] + _U(977) * c[who].astype(_U)))
         sparse = g - np.bincount(who, minlength=len(n)) > spare
-        keep = ~sparse[who]
-        sig, who = sig[keep], who[keep]
-        # sets with many empty groups: the least hashes, one of which linked sets share
+        # two sets with many empty groups may have only those in common: they share one of their least hashes too
         if (sparse & (n > 0)).any():
             need = n - -(-threshold * n // 100) + 1
             rank = np.arange(len(u)) - np.repeat(at[:-1], n)

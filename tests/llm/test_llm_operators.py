@@ -284,3 +284,19 @@ def test_ann(spark):
             expected.update((i, r, j, -s) for r, (s, j) in enumerate(near, 1))
     assert rows(got, "query_id", "rank", "vec_id", "score") == expected
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_linked_sets_share_a_signature():
+    import numpy as np
+
+    from meterflow.llm.jaccard_join import signatures
+
+    rng = np.random.default_rng(5)
+    for threshold in (80, 90):
+        for n in [*range(1, 120), 400, 1500]:
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = int(rng.integers(0, n * (100 - threshold) // 100 + 1))
+            b = np.sort(np.delete(a, rng.choice(n, gone, replace=False)))
+            if 100 * len(b) >= threshold * n:
+                sa, sb = (signatures(x, np.array([0, len(x)]), threshold)[0] for x in (a, b))
+                assert np.intersect1d(sa, sb).size
