@@ -16,6 +16,7 @@ from ..functions import units as U
 from ..operators import delivery as D
 from ..operators import histograms as H
 from ..operators import kubernetes as K
+from ..operators import pseudonyms as P
 from ..operators import scrapes as S
 from ..operators import staleness as ST
 from ..operators import targets as T
@@ -449,3 +450,76 @@ def expand_summary(spark, sf):
 @query("SELECT p_partkey, least(p_size - 20, 8)::INTEGER AS schema, greatest(p_size - 28, 0)::INTEGER AS shift FROM part")
 def cap_histogram_schema(spark, sf):
     return H.cap_histogram_schema(table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 20).alias("schema")))
+
+
+# --- pseudonymization --------------------------------------------------------------------------------------------------
+
+KEEP, HIGH_RISK = ["k"], ["user"]
+VALUES = f"""{EV}, v AS (SELECT scrape_id AS file, line_no::INTEGER AS line_no, 'k' AS label, k AS value FROM n UNION ALL SELECT scrape_id, line_no, 'user', user_id::VARCHAR FROM n UNION ALL SELECT scrape_id, line_no, 'id', event_id::VARCHAR FROM n),
+public AS (SELECT DISTINCT value FROM v WHERE label = 'k' AND NOT (length(value) >= 4 AND value IN (SELECT value FROM v WHERE label = 'user') AND NOT regexp_full_match(value, '[a-z]*')))"""
+
+
+def _moved(half: str, other: str, r: int) -> str:
+    roll = f"('0x' || md5('0|{r}|' || i || '|' || {other})[1:8])::BIGINT"
+    kinds = " ".join(f"WHEN regexp_full_match({half}[i], '[{c}]') THEN chr(({o} + (ascii({half}[i]) - {o} + {roll}) % {m})::INTEGER)" for c, o, m in (("a-z", 97, 26), ("A-Z", 65, 26), ("0-9", 48, 10)))
+    return f"array_to_string(list_transform(range(1, length({half}) + 1), lambda i: CASE {kinds} ELSE {half}[i] END), '')"
+
+
+NAMES = f"""p0 AS (SELECT value, value[1:length(value) // 2] AS a, value[length(value) // 2 + 1:] AS b FROM (SELECT DISTINCT value FROM v)),
+p1 AS (SELECT value, a, {_moved("b", "a", 0)} AS b FROM p0), p2 AS (SELECT value, {_moved("a", "b", 1)} AS a, b FROM p1),
+p3 AS (SELECT value, a, {_moved("b", "a", 2)} AS b FROM p2), p4 AS (SELECT value, {_moved("a", "b", 3)} || b AS pseudonym FROM p3)"""
+
+
+def bodies(spark, sf: str) -> DataFrame:
+    return scrapes(spark, sf).select(F.col("scrape_id").alias("file"), "body")
+
+
+def clean(spark, sf: str) -> DataFrame:
+    raw = bodies(spark, sf)
+    values = P.corpus_label_values(raw)
+    denied = P.denied_values(values, KEEP, P.public_vocabulary(values, KEEP, HIGH_RISK))
+    return P.pseudonymize_bodies(raw, denied, P.pseudonym_map(denied), KEEP)
+
+
+@query(f"WITH {VALUES} SELECT * FROM v")
+def corpus_label_values(spark, sf):
+    return P.corpus_label_values(bodies(spark, sf))
+
+
+@query(f"WITH {VALUES} SELECT * FROM public")
+def public_vocabulary(spark, sf):
+    return P.public_vocabulary(P.corpus_label_values(bodies(spark, sf)), KEEP, HIGH_RISK)
+
+
+@query(f"WITH {VALUES} SELECT DISTINCT value FROM v WHERE label = 'user'")
+def high_risk_values(spark, sf):
+    return P.high_risk_values(P.corpus_label_values(bodies(spark, sf)), HIGH_RISK)
+
+
+@query(f"WITH {VALUES}, {NAMES} SELECT value, pseudonym FROM p4")
+def pseudonym_map(spark, sf):
+    return P.pseudonym_map(P.corpus_label_values(bodies(spark, sf)))
+
+
+@query(f"WITH {VALUES}, {NAMES} SELECT file, line_no, label, CASE WHEN label = 'k' OR value IN (SELECT value FROM public) THEN value ELSE pseudonym END AS value FROM v JOIN p4 USING (value)")
+def pseudonymize_bodies(spark, sf):
+    return P.corpus_label_values(clean(spark, sf))
+
+
+@query(f"WITH {VALUES} SELECT label, count(*) AS redacted FROM v WHERE label <> 'k' AND value NOT IN (SELECT value FROM public) GROUP BY label")
+def redaction_report(spark, sf):
+    values = P.corpus_label_values(bodies(spark, sf))
+    return P.redaction_report(P.denied_values(values, KEEP, P.public_vocabulary(values, KEEP, HIGH_RISK)))
+
+
+@query("""SELECT c_custkey AS file, 'comment' AS kind, '10.0.' || c_nationkey || '.' || c_custkey % 300 AS token FROM customer WHERE c_custkey % 300 <= 255
+UNION ALL SELECT c_custkey, 'value', c_name FROM customer UNION ALL SELECT c_custkey, 'label', '00:1a:2B:3c:4d:5e' FROM customer""")
+def leak_scan(spark, sf):
+    c = table(spark, sf, "customer")
+    body = F.concat(F.lit("# HELP m of "), "c_name", F.lit(" at 10.0."), "c_nationkey", F.lit("."), F.col("c_custkey") % 300, F.lit('\nm{k="00:1a:2B:3c:4d:5e"} 1'))
+    return P.leak_scan(c.select(F.col("c_custkey").alias("file"), body.alias("body")), c.select(F.col("c_name").alias("value")), KEEP)
+
+
+@query(f"WITH {EV} SELECT scrape_id AS file, true AS same_bytes, true AS same_values FROM s")
+def fidelity_check(spark, sf):
+    return P.fidelity_check(bodies(spark, sf), clean(spark, sf))
