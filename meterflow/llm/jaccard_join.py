@@ -5,8 +5,8 @@ A document's set holds the distinct hashed shingles of its lower-cased words.  T
 
 *Meeting.*  Token hashes are cut into G groups (ranges of the hash space); sets that link differ in at most
 (|a| + |b|) * (100 - t) / (100 + t) tokens, so with more groups than that some group is equal in both.  G is chosen per size
-class, with E groups to spare, so that an equal group is not an empty one (sets with more than E empty groups use
-the least hashes of their prefix instead).  A set's signatures are the hashes of its groups; a count-min sketch drops
+class, with E groups to spare, so that an equal group is not an empty one unless
+both sets have more than E empty groups; such sets also use the least hashes of their prefix.  A set's signatures are the hashes of its groups; a count-min sketch drops
 those that occur once.
 
 *Bounding.*  The group counts of a set (with more dimensions for larger sets) are its point.  The points that share a
