@@ -73,7 +73,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[row, block] = [once, twice]
     for (row, block), (once, twice) in held.items():
         if twice.any():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["row", "block", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["row", "block", "twice"])
 
 
 def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
@@ -91,16 +91,17 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
 
     merged = rows.mapInArrow(build, _BLOCKS).repartition("row", "block").mapInArrow(_merge, "row int, block int, twice binary")
     out = np.zeros((ROWS, max(BLOCK, 1 << bits) // 8), dtype=np.uint8)
-    for r in merged.toArrow().to_pylist():
-        first = r["block"] * BLOCK // 8
-        piece = np.frombuffer(r["twice"], np.uint8)
-        out[r["row"], first : first + len(piece)] = piece
+    for batch in merged.toArrow().to_batches(max_chunksize=256):
+        for r in batch.to_pylist():
+            first = r["block"] * BLOCK // 8
+            piece = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+            out[r["row"], first : first + len(piece)] = piece
     return out
 
 
 def packed(maps: np.ndarray) -> tuple[tuple[int, ...], bytes]:
     """The maps for a broadcast: mostly zeros in small corpora, so compressed."""
-    return maps.shape, zlib.compress(maps.tobytes(), 1)
+    return maps.shape, zlib.compress(maps.data, 1)
 
 
 def unpacked(value: tuple[tuple[int, ...], bytes]) -> np.ndarray:
