@@ -5,9 +5,9 @@ class (the end, or one of 2^CLASS_BITS hash classes of words), and the class emi
 (count + 1) / (class tokens + class words + 1), where the spare one stands for all unknown words.  So the model has a fixed
 size (states x classes) whatever the vocabulary, and log10 P(text) = forward likelihood of the classes + word odds.
 
-*Training.*  Word counts come from all training texts by a grouped aggregation.  Baum-Welch starts from a bounded sample
-(``init_docs`` texts of at most ``init_tokens`` words) and then makes ``rounds`` passes over all training texts: every
-partition runs forward-backward and emits its expected counts, blocks of which are summed by a shuffle.
+*Training.*  Word counts come from all training texts by a grouped aggregation.  Baum-Welch starts from a
+seeded model and makes ``init_rounds`` + ``rounds`` passes over all training texts: every partition runs
+forward-backward and emits its expected counts, blocks of which are summed by a shuffle.
 
 *Scoring.*  Each task turns its texts into a chunk: local word numbers and the forward likelihoods.  The distinct words
 of all chunks are joined with the counts and return to their chunk, where the odds are added up.  No table of words is
@@ -186,7 +186,7 @@ def _flat(column: list[np.ndarray]) -> np.ndarray:
 class LanguageModel:
     """Counts (a written table of word hash and count), class totals and the trained Hmm."""
 
-    def __init__(self, training: DataFrame, text: str = "text", states: int = STATES, rounds: int = 2, init_docs: int = 400, init_tokens: int = 1000, init_rounds: int = 40, seed: int = 5):
+    def __init__(self, training: DataFrame, text: str = "text", states: int = STATES, rounds: int = 2, init_rounds: int = 10, seed: int = 5):
         self.spark = training.sparkSession
         rows = training.select(F.col(text).cast("string").alias("t"))
 
@@ -210,14 +210,7 @@ class LanguageModel:
         self.tokens, self.words = int(self.class_tokens.sum()), int(self.class_words.sum())
         share = (self.class_tokens + 1) / (self.tokens + len(self.class_tokens))
         self.hmm = seeded(share, states, seed)
-        sample = rows.where(f"t IS NOT NULL AND length(t) BETWEEN 1 AND {8 * init_tokens}").orderBy(F.xxhash64("t"), "t").limit(init_docs).toArrow()
-        if sample.num_rows:
-            found = [sequences(d, o) for b in sample.to_batches() for _, d, o in slices(b, "t")]
-            size = np.concatenate([np.diff(at) + 1 for _, at, _ in found])
-            sym, at = np.concatenate([x[2] for x in found]), np.concatenate([[0], np.cumsum(size)])
-            for _ in range(init_rounds):
-                self.hmm = Hmm.from_counts(self.hmm.counts(sym, at), share, states)
-        for _ in range(rounds if self.tokens else 0):
+        for _ in range(init_rounds + rounds if self.tokens else 0):
             self.hmm = Hmm.from_counts(self._expected(rows), share, states)
 
     def _expected(self, rows: DataFrame) -> np.ndarray:

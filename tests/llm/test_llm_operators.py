@@ -176,6 +176,19 @@ def test_hmm(docs, none):
     assert {r.train_tokens for r in bare.score(docs).collect()} == {0}
 
 
+def test_hmm_trains_on_texts_of_any_length(spark):
+    texts = [" ".join(words(3000)) for _ in range(4)] + ["short one", ""]
+    model = hmm_model.LanguageModel(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), init_rounds=3, rounds=0)
+    blobs = [t.encode() for t in texts]
+    _, at, sym = hmm_model.sequences(np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blobs])]))
+    n = np.bincount(sym, minlength=hmm_model.END + 1)
+    share = (n + 1) / (n.sum() + len(n))
+    whole = hmm_model.seeded(share, 4, 5)
+    for _ in range(3):
+        whole = hmm_model.Hmm.from_counts(whole.counts(sym, at + np.arange(len(at))), share, 4)
+    assert np.allclose(model.hmm.move, whole.move) and np.allclose(model.hmm.emit, whole.emit)
+
+
 def test_hmm_recursions(monkeypatch):
     monkeypatch.setattr(hmm_model, "SEGMENT", 7)
     k = 3
