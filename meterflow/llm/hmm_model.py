@@ -1,17 +1,18 @@
 """Hidden Markov language model: Baum-Welch on Spark, exact likelihoods by the scaled forward recursion.
 
-A text is its lower-cased words and one end token.  A token is emitted in two steps: a hidden state emits the token's
-class (the end, or one of 2^CLASS_BITS hash classes of words), and the class emits the word with add-one unigram odds,
-(count + 1) / (class tokens + class words + 1), where the spare one stands for all unknown words.  So the model has a fixed
-size (states x classes) whatever the vocabulary, and log10 P(text) = forward likelihood of the classes + word odds.
+A text is its lower-cased words and one end token; hidden states emit words.  The odds of a word in a state are
+(expected count + 1/K) / (expected tokens of the state + (V + 1)/K) for K states and V distinct tokens, where the spare
+one stands for all unknown words; with one state these are the add-one unigram odds of ``base_score``.
 
-*Training.*  Word counts come from all training texts by a grouped aggregation.  Baum-Welch starts from a
-seeded model and makes ``init_rounds`` + ``rounds`` passes over all training texts: every partition runs
-forward-backward and emits its expected counts, blocks of which are summed by a shuffle.
+*Training.*  Word counts come from all training texts by a grouped aggregation.  Baum-Welch begins with ``init_rounds``
+passes over all training texts in which words of one hash class (of 2^CLASS_BITS) share their odds, from a seeded model.
+It goes on with up to ``rounds`` passes over all training texts in which every word has its own odds, until the log
+likelihood gains less than ``settled`` of itself.  Texts are held in chunks (local word numbers); the expected counts
+of a chunk's distinct words are joined from a written table and return to their chunk, which runs forward-backward;
+the new counts are summed by word into the next table.
 
-*Scoring.*  Each task turns its texts into a chunk: local word numbers and the forward likelihoods.  The distinct words
-of all chunks are joined with the counts and return to their chunk, where the odds are added up.  No table of words is
-ever broadcast or collected.
+*Scoring.*  The same join gives each chunk its odds for the exact forward likelihood.  No table of words is ever
+broadcast or collected.
 
 Long texts are cut into segments whose transfer matrices are chained, which keeps the recursion exact and its Python
 loop short.  Words are identified by 64-bit hashes.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .storage import parallelism, written
+from .storage import discard, parallelism, written
 from .words import slices, words_of
 
 STATES = 4
@@ -120,8 +121,12 @@ class Hmm:
 
     def counts(self, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Expected counts of starts, moves and emissions, flat."""
+        return self.expected(sym, at)[0]
+
+    def expected(self, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+        """The expected counts, and the log likelihood of all sequences."""
         k = len(self.start)
-        _, alpha, (doc, rank, begin, size, order, transfer, place) = self.forward(sym, at, keep=True)
+        log, alpha, (doc, rank, begin, size, order, transfer, place) = self.forward(sym, at, keep=True)
         last = np.ones((len(doc), k))
         for r in range(int(rank.max(initial=0)), 0, -1):
             here = np.flatnonzero(rank == r)
@@ -159,9 +164,9 @@ class Hmm:
             before, w = alpha[begin[follow] - 1], whole[follow]
             z = ((before @ self.move) * w).sum(axis=1, keepdims=True)
             moves += (before / z).T @ w
-        emitted = np.stack([np.bincount(sym, weights=gamma[:, j], minlength=END + 1) for j in range(k)], axis=1)
+        emitted = np.stack([np.bincount(sym, weights=gamma[:, j], minlength=len(self.emit)) for j in range(k)], axis=1)
         starts = gamma[begin[rank == 0]].sum(axis=0)
-        return np.concatenate([starts, (moves * self.move).ravel(), emitted.ravel()])
+        return np.concatenate([starts, (moves * self.move).ravel(), emitted.ravel()]), float(log.sum())
 
     @staticmethod
     def from_counts(x: np.ndarray, share: np.ndarray, k: int) -> "Hmm":
@@ -183,10 +188,50 @@ def _flat(column: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(column) if column else np.zeros(0)
 
 
+def _names(k: int) -> list[str]:
+    return [f"x{j}" for j in range(k)]
+
+
+def _kinds(k: int) -> str:
+    return ", ".join(f"{x} double" for x in _names(k))
+
+
+def _chunks(rows: DataFrame, keep: bool = True) -> DataFrame:
+    """Texts (column t) in written chunks: the rows (unless not to ``keep``), offsets, local word numbers and word hashes."""
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "t", 8 << 20):
+                h, at, _ = sequences(data, offsets)
+                words, local = np.unique(h, return_inverse=True)
+                own = part.column("row") if keep else part.column("row").slice(0, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                        pa.array([at.astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([local.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([words.view(np.int64)], pa.list_(pa.int64())),
+                    ],
+                    ["rows", "at", "local", "words"],
+                )
+
+    row_type = rows.schema["row"].dataType.simpleString()
+    chunks = rows.mapInArrow(chunk, f"rows array<{row_type}>, at binary, local binary, words array<long>")
+    return written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def _tokens(r: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and symbols of a chunk's texts, each with its end token, whose number follows those of the words."""
+    at = np.frombuffer(r.column("at")[0].as_py(), np.int64)
+    local = np.frombuffer(r.column("local")[0].as_py(), np.int32)
+    return at + np.arange(len(at)), np.insert(local, at[1:], len(r.column("words")[0].values))
+
+
 class LanguageModel:
-    """Counts (a written table of word hash and count), class totals and the trained Hmm."""
+    """The trained model: ``hmm`` (classes, then start and move of the words' model), ``emits`` (a written table of word hash
+    and expected count in each state), ``end`` and ``mass`` (expected ends and tokens of each state)."""
 
-    def __init__(self, training: DataFrame, text: str = "text", states: int = STATES, rounds: int = 2, init_rounds: int = 10, seed: int = 5):
+    def __init__(self, training: DataFrame, text: str = "text", states: int = STATES, rounds: int = 10, init_rounds: int = 3, seed: int = 5, settled: float = 1e-3):
         self.spark = training.sparkSession
         rows = training.select(F.col(text).cast("string").alias("t"))
 
@@ -210,8 +255,17 @@ class LanguageModel:
         self.tokens, self.words = int(self.class_tokens.sum()), int(self.class_words.sum())
         share = (self.class_tokens + 1) / (self.tokens + len(self.class_tokens))
         self.hmm = seeded(share, states, seed)
-        for _ in range(init_rounds + rounds if self.tokens else 0):
+        for _ in range(init_rounds if self.tokens else 0):
             self.hmm = Hmm.from_counts(self._expected(rows), share, states)
+        self._spread()
+        self.likelihoods: list[float] = []
+        if rounds and self.tokens:
+            chunks = _chunks(rows.select(F.struct("t").alias("row"), "t"), keep=False)
+            while len(self.likelihoods) < rounds:
+                self.likelihoods.append(self._round(chunks))
+                if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < settled * abs(self.likelihoods[-2]):
+                    break
+            discard(chunks)
 
     def _expected(self, rows: DataFrame) -> np.ndarray:
         """Baum-Welch counts of all texts, summed over partitions."""
@@ -240,39 +294,86 @@ class LanguageModel:
         parts = rows.mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).collect()
         return _flat([np.frombuffer(r["x"]) for r in sorted(parts, key=lambda r: r["piece"])])
 
+    def _spread(self) -> None:
+        """The first expected counts of words: each word's count, dealt to the states as its class is."""
+        k = len(self.hmm.start)
+        profile = (self.hmm.emit + 1e-12) / (self.hmm.emit + 1e-12).sum(axis=1, keepdims=True)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column("h").to_numpy()
+                x = profile[class_of(h.view(_U))] * b.column("c").to_numpy()[:, None]
+                yield pa.RecordBatch.from_arrays([b.column("h"), *(pa.array(x[:, j]) for j in range(k))], ["h", *_names(k)])
+
+        self.emits = written(self.counts.where("NOT ended").mapInArrow(deal, f"h long, {_kinds(k)}"), "emissions")
+        self.end = profile[END] * self.class_tokens[END]
+        self._weigh()
+
+    def _weigh(self) -> None:
+        total = self.emits.agg(*(F.sum(x).alias(x) for x in _names(len(self.end)))).first()
+        self.mass = self.end + np.array([x or 0.0 for x in total])
+
+    def _given(self):
+        """What a chunk's task needs besides the expected counts of its words."""
+        k, hmm, end, mass, v = len(self.hmm.start), self.hmm, self.end, self.mass, self.words
+
+        def model(size: int, found: pa.Table) -> tuple[Hmm, np.ndarray]:
+            """The model over the chunk's words and the end token, and the words' counts in the training texts."""
+            x = np.zeros((size + 1, k))
+            i = found["i"].to_numpy()
+            for j, name in enumerate(_names(k)):
+                x[i, j] = found[name].to_numpy()
+            x[size] = end
+            return Hmm(hmm.start, hmm.move, (x + 1 / k) / (mass + (v + 1) / k)), np.rint(x[:size].sum(axis=1))
+
+        return model
+
+    def _met(self, chunks: DataFrame, kind: str) -> DataFrame:
+        """The expected counts of each chunk's words, by chunk and place, as numbers of one ``kind``."""
+        met = chunks.select("chunk", F.posexplode("words").alias("i", "w"))
+        return met.join(self.emits, F.col("w") == F.col("h")).select(F.col("chunk").alias("to"), "i", *(F.col(x).cast(kind).alias(x) for x in _names(len(self.end))))
+
+    def _round(self, chunks: DataFrame) -> float:
+        """One Baum-Welch pass over all texts, words being the symbols; the log likelihood before it."""
+        k, model = len(self.end), self._given()
+        names = ["total", "h", *_names(k)]
+        empty = pa.schema([("total", pa.bool_()), ("h", pa.int64()), *((x, pa.float64()) for x in _names(k))]).empty_table()
+
+        def expect(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            for r in left.to_batches():
+                if r.num_rows:
+                    words = r.column("words")[0].values
+                    at, sym = _tokens(r)
+                    x, log = model(len(words), right)[0].expected(sym, at)
+                    # rows of totals: starts, moves from each state, ends, likelihood
+                    whole = np.concatenate([x[k + k * k :].reshape(-1, k)[:-1], x[: k + k * k].reshape(-1, k), x[-k:][None], np.full((1, k), log)])
+                    total = np.arange(len(whole)) >= len(words)
+                    h = np.concatenate([words.to_numpy(), np.arange(k + 3)])
+                    out.append(pa.Table.from_arrays([pa.array(total), pa.array(h), *(pa.array(whole[:, j]) for j in range(k))], names))
+            return pa.concat_tables(out) if out else empty
+
+        wide = chunks.select("chunk", "at", "local", "words").repartition(parallelism(self.spark), "chunk")
+        parts = wide.groupBy("chunk").cogroup(self._met(chunks, "float").groupBy("to")).applyInArrow(expect, f"total boolean, h long, {_kinds(k)}")
+        found = written(parts.groupBy("total", "h").agg(*(F.sum(x).alias(x) for x in _names(k))), "emissions")
+        x = np.array([r[2:] for r in found.where("total").orderBy("h").collect()])
+        start, move = x[0] + 1.0 / k, x[1 : k + 1] + 1.0 / k
+        self.hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), self.hmm.emit)
+        old, self.emits, self.end = self.emits, found.where("NOT total").drop("total"), x[k + 1]
+        self.emits._shared_path = found._shared_path
+        discard(old)
+        self._weigh()
+        self.spark._jvm.System.gc()  # shuffle files of the round go once nothing refers to them
+        return float(x[k + 2, 0])
+
     def score(self, docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The ``carry`` columns of every row with n_tokens, n_known, train_tokens, base_score and score."""
-        shared = self.spark.sparkContext.broadcast(self.hmm)
         rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("t"))
-
-        def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hmm = shared.value
-            for batch in batches:
-                for part, data, offsets in slices(batch, "t", 8 << 20):
-                    h, at, sym = sequences(data, offsets)
-                    log = hmm.forward(sym, at + np.arange(len(at))) / np.log(10)
-                    words, local = np.unique(h, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("row")),
-                            pa.array([at.astype(np.int64).tobytes()], pa.binary()),
-                            pa.array([local.astype(np.int32).tobytes()], pa.binary()),
-                            pa.array([log.tobytes()], pa.binary()),
-                            pa.array([words.view(np.int64)], pa.list_(pa.int64())),
-                        ],
-                        ["rows", "at", "local", "log", "words"],
-                    )
-
-        row_type = rows.schema["row"].dataType.simpleString()
-        chunks = rows.mapInArrow(chunk, f"rows array<{row_type}>, at binary, local binary, log binary, words array<long>")
-        chunks = written(chunks.withColumn("chunk", F.expr("uuid()")), "chunks")
-        met = chunks.select("chunk", F.posexplode("words").alias("i", "h"))
-        known = self.counts.where("NOT ended").select(F.col("h").alias("_h"), "c")
-        found = met.join(known, F.col("h") == F.col("_h")).select(F.col("chunk").alias("to"), "i", "c")
+        chunks = _chunks(rows)
+        model = self._given()
         ends = int(self.class_tokens[END])
         n, v = self.tokens, self.words
         base = np.log10(n + v + 1)
-        per_class = np.log10(self.class_tokens + self.class_words + 1)
         fields = docs.select(*carry).schema
 
         def add(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -280,17 +381,12 @@ class LanguageModel:
             for r in left.to_batches():
                 if not r.num_rows:
                     continue
-                words = r.column("words")[0].values.to_numpy().view(np.uint64)
-                count = np.zeros(len(words))
-                count[right["i"].to_numpy()] = right["c"].to_numpy()
-                at = np.frombuffer(r.column("at")[0].as_py(), np.int64)
+                hmm, count = model(len(r.column("words")[0].values), right)
+                at, sym = _tokens(r)
                 local = np.frombuffer(r.column("local")[0].as_py(), np.int32)
-                log = np.frombuffer(r.column("log")[0].as_py())
-                more = np.log10(count + 1)
-                odds = more - per_class[class_of(words)]
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                plain, given, seen = (np.bincount(doc, weights=x[local], minlength=len(at) - 1) for x in (more, odds, count > 0))
-                size = np.diff(at) + 1
+                size = np.diff(at)
+                doc = np.repeat(np.arange(len(size)), size - 1)
+                plain, seen = (np.bincount(doc, weights=x[local], minlength=len(size)) for x in (np.log10(count + 1), count > 0))
                 items = r.column("rows")[0].values
                 own = {f.name: items.field(f.name) for f in items.type}
                 own |= {
@@ -298,7 +394,7 @@ class LanguageModel:
                     "n_known": pa.array((np.rint(seen) + (ends > 0)).astype(np.int64)),
                     "train_tokens": pa.array(np.full(len(size), n, np.int64)),
                     "base_score": pa.array(plain + np.log10(ends + 1) - size * base),
-                    "score": pa.array(log + given),
+                    "score": pa.array(hmm.forward(sym, at) / np.log(10)),
                 }
                 out.append(pa.table(own))
             return pa.concat_tables(out) if out else empty
@@ -306,8 +402,8 @@ class LanguageModel:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         schema = f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        wide = chunks.select("chunk", "rows", "at", "local", "log", "words").repartition(parallelism(self.spark), "chunk")
-        return wide.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(add, schema)
+        wide = chunks.select("chunk", "rows", "at", "local", "words").repartition(parallelism(self.spark), "chunk")
+        return wide.groupBy("chunk").cogroup(self._met(chunks, "double").groupBy("to")).applyInArrow(add, schema)
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:

@@ -189,6 +189,37 @@ def test_hmm_trains_on_texts_of_any_length(spark):
     assert np.allclose(model.hmm.move, whole.move) and np.allclose(model.hmm.emit, whole.emit)
 
 
+def test_hmm_emits_words(spark):
+    number = lambda w: int(hmm_model.class_of(hmm_model.sequences(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0])
+    seen, pair = {}, None
+    while pair is None:  # two words of one hash class
+        w = f"q{len(seen)}"
+        pair = next(((x, w) for x, c in seen.items() if c == number(w)), None)
+        seen[w] = number(w)
+    a, b = pair
+    texts = [f"{a} x " * 40 + "x", f"{b} y " * 40 + "y", "x y", None, f"{a} {b}"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    begin = hmm_model.LanguageModel(df, init_rounds=2, rounds=0)
+    model = hmm_model.LanguageModel(df, init_rounds=2, rounds=3, settled=-1)
+    vocab = {w: i for i, w in enumerate([a, b, "x", "y"])}
+    seqs = [[*(vocab[w] for w in (t or "").split()), 4] for t in texts]
+    sym, at = np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(q) for q in seqs])])
+    n = np.bincount(sym, minlength=5)[:, None]
+    profile = begin.hmm.emit[[*map(number, vocab), hmm_model.END]]
+    odds = lambda x: (x + 1 / 4) / (x.sum(axis=0) + 6 / 4)
+    whole = hmm_model.Hmm(begin.hmm.start, begin.hmm.move, odds(n * profile / profile.sum(axis=1, keepdims=True)))
+    for i in range(3):
+        x, log = whole.expected(sym, at)
+        assert math.isclose(log, model.likelihoods[i], rel_tol=1e-6)
+        start, move = x[:4] + 1 / 4, x[4:20].reshape(4, 4) + 1 / 4
+        whole = hmm_model.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), odds(x[20:].reshape(-1, 4)))
+    got = model.score(df.withColumn("t", F.col("text")), carry=("t",)).collect()
+    assert collections.Counter((r.t, round(r.score, 4)) for r in got) == collections.Counter((t, round(v / math.log(10), 4)) for t, v in zip(texts, whole.forward(sym, at)))
+    assert np.abs(whole.emit[0] / whole.emit[0].sum() - whole.emit[1] / whole.emit[1].sum()).max() > 0.01
+    flat = hmm_model.LanguageModel(df, states=1, init_rounds=1, rounds=1)
+    assert all(math.isclose(r.score, r.base_score, rel_tol=1e-9) for r in flat.score(df, carry=("text",)).collect())
+
+
 def test_hmm_recursions(monkeypatch):
     monkeypatch.setattr(hmm_model, "SEGMENT", 7)
     k = 3
