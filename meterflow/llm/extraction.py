@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one per text block; the length of a line is its text outside links.  Elements that
 never hold article text (navigation, page header and footer, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) leave a gap of empty lines.  With window sums over ``window`` lines, a surge is a window above
+reader comments) leave a gap of empty lines; wrappers that hold the page's article or main element, headings and
+outermost articles are not judged by their class or id, sections inside an article not by their id.  With window sums over ``window`` lines, a surge is a window above
 ``threshold`` after a gap and the dive is the next window without text; what stands between is kept, short lines
 included.  Where the page marks an article or main element, lines outside it count as empty.
 
@@ -36,17 +37,39 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 AUTO_CLOSED = {"p", "li", "dt", "dd", "option", "tr", "td", "th", "thead", "tbody", "tfoot"}
+#: A class or id name is boilerplate if its parts are such words, or such words and parts of ``FURNITURE`` alone.
 ASIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|disclaimer|sidebar|side|aside|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|disclaimer|sidebar|side|aside|"
     r"comments?|commentlist|respond|replies|reply|disqus|discussion|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|"
-    r"topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|popup|modal|overlay|login|signup|search|pagination|pager|widget|skip|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+    r"topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|popup|modal|overlay|login|signup|search|pagination|pager|widget|skip|hidden)\d*"
 )
-HEADER_WORD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+FURNITURE = re.compile(
+    r"(?:site|page|main|global|primary|secondary|left|right|top|bottom|box|bar|block|wrap|wrapper|container|inner|outer|holder|row|col|column|area|panel|section|group|"
+    r"list|lists|items?|links?|buttons?|btns?|icons?|forms?|fields?|posts?|articles?|stories|story|news|media|slots?|units?|threads?|users?|reader|header|title|text|"
+    r"label|message|policy|sticky|fixed|mobile|desktop|js|id|the|to|and|us|in|on|up|email|rail|region|module|component|content|d?fp|google)?\d*"
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MARKED = {"article", "main"}
+ASIDE_NAMES = {"nav", "footer", "aside", "head", "header", "menu"}
+UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)", re.I | re.S)
+MARK = re.compile(r"<(/?)(article|main)\b[^>]*>", re.I)
+TAG = re.compile(r"<[^>]*>")
 ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 SPACE = re.compile(r"\s+")
 
 
+def _aside_name(value: str, inside: bool) -> bool:
+    """Whether one of the names in a class or id is that of boilerplate."""
+    for word in value.lower().split():
+        parts = re.split(r"[_-]+", word)
+        if len(parts) > 1 and (parts[0] in ("has", "no", "with") or parts[-1] in ("open", "content")):
+            continue
+        known = [bool(ASIDE_WORD.fullmatch(p)) or p == "header" and not inside for p in parts]
+        if any(known) and all(k or FURNITURE.fullmatch(p) for k, p in zip(known, parts, strict=True)):
+            return True
+    return False
+
+
 def _boilerplate(name: str, tag: str, inside: bool) -> bool:
     if name in DROPPED or name == "header" and not inside:
         return True
@@ -56,17 +79,64 @@ def _boilerplate(name: str, tag: str, inside: bool) -> bool:
         value, kind = a or b or c, kind.lower()
         if hidden or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if kind == "role" and value.lower() in ASIDE_ROLE or kind in ("class", "id") and (ASIDE_WORD.search(value) or not inside and HEADER_WORD.search(value)):
+        if kind == "role" and value.lower() in ASIDE_ROLE:
+            return True
+        if kind not in ("class", "id") or name in HEADINGS or name == "article" and not inside or name == "section" and inside and kind == "id":
+            continue
+        if _aside_name(value, inside):
             return True
     return False
 
 
+def _hidden(tag: str) -> bool:
+    return any(h or k.lower() == "aria-hidden" and (a or b or c) == "true" or k.lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c, re.I) for k, a, b, c, h in ATTRIBUTE.findall(tag))
+
+
+class _Principal:
+    """The page's longest outermost article or main element; one article that holds little of the page's text is none."""
+
+    def __init__(self, page: str):
+        self.page = UNSEEN.sub(lambda m: " " * len(m.group()), page)
+        self.start: int | None = None
+
+    def _find(self) -> int:
+        spans, depth, begin = [], 0, 0
+        for m in MARK.finditer(self.page):
+            if m[1]:
+                depth = max(0, depth - 1)
+                if not depth:
+                    spans.append((begin, m.start()))
+            else:
+                begin = begin if depth else m.start()
+                depth += 1
+        if depth:
+            spans.append((begin, len(self.page)))
+        size = lambda a, b: len(SPACE.sub("", TAG.sub("", self.page[a:b])))
+        most, start = max(((size(a, b), a) for a, b in spans), default=(0, -1))
+        return start if self.page[start : start + 5].lower() == "<main" or 4 * most >= size(0, len(self.page)) else -1
+
+    def within(self, name: str, at: int) -> bool:
+        """Whether an element whose opening tag ends at ``at`` holds it."""
+        depth, end = 1, len(self.page)
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+            depth += -1 if m[1] else (0 if m.group().endswith("/>") or name in AUTO_CLOSED else 1)
+            if not depth:
+                end = m.start()
+                break
+        if not MARK.search(self.page, at, end):
+            return False
+        if self.start is None:
+            self.start = self._find()
+        return at <= self.start < end
+
+
 def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, length outside links, inside an article) of each line, gaps as empty lines; whether the page marks an article."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = drop = article = 0
     drop_name, marked, in_link, at = "", False, False, 0
+    principal: _Principal | None = None
 
     def close() -> None:
         nonlocal linked
@@ -122,9 +192,14 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
         if name == "a":
             in_link = not closing
         if not closing and name not in VOID and not tag.endswith("/>") and _boilerplate(name, tag, article > 0):
-            leave()
-            drop, drop_name = 1, name
-            continue
+            holds = False
+            if not article and name not in ASIDE_NAMES and not _hidden(tag):
+                principal = principal or _Principal(page)
+                holds = principal.within(name, at)
+            if not holds:
+                leave()
+                drop, drop_name = 1, name
+                continue
         if name in ("article", "main"):
             leave() if not article else close()
             article = max(0, article + (-1 if closing else 1))

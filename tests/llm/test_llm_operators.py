@@ -295,6 +295,28 @@ def test_extraction(spark):
     assert extraction.extract(df.where("false")).count() == 0
 
 
+LONG = "A paragraph with enough words in it to be taken for the main text of a page by any rule whatever."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='content has-sidebar'><article><p>{}</p></article></div></body>", "<body><div class='no-sidebar'><p>{}</p></div></body>",
+    "<body><div class='layout sidebar'><div><main><p>{}</p></main></div></div><div class=sidebar><p>gone</p></div></body>",
+    "<body><article class='post comments-open'><p>{}</p></article></body>", "<body><article class='widget'><p>{}</p></article></body>",
+    "<body><form id=aspnet><article><p>{}</p></article></form></body>", "<body><div class='social-effects'><p>{}</p></div></body>",
+    "<body><article><section id='discussion'><p>{}</p></section><div class='related-posts'><p>gone</p></div></article></body>",
+    "<body><div class='cookie-notice'><p>gone</p></div><div id='site-footer'><p>gone</p></div><p>{}</p></body>",
+    "<body><div class='related'><article><p>gone</p></article></div><p>{}</p></body>",
+    "<body><aside><article><p>gone</p></article></aside><p>{}</p></body>", "<body><div class='comments' style='display:none'><main>gone</main></div><p>{}</p></body>",
+])
+def test_extraction_drops_only_boilerplate(page):
+    assert extraction.main_text(page.format(LONG)) == LONG
+
+
+def test_extraction_keeps_headings_with_slug_ids():
+    page = f"<article><h2 id='social-effects'>Social effects</h2><p>{LONG}</p><h2 id='related-work'>Related work</h2><h2 id=discussion>Discussion</h2><p>{LONG}</p></article>"
+    assert extraction.main_text(page).split("\n") == ["Social effects", LONG, "Related work", "Discussion", LONG]
+
+
 def test_warc(spark, tmp_path):
     long, short = "<p>" + "é" * 200, "<p>x"
     data = [(5, "u5", long), (3, None, long), (9, "a\nb%0A", long), (4, "s", short), (6, "s", short), (7, "n", None), (3, "again", long), (None, "z", long), (10, "big", "word " * 300_000)]
