@@ -5,7 +5,7 @@ never hold article text (navigation, page header and footer, sidebars, notices,
 reader comments) leave a gap of empty lines; wrappers that hold the page's article or main element, headings and
 outermost articles are not judged by their class or id, sections inside an article not by their id.  With window sums over ``window`` lines, a surge is a window above
 ``threshold`` after a gap and the dive is the next window without text; what stands between is kept, short lines
-included.  Where the page marks an article or main element, lines outside it count as empty.
+included.  Where the page marks an article or main element with text, all lines inside it are kept and no others.
 
 Edge cases: null or empty html gives ""; a page without a surge gives its block of lines with the longest text;
 unclosed tags, comments and quotes end with the page; very long pages are read whole in one pass; repeated rows
@@ -216,11 +216,9 @@ def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
         return ""
     lines, marked = lines_of(page, window)
     if marked and any(size and inside for _, size, inside in lines):
-        lengths = [size if inside else 0 for _, size, inside in lines]
-        shown = [bool(t) and inside for t, _, inside in lines]
-    else:
-        lengths = [size for _, size, _ in lines]
-        shown = [bool(t) for t, _, _ in lines]
+        return "\n".join(t for t, _, inside in lines if t and inside)
+    lengths = [size for _, size, _ in lines]
+    shown = [bool(t) for t, _, _ in lines]
     n = len(lines)
     total = [0]
     for x in lengths:

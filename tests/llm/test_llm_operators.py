@@ -317,6 +317,12 @@ def test_extraction_keeps_headings_with_slug_ids():
     assert extraction.main_text(page).split("\n") == ["Social effects", LONG, "Related work", "Discussion", LONG]
 
 
+def test_extraction_keeps_all_lines_of_an_article():
+    links = "".join(f"<li><a href=x>linked {i}</a></li>" for i in range(5))
+    page = f"<body><p>out</p><article><h1>Headline</h1><div class=share>s</div><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p><aside>a</aside><p>Caption.</p><form>f</form><p>The end.</p><p><a href=x>Source</a></p></article></body>"
+    assert extraction.main_text(page).split("\n") == ["Headline", LONG, *(f"linked {i}" for i in range(5)), LONG, "Caption.", "The end.", "Source"]
+
+
 def test_warc(spark, tmp_path):
     long, short = "<p>" + "é" * 200, "<p>x"
     data = [(5, "u5", long), (3, None, long), (9, "a\nb%0A", long), (4, "s", short), (6, "s", short), (7, "n", None), (3, "again", long), (None, "z", long), (10, "big", "word " * 300_000)]
