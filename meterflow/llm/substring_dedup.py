@@ -4,7 +4,8 @@ Pass 1 sketches the corpus.  Each window is represented by its least ``GRAM``-wo
 have equal anchors at different positions, so the merged count-min sketch over anchor positions overestimates the
 count of every window.  Pass 2 looks only at windows whose anchor is estimated repeated: neighbouring windows with one
 anchor travel as one run, copies of a run are aggregated in the task, and runs meet by anchor, where windows are
-grouped exactly by anchor and window hash (128 bits together).  The verdict comes back per run signature as a bit mask
+grouped exactly by anchor and window hash (128 bits together).  The windows of an anchor with very many runs meet one by
+one instead, by Spark's aggregation, so that no task holds all runs of a common passage.  The verdict comes back per run signature as a bit mask
 and is joined to the documents' runs.  No window is lost, none is judged by the estimate.
 
 Edge cases: null and empty texts have no words and the hash of the empty string; texts shorter than a window lose
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sketch import packed, repeated, repeated_maps, unpacked
-from .storage import written
+from .storage import discard, written
 from .words import Words, pair, slices, string_parts, words_of
 
 WINDOW = 35
@@ -207,7 +208,52 @@ def _judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(b[pick]), pa.array(mask[pick])], ["a", "b", "mask"])
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
+def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of a batch of runs, the run of each and its place there."""
+    data, offsets = string_parts(b.column("hashes"))
+    size = np.diff(offsets) // 8
+    run = np.repeat(np.arange(b.num_rows), size)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64), run, np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        w, run, _ = _windows(b)
+        key, n = b.column("key").to_numpy()[run], b.column("weight").to_numpy()[run].astype(np.int64)
+        order = np.lexsort((w, key))
+        key, w = key[order], w[order]
+        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (w[1:] != w[:-1]))[: len(w)])
+        if len(head):
+            yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(w[head]), pa.array(np.add.reduceat(n[order], head))], ["key", "w", "n"])
+
+
+def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        w, run, bit = _windows(b)
+        key, a, c = (b.column(x).to_numpy()[run] for x in ("key", "a", "b"))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w), pa.array(a), pa.array(c), pa.array(np.int64(1) << bit)], ["key", "w", "a", "b", "bit"])
+
+
+def _masks(runs: DataFrame, hot_runs: int) -> DataFrame:
+    """Masks of repeated windows by run; runs of anchors with over ``hot_runs`` of them are judged window by window."""
+    hot = written(runs.groupBy("key").count().where(F.col("count") > hot_runs).select("key"), "hot-anchors")
+    if not hot.limit(1).count():
+        hot = None
+    cold = runs if hot is None else runs.join(F.broadcast(hot), "key", "left_anti")
+    masks = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "a long, b long, mask long")
+    if hot is not None:
+        crowd = runs.join(F.broadcast(hot), "key", "left_semi")
+        again = crowd.mapInArrow(_count_windows, "key long, w long, n long").groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1")
+        again = written(again, "repeated-windows")
+        # windows of very many runs are few; the others make no large group
+        common, other = again.where(F.col("n") > hot_runs).select("key", "w"), again.where(F.col("n") <= hot_runs).select("key", "w")
+        each = crowd.mapInArrow(_spread_windows, "key long, w long, a long, b long, bit long")
+        found = each.join(F.broadcast(common), ["key", "w"]).unionByName(each.join(other, ["key", "w"]))
+        masks = masks.unionByName(found.groupBy("a", "b").agg(F.bit_or("bit").alias("mask")))
+    return written(masks, "window-masks")
+
+
+def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = BITS, hot_runs: int = 2000) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept`` (the kept words joined by one space; the text's words where none went)."""
     if not 1 <= gram <= window or window - gram >= 62:
         raise ValueError("gram must be at most window, and window - gram below 62")
@@ -219,8 +265,9 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
             yield r.anchors
 
     shared = spark.sparkContext.broadcast(packed(repeated_maps(texts, anchors, bits)))
-    runs = texts.mapInArrow(_emit_runs("t", shared, window, gram, bits), _RUNS)
-    masks = written(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "a long, b long, mask long"), "window-masks")
+    runs = written(texts.mapInArrow(_emit_runs("t", shared, window, gram, bits), _RUNS), "runs")
+    masks = _masks(runs, hot_runs)
+    discard(runs)
 
     carried = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     whole = docs.select(*carried).withColumn("_t", F.col(text).cast("string"))

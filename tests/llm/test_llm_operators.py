@@ -76,6 +76,15 @@ def test_dedup_of_short_windows_is_exact(spark):
     assert [(r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out] == substring_dedup.brute_force(texts, 6)
 
 
+@pytest.mark.parametrize("hot_runs", [0, 3, 25])
+def test_dedup_of_a_passage_of_many_texts(spark, hot_runs):
+    own = lambda i: " ".join(f"{i}.{j}" for j in range(20))
+    texts = [f"{own(i % 35)} {' '.join(PASSAGE)} {own(i)}" for i in range(40)] + [own(7), " ".join(PASSAGE), None, "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = substring_dedup.dedup(df, hot_runs=hot_runs, bits=16).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out] == substring_dedup.brute_force(texts)
+
+
 @pytest.mark.parametrize(("shingle", "threshold"), [(3, 90), (5, 80)])
 def test_jaccard(docs, none, shingle, threshold):
     known = docs.where("doc_id IS NOT NULL")
