@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def fan_out_endpoints(samples: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -19,10 +20,28 @@ def drop_native_histograms(df: DataFrame) -> DataFrame:
 
 
 def assign_batches(df: DataFrame, order: list[str], shards: int = 1, size: str = "max_samples_per_send", shard_by: str = "target_id") -> DataFrame:
-    """shard and batch_id in arrival order: chunks of ``size`` rows per endpoint and shard.  Shards bound each sort."""
+    """shard and batch_id in arrival order: chunks of ``size`` rows per endpoint and shard.
+
+    Rows are numbered in ranges of the first order column (if it is a number), each on from the rows of the ranges before
+    it, so that no task sorts a whole endpoint.
+    """
     df = df.withColumn("shard", F.pmod(F.xxhash64(shard_by), F.lit(shards)).cast("int") if shards > 1 else F.lit(0))
-    row = F.row_number().over(Window.partitionBy("endpoint", "shard").orderBy(*order)) - 1
-    return df.withColumn("batch_id", F.floor(row / F.col(size)).cast("bigint"))
+    cuts: list[float] = []
+    if isinstance(df.schema[order[0]].dataType, NumericType):
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cuts = sorted(set(df.approxQuantile(order[0], [i / n for i in range(1, n)], 0.2 / n)))
+    above = sum((F.coalesce(F.col(order[0]) >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    df = df.withColumn("_range", above)
+    key = ["endpoint", "shard"] if shards > 1 else ["endpoint"]
+    sizes = df.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_range").alias("_at"), before.alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    row = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)) - 1
+    df = df.withColumn("_row", row).join(F.broadcast(sizes), same, "left")
+    return df.withColumn("batch_id", F.floor((F.col("_row") + F.col("_before")) / F.col(size)).cast("bigint")).drop("_range", "_row", "_before", "_at", "_endpoint", "_shard")
 
 
 def batch_counts(df: DataFrame) -> DataFrame:
