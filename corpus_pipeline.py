@@ -23,13 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8) stays."""
-    found = written(jaccard_components(docs, shingle=5, threshold=80), "near-copies")
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "n_shingles")
-    kept = docs.join(staying.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if staying.where("n_shingles > 0").groupBy("_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])  # rows repeated with one id
-    return kept
+    """One row, that of the smallest doc_id, of each group of near copies (five words, 0.8) stays, and all rows without words."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = written(jaccard_components(rows, shingle=5, threshold=80, row="_row"), "near-copies")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
+    staying = first.select(F.col("x.row").alias("row")).union(found.where("n_shingles = 0").select("row"))
+    return rows.join(staying, F.col("_row") == F.col("row"), "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,10 +266,11 @@ def _cut(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).drop("other", "cuts")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int = BITS, slice_rows: int = 2000, slice_shingles: int = 1_500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int = BITS, slice_rows: int = 2000, slice_shingles: int = 1_500_000, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long), that and the component's ``root`` too (null where empty)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
+    more = ["row"] if row else []
 
     def all_signatures(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, u, at in _sets_of(batch, shingle):
@@ -304,11 +305,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                         lists.append(None)
                         points[i] = None
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), key, pa.array(short.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(sets, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "k", "sigs", "point", "shingles"],
+                    [*(part.column(c) for c in more), part.column("doc_id"), pa.array(n.astype(np.int64)), key, pa.array(short.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(sets, pa.binary())],
+                    [*more, "doc_id", "n_shingles", "key", "k", "sigs", "point", "shingles"],
                 )
 
-    described = written(rows.mapInArrow(describe, "doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
+    described = written(rows.mapInArrow(describe, f"{'row long, ' if row else ''}doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
     shared.destroy()  # nothing reads it any more
     # k, half of the key, names sets until they are verified; equal halves of different sets only share a block
     met = described.where("sigs IS NOT NULL").select("k", F.explode("sigs").alias("sig"))
@@ -365,10 +366,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
     ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     roots = ids.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    named = ids.join(roots, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id")
-    full = described.where("n_shingles > 0").select("doc_id", "n_shingles", "key").join(named, F.col("key") == F.col("_key"))
-    empty = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", "component_id").union(empty)
+    named = ids.join(roots, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id", "root")
+    columns = ["doc_id", "n_shingles", "component_id", *(["row", "root"] if row else [])]
+    full = described.where("n_shingles > 0").join(named, F.col("key") == F.col("_key")).select(*columns)
+    empty = described.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("binary")}).select(*columns)
+    return full.union(empty)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -34,3 +34,16 @@ def test_run_on_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*base[:-1], f"end{k}"])
+    other = lambda k: " ".join([*(f"v{i}" for i in range(99)), f"end{k}"])
+    rows = [(1, near(0)), (1, near(1)), (1, near(1)), (None, near(2)), (None, other(3)), (None, other(4)), (2, ""), (2, ""), (3, "solo text"), (None, "null id alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = p.ngram_jaccard_join(spark, docs, SF)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == 6
+    assert [i for i, t in got if t.startswith("w0")] == [1] and [i for i, t in got if t.startswith("v0")] == [None]
+    assert got.count((2, "")) == 2 and (3, "solo text") in got and (None, "null id alone") in got
