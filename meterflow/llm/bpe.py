@@ -1,22 +1,27 @@
 """BPE encoding and decoding of whole texts, long ones by tree concatenation.
 
 The vocabulary is a byte-level BPE file of the tokenizers library; its ids and special tokens are honoured as that
-library does by default (no special tokens added, no truncation, no padding).  Texts up to ``leaf`` code points are encoded at
-once.  Longer texts are cut into leaves, which Spark deals out and encodes in parallel; leaves of one text meet again and
-are joined in a binary tree.  A join encodes a window of text around the cut again, starting inside the left half and
-ending inside the right one, and grows it until the window's ids agree exactly with the ids of both halves over a margin;
-the halves' ids outside and the window's ids inside are then the ids of the whole.  A window that has grown to both halves
-is itself exact.
+library does by default (no special tokens added, no truncation, no padding); a file with another pre-tokenizer,
+normaliser or merge order is refused.  Texts up to ``leaf`` code points are encoded at once.  Longer texts are cut into
+leaves whose ids are joined in a binary tree.  The leaves of a text of up to ``span`` code points stay in the task that
+holds the text; longer texts are cut into spans, which Spark deals out, so that the parts of one text are encoded in
+parallel; only their ids come back to the text's row and are joined there.
+
+A join encodes a window of text around the cut again and grows it until it begins and ends at edges that are certain and
+its ids agree exactly with the ids of both halves between such edges; the halves' ids outside and the window's ids inside
+are then the ids of the whole.  An edge is certain where no pre-token can lie across it whatever else the text holds: before white space
+that follows something else, and between a letter and a punctuation mark.  A window that has grown to both halves is
+itself exact.
 
 Edge cases: null and empty texts have no ids and decode to ""; the file's special tokens in a text get their ids,
-also across a cut; texts that are equal are encoded once if long; repeated rows, null ids and extra columns are carried
-(result columns replace clashing ones; names that begin with an underscore are reserved); an empty table gives an empty
-result.
+also across a cut; repeated rows, null ids and extra columns are carried (result columns replace clashing ones; names
+that begin with an underscore are reserved); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +31,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import lean, slices
 
 #: The pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 16_384
-MARGIN = 8
+SPAN = 65_536
+#: Where every tokenization has an edge: no pre-token but a run of white space holds any after its first character, and
+#: none holds a letter before a mark.
+CERTAIN = re.compile(r"(?<=[^\s])(?=[ \t\n])|(?<=[A-Za-z\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa])(?=[.,;:!?()\u3001\u3002\uff0c\uff01\uff1f])")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -49,6 +57,7 @@ class Codec:
             spec = json.load(f)
         to_byte = _byte_alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        _check(spec, special)
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         pieces = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
@@ -60,9 +69,24 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode(ids.tolist(), errors="replace")
 
-    def ends(self, ids: np.ndarray) -> np.ndarray:
-        """Byte offsets of token edges, from 0."""
-        return np.concatenate([[0], np.cumsum(self.size[ids])])
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for."""
+        return self.encoding.decode_bytes(ids.tolist())
+
+
+def _check(spec: dict, special: dict[str, int]) -> None:
+    """Refuse files that ``Codec`` would read wrongly."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type") != "BPE" or not plain or not byte_level or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("only byte-level BPE files with the usual pre-tokenizer, no prefix space and no normaliser are known")
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        raise ValueError("ids must follow the order of merges")
+    odd = [t["content"] for t in spec["added_tokens"] if t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd or any(CERTAIN.search(t) or t[:1].isspace() for t in special):
+        raise ValueError("special tokens must stand as they are and hold no edge of other tokens")
 
 
 @lru_cache(maxsize=4)
@@ -70,35 +94,50 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _whole_character(raw: bytes, at: int) -> bool:
-    return at >= len(raw) or raw[at] & 0xC0 != 0x80
+def _inner(raw: bytes, at: int) -> bool:
+    """Whether a byte offset lies inside a character."""
+    return at < len(raw) and raw[at] & 0xC0 == 0x80
 
 
-def join(c: Codec, left: tuple[bytes, np.ndarray], right: tuple[bytes, np.ndarray], width: int = 16) -> tuple[bytes, np.ndarray]:
+def join(c: Codec, left: tuple[bytes, np.ndarray], right: tuple[bytes, np.ndarray], width: int = 64) -> tuple[bytes, np.ndarray]:
     """Text and ids of two neighbouring pieces as one."""
     (lt, li), (rt, ri) = left, right
     if not len(li) or not len(ri):
         return lt + rt, li if len(li) else ri
-    le, re_ = c.ends(li), c.ends(ri)
     while True:
         i, j = max(0, len(li) - width), min(len(ri), width)
-        while i and not _whole_character(lt, int(le[i])):
+        first, stop = len(lt) - int(c.size[li[i:]].sum()), int(c.size[ri[:j]].sum())
+        while i and _inner(lt, first):
             i -= 1
-        while j < len(ri) and not _whole_character(rt, int(re_[j])):
+            first -= int(c.size[li[i]])
+        while j < len(ri) and _inner(rt, stop):
+            stop += int(c.size[ri[j]])
             j += 1
-        ids = c.encode((lt[le[i] :] + rt[: re_[j]]).decode("utf-8"))
+        before, after = lt[first:].decode(), rt[:stop].decode()
         if i == 0 and j == len(ri):
-            return lt + rt, ids
-        k = min(MARGIN, len(li) - i)
-        on_left = i == 0 or (len(ids) >= k and bool((ids[:k] == li[i : i + k]).all()))
-        stop = j if j == len(ri) else j - MARGIN  # the window's last ids lack their right context
-        if on_left and stop >= MARGIN:
-            cut = len(lt) - le[i] + re_[stop]  # this token edge of the right half, within the window
-            edges = c.ends(ids)
-            at = int(np.searchsorted(edges, cut))
-            if edges[at] == cut and at >= MARGIN and (ids[at - MARGIN : at] == ri[stop - MARGIN : stop]).all():
-                return lt + rt, np.concatenate([li[:i], ids[:at], ri[stop:]])
-        width *= 2
+            return lt + rt, c.encode(before + after)
+        # token numbers in each half, by the certain edges of its part of the window
+        starts = [(0, 0)] * (i == 0) + _edges(c, before, li[i:])
+        ends = _edges(c, after, ri[:j]) + [(len(after), j)] * (j == len(ri))
+        if starts and ends:
+            (p, a), (_, a2), (_, b2), (q, b) = starts[0], starts[-1], ends[0], ends[-1]
+            ids = c.encode(before[p:] + after[:q])
+            if len(ids) >= a2 - a + b - b2 and (ids[: a2 - a] == li[i + a : i + a2]).all() and (ids[len(ids) - (b - b2) :] == ri[b2:b]).all():
+                return lt + rt, np.concatenate([li[: i + a], ids, ri[b:]])
+        width *= 4
+
+
+def _edges(c: Codec, text: str, ids: np.ndarray) -> list[tuple[int, int]]:
+    """First and last certain edge of a text, each with the number of ids before it."""
+    found = [m.start() for m in CERTAIN.finditer(text)]
+    ends = np.concatenate([[0], np.cumsum(c.size[ids])])
+    out = []
+    for p in found[:1] + found[1:][-1:]:
+        at = len(text[:p].encode())
+        k = int(np.searchsorted(ends, at))
+        if ends[k] == at:
+            out.append((p, k))
+    return out
 
 
 def joined(c: Codec, pieces: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
@@ -118,47 +157,62 @@ def _raw(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``."""
+def tree(c: Codec, text: str, leaf: int) -> np.ndarray:
+    """Ids of a text by its leaves."""
+    if len(text) <= leaf:
+        return c.encode(text)
+    leaves = [text[i : i + leaf] for i in range(0, len(text), leaf)]
+    return joined(c, [(t.encode(), c.encode(t)) for t in leaves])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF, span: int = SPAN) -> DataFrame:
+    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``.
+
+    ``docs`` should come from a table (or another stable plan): parts of a long text find their row again by its place."""
     rows = docs.drop("ids", "n_tokens").withColumn("_t", F.col(text).cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_t").schema)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_t").schema)
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for part, _, _ in slices(batch, "_t", 8 << 20):
-                ids = [_raw(c.encode(t)) if t else b"" for t in part.column("_t").to_pylist()]
+                ids = [_raw(tree(c, t, leaf)) if t else b"" for t in part.column("_t").to_pylist()]
                 own = part.drop_columns(["_t"])
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids, pa.binary())], [*own.schema.names, "ids"])
 
-    at_once = rows.where(F.coalesce(F.length("_t"), F.lit(0)) <= leaf).mapInArrow(short, f"{kinds}, ids binary")
-
-    long = rows.where(F.length("_t") > leaf).withColumn("_key", F.sha2("_t", 256))
+    within = rows.where(F.coalesce(F.length("_t"), F.lit(0)) <= span).mapInArrow(lean(whole), f"{kinds}ids binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The spans of each text; its first one carries the other columns."""
         for batch in batches:
-            for key, t in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                for first in range(0, len(t), 64 * leaf):
-                    stop = min(len(t), first + 64 * leaf)
-                    some = [t[i : min(i + leaf, stop)] for i in range(first, stop, leaf)]
-                    number = pa.array(range(first // leaf, first // leaf + len(some)), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), number, pa.array(some)], ["_key", "piece", "t"])
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in range(batch.num_rows):
+                own, t = batch.slice(k, 1).drop_columns(["_t"]), batch.column("_t")[k].as_py()
+                n = -(-len(t) // span)
+                for i in range(n):
+                    row, part = own.column("_row"), pa.array([t[i * span : (i + 1) * span]])
+                    carried = [x if not i else pa.nulls(1, x.type) for x in own.drop_columns(["_row"]).columns]
+                    yield pa.RecordBatch.from_arrays([*carried, row, pa.array([i], pa.int32()), pa.array([n], pa.int32()), part], [*own.drop_columns(["_row"]).schema.names, "_row", "_part", "_parts", "_t"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [_raw(c.encode(t)) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["_key", "piece", "t", "ids"])
+            own = batch.drop_columns(["_t"])
+            ids = [_raw(tree(c, t, leaf)) for t in batch.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids, pa.binary())], [*own.schema.names, "ids"])
 
     def meet(group: pa.Table) -> pa.Table:
         c = codec(path)
-        parts = [(t.encode(), np.frombuffer(i, "<u4").astype(np.uint32)) for _, t, i in sorted(zip(group["piece"].to_pylist(), group["t"].to_pylist(), group["ids"].to_pylist(), strict=True))]
-        return pa.table({"_own": group["_key"].slice(0, 1), "ids": pa.array([_raw(joined(c, parts))], pa.binary())})
+        group = group.sort_by("_part")
+        if group["_part"].to_pylist() != list(range(group["_parts"][0].as_py())):
+            raise ValueError("parts of a text are missing: its row changed its place between two attempts")
+        ids = [np.frombuffer(x, "<u4").astype(np.uint32) for x in group["ids"].to_pylist()]
+        out = group.slice(0, 1).drop_columns(["_row", "_part", "_parts", "ids"])
+        return out.append_column("ids", pa.array([_raw(joined(c, [(c.raw(x), x) for x in ids]))], pa.binary()))
 
-    pieces = long.select("_key", "_t").mapInArrow(cut, "_key string, piece int, t string").dropDuplicates(["_key", "piece"])
-    whole = pieces.mapInArrow(leaves, "_key string, piece int, t string, ids binary").groupBy("_key").applyInArrow(meet, "_own string, ids binary")
-    by_tree = long.drop("_t").join(whole, F.col("_key") == F.col("_own")).drop("_key", "_own")
-    return at_once.unionByName(by_tree).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    spans = rows.where(F.length("_t") > span).withColumn("_row", F.monotonically_increasing_id())
+    parts = spans.mapInArrow(lean(cut), f"{kinds}_row long, _part int, _parts int, _t string").repartition("_row", "_part")
+    apart = parts.mapInArrow(lean(encoded), f"{kinds}_row long, _part int, _parts int, ids binary").groupBy("_row").applyInArrow(meet, f"{kinds}ids binary")
+    return within.unionByName(apart).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -174,7 +228,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 texts = [c.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, f"{kinds}, decoded string")
+    return rows.mapInArrow(lean(run), f"{kinds}, decoded string")
 
 
 def op6_bpe_tree(spark, sf_dir: str, path: str | None = None) -> DataFrame:
