@@ -33,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import packed, repeated, repeated_maps, unpacked
-from .storage import written
+from .sketch import packed, repeated, repeated_maps, unpacked, width
+from .storage import discard, text_bytes, written
 from .substring_dedup import rolled
-from .words import mix, pair, slices, string_parts, words_of
+from .words import lean, mix, pair, slices, string_parts, words_of
 
 SHINGLE = 3
 THRESHOLD = 90
-BITS = 27
 MAX_DEPTH = 16
 _U = np.uint64
 
@@ -266,7 +265,7 @@ def _cut(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).drop("other", "cuts")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int = BITS, slice_rows: int = 2000, slice_shingles: int = 1_500_000, row: str | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int | None = None, slice_rows: int = 2000, slice_shingles: int = 1_500_000, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long), that and the component's ``root`` too (null where empty)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
@@ -276,6 +275,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         for _, u, at in _sets_of(batch, shingle):
             yield signatures(u, at, threshold)[0]
 
+    # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
+    bits = bits or width(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6)
     shared = spark.sparkContext.broadcast(packed(repeated_maps(rows.select("t"), all_signatures, bits)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                     [*more, "doc_id", "n_shingles", "key", "k", "sigs", "point", "shingles"],
                 )
 
-    described = written(rows.mapInArrow(describe, f"{'row long, ' if row else ''}doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
+    described = written(rows.mapInArrow(lean(describe), f"{'row long, ' if row else ''}doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
     shared.destroy()  # nothing reads it any more
     # k, half of the key, names sets until they are verified; equal halves of different sets only share a block
     met = described.where("sigs IS NOT NULL").select("k", F.explode("sigs").alias("sig"))
@@ -334,7 +335,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 ends = keys[np.array(pairs)]
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
-    blocks = written(components(tasks.mapInArrow(meet, "u long, v long")).withColumnRenamed("node", "k"), "blocks")
+    blocks = written(components(tasks.mapInArrow(lean(meet), "u long, v long")).withColumnRenamed("node", "k"), "blocks")
 
     sets = described.where("shingles IS NOT NULL")
     placed = sets.select("k", "n_shingles").distinct().join(blocks, "k")
@@ -361,7 +362,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
 
     tasks = sets.select("k", "key", "shingles").join(placed, "k").drop("k").repartition("task").sortWithinPartitions("task")
-    groups = components(tasks.mapInArrow(join, "u binary, v binary"))
+    groups = components(tasks.mapInArrow(lean(join), "u binary, v binary"))
 
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
     ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

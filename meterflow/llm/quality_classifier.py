@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import _LOWER, mix, slices, words_of
+from .words import _LOWER, lean, mix, slices, words_of
 
 BITS = 22
 GRADES = 3
@@ -153,12 +153,12 @@ def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, text
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "t"):
+            for part, data, offsets in slices(batch, "t", 1 << 20):
                 codes, at = features(data, offsets)
                 lists = [codes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("grade"), part.column("u"), pa.array(lists, pa.binary())], ["grade", "u", "codes"])
 
-    sample = rows.mapInArrow(featured, "grade int, u long, codes binary").orderBy("u", "codes").limit(max_train)
+    sample = rows.mapInArrow(lean(featured), "grade int, u long, codes binary").orderBy("u", "codes").limit(max_train)
 
     def one(group: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x.as_py(), np.int32) for x in group["codes"]]
@@ -183,7 +183,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GR
         for s in batches:
             batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(s, type=pa.large_string())], ["t"])
             out = []
-            for _, data, offsets in slices(batch, "t"):
+            for _, data, offsets in slices(batch, "t", 1 << 20):
                 tails = own.tails(own.score(*features(data, offsets)))
                 out.append(np.column_stack([tails.sum(axis=1), tails[:, select - 1]]))
             yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2)), columns=["expected_grade", "tail_probability"])

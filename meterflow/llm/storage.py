@@ -1,15 +1,17 @@
 """Written intermediates in the folder that all executors share.
 
 Lineage is cut by Parquet tables under ``spark.checkpoint.dir``; a lost executor then costs only the tasks it
-held.  Where the session has no such setting (tests, local runs), a temporary folder is made and set.
+held.  Where a local session has no such setting (tests), a temporary folder is made and set; a cluster must name one.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -18,16 +20,46 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, or one of our own where the session names none."""
     where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(_KEY, where)
     return where.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def result(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives as a written table; the tables that were written on the way are deleted."""
+    _open.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        made = _open.pop()
+    for path in made:
+        if path != out._shared_path:
+            _delete(spark, path)
+    return out
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of a text column."""
+    return df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back with its schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for own in _open:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -37,9 +69,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table that ``written`` made, once nothing reads it any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:

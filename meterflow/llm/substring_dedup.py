@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import packed, repeated, repeated_maps, unpacked
-from .storage import discard, written
-from .words import Words, pair, slices, string_parts, words_of
+from .sketch import packed, repeated, repeated_maps, unpacked, width
+from .storage import discard, text_bytes, written
+from .words import Words, lean, pair, slices, string_parts, words_of
 
 WINDOW = 35
 GRAM = 18
-BITS = 27
+#: Bytes of text for each anchor, at least: what the sketch is sized by.
+ANCHOR_BYTES = 48
 _U = np.uint64
 
 
@@ -240,20 +241,20 @@ def _masks(runs: DataFrame, hot_runs: int) -> DataFrame:
     if not hot.limit(1).count():
         hot = None
     cold = runs if hot is None else runs.join(F.broadcast(hot), "key", "left_anti")
-    masks = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "a long, b long, mask long")
+    masks = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_judge), "a long, b long, mask long")
     if hot is not None:
         crowd = runs.join(F.broadcast(hot), "key", "left_semi")
-        again = crowd.mapInArrow(_count_windows, "key long, w long, n long").groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1")
+        again = crowd.mapInArrow(lean(_count_windows), "key long, w long, n long").groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1")
         again = written(again, "repeated-windows")
         # windows of very many runs are few; the others make no large group
         common, other = again.where(F.col("n") > hot_runs).select("key", "w"), again.where(F.col("n") <= hot_runs).select("key", "w")
-        each = crowd.mapInArrow(_spread_windows, "key long, w long, a long, b long, bit long")
+        each = crowd.mapInArrow(lean(_spread_windows), "key long, w long, a long, b long, bit long")
         found = each.join(F.broadcast(common), ["key", "w"]).unionByName(each.join(other, ["key", "w"]))
         masks = masks.unionByName(found.groupBy("a", "b").agg(F.bit_or("bit").alias("mask")))
     return written(masks, "window-masks")
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = BITS, hot_runs: int = 2000) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int | None = None, hot_runs: int = 2000) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept`` (the kept words joined by one space; the text's words where none went)."""
     if not 1 <= gram <= window or window - gram >= 62:
         raise ValueError("gram must be at most window, and window - gram below 62")
@@ -264,8 +265,9 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
         for _, _, r in _runs_of(batch, "t", window, gram):
             yield r.anchors
 
+    bits = bits or width(text_bytes(texts, "t") / ANCHOR_BYTES)
     shared = spark.sparkContext.broadcast(packed(repeated_maps(texts, anchors, bits)))
-    runs = written(texts.mapInArrow(_emit_runs("t", shared, window, gram, bits), _RUNS), "runs")
+    runs = written(texts.mapInArrow(lean(_emit_runs("t", shared, window, gram, bits)), _RUNS), "runs")
     masks = _masks(runs, hot_runs)
     discard(runs)
 
@@ -294,7 +296,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(w.counts), _signed(ka), _signed(kb), *lists], [*own.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.drop("_t").schema)
-    found = whole.mapInArrow(suspects, f"{kinds}{', ' if kinds else ''}n_words long, _ka long, _kb long, _a array<long>, _b array<long>, _at array<int>")
+    found = whole.mapInArrow(lean(suspects), f"{kinds}{', ' if kinds else ''}n_words long, _ka long, _kb long, _a array<long>, _b array<long>, _at array<int>")
     found = written(found, "suspects")
     shared.destroy()  # both passes that read it have been written
     flat = found.where(F.size("_a") > 0).select("_ka", "_kb", F.explode(F.arrays_zip("_a", "_b", "_at")).alias("r"))
