@@ -4,18 +4,19 @@ A text is its lower-cased words and one end token; hidden states emit words.  Th
 (expected count + 1/K) / (expected tokens of the state + (V + 1)/K) for K states and V distinct tokens, where the spare
 one stands for all unknown words; with one state these are the add-one unigram odds of ``base_score``.
 
-*Training.*  Word counts come from all training texts by a grouped aggregation.  Baum-Welch begins with ``init_rounds``
-passes over all training texts in which words of one hash class (of 2^CLASS_BITS) share their odds, from a seeded model.
-It goes on with up to ``rounds`` passes over all training texts in which every word has its own odds, until the log
-likelihood gains less than ``settled`` of itself.  Texts are held in chunks (local word numbers); the expected counts
-of a chunk's distinct words are joined from a written table and return to their chunk, which runs forward-backward;
-the new counts are summed by word into the next table.
+*Training.*  Every round is a pass over all training texts.  In the first ``init_rounds`` words of one hash class (of
+2^CLASS_BITS) share their odds, from a seeded model; their counts are summed over partitions.  The next round keeps the
+expected counts of every word, and up to ``rounds`` more begin with every word's own odds, until the log likelihood gains
+less than ``settled`` of itself.  Texts are held in written chunks with local word numbers; a chunk has the expected
+counts of its own words, in whole parts of 1/FIXED so that sums do not depend on their order.  A window over each word's
+hash sums them over all chunks, and the sums of words that several chunks hold return to these chunks by a shuffle.
 
-*Scoring.*  The same join gives each chunk its odds for the exact forward likelihood.  No table of words is ever
-broadcast or collected.
+*Scoring.*  The same sums give each chunk the odds of its words for the exact forward likelihood.  No table of words is
+ever broadcast or collected.
 
 Long texts are cut into segments whose transfer matrices are chained, which keeps the recursion exact and its Python
-loop short.  Words are identified by 64-bit hashes.
+loop short.  Words are identified by 64-bit hashes.  A word has at most one row per chunk of ``CHUNK`` bytes of text in
+the window's group.
 
 Edge cases: null and empty texts are one end token; a null id is trained on and not held out; without training texts
 all counts are 0 (N = V = 0) and the model is uniform; repeated rows count each time; extra columns are ignored; an empty
@@ -28,18 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard as zstd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .storage import discard, parallelism, written
-from .words import slices, words_of
+from .storage import discard, written
+from .words import lean, slices, words_of
 
 STATES = 4
 CLASS_BITS = 12
 SEGMENT = 512
+CHUNK = 8 << 20
+FIXED = 1 << 20
 _U = np.uint64
+_AT_ONCE = 300_000  # tokens whose forward and backward vectors are held together
 END = 1 << CLASS_BITS  # class of the end token
 
 
@@ -54,13 +59,10 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, w.at, np.insert(class_of(h), w.at[1:], END)
 
 
-class Hmm:
-    """start (K), move (K, K), emit (classes, K)."""
+class _Plan:
+    """Segments of sequences in order of falling size, and their tokens step by step: first tokens, second ones and so on."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit
-
-    def _cut(self, at: np.ndarray):
+    def __init__(self, at: np.ndarray):
         n = np.diff(at)
         parts = np.maximum(1, -(-n // SEGMENT))
         doc = np.repeat(np.arange(len(n)), parts)
@@ -68,105 +70,129 @@ class Hmm:
         begin = at[:-1][doc] + rank * SEGMENT
         size = np.minimum(SEGMENT, at[1:][doc] - begin)
         order = np.argsort(-size, kind="stable")
-        return doc, rank, begin, size, order
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.before = np.append(-1, place)[:-1][order]  # the segment before, of the same sequence where rank > 0
+        self.doc, self.rank, self.size = doc[order], rank[order], size[order]
+        self.active = len(size) - np.searchsorted(self.size[::-1], np.arange(self.size[0] if len(size) else 0), side="right")
+        self.offset = np.concatenate([[0], np.cumsum(self.active)])
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        self.slot = np.arange(len(step)) - self.offset[step]
+        self.token = begin[order][self.slot] + step
+        self.previous = (self.offset[step - 1] + self.slot)[len(size) :]  # of tokens from the second step on
+        self.several = np.flatnonzero(np.bincount(doc, minlength=len(n))[self.doc] > 1)
+        self.by_rank = [np.flatnonzero(self.rank == r) for r in range(1, int(rank.max(initial=0)) + 1)] if len(self.several) else []
+        self.at_several = np.full(len(order), -1)
+        self.at_several[self.several] = np.arange(len(self.several))
 
-    def _steps(self, size: np.ndarray):
-        """Number of active segments (in order of falling size) at each step."""
-        ordered = np.sort(size)
-        return len(size) - np.searchsorted(ordered, np.arange(ordered[-1] if len(ordered) else 0), side="right")
 
-    def _transfer(self, sym, begin, size):
-        """Scaled products of (move diag(emit)) over each segment, without the first move; their logs."""
-        order = np.argsort(-size, kind="stable")
-        k = len(self.start)
-        out, log = np.zeros((len(size), k, k)), np.zeros(len(size))
-        b = begin[order]
-        for t, n in enumerate(self._steps(size)):
-            e = self.emit[sym[b[:n] + t]]
-            p = np.eye(k)[None] * e[:, None, :] if t == 0 else (p[:n] @ self.move) * e[:, None, :]
-            scale = p.sum(axis=(1, 2))
-            p = p / scale[:, None, None]
-            log[order[:n]] += np.log(scale)
-            out[order[:n]] = p
-        return out, log
-
-    def forward(self, sym: np.ndarray, at: np.ndarray, keep: bool = False):
-        """Log likelihood of each sequence; with ``keep`` also the scaled forward vectors and what backward needs."""
-        doc, rank, begin, size, order = self._cut(at)
-        k = len(self.start)
-        prior = np.tile(self.start, (len(doc), 1))
-        long = np.flatnonzero(np.bincount(doc, minlength=len(at) - 1)[doc] > 1)
-        transfer = np.zeros((0, k, k))
-        place = np.full(len(doc), -1)
-        if len(long):
-            transfer, _ = self._transfer(sym, begin[long], size[long])
-            place[long] = np.arange(len(long))
-            for r in range(1, int(rank.max()) + 1):
-                here = np.flatnonzero(rank == r)
-                end = np.einsum("ni,nij->nj", prior[here - 1], transfer[place[here - 1]])
-                prior[here] = (end / end.sum(axis=1, keepdims=True)) @ self.move
-        log = np.zeros(len(doc))
-        alpha = np.zeros((len(sym), k)) if keep else None
-        b, first = begin[order], prior[order]
-        for t, n in enumerate(self._steps(size)):
-            p = b[:n] + t
-            a = (first[:n] if t == 0 else a[:n] @ self.move) * self.emit[sym[p]]
-            scale = a.sum(axis=1)
-            a = a / scale[:, None]
-            log[order[:n]] += np.log(scale)
+class Hmm:
+    """start (K), move (K, K), emit (symbols, K)."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
+
+    def _odds(self, plan: _Plan, sym: np.ndarray) -> np.ndarray:
+        return np.take(np.ascontiguousarray(self.emit.T), sym[plan.token], axis=1)
+
+    def _transfer(self, plan: _Plan, odds: np.ndarray) -> np.ndarray:
+        """Scaled products of (move diag(odds)) over each segment of ``plan.several``, without the first move."""
+        k, pick = len(self.start), plan.several
+        out = np.repeat(np.eye(k)[:, :, None], len(pick), axis=2)
+        for t, n in enumerate(plan.active):
+            m = int(np.searchsorted(pick, n))
+            if not m:
+                break
+            e = odds[:, plan.offset[t] + pick[:m]]
+            now = out[:, :, :m] if t == 0 else np.matmul(self.move.T, out[:, :, :m])
+            now = now * e[None]
+            out[:, :, :m] = now / now.sum(axis=(0, 1))
+        return out
+
+    def _priors(self, plan: _Plan, transfer: np.ndarray) -> np.ndarray:
+        """State odds before the first token of each segment."""
+        prior = np.repeat(self.start[:, None], len(plan.size), axis=1)
+        for here in plan.by_rank:
+            end = np.einsum("in,ijn->jn", prior[:, plan.before[here]], transfer[:, :, plan.at_several[plan.before[here]]])
+            prior[:, here] = self.move.T @ (end / end.sum(axis=0))
+        return prior
+
+    def _forward(self, plan: _Plan, odds: np.ndarray, prior: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Scale of each token, and with ``keep`` the scaled forward vectors."""
+        scale, alpha, back = np.empty(odds.shape[1]), np.empty_like(odds) if keep else None, np.ascontiguousarray(self.move.T)
+        a = prior
+        for t, n in enumerate(plan.active):
+            s = plan.offset[t]
+            a = (a[:, :n] if t == 0 else back @ a[:, :n]) * odds[:, s : s + n]
+            z = a.sum(axis=0)
+            a /= z
+            scale[s : s + n] = z
             if keep:
-                alpha[p] = a
-        total = np.bincount(doc, weights=log, minlength=len(at) - 1)
-        return (total, alpha, (doc, rank, begin, size, order, transfer, place)) if keep else total
+                alpha[:, s : s + n] = a
+        return scale, alpha
+
+    def forward(self, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log likelihood of each sequence."""
+        total = np.zeros(len(at) - 1)
+        for a, b in _ranges(at):
+            plan = _Plan(at[a : b + 1] - at[a])
+            odds = self._odds(plan, sym[at[a] : at[b]])
+            prior = self._priors(plan, self._transfer(plan, odds) if len(plan.several) else odds)
+            scale, _ = self._forward(plan, odds, prior, False)
+            total[a:b] = np.bincount(plan.doc[plan.slot], weights=np.log(scale), minlength=b - a)
+        return total
 
     def counts(self, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Expected counts of starts, moves and emissions, flat."""
         return self.expected(sym, at)[0]
 
-    def expected(self, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-        """The expected counts, and the log likelihood of all sequences."""
+    def expected(self, sym: np.ndarray, at: np.ndarray, kinds: np.ndarray | None = None, size: int | None = None) -> tuple[np.ndarray, float]:
+        """The expected counts, and the log likelihood of all sequences; emissions by ``kinds`` (below ``size``) in place of symbols."""
         k = len(self.start)
-        log, alpha, (doc, rank, begin, size, order, transfer, place) = self.forward(sym, at, keep=True)
-        last = np.ones((len(doc), k))
-        for r in range(int(rank.max(initial=0)), 0, -1):
-            here = np.flatnonzero(rank == r)
-            back = np.einsum("nij,nj->ni", transfer[place[here]], last[here]) @ self.move.T
-            last[here - 1] = back / back.sum(axis=1, keepdims=True)
-        moves = np.zeros((k, k))
-        gamma = np.zeros((len(sym), k))
-        steps = self._steps(size)
-        b, beta = begin[order], last[order]
-        ordered = size[order]
-        for t in range(len(steps) - 1, -1, -1):
-            n = steps[t]
-            p = b[:n] + t
-            inner = ordered[:n] > t + 1  # segments that go on: beta holds emit * beta of the next step
-            m = int(inner.sum())
-            now = beta[:n].copy()
+        kinds, size = (sym, len(self.emit)) if kinds is None else (kinds, size)
+        starts, moves, emitted, log = np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), 0.0
+        for a, b in _ranges(at):
+            some = slice(at[a], at[b])
+            one = self._expected(sym[some], at[a : b + 1] - at[a], kinds[some], size)
+            for whole, part in zip((starts, moves, emitted), one, strict=False):
+                whole += part
+            log += one[3]
+        return np.concatenate([starts, moves.ravel(), emitted.T.ravel()]), log
+
+    def _expected(self, sym, at, kinds, size):
+        plan = _Plan(at)
+        odds = self._odds(plan, sym)
+        transfer = self._transfer(plan, odds) if len(plan.several) else odds
+        scale, alpha = self._forward(plan, odds, self._priors(plan, transfer), True)
+        last = np.ones((len(self.start), len(plan.size)))
+        for here in reversed(plan.by_rank):
+            back = self.move @ np.einsum("ijn,jn->in", transfer[:, :, plan.at_several[here]], last[:, here])
+            last[:, plan.before[here]] = back / back.sum(axis=0)
+        beta, w, m = np.empty_like(odds), None, 0
+        for t in range(len(plan.active) - 1, -1, -1):
+            s, n = plan.offset[t], plan.active[t]
+            now = beta[:, s : s + n]
+            now[:, m:] = last[:, m:n]
             if m:
-                nxt = beta[:m]
-                now[:m] = nxt @ self.move.T
-            g = alpha[p] * now
-            g /= g.sum(axis=1, keepdims=True)
-            gamma[p] = g
-            w = self.emit[sym[p]] * now
-            w /= w.sum(axis=1, keepdims=True)
-            if t:
-                before = alpha[p - 1]
-                z = ((before @ self.move) * w).sum(axis=1, keepdims=True)
-                moves += (before / z).T @ w
-            beta[:n] = w
-        # moves between segments of one sequence: beta now holds emit * beta of each segment's first token
-        whole = np.zeros((len(doc), k))
-        whole[order] = beta
-        follow = np.flatnonzero(rank > 0)
-        if len(follow):
-            before, w = alpha[begin[follow] - 1], whole[follow]
-            z = ((before @ self.move) * w).sum(axis=1, keepdims=True)
-            moves += (before / z).T @ w
-        emitted = np.stack([np.bincount(sym, weights=gamma[:, j], minlength=len(self.emit)) for j in range(k)], axis=1)
-        starts = gamma[begin[rank == 0]].sum(axis=0)
-        return np.concatenate([starts, (moves * self.move).ravel(), emitted.ravel()]), float(log.sum())
+                now[:, :m] = self.move @ w
+            w = odds[:, s : s + n] * now
+            w /= w.sum(axis=0)
+            m = n
+        odds *= beta  # odds of each token and all after it, by state
+        beta *= alpha
+        beta /= beta.sum(axis=0)
+        moves = np.zeros_like(self.move)
+        first = np.flatnonzero(plan.rank > 0)
+        for now, before in (
+            (odds[:, len(plan.size) :], alpha[:, plan.previous]),
+            (odds[:, first], alpha[:, plan.offset[plan.size[plan.before[first]] - 1] + plan.before[first]]),
+        ):
+            z = ((self.move.T @ before) * now).sum(axis=0)
+            moves += (before / z) @ now.T
+        kind = kinds[plan.token]
+        emitted = np.stack([np.bincount(kind, weights=g, minlength=size) for g in beta])
+        starts = beta[:, : len(plan.size)][:, plan.rank == 0].sum(axis=1)
+        return starts, moves * self.move, emitted, float(np.log(scale).sum())
 
     @staticmethod
     def from_counts(x: np.ndarray, share: np.ndarray, k: int) -> "Hmm":
@@ -177,106 +203,152 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def _ranges(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences of about ``_AT_ONCE`` tokens together, one sequence at least."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + _AT_ONCE, side="right")) - 1))
+        yield a, b
+        a = b
+
+
 def seeded(share: np.ndarray, k: int, seed: int) -> Hmm:
     rng = np.random.default_rng(seed)
     emit = share[:, None] * rng.uniform(0.5, 1.5, (len(share), k))
-    move = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))
-    return Hmm(np.full(k, 1.0 / k), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    stay = 0.98 if k > 1 else 1.0
+    move = np.full((k, k), (1 - stay) / max(k - 1, 1))
+    np.fill_diagonal(move, stay)
+    return Hmm(np.full(k, 1.0 / k), move, emit / emit.sum(axis=0))
+
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
-def _flat(column: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(column) if column else np.zeros(0)
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    plain = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _names(k: int) -> list[str]:
-    return [f"x{j}" for j in range(k)]
+    return [f"x{j}" for j in range(k - 1)]
+
+
+_FIELDS = ["rows", "at", "train", "local", "words", "n", "x", "stats"]
+_KINDS = "at binary, train binary, local binary, words binary, n binary, x binary, stats array<double>"
+
+
+class _Chunk:
+    """Texts of one chunk: offsets and local numbers of their tokens (the end token's follows those of the words), the training
+    ones among them, the words' hashes, and the training counts and expected counts of these words within the chunk."""
+
+    def __init__(self, at: np.ndarray, train: np.ndarray, local: np.ndarray, words: np.ndarray):
+        self.at, self.train, self.local, self.words = at, train, local, words
+        self.tokens, self.sym = at + np.arange(len(at)), np.insert(local, at[1:], len(words))
+        inside = np.repeat(train, np.diff(at))
+        self.n = np.bincount(local[inside], minlength=len(words)).astype(np.int64)
+
+    def expect(self, hmm: Hmm, symbols: np.ndarray) -> None:
+        """Expected counts of the training texts by a model over ``symbols`` (by local number), and their totals."""
+        k, size = len(hmm.start), len(self.words) + 1
+        inside = np.repeat(self.train, np.diff(self.tokens))
+        kinds, at = self.sym[inside], np.concatenate([[0], np.cumsum(np.diff(self.tokens)[self.train])])
+        x, log = hmm.expected(symbols[kinds], at, kinds, size)
+        by_word = x[k + k * k :].reshape(-1, k)
+        self.x = np.zeros((k - 1, size - 1), np.int64)
+        left = self.n * FIXED
+        for j in range(k - 1):
+            self.x[j] = np.minimum(np.floor(by_word[:-1, j] * FIXED), left)
+            left = left - self.x[j]
+        mass = np.append(self.x.sum(axis=1), left.sum()) / FIXED
+        self.stats = np.concatenate([x[: k + k * k], by_word[-1], mass, [at[-1], (self.n > 0).sum(), log]])
+
+    def batch(self, rows: pa.Array) -> pa.RecordBatch:
+        blobs = [_packed(self.at.astype(np.int64)), np.packbits(self.train).tobytes(), _packed(self.local.astype(np.uint32)), _packed(np.diff(self.words, prepend=_U(0))), _packed(self.n), _packed(self.x)]
+        return pa.RecordBatch.from_arrays([rows, *(pa.array([b], pa.binary()) for b in blobs), pa.array([self.stats])], _FIELDS)
+
+    @staticmethod
+    def read(r: dict, k: int) -> "_Chunk":
+        at = _unpacked(r["at"], np.int64)
+        train = np.unpackbits(np.frombuffer(r["train"], np.uint8), count=len(at) - 1).astype(bool)
+        out = _Chunk(at, train, _unpacked(r["local"], np.uint32).astype(np.int64), _hashes(r["words"]))
+        out.x = _unpacked(r["x"], np.int64).reshape(k - 1, -1) if k > 1 else np.zeros((0, len(out.words)), np.int64)
+        return out
 
 
-def _kinds(k: int) -> str:
-    return ", ".join(f"{x} double" for x in _names(k))
+def _hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, _U), dtype=_U)
 
 
-def _chunks(rows: DataFrame, keep: bool = True) -> DataFrame:
-    """Texts (column t) in written chunks: the rows (unless not to ``keep``), offsets, local word numbers and word hashes."""
+def _chunks(docs: DataFrame, text: str, train: Column, carry: tuple[str, ...], hmm: Hmm) -> DataFrame:
+    """Written chunks of all rows, with the expected counts of the training texts by classes of words."""
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), F.col(text).cast("string").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
 
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "t", 8 << 20):
-                h, at, _ = sequences(data, offsets)
-                words, local = np.unique(h, return_inverse=True)
-                own = part.column("row") if keep else part.column("row").slice(0, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                        pa.array([at.astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([local.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([words.view(np.int64)], pa.list_(pa.int64())),
-                    ],
-                    ["rows", "at", "local", "words"],
-                )
-
-    row_type = rows.schema["row"].dataType.simpleString()
-    chunks = rows.mapInArrow(chunk, f"rows array<{row_type}>, at binary, local binary, words array<long>")
-    return written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-
-
-def _tokens(r: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and symbols of a chunk's texts, each with its end token, whose number follows those of the words."""
-    at = np.frombuffer(r.column("at")[0].as_py(), np.int64)
-    local = np.frombuffer(r.column("local")[0].as_py(), np.int32)
-    return at + np.arange(len(at)), np.insert(local, at[1:], len(r.column("words")[0].values))
+            for part, data, offsets in slices(batch, "t", CHUNK):
+                w = words_of(data, offsets, lower=True)
+                words, local = np.unique(w.hash(0), return_inverse=True)
+                c = _Chunk(w.at.astype(np.int64), part.column("train").to_numpy(zero_copy_only=False).astype(bool), local, words)
+                c.expect(hmm, np.append(class_of(words), END))
+                own = part.column("row")
+                yield c.batch(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
 
+    found = rows.mapInArrow(lean(build), f"rows array<{rows.schema['row'].dataType.simpleString()}>, {_KINDS}")
+    return written(found.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
-class LanguageModel:
-    """The trained model: ``hmm`` (classes, then start and move of the words' model), ``emits`` (a written table of word hash
-    and expected count in each state), ``end`` and ``mass`` (expected ends and tokens of each state)."""
 
-    def __init__(self, training: DataFrame, text: str = "text", states: int = STATES, rounds: int = 10, init_rounds: int = 3, seed: int = 5, settled: float = 1e-3):
-        self.spark = training.sparkSession
-        rows = training.select(F.col(text).cast("string").alias("t"))
+def _pairs(chunks: DataFrame, k: int) -> DataFrame:
+    """A row (w, chunk, i, n, x0, ...) for each word of each chunk."""
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, ends = [], 0
-                for part, data, offsets in slices(batch, "t"):
-                    found.append(sequences(data, offsets)[0])
-                    ends += part.num_rows
-                h, n = np.unique(np.concatenate(found) if found else np.zeros(0, _U), return_counts=True)
-                word = pa.array(np.append(h.view(np.int64), 0))
-                ended = pa.array(np.append(np.zeros(len(h), bool), True))
-                yield pa.RecordBatch.from_arrays([ended, word, pa.array(np.append(n, ends).astype(np.int64))], ["ended", "h", "n"])
-
-        counts = rows.mapInArrow(count, "ended boolean, h long, n long").groupBy("ended", "h").agg(F.sum("n").alias("c")).where("c > 0")
-        self.counts = written(counts, "word-counts")
-        cls = F.when(F.col("ended"), F.lit(END)).otherwise(F.shiftrightunsigned("h", 64 - CLASS_BITS).cast("int"))
-        self.class_tokens, self.class_words = np.zeros(END + 1), np.zeros(END + 1)
-        for r in self.counts.groupBy(cls.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-            self.class_tokens[r["k"]], self.class_words[r["k"]] = r["n"], r["v"]
-        self.tokens, self.words = int(self.class_tokens.sum()), int(self.class_words.sum())
-        share = (self.class_tokens + 1) / (self.tokens + len(self.class_tokens))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                w, n = _hashes(r["words"]).view(np.int64), _unpacked(r["n"], np.int64)
+                x = _unpacked(r["x"], np.int64).reshape(k - 1, -1) if k > 1 else []
+                i = np.arange(len(w), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (w, np.full(len(w), r["chunk"]), i, n, *x)], ["w", "chunk", "i", "n", *_names(k)])
+
+    kinds = "".join(f", {x} long" for x in _names(k))
+    return chunks.select("chunk", "words", "n", "x").mapInArrow(lean(spread), f"w long, chunk long, i int, n long{kinds}")
+
+
+class LanguageModel:
+    """The trained model: start and move odds in ``hmm``, the expected counts of words in the written ``chunks``, those of the
+    end token and of all tokens of each state in ``end`` and ``mass``."""
+
+    def __init__(self, docs: DataFrame, text: str = "text", train: Column | None = None, carry: tuple[str, ...] = (), states: int = STATES, rounds: int = 0, init_rounds: int = 4, seed: int = 5, settled: float = 1e-3):
+        self.spark, self.text, self.k = docs.sparkSession, text, states
+        train = F.lit(True) if train is None else train
+        rows = docs.where(train).select(F.col(text).cast("string").alias("t"))
+        share = np.full(END + 1, 1.0 / (END + 1))
         self.hmm = seeded(share, states, seed)
-        for _ in range(init_rounds if self.tokens else 0):
-            self.hmm = Hmm.from_counts(self._expected(rows), share, states)
-        self._spread()
         self.likelihoods: list[float] = []
-        if rounds and self.tokens:
-            chunks = _chunks(rows.select(F.struct("t").alias("row"), "t"), keep=False)
-            while len(self.likelihoods) < rounds:
-                self.likelihoods.append(self._round(chunks))
-                if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < settled * abs(self.likelihoods[-2]):
-                    break
-            discard(chunks)
+        for _ in range(init_rounds):
+            self.hmm = Hmm.from_counts(self._expected(rows), share, states)
+        self.seen = self.hmm  # the classes' model
+        self.chunks = _chunks(docs, text, train, carry, self.hmm)
+        self._maximise()
+        self.sums = self._summed(_pairs(self.chunks, states))
+        multi = self.sums.agg(F.count_if("own").alias("own"), F.count_if(F.col("lead") & (F.col("n") > 0)).alias("words")).first()
+        self.words = self.own - multi["own"] + multi["words"] + (self.ends > 0)
+        for _ in range(rounds if self.tokens else 0):
+            self._round()
+            if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < settled * abs(self.likelihoods[-2]):
+                break
 
     def _expected(self, rows: DataFrame) -> np.ndarray:
         """Baum-Welch counts of all texts, summed over partitions."""
         shared = self.spark.sparkContext.broadcast(self.hmm)
-        size = len(self.hmm.start) * (1 + len(self.hmm.start) + END + 1)
+        size = self.k * (1 + self.k + END + 1)
         pieces = 8
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hmm, total = shared.value, np.zeros(size)
             for batch in batches:
-                for _, data, offsets in slices(batch, "t", 8 << 20):
+                for _, data, offsets in slices(batch, "t", CHUNK // 2):
                     _, at, sym = sequences(data, offsets)
                     total += hmm.counts(sym, at + np.arange(len(at)))
             for i, piece in enumerate(np.array_split(total, pieces)):
@@ -291,119 +363,112 @@ class LanguageModel:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "x"])
 
         kind = "piece int, x binary"
-        parts = rows.mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).collect()
-        return _flat([np.frombuffer(r["x"]) for r in sorted(parts, key=lambda r: r["piece"])])
-
-    def _spread(self) -> None:
-        """The first expected counts of words: each word's count, dealt to the states as its class is."""
-        k = len(self.hmm.start)
-        profile = (self.hmm.emit + 1e-12) / (self.hmm.emit + 1e-12).sum(axis=1, keepdims=True)
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h = b.column("h").to_numpy()
-                x = profile[class_of(h.view(_U))] * b.column("c").to_numpy()[:, None]
-                yield pa.RecordBatch.from_arrays([b.column("h"), *(pa.array(x[:, j]) for j in range(k))], ["h", *_names(k)])
-
-        self.emits = written(self.counts.where("NOT ended").mapInArrow(deal, f"h long, {_kinds(k)}"), "emissions")
-        self.end = profile[END] * self.class_tokens[END]
-        self._weigh()
-
-    def _weigh(self) -> None:
-        total = self.emits.agg(*(F.sum(x).alias(x) for x in _names(len(self.end)))).first()
-        self.mass = self.end + np.array([x or 0.0 for x in total])
+        parts = rows.mapInArrow(lean(expect), kind).repartition("piece").mapInArrow(lean(add), kind).collect()
+        whole = [np.frombuffer(r["x"]) for r in sorted(parts, key=lambda r: r["piece"])]
+        return np.concatenate(whole) if whole else np.zeros(size)
+
+    def _maximise(self) -> None:
+        """The next model of starts and moves, and the totals of states, from the chunks' sums."""
+        k = self.k
+        found = self.chunks.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros(3 * k + k * k + 3)
+        for r in found:
+            total[r["i"]] = r["x"]
+        start, move = total[:k] + 1.0 / k, total[k : k + k * k].reshape(k, k) + 1.0 / k
+        self.hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.zeros((0, k)))
+        self.end, mass = total[k + k * k : 2 * k + k * k], total[2 * k + k * k : 3 * k + k * k]
+        self.mass, self.ends = mass + self.end, int(round(self.end.sum()))
+        self.tokens, self.own = int(total[-3]), int(total[-2])
+        self.likelihoods.append(float(total[-1]))
+
+    def _summed(self, pairs: DataFrame, asked: str = "true") -> DataFrame:
+        """Sums over all chunks for the words of the ``asked`` chunks that others hold too: to, i, n, x0, ..., and whether the
+        chunk's training texts have the word (``own``) and whether it is the word's first chunk (``lead``)."""
+        one = Window.partitionBy("w")
+        sums = {x: F.sum(x).over(one) for x in ("n", *_names(self.k))}
+        found = pairs.withColumns({"own": F.col("n") > 0, "several": F.count("*").over(one) > 1, "lead": F.min("chunk").over(one) == F.col("chunk"), **sums})
+        found = found.where(F.col("several") & F.expr(asked)).select(F.col("chunk").alias("to"), "i", "n", *_names(self.k), "own", "lead")
+        return written(found, "word-sums")
 
     def _given(self):
-        """What a chunk's task needs besides the expected counts of its words."""
-        k, hmm, end, mass, v = len(self.hmm.start), self.hmm, self.end, self.mass, self.words
+        """What a chunk's task needs besides the chunk and the sums."""
+        k, hmm, end, mass, v = self.k, self.hmm, self.end, self.mass, self.words
 
-        def model(size: int, found: pa.Table) -> tuple[Hmm, np.ndarray]:
+        def model(c: _Chunk, sums: pa.Table) -> tuple[Hmm, np.ndarray]:
             """The model over the chunk's words and the end token, and the words' counts in the training texts."""
-            x = np.zeros((size + 1, k))
-            i = found["i"].to_numpy()
+            i, n, x = sums["i"].to_numpy(), c.n.copy(), c.x.copy()
+            n[i] = sums["n"].to_numpy()
             for j, name in enumerate(_names(k)):
-                x[i, j] = found[name].to_numpy()
-            x[size] = end
-            return Hmm(hmm.start, hmm.move, (x + 1 / k) / (mass + (v + 1) / k)), np.rint(x[:size].sum(axis=1))
+                x[j, i] = sums[name].to_numpy()
+            counts = np.vstack([x, n * FIXED - x.sum(axis=0)]).T / FIXED
+            return Hmm(hmm.start, hmm.move, (np.vstack([counts, end]) + 1 / k) / (mass + (v + 1) / k)), n
 
         return model
 
-    def _met(self, chunks: DataFrame, kind: str) -> DataFrame:
-        """The expected counts of each chunk's words, by chunk and place, as numbers of one ``kind``."""
-        met = chunks.select("chunk", F.posexplode("words").alias("i", "w"))
-        return met.join(self.emits, F.col("w") == F.col("h")).select(F.col("chunk").alias("to"), "i", *(F.col(x).cast(kind).alias(x) for x in _names(len(self.end))))
-
-    def _round(self, chunks: DataFrame) -> float:
-        """One Baum-Welch pass over all texts, words being the symbols; the log likelihood before it."""
-        k, model = len(self.end), self._given()
-        names = ["total", "h", *_names(k)]
-        empty = pa.schema([("total", pa.bool_()), ("h", pa.int64()), *((x, pa.float64()) for x in _names(k))]).empty_table()
+    def _meet(self, chunks: DataFrame, sums: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over each chunk (a record, its _Chunk, and the rows of sums that go to it); tables."""
+        k, empty = self.k, to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
-        def expect(left: pa.Table, right: pa.Table) -> pa.Table:
+        def each(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
-            for r in left.to_batches():
-                if r.num_rows:
-                    words = r.column("words")[0].values
-                    at, sym = _tokens(r)
-                    x, log = model(len(words), right)[0].expected(sym, at)
-                    # rows of totals: starts, moves from each state, ends, likelihood
-                    whole = np.concatenate([x[k + k * k :].reshape(-1, k)[:-1], x[: k + k * k].reshape(-1, k), x[-k:][None], np.full((1, k), log)])
-                    total = np.arange(len(whole)) >= len(words)
-                    h = np.concatenate([words.to_numpy(), np.arange(k + 3)])
-                    out.append(pa.Table.from_arrays([pa.array(total), pa.array(h), *(pa.array(whole[:, j]) for j in range(k))], names))
+            for b in left.to_batches():
+                for j in range(b.num_rows):
+                    r = {f: b.column(f)[j].as_py() for f in ("chunk", *_FIELDS[1:-1])}
+                    out.append(run(r["chunk"], b.column("rows").slice(j, 1), _Chunk.read(r, k), right))
             return pa.concat_tables(out) if out else empty
 
-        wide = chunks.select("chunk", "at", "local", "words").repartition(parallelism(self.spark), "chunk")
-        parts = wide.groupBy("chunk").cogroup(self._met(chunks, "float").groupBy("to")).applyInArrow(expect, f"total boolean, h long, {_kinds(k)}")
-        found = written(parts.groupBy("total", "h").agg(*(F.sum(x).alias(x) for x in _names(k))), "emissions")
-        x = np.array([r[2:] for r in found.where("total").orderBy("h").collect()])
-        start, move = x[0] + 1.0 / k, x[1 : k + 1] + 1.0 / k
-        self.hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), self.hmm.emit)
-        old, self.emits, self.end = self.emits, found.where("NOT total").drop("total"), x[k + 1]
-        self.emits._shared_path = found._shared_path
-        discard(old)
-        self._weigh()
-        self.spark._jvm.System.gc()  # shuffle files of the round go once nothing refers to them
-        return float(x[k + 2, 0])
-
-    def score(self, docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The ``carry`` columns of every row with n_tokens, n_known, train_tokens, base_score and score."""
-        rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("t"))
-        chunks = _chunks(rows)
-        model = self._given()
-        ends = int(self.class_tokens[END])
-        n, v = self.tokens, self.words
-        base = np.log10(n + v + 1)
-        fields = docs.select(*carry).schema
+        return chunks.groupBy("chunk").cogroup(sums.select("to", "i", "n", *_names(k)).groupBy("to")).applyInArrow(each, schema)
 
-        def add(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            for r in left.to_batches():
-                if not r.num_rows:
-                    continue
-                hmm, count = model(len(r.column("words")[0].values), right)
-                at, sym = _tokens(r)
-                local = np.frombuffer(r.column("local")[0].as_py(), np.int32)
-                size = np.diff(at)
-                doc = np.repeat(np.arange(len(size)), size - 1)
-                plain, seen = (np.bincount(doc, weights=x[local], minlength=len(size)) for x in (np.log10(count + 1), count > 0))
-                items = r.column("rows")[0].values
-                own = {f.name: items.field(f.name) for f in items.type}
-                own |= {
-                    "n_tokens": pa.array(size),
-                    "n_known": pa.array((np.rint(seen) + (ends > 0)).astype(np.int64)),
-                    "train_tokens": pa.array(np.full(len(size), n, np.int64)),
-                    "base_score": pa.array(plain + np.log10(ends + 1) - size * base),
-                    "score": pa.array(hmm.forward(sym, at) / np.log(10)),
-                }
-                out.append(pa.table(own))
-            return pa.concat_tables(out) if out else empty
+    def _round(self) -> None:
+        """One more Baum-Welch pass over all training texts, words being the symbols."""
+        model = self._given()
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.chunks.schema)
+
+        def run(chunk: int, rows: pa.Array, c: _Chunk, sums: pa.Table) -> pa.Table:
+            hmm, _ = model(c, sums)
+            c.expect(hmm, np.arange(len(c.words) + 1))
+            b = c.batch(rows)
+            return pa.Table.from_arrays([*b.columns, pa.array([chunk])], [*b.schema.names, "chunk"])
+
+        old = self.chunks, self.sums
+        self.chunks = written(self._meet(*old, run, schema), "chunks")
+        for table in old:
+            discard(table)
+        self._maximise()
+        self.sums = self._summed(_pairs(self.chunks, self.k))
+
+    def scored(self, fields: StructType) -> DataFrame:
+        """The ``carry`` columns (their types: ``fields``) of all rows that the model was made from, with n_tokens, n_known,
+        train_tokens, base_score and score."""
+        return self._scores(self.chunks, self.sums, fields)
+
+    def score(self, docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The same for the rows of any ``docs``."""
+        chunks = _chunks(docs, self.text, F.lit(False), carry, self.seen).withColumn("chunk", -1 - F.col("chunk"))
+        pairs = _pairs(self.chunks, self.k).unionByName(_pairs(chunks, self.k))
+        return self._scores(chunks, self._summed(pairs, "chunk < 0"), docs.select(*carry).schema)
+
+    def _scores(self, chunks: DataFrame, sums: DataFrame, fields: StructType) -> DataFrame:
+        model, ends, n, base = self._given(), self.ends, self.tokens, np.log10(self.tokens + self.words + 1)
+
+        def run(chunk: int, rows: pa.Array, c: _Chunk, sums: pa.Table) -> pa.Table:
+            hmm, count = model(c, sums)
+            size = np.diff(c.tokens)
+            doc = np.repeat(np.arange(len(size)), size - 1)
+            plain, seen = (np.bincount(doc, weights=x[c.local], minlength=len(size)) for x in (np.log10(count + 1), count > 0))
+            items = rows.flatten()
+            own = {f.name: items.field(f.name) for f in items.type}
+            own |= {
+                "n_tokens": pa.array(size),
+                "n_known": pa.array((np.rint(seen) + (ends > 0)).astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(size), n, np.int64)),
+                "base_score": pa.array(plain + np.log10(ends + 1) - size * base),
+                "score": pa.array(hmm.forward(c.sym, c.tokens) / np.log(10)),
+            }
+            return pa.table(own)
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        schema = f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        wide = chunks.select("chunk", "rows", "at", "local", "words").repartition(parallelism(self.spark), "chunk")
-        return wide.groupBy("chunk").cogroup(self._met(chunks, "double").groupBy("to")).applyInArrow(add, schema)
+        return self._meet(chunks, sums, run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -412,5 +477,5 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def op9_hmm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = LanguageModel(docs.where(~F.col("held_out")))
-    return model.score(docs, carry=("doc_id", "held_out"))
+    carry = ("doc_id", "held_out")
+    return LanguageModel(docs, train=~F.col("held_out"), carry=carry).scored(docs.select(*carry).schema)

@@ -190,12 +190,11 @@ def test_hmm_trains_on_texts_of_any_length(spark):
     model = hmm_model.LanguageModel(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), init_rounds=3, rounds=0)
     blobs = [t.encode() for t in texts]
     _, at, sym = hmm_model.sequences(np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blobs])]))
-    n = np.bincount(sym, minlength=hmm_model.END + 1)
-    share = (n + 1) / (n.sum() + len(n))
+    share = np.full(hmm_model.END + 1, 1 / (hmm_model.END + 1))
     whole = hmm_model.seeded(share, 4, 5)
     for _ in range(3):
         whole = hmm_model.Hmm.from_counts(whole.counts(sym, at + np.arange(len(at))), share, 4)
-    assert np.allclose(model.hmm.move, whole.move) and np.allclose(model.hmm.emit, whole.emit)
+    assert np.allclose(model.seen.move, whole.move) and np.allclose(model.seen.emit, whole.emit)
 
 
 def test_hmm_emits_words(spark):
@@ -208,23 +207,22 @@ def test_hmm_emits_words(spark):
     a, b = pair
     texts = [f"{a} x " * 40 + "x", f"{b} y " * 40 + "y", "x y", None, f"{a} {b}"] * 3
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    begin = hmm_model.LanguageModel(df, init_rounds=2, rounds=0)
     model = hmm_model.LanguageModel(df, init_rounds=2, rounds=3, settled=-1)
     vocab = {w: i for i, w in enumerate([a, b, "x", "y"])}
     seqs = [[*(vocab[w] for w in (t or "").split()), 4] for t in texts]
     sym, at = np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(q) for q in seqs])])
-    n = np.bincount(sym, minlength=5)[:, None]
-    profile = begin.hmm.emit[[*map(number, vocab), hmm_model.END]]
     odds = lambda x: (x + 1 / 4) / (x.sum(axis=0) + 6 / 4)
-    whole = hmm_model.Hmm(begin.hmm.start, begin.hmm.move, odds(n * profile / profile.sum(axis=1, keepdims=True)))
-    for i in range(3):
-        x, log = whole.expected(sym, at)
+    whole, symbols = model.seen, np.array([*map(number, vocab), hmm_model.END])[sym]
+    for i in range(4):  # the first round has the classes' odds and keeps the words' counts
+        x, log = whole.expected(symbols if i == 0 else sym, at, sym, 5)
         assert math.isclose(log, model.likelihoods[i], rel_tol=1e-6)
         start, move = x[:4] + 1 / 4, x[4:20].reshape(4, 4) + 1 / 4
         whole = hmm_model.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), odds(x[20:].reshape(-1, 4)))
     got = model.score(df.withColumn("t", F.col("text")), carry=("t",)).collect()
     assert collections.Counter((r.t, round(r.score, 4)) for r in got) == collections.Counter((t, round(v / math.log(10), 4)) for t, v in zip(texts, whole.forward(sym, at)))
     assert np.abs(whole.emit[0] / whole.emit[0].sum() - whole.emit[1] / whole.emit[1].sum()).max() > 0.01
+    own = hmm_model.LanguageModel(df, carry=("text",), init_rounds=2, rounds=3, settled=-1).scored(df.schema).collect()
+    assert collections.Counter((r.text, round(r.score, 4)) for r in own) == collections.Counter((r.t, round(r.score, 4)) for r in got)
     flat = hmm_model.LanguageModel(df, states=1, init_rounds=1, rounds=1)
     assert all(math.isclose(r.score, r.base_score, rel_tol=1e-9) for r in flat.score(df, carry=("text",)).collect())
 
@@ -381,3 +379,34 @@ def test_linked_sets_share_a_signature():
             if 100 * len(b) >= threshold * n:
                 sa, sb = (signatures(x, np.array([0, len(x)]), threshold)[0] for x in (a, b))
                 assert np.intersect1d(sa, sb).size
+
+
+def test_components(spark):
+    from meterflow.llm import components
+
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(200, 201), (201, 200), (201, 201), (None, 3), (300, 299)]
+    df = spark.createDataFrame([(u, v) for u, v in edges] * 2, "u long, v long").repartition(7)
+    got = {r.node: r.root for r in components.components(df).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 299: 299, 300: 299}
+    assert components.components(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_forests_connect_what_links(same):
+    for _ in range(30):
+        n = int(rng.integers(2, 30))
+        at = rng.integers(0, 40, n)
+        links = lambda a, b: abs(int(at[a]) - int(at[b])) <= 1
+        left = np.arange(n) if same else np.arange(n // 2)
+        right = left if same else np.arange(n // 2, n)
+        if not len(left):
+            continue
+        side = lambda of_left: left if of_left else right
+        out = jaccard_join.forest(left, right, lambda x, of_left: side(of_left), lambda x, found: np.array([y for y in found if y != x and links(x, y)], np.int64))
+        group = list(range(n))
+        for a, b in out:
+            assert links(a, b)
+            group = [group[a] if g == group[b] else g for g in group]
+        for a in left:
+            for b in right:
+                assert not links(a, b) or group[a] == group[b]
