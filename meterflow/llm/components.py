@@ -2,10 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import discard, written
+from .words import lean
+
+_AT_ONCE = 1 << 18
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition, ``_AT_ONCE`` at a time, as edges from each node to the least node that they connect it with."""
+
+    def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        nodes = pa.concat_arrays([c for x in ("u", "v") for c in t[x].chunks]).unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        place = {x: i for i, x in enumerate(nodes.to_pylist())}
+        parent = list(range(len(nodes)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for u, v in zip(t["u"].to_pylist(), t["v"].to_pylist(), strict=True):
+            a, b = sorted((find(place[u]), find(place[v])))
+            parent[b] = a
+        root = np.array([find(i) for i in range(len(nodes))])
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(child)), nodes.take(pa.array(root[child]))], ["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= _AT_ONCE:
+            yield linked(held)
+            held, n = [], 0
+    if held:
+        yield linked(held)
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -25,16 +68,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and loops are ignored.  The rounds are logarithmic in the longest path; each is written to the shared
     folder, so that no lineage grows, and nothing but a few counts reaches the driver.
     """
-    e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
+    e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
+    kind = e.schema.simpleString()[7:-1].replace(":", " ")
+    now, state = _kept(e.mapInArrow(lean(_forest), kind).distinct())
+    for _ in range(max_rounds if state[0] else 0):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = _star(both, large=True).distinct()
-        new = written(_star(big.where("u <> v"), large=False).distinct(), "edges")
-        moved = new.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(new, ["u", "v"], "left_anti").limit(1).count()
+        new, moved = _kept(_star(_star(both, large=True).where("u <> v"), large=False).distinct())
         discard(now)
-        now = new
-        if not moved:
-            roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-    raise RuntimeError("components did not settle")
+        now, state, before = new, moved, state
+        if state == before:
+            break
+    else:
+        if state[0]:
+            raise RuntimeError("components did not settle")
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges in a written table, and what tells one set of edges from another: their number and two sums of hashes."""
+    seen = Observation()
+    sums = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    out = written(edges.observe(seen, F.count("*").alias("n"), *sums), "edges")
+    return out, (seen.get["n"], seen.get["h1"], seen.get["h2"])

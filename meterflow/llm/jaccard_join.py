@@ -178,51 +178,74 @@ def _folded(points: list[bytes]) -> np.ndarray:
     return np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
 
 
-def near(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Pairs (row numbers) that connect all pairs of ``left`` and ``right`` that survive the bound: a spanning forest."""
-    tree = RTree(points[right], sizes[right])
-    label = np.arange(len(sizes))
+def forest(left: np.ndarray, right: np.ndarray, search, verify) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``left`` and ``right`` (row numbers; the same rows, or disjoint ones).
+
+    Each row looks among the other side's rows that no tree has reached yet, so that a group whose rows all link is
+    connected by a few searches.  ``search(row, of_left)`` gives candidates, ``verify(row, candidates)`` those that link.
+    """
+    reached = np.zeros(int(max(left.max(), right.max())) + 1, dtype=bool)
+    both = left is right
+    is_left = np.zeros(len(reached), dtype=bool)
+    is_left[left] = True
+    open_left, open_right = len(left), len(right)  # rows not reached
     out = []
-    for a in left.tolist():
-        found = right[tree.search(points[a], int(sizes[a]), threshold)]
-        others, first = np.unique(label[found], return_index=True)
-        for other, b in zip(others.tolist(), found[first].tolist(), strict=True):
-            if other != label[a]:
-                out.append((a, b))
-        label[np.isin(label, others)] = label[a]
+    for seed in left.tolist():
+        if reached[seed]:
+            continue
+        reached[seed] = True
+        open_left -= 1
+        open_right -= both
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            if not (open_right if is_left[x] else open_left):
+                continue
+            found = search(x, not is_left[x] or both)
+            found = verify(x, found[~reached[found]])
+            if len(found):
+                reached[found] = True
+                open_left -= len(found) if both or not is_left[x] else 0
+                open_right -= len(found) if both or is_left[x] else 0
+                out += [(x, y) for y in found.tolist()]
+                queue += found.tolist()
+        if both and not open_left:
+            break
     return out
 
 
+def _searches(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int):
+    trees = {}
+
+    def search(row: int, of_left: bool) -> np.ndarray:
+        side = left if of_left else right
+        if of_left not in trees:
+            trees[of_left] = RTree(points[side], sizes[side])
+        return side[trees[of_left].search(points[row], int(sizes[row]), threshold)]
+
+    return search
+
+
+def near(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Pairs (row numbers) that connect all pairs of ``left`` and ``right`` that survive the bound: a spanning forest."""
+    return forest(left, right, _searches(points, sizes, left, right, threshold), lambda _, found: found)
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links between sets of ``left`` and of ``right`` (row numbers) that connect all that is linked: a spanning forest."""
     n = np.array([len(s) for s in sets])
     points = _folded([p for s in sets for p in count_points(s, np.array([0, len(s)]))])
-    tree = RTree(points[right], n[right])
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
-    for a in left.tolist():
-        found = right[tree.search(points[a], int(n[a]), threshold)]
-        if len(found) > 1:  # likely links first
-            found = found[np.argsort(-(np.minimum(points[a], points[found]).sum(axis=1) / (n[a] + n[found])), kind="stable")]
-        root = find(a)
-        for b in found.tolist():
-            other = find(b)
-            if other == root:
-                continue
-            x, y = (sets[a], sets[b]) if n[a] >= n[b] else (sets[b], sets[a])
+    def verify(a: int, found: np.ndarray) -> np.ndarray:
+        own, keep = sets[a], np.zeros(len(found), dtype=bool)
+        for i, b in enumerate(found.tolist()):
+            x, y = (own, sets[b]) if n[a] >= n[b] else (sets[b], own)
             at = np.searchsorted(x, y)
             both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            if 100 * both >= threshold * (n[a] + n[b] - both):
-                out.append((a, b))
-                parent[other] = root
-    return out
+            keep[i] = 100 * both >= threshold * (n[a] + n[b] - both)
+        return found[keep]
+
+    return forest(left, right, _searches(points, n, left, right, threshold), verify)
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> pa.Array:
@@ -329,7 +352,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 continue
             spots = t["point"].to_pylist()
             sizes, side = t["n_shingles"].to_numpy()[first], t["mine"].to_numpy()[first]
-            left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+            left = np.flatnonzero(side == side.min())
+            right = left if side.min() == side.max() else np.flatnonzero(side == side.max())
             pairs = near(_folded([spots[i] for i in first.tolist()]), sizes, left, right, threshold)
             if pairs:
                 ends = keys[np.array(pairs)]
@@ -353,7 +377,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             data, offsets = string_parts(t["shingles"])
             sets = [np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.uint64) for i in first.tolist()]
             side = t["mine"].to_numpy()[first]
-            left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+            left = np.flatnonzero(side == side.min())
+            right = left if side.min() == side.max() else np.flatnonzero(side == side.max())
             pairs += [(keys[a], keys[b]) for a, b in linked(sets, left, right, threshold)]
             if len(pairs) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
