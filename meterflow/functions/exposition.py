@@ -14,6 +14,7 @@ LABEL_NAME = "[a-zA-Z_][a-zA-Z0-9_]*+"
 VALUE = r'[^"\\]*+(?:\\[\\"n][^"\\]*+)*+'
 PAIR = rf'({LABEL_NAME})[ \t]*+=[ \t]*+"({VALUE})"'
 ONE = rf'{LABEL_NAME}[ \t]*+=[ \t]*+"{VALUE}"[ \t]*+'
+PAIRS = rf'[ \t]*+\{{?+[ \t]*+{PAIR}[ \t]*+(?:,[ \t]*+)?+\}}?+'
 BLOCK = rf"\{{[ \t]*+(?:{ONE}(?:,[ \t]*+{ONE})*+(?:,[ \t]*+)?+)?+\}}"
 LINE = (
     rf"(?sd)\A[ \t]*+({NAME})([ \t]*+(?:{BLOCK})?+)[ \t]*+(?!\{{)([^ \t]++)"
@@ -60,34 +61,75 @@ def unescape_label_value(value: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a one-element transform."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def line_fields(text: Column) -> Column:
+    """name, label block, value and timestamp of a line in one match (a line holds no line break); one element if malformed."""
+    return F.split(F.regexp_replace(text, LINE, "$1\n$2\n$3\n$4"), "\n")
+
+
+def label_parts(block: Column) -> Column:
+    """Names and raw values in turn."""
+    parts = F.split(F.regexp_replace(block, PAIRS, "$1\n$2\n"), "\n")
+    return F.when(F.contains(block, F.lit('"')), parts).otherwise(F.array(F.lit("")))
+
+
+def _names(parts: Column) -> Column:
+    return F.filter(parts, lambda x, i: (i % 2 == 0) & (i + 1 < F.size(parts)))
+
+
+def _pairs(parts: Column) -> Column:
+    plain = lambda v: F.when(F.contains(v, F.lit("\\")), unescape_label_value(v)).otherwise(v)
+    values = F.filter(parts, lambda x, i: i % 2 == 1)
+    return F.zip_with(_names(parts), values, lambda n, v: F.struct(n.alias("name"), plain(v).alias("value")))
+
+
 def label_names(block: Column) -> Column:
-    return F.regexp_extract_all(block, F.lit(PAIR), F.lit(1))
+    return let(label_parts(block), _names)
 
 
 def parse_label_block(block: Column) -> Column:
     """array<struct<name, value>> in the order of the text."""
-    values = F.regexp_extract_all(block, F.lit(PAIR), F.lit(2))
-    return F.transform(F.arrays_zip(label_names(block).alias("name"), values.alias("value")), lambda p: F.struct(p["name"].alias("name"), unescape_label_value(p["value"]).alias("value")))
+    return let(label_parts(block), _pairs)
+
+
+def parse_line(text: Column) -> Column:
+    """struct<name, block, value, ts_ms, labels, error> of a sample line; ts_ms is null without timestamp, error if sound."""
+
+    def judged(f: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
+        read = F.struct(label_parts(part(1)).alias("parts"), parse_metric_value(part(2)).alias("value"), parse_sample_timestamp(part(3)).alias("ts_ms"))
+        return let(read, lambda r: F.struct(part(0).alias("name"), part(1).alias("block"), r["value"].alias("value"), r["ts_ms"].alias("ts_ms"), _pairs(r["parts"]).alias("labels"), _error(f, part(3), r).alias("error")))
+
+    def _error(f: Column, ts: Column, r: Column) -> Column:
+        names = _names(r["parts"])
+        return (
+            F.when(F.size(f) < 4, "malformed line")
+            .when(F.array_contains(names, "__name__"), "__name__ inside braces")
+            .when(F.size(F.array_distinct(names)) < F.size(names), "duplicate label name")
+            .when(F.size(names) + 1 > MAX_LABELS, "too many labels")
+            .when(r["value"].isNull(), "malformed value")
+            .when((ts != "") & r["ts_ms"].isNull(), "malformed timestamp")
+        )
+
+    return let(line_fields(text), judged)
 
 
 def line_error(text: Column) -> Column:
     """Why a sample line is malformed, or null."""
-    block, ts = F.regexp_extract(text, LINE, 2), F.regexp_extract(text, LINE, 4)
-    names = label_names(block)
-    return (
-        F.when(~text.rlike(LINE), "malformed line")
-        .when(F.array_contains(names, "__name__"), "__name__ inside braces")
-        .when(F.size(F.array_distinct(names)) < F.size(names), "duplicate label name")
-        .when(F.size(names) + 1 > MAX_LABELS, "too many labels")
-        .when(parse_metric_value(F.regexp_extract(text, LINE, 3)).isNull(), "malformed value")
-        .when((ts != "") & parse_sample_timestamp(ts).isNull(), "malformed timestamp")
-    )
+    return parse_line(text)["error"]
+
+
+def identity_of(name: Column, block: Column) -> Column:
+    return F.when(F.contains(block, F.lit("{")), F.concat(name, block)).otherwise(name)
 
 
 def series_identity(text: Column) -> Column:
     """The raw text from the metric name through the closing brace: identity is textual."""
-    name, block = F.regexp_extract(text, LINE, 1), F.regexp_extract(text, LINE, 2)
-    return F.when(F.contains(block, F.lit("{")), F.concat(name, block)).otherwise(name)
+    return let(line_fields(text), lambda f: identity_of(F.get(f, F.lit(0)), F.coalesce(F.get(f, F.lit(1)), F.lit(""))))
 
 
 def body_format(content_type: Column) -> Column:

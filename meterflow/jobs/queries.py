@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, each beside the SQL that gives the same rows.
 
-Scrape bodies are rendered from ``events``: a target is user_id % 20, a scrape is a day, a line is an event; every event whose
-id is divisible by 997 is a malformed line, which fails its whole body.  Label sets come from ``customer`` and ``nation``,
+Scrape bodies are rendered from ``events``: a target is a user, a scrape is a day of one, a line is an event, so that bodies
+stay short and grow in number; every event whose id is divisible by 997 is a malformed line, which fails its whole body.  Label sets come from ``customer`` and ``nation``,
 groups from ``supplier``, Kubernetes snapshots from ``part``, ``orders``, ``lineitem`` and ``customer``.
 """
 
@@ -49,21 +49,28 @@ def scrapes(spark, sf: str) -> DataFrame:
     value = F.when(F.col("event_id") % 997 == 0, "oops").otherwise(F.col("value").cast("string"))
     line = F.concat("event_type", F.lit('{k="'), F.get_json_object("props", "$.k"), F.lit('",user="'), "user_id", F.lit('",id="'), "event_id", F.lit('"} '), value, F.lit(" "), "ms")
     day = F.floor(F.col("ms") / DAY_MS)
-    e = e.select((F.col("user_id") % 20).alias("t"), day.alias("d"), F.struct("event_id", line.alias("line")).alias("x"))
+    e = e.select(F.col("user_id").alias("t"), day.alias("d"), F.struct("event_id", line.alias("line")).alias("x"))
     g = e.groupBy("t", "d").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return g.select((F.col("d") * 100 + F.col("t")).alias("scrape_id"), F.concat(F.lit("t"), "t").alias("target_id"), (F.col("d") * DAY_MS).alias("start_ms"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body"), F.lit(0.5).alias("duration_s"), F.lit(None).cast("string").alias("fetch_error"))
+    return g.select((F.col("d") * 10_000_000_000 + F.col("t")).alias("scrape_id"), F.concat(F.lit("t"), "t").alias("target_id"), (F.col("d") * DAY_MS).alias("start_ms"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body"), F.lit(0.5).alias("duration_s"), F.lit(None).cast("string").alias("fetch_error"))
 
 
 RULES = [Rule("drop", ("__name__",), regex="err.*"), Rule("replace", ("user",), regex="(.*)", target_label="customer", replacement="c-$1"), Rule("labeldrop", regex="user")]
 
 
+def own_labels():
+    return F.create_map(F.lit("job"), F.lit("events"), F.lit("k"), F.lit("target"), F.lit("instance"), F.col("target_id"))
+
+
+def stats(spark, sf: str) -> DataFrame:
+    return S.scrape_stats(S.fail_malformed_bodies(scrapes(spark, sf)), own_labels(), RULES)
+
+
 def pipeline(spark, sf: str):
-    target = F.create_map(F.lit("job"), F.lit("events"), F.lit("k"), F.lit("target"), F.lit("instance"), F.col("target_id"))
-    return S.scrape_pipeline(scrapes(spark, sf), target, RULES, F.create_map(F.lit("region"), F.lit("eu"), F.lit("job"), F.lit("unused")))
+    return S.scrape_pipeline(scrapes(spark, sf), own_labels(), RULES, F.create_map(F.lit("region"), F.lit("eu"), F.lit("job"), F.lit("unused")))
 
 
-EV = f"""e AS (SELECT *, user_id % 20 AS t, (epoch_us(ts) // 1000) // {DAY_MS} AS d, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events),
-n AS (SELECT *, d * 100 + t AS scrape_id, row_number() OVER (PARTITION BY t, d ORDER BY event_id) AS line_no FROM e),
+EV = f"""e AS (SELECT *, user_id AS t, (epoch_us(ts) // 1000) // {DAY_MS} AS d, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events),
+n AS (SELECT *, d * 10000000000 + t AS scrape_id, row_number() OVER (PARTITION BY t, d ORDER BY event_id) AS line_no FROM e),
 s AS (SELECT scrape_id, 't' || any_value(t) AS target_id, any_value(d) * {DAY_MS} AS start_ms, count(*) AS lines,
         count(*) FILTER (event_type NOT LIKE 'err%') AS good, min(line_no) FILTER (event_id % 997 = 0) AS bad FROM n GROUP BY scrape_id)"""
 
@@ -79,15 +86,15 @@ def fail_malformed_bodies(spark, sf):
     return S.fail_malformed_bodies(scrapes(spark, sf)).select("scrape_id", "error", "error_line", "scraped")
 
 
-@query(f"WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' WHEN lines > 12 THEN 'sample limit exceeded' END AS error, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL AND lines <= 12 THEN lines ELSE 0 END::INTEGER AS passed FROM s")
+@query(f"WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' WHEN lines > 3 THEN 'sample limit exceeded' END AS error, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL AND lines <= 3 THEN lines ELSE 0 END::INTEGER AS passed FROM s")
 def enforce_sample_limit(spark, sf):
-    return S.fail_malformed_bodies(scrapes(spark, sf), sample_limit=12).select("scrape_id", "error", "scraped", F.size("lines").alias("passed"))
+    return S.fail_malformed_bodies(scrapes(spark, sf), sample_limit=3).select("scrape_id", "error", "scraped", F.size("lines").alias("passed"))
 
 
 @query(f"""WITH {EV}, b AS (SELECT scrape_id, sum(octet_length(encode(event_type || '{{k="' || k || '",user="' || user_id || '",id="' || event_id || '"}} ' || CASE WHEN event_id % 997 = 0 THEN 'oops' ELSE value::VARCHAR END || ' ' || ms)) + 1) - 1 AS bytes FROM n GROUP BY 1)
-SELECT scrape_id, bytes > 1000 AS too_big FROM b""")
+SELECT scrape_id, bytes > 200 AS too_big FROM b""")
 def enforce_body_size_limit(spark, sf):
-    df = S.fail_malformed_bodies(scrapes(spark, sf), body_limit=1000)
+    df = S.fail_malformed_bodies(scrapes(spark, sf), body_limit=200)
     return df.select("scrape_id", F.coalesce(F.col("error") == "body size limit exceeded", F.lit(False)).alias("too_big"))
 
 
@@ -105,7 +112,7 @@ def shown(labels: str, sort: bool = False):
 
 @query(f"WITH {EV} SELECT scrape_id, target_id, start_ms, (bad IS NULL)::INTEGER AS up, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL THEN good ELSE 0 END AS kept FROM s")
 def scrape_stats(spark, sf):
-    return S.scrape_stats(*pipeline(spark, sf)).drop("duration_s", "error")
+    return stats(spark, sf).drop("duration_s", "error")
 
 
 @query(f"""WITH {EV}, r AS (SELECT scrape_id, start_ms AS ts_ms, (bad IS NULL)::DOUBLE AS up, CASE WHEN bad IS NULL THEN lines ELSE 0 END::DOUBLE AS a, CASE WHEN bad IS NULL THEN good ELSE 0 END::DOUBLE AS b FROM s)
@@ -113,18 +120,18 @@ SELECT scrape_id, ts_ms, 'up' AS name, up AS value FROM r UNION ALL SELECT scrap
 UNION ALL SELECT scrape_id, ts_ms, 'scrape_samples_scraped', a FROM r UNION ALL SELECT scrape_id, ts_ms, 'scrape_samples_post_metric_relabeling', b FROM r
 UNION ALL SELECT scrape_id, ts_ms, 'scrape_series_added', b FROM r""")
 def scrape_report_series(spark, sf):
-    return S.report_series(S.scrape_stats(*pipeline(spark, sf))).select("scrape_id", "ts_ms", "name", "value")
+    return S.report_series(stats(spark, sf)).select("scrape_id", "ts_ms", "name", "value")
 
 
 @query(f"""WITH {EV}, o AS (SELECT *, bad IS NOT NULL AS f, lag(bad IS NOT NULL) OVER (PARTITION BY target_id ORDER BY start_ms) AS p, sum((bad IS NULL)::INT) OVER (PARTITION BY target_id ORDER BY start_ms) AS i FROM s)
 SELECT scrape_id, CASE WHEN f AND coalesce(NOT p, true) THEN 'down' WHEN NOT f AND p THEN 'recovered' WHEN f THEN 'failing' END AS transition, sum(f::INT) OVER (PARTITION BY target_id, i ORDER BY start_ms)::BIGINT AS failures FROM o""")
 def scrape_health_transitions(spark, sf):
-    return S.scrape_health_transitions(S.scrape_stats(*pipeline(spark, sf))).select("scrape_id", "transition", "failures")
+    return S.scrape_health_transitions(stats(spark, sf)).select("scrape_id", "transition", "failures")
 
 
 @query(f"WITH {EV} SELECT (start_ms // {7 * DAY_MS} * {7 * DAY_MS})::BIGINT AS bucket_ms, count(*) AS scrapes, count(bad) AS failures, sum(CASE WHEN bad IS NULL THEN lines ELSE 0 END)::BIGINT AS samples_scraped, sum(CASE WHEN bad IS NULL THEN good ELSE 0 END)::BIGINT AS samples_kept FROM s GROUP BY 1")
 def ingestion_metrics(spark, sf):
-    return S.ingestion_metrics(S.scrape_stats(*pipeline(spark, sf)), 7 * DAY_MS)
+    return S.ingestion_metrics(stats(spark, sf), 7 * DAY_MS)
 
 
 @query("""SELECT event_id, value AS parsed, CASE event_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN NULL WHEN 2 THEN '-inf' ELSE 'inf' END AS special, event_id * 1000 + 500 AS from_seconds, event_id AS from_ms FROM events""")

@@ -128,10 +128,17 @@ def _project(labels: Column, r: Rule) -> Column:
     return F.map_filter(labels, lambda k, v: k.rlike(anchored(r.regex)))
 
 
-def relabel(df: DataFrame, rules: list[Rule], column: str = "labels") -> DataFrame:
-    """Rows that all rules keep, with their new labels; empty labels go at the end of the chain, also of an empty one."""
+def relabel(df: DataFrame, rules: list[Rule], column: str = "labels", flag: str | None = None) -> DataFrame:
+    """Rows that all rules keep, with their new labels; empty labels go at the end of the chain, also of an empty one.
+
+    With ``flag`` no row goes: that column says whether all rules keep it (null labels are not kept)."""
     validate_relabel_rules(rules)
+    if flag:
+        df = df.withColumn(flag, F.col(column).isNotNull())
     for r in rules:
         kept = _filter(F.col(column), r)
-        df = df.where(kept) if kept is not None else df.withColumn(column, _project(F.col(column), r))
+        if kept is None:
+            df = df.withColumn(column, _project(F.col(column), r))
+        else:
+            df = df.withColumn(flag, F.col(flag) & kept) if flag else df.where(kept)
     return df.withColumn(column, L.drop_empty_labels(F.col(column)))

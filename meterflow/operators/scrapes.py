@@ -20,57 +20,65 @@ REPORTS = ("up", "scrape_duration_seconds", "scrape_samples_scraped", "scrape_sa
 def fail_malformed_bodies(scrapes: DataFrame, body_limit: int = BODY_LIMIT, sample_limit: int = 0) -> DataFrame:
     """``scrapes`` (scrape_id, target_id, start_ms, body string, duration_s, fetch_error) with lines, error and error_line.
 
-    ``lines`` holds the sample lines of a sound body and is empty otherwise; ``scraped`` counts them, also when the sample
-    limit fails the scrape.  A limit of 0 is off; a null body counts as empty.
+    ``lines`` holds the parsed sample lines of a sound body (line_no and the fields of ``parse_line``) and is empty
+    otherwise; ``scraped`` counts them, also when the sample limit fails the scrape.  A limit of 0 is off; a null body
+    counts as empty.  Every line is matched once.
     """
-    lines = F.filter(X.explode_lines(F.coalesce(F.col("body"), F.lit(""))), lambda x: X.is_sample_line(x["text"]))
-    df = scrapes.withColumn("_lines", lines)
-    bad = F.filter(F.col("_lines"), lambda x: X.line_error(x["text"]).isNotNull())
-    df = df.withColumn("_bad", F.get(bad, F.lit(0)))
-    too_big = (F.octet_length(F.coalesce("body", F.lit(""))) > body_limit) if body_limit else F.lit(False)
+    body = F.coalesce(F.col("body"), F.lit(""))
+    lines = F.filter(X.explode_lines(body), lambda x: X.is_sample_line(x["text"]))
+    parsed = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), X.parse_line(x["text"]).alias("p")))
+    df = scrapes.withColumn("_lines", parsed)
+    df = df.withColumn("_bad", F.get(F.filter("_lines", lambda x: x["p"]["error"].isNotNull()), F.lit(0)))
+    too_big = (F.octet_length(body) > body_limit) if body_limit else F.lit(False)
     broken = F.col("fetch_error").isNotNull() | too_big | F.col("_bad").isNotNull()
     many = (F.size("_lines") > sample_limit) if sample_limit else F.lit(False)
     return df.withColumns(
         {
             "error": F.when(F.col("fetch_error").isNotNull(), F.col("fetch_error"))
             .when(too_big, "body size limit exceeded")
-            .when(F.col("_bad").isNotNull(), X.line_error(F.col("_bad.text")))
+            .when(F.col("_bad").isNotNull(), F.col("_bad.p.error"))
             .when(many, "sample limit exceeded"),
             "error_line": F.when(F.col("fetch_error").isNull() & ~too_big, F.col("_bad.line_no")),
             "scraped": F.when(broken, 0).otherwise(F.size("_lines")).cast("bigint"),
-            "lines": F.when(broken | many, F.filter("_lines", lambda x: F.lit(False))).otherwise(F.col("_lines")),
+            "lines": F.when(broken | many, F.slice("_lines", 1, 0)).otherwise(F.col("_lines")),
         }
     ).drop("_lines", "_bad")
 
 
-def parse_samples(judged: DataFrame, honor_timestamps: bool = True) -> DataFrame:
-    """One row per sample line of sound bodies: line_no, identity, labels (map in text order, __name__ first), value, ts_ms."""
-    df = judged.select("scrape_id", "target_id", "start_ms", F.explode("lines").alias("line"))
-    text = F.col("line.text")
-    df = df.withColumns({"line_no": F.col("line.line_no"), "_name": F.regexp_extract(text, X.LINE, 1), "_block": F.regexp_extract(text, X.LINE, 2), "_ts": F.regexp_extract(text, X.LINE, 4), "value": X.parse_metric_value(F.regexp_extract(text, X.LINE, 3)), "identity": X.series_identity(text)})
-    own = F.transform(X.parse_label_block(F.col("_block")), lambda p: F.struct(p["name"].alias("key"), p["value"].alias("value")))
-    head = F.array(F.struct(F.lit("__name__").alias("key"), F.col("_name").alias("value")))
-    ts = F.coalesce(X.parse_sample_timestamp(F.col("_ts")), F.col("start_ms")) if honor_timestamps else F.col("start_ms")
-    df = df.withColumns({"labels": F.map_from_entries(F.concat(head, own)), "ts_ms": ts})
-    return df.drop("line", "_name", "_block", "_ts")
+def parse_samples(judged: DataFrame, honor_timestamps: bool = True, outer: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per sample line of sound bodies: line_no, identity, labels (map in text order, __name__ first), value, ts_ms.
+
+    With ``outer`` a scrape without samples has one row of null labels."""
+    each = F.explode_outer("lines") if outer else F.explode("lines")
+    df = judged.select("scrape_id", "target_id", "start_ms", *carry, each.alias("line"))
+    own = F.transform("line.p.labels", lambda p: F.struct(p["name"].alias("key"), p["value"].alias("value")))
+    head = F.array(F.struct(F.lit("__name__").alias("key"), F.col("line.p.name").alias("value")))
+    ts = F.coalesce("line.p.ts_ms", "start_ms") if honor_timestamps else F.col("start_ms")
+    columns = {"line_no": F.col("line.line_no"), "value": F.col("line.p.value"), "identity": X.identity_of(F.col("line.p.name"), F.col("line.p.block")), "labels": F.map_from_entries(F.concat(head, own)), "ts_ms": ts}
+    if outer:
+        columns["labels"] = F.when(F.col("line").isNotNull(), columns["labels"])
+    return df.withColumns(columns).drop("line")
+
+
+def _labelled(df: DataFrame, target_labels: Column, rules: list[Rule], external: Column | None, honor_labels: bool, flag: str | None = None) -> DataFrame:
+    df = relabel(df.withColumn("labels", L.merge_target_labels(F.col("labels"), target_labels, F.lit(honor_labels))), rules, flag=flag)
+    return df if external is None else df.withColumn("labels", L.add_external_labels(F.col("labels"), external))
 
 
 def scrape_pipeline(scrapes: DataFrame, target_labels: Column, rules: list[Rule] = [], external: Column | None = None, honor_labels: bool = False, honor_timestamps: bool = True, body_limit: int = BODY_LIMIT, sample_limit: int = 0) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """(judged scrapes, final samples): parse, merge target labels, metric relabeling, external labels, sorted labels."""
     judged = fail_malformed_bodies(scrapes, body_limit, sample_limit)
-    df = parse_samples(judged, honor_timestamps)
-    df = df.withColumn("labels", L.merge_target_labels(F.col("labels"), target_labels, F.lit(honor_labels)))
-    df = relabel(df, rules)
-    if external is not None:
-        df = df.withColumn("labels", L.add_external_labels(F.col("labels"), external))
+    df = _labelled(parse_samples(judged, honor_timestamps), target_labels, rules, external, honor_labels)
     return judged, df.withColumn("labels", L.sort_labels(F.col("labels")))
 
 
-def scrape_stats(judged: DataFrame, samples: DataFrame) -> DataFrame:
-    """scrape_id, target_id, start_ms, up, scraped, kept of every scrape, empty and failed ones included."""
-    kept = samples.groupBy(F.col("scrape_id").alias("_s")).agg(F.count("*").alias("kept"))
-    out = judged.select("scrape_id", "target_id", "start_ms", "duration_s", "error", "scraped").join(kept, F.col("scrape_id") == F.col("_s"), "left")
-    return out.select("scrape_id", "target_id", "start_ms", "duration_s", "error", F.col("error").isNull().cast("int").alias("up"), "scraped", F.coalesce("kept", F.lit(0)).alias("kept"))
+def scrape_stats(judged: DataFrame, target_labels: Column, rules: list[Rule] = [], honor_labels: bool = False) -> DataFrame:  # noqa: B006
+    """scrape_id, target_id, start_ms, duration_s, error, up, scraped and kept (samples after relabeling) of every judged
+    scrape, empty and failed ones included, in one pass over the bodies."""
+    carry = ("duration_s", "error", "scraped")
+    df = _labelled(parse_samples(judged, outer=True, carry=carry), target_labels, rules, None, honor_labels, flag="_kept")
+    by = df.groupBy("scrape_id").agg(*(F.first(c).alias(c) for c in ("target_id", "start_ms", *carry)), F.count_if("_kept").alias("kept"))
+    return by.select("scrape_id", "target_id", "start_ms", "duration_s", "error", F.col("error").isNull().cast("int").alias("up"), "scraped", "kept")
 
 
 def report_series(stats: DataFrame) -> DataFrame:
