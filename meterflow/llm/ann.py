@@ -1,11 +1,11 @@
 """Approximate nearest neighbours as a block matrix join.
 
-Queries and candidates are cut into blocks by a hash of their ids; every (query block, candidate block) tile is
-one group.  Inside a tile, vectors are quantised to int8 with one scale each, the integer products give a score
-with a proven error bound, everything whose upper bound reaches the k-th best lower bound survives, and the
-survivors are scored again in double precision (terms added in component order) and kept in a heap of k.  The
-heaps of one query are merged pairwise as they meet: first inside each task, then per query.  Because the
-bounds are sound, the result equals brute force.
+Every vector is quantised once to int8 with one scale; only codes and scales travel to the blocks.  Queries and candidates
+are cut into blocks by a hash of their ids; every (query block, candidate block) tile is one group.  Inside a tile the
+integer products give scores with a proven error bound, and whatever has an upper bound that reaches the query's k-th best
+lower bound survives.  Survivors are pruned again by the k-th best lower bound of all tiles, the vectors of the rest are
+fetched and scored in double precision (terms added in component order), and heaps of k are merged: first inside each task, then
+per query.  Because the bounds are sound, the result equals brute force.
 
 Edge cases: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no part, neither as
 query nor as candidate; vectors of different lengths are never compared; rows that repeat a query's id are its own
@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+from .words import lean
+
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -39,34 +42,43 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8), scale
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, terms added in component order."""
-    out = np.zeros(len(b))
-    for j in range(b.shape[1]):
-        out += a[j] * b[:, j]
-    return out
-
-
-def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query of the tile: its id, and ids and scores of its k nearest in the candidate block."""
-    qq, qs = quantised(q)
-    cq, cs = quantised(c)
-    q_abs, c_abs = np.abs(q).sum(axis=1), (np.abs(cq.astype(np.float64)) * cs[:, None]).sum(axis=1)
-    codes = cq.astype(np.float32)
-    for i in range(len(qid)):
-        # int8 products summed in float32 are exact below 2^24
-        near = (codes @ qq[i].astype(np.float32)).astype(np.float64) * (qs[i] * cs)
-        bound = (cs / 2) * q_abs[i] + (qs[i] / 2) * c_abs
-        bound += 1e-9 * (np.abs(near) + bound)
-        others = np.flatnonzero(cid != qid[i])
-        if not len(others):
-            continue
-        if len(others) > k:
-            low = near[others] - bound[others]
-            others = others[near[others] + bound[others] >= np.partition(low, len(low) - k)[len(low) - k]]
-        score = exact(q[i], c[others])
-        best = np.lexsort((cid[others], -score))[:k]
-        yield qid[i], cid[others][best], score[best]
+CODES = "row long, id long, is_q boolean, dims int, code binary, scale double, mass double, code_mass double"
+
+
+def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        dims = b.column("dims").to_numpy()
+        for d in np.unique(dims).tolist():
+            part = b.filter(pa.array(dims == d))
+            x = _matrix(part.column("_v"))
+            code, scale = quantised(x)
+            mass = pa.array(np.abs(x).sum(axis=1))
+            code_mass = pa.array(np.abs(code.astype(np.float64)).sum(axis=1) * scale)
+            raw = code.tobytes()
+            own = [part.column(c) for c in ("row", "id", "is_q", "dims")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([raw[i * d : i * d + d] for i in range(len(x))], pa.binary()), pa.array(scale), mass, code_mass], [f.split()[0] for f in CODES.split(", ")])
+
+
+def tile(q: pa.Table, c: pa.Table, k: int, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Survivors of a tile: row numbers in ``q`` and in ``c``, lower and upper bounds of their scores."""
+    d = q["dims"][0].as_py()
+    # products of int8 codes summed in float32 are exact below 2^24
+    kind = np.float32 if d * 127 * 127 < 1 << 24 else np.float64
+    codes = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(-1, d).astype(kind)
+    number = lambda t, name: t[name].to_numpy()
+    qq, cq = codes(q), codes(c).T
+    cs, cm, cid = number(c, "scale"), number(c, "code_mass"), number(c, "id")
+    qs, qm, qid = number(q, "scale"), number(q, "mass"), number(q, "id")
+    for i in range(0, len(qq), step):
+        j = slice(i, i + step)
+        score = (qq[j] @ cq).astype(np.float64) * (qs[j, None] * cs)
+        bound = qm[j, None] * (cs / 2) + (qs[j, None] / 2) * cm
+        bound += 1e-9 * (np.abs(score) + bound)
+        own = qid[j, None] == cid
+        low, high = np.where(own, -np.inf, score - bound), score + bound
+        least = np.partition(low, len(cid) - k, axis=1)[:, len(cid) - k, None] if len(cid) > k else -np.inf
+        rows, columns = np.nonzero((high >= least) & ~own)
+        yield rows + i, columns, low[rows, columns], high[rows, columns]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -77,32 +89,35 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 8192, query_block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of largest inner product for every query row: query_id, rank, vec_id, score.
 
-    ``block`` and ``query_block`` are rows per block; the volume moved is rows * query blocks + queries * blocks.
+    ``block`` and ``query_block`` are rows per block; the codes moved (a byte a component) are rows * query blocks +
+    queries * blocks, the vectors those of some k survivors a query.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("_v"), is_query.alias("is_q"))
-    v = v.where(F.col("id").isNotNull() & _usable(F.col("_v")))
+    v = v.where(F.col("id").isNotNull() & _usable(F.col("_v"))).withColumns({"is_q": F.coalesce("is_q", F.lit(False)), "dims": F.size("_v"), "row": F.monotonically_increasing_id()})
+    v = written(v, "vectors")
     sizes = v.agg(F.count("*").alias("n"), F.count_if("is_q").alias("q")).first()
     n_c, n_q = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // query_block))
+    codes = v.mapInArrow(lean(_quantise), CODES)
     own = F.xxhash64("id", F.lit(7))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dims = F.size("_v").alias("dims")
-    c = v.select("id", "_v", dims, F.pmod(own, F.lit(n_c)).cast("int").alias("cb"), numbers(n_q).alias("qb"))
-    q = v.where("is_q").select("id", "_v", dims, F.pmod(own, F.lit(n_q)).cast("int").alias("qb"), numbers(n_c).alias("cb"))
+    c = codes.select("row", "id", "dims", "code", "scale", "code_mass", F.pmod(own, F.lit(n_c)).cast("int").alias("cb"), numbers(n_q).alias("qb"))
+    q = codes.where("is_q").select("row", "id", "dims", "code", "scale", "mass", F.pmod(own, F.lit(n_q)).cast("int").alias("qb"), numbers(n_c).alias("cb"))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            qid, cid = left["id"].to_numpy(), right["id"].to_numpy()
-            for i, ids, scores in tile(qid, _matrix(left["_v"]), cid, _matrix(right["_v"]), k):
-                out[0].append(np.full(len(ids), i))
-                out[1].append(ids)
-                out[2].append(scores)
-        kinds = (np.int64, np.int64, np.float64)
-        cols = [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(out, kinds, strict=True)]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
+        found = list(tile(left, right, k)) if left.num_rows and right.num_rows else []
+        rows, columns, low, high = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+        ids = [left["row"].to_numpy()[rows], right["row"].to_numpy()[columns]]
+        return pa.table([*(pa.array(x, pa.int64()) for x in ids), *(pa.array(x, pa.float64()) for x in (low, high))], names=["q_row", "c_row", "low", "high"])
 
     keys = ["dims", "qb", "cb"]
-    heaps = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(join, SCHEMA).mapInArrow(_merged(k), SCHEMA)
+    pairs = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(join, "q_row long, c_row long, low double, high double")
+    least = F.nth_value("low", k).over(Window.partitionBy("q_row").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pairs = pairs.withColumn("least", least).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("q_row", "c_row")
+    a = v.where("is_q").select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("_v").alias("a"))
+    b = v.select(F.col("row").alias("c_row"), F.col("id").alias("vec_id"), F.col("_v").alias("b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    scored = pairs.join(b, "c_row").join(a, "q_row").select("query_id", "vec_id", product.alias("score"))
+    heaps = scored.mapInArrow(lean(_merged(k)), SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

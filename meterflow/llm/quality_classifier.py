@@ -10,7 +10,7 @@ word as written (capitals, closing punctuation), and in eighths the shares of wo
 weight.
 
 The fit uses at most ``max_train`` labelled rows (a documented bound; those with the smallest hashes of doc_id), gathered
-in one task as lists of features; scoring reads all rows.
+in one task as lists of features; labelled texts of over ``max_bytes`` take no part in the fit.  Scoring reads all rows.
 
 Edge cases: null and empty texts have no feature and get the model's intercept; labels with a null rating or null id are
 not used; ids labelled twice count twice; documents without label are scored alike; null ids are scored; without any
@@ -146,9 +146,10 @@ def _cuts(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
 
 
-def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, text: str = "text", grade: str = "grade", doc_id: str = "doc_id") -> Model:
+def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, max_bytes: int = 1 << 20, text: str = "text", grade: str = "grade", doc_id: str = "doc_id") -> Model:
     """The model of at most ``max_train`` rows of ``labelled``, fitted in one task over their features."""
-    rows = labelled.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull())
+    short = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) <= max_bytes
+    rows = labelled.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull() & short)
     rows = rows.select(F.col(text).cast("string").alias("t"), F.col(grade).cast("int").alias("grade"), F.xxhash64(doc_id).alias("u"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sampled(labels: DataFrame, n: int) -> DataFrame:
     """At most n labels, those of the smallest hashes of their ids."""
-    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic = 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def quality_model(spark, docs: DataFrame, sf_dir: str, max_train: int = 8192) -> Model:

@@ -13,7 +13,7 @@ reference to the response.
 
 Edge cases: null html is an empty payload; null url is written without WARC-Target-URI and read as null; a null page_id
 never becomes the response of others unless all of a group are null; rows that repeat the smallest page_id of a group
-are all responses; line breaks in urls are percent-encoded in the header; one record larger than an archive has an
+are all responses (record ids still differ); line breaks in urls are percent-encoded in the header; one record larger than an archive has an
 archive of its own; too few bytes for training give a raw dictionary, or none below 8 bytes; an empty table gives no
 archive; extra columns are ignored.
 """
@@ -21,6 +21,7 @@ archive; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
@@ -28,10 +29,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard as zstd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
+from .words import lean
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -42,23 +45,28 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def _one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP header of its response without the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None, revisit: bool, place: str) -> bytes:
+    """One WARC/1.1 record; a revisit has the HTTP header of its response without the payload.
+
+    ``place`` tells records apart.  Urls stand as they are; one with line breaks has them percent-encoded, and itself in a
+    header of its own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
+    name = uuid.uuid5(_SPACE, f"{place} {page_id} {digest}")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        plain = _one_line(url)
+        head += [f"WARC-Target-URI: {plain}", *([f"X-Original-URI: {json.dumps(url)}"] if plain != url else [])]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
-        if refers_to is not None:
-            head.append(f"X-Refers-To-Page-ID: {refers_to}")
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_one_line(refers_url)}")
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -85,10 +93,13 @@ def pack(records: list[bytes], level: int = 3) -> bytes:
     return b"".join(out)
 
 
-def unpack(content: bytes) -> Iterator[bytes]:
-    """The records of one archive."""
+def unpack(content: bytes, piece: int = 1 << 12) -> Iterator[bytes]:
+    """The records of one archive, frame by frame; a frame is fed in growing pieces, so that no frame sees the rest."""
     at, words, view = 0, None, memoryview(content)
+    reader = zstd.ZstdDecompressor()
     while at < len(content):
+        if len(content) - at < 8:
+            raise ValueError("truncated archive")
         magic, size = struct.unpack_from("<II", content, at)
         if magic == DICTIONARY_MAGIC:
             raw = bytes(view[at + 8 : at + 8 + size])
@@ -99,13 +110,15 @@ def unpack(content: bytes) -> Iterator[bytes]:
             at += 8 + size
             reader = zstd.ZstdDecompressor(dict_data=words)
             continue
-        if words is None and at == 0:
-            reader = zstd.ZstdDecompressor()
-        frame = reader.decompressobj()
-        yield frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError("truncated archive")
-        at = len(content) - len(frame.unused_data)
+        frame, parts, step = reader.decompressobj(), [], piece
+        while not frame.eof:
+            if at >= len(content):
+                raise ValueError("truncated archive")
+            parts.append(frame.decompress(view[at : at + step]))
+            at = min(at + step, len(content))
+            step = min(2 * step, 1 << 20)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> dict:
@@ -124,7 +137,7 @@ def parse(raw: bytes) -> dict:
     number = lambda k: int(fields[k]) if k in fields else None
     return {
         "page_id": number("X-Page-ID"),
-        "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+        "url": json.loads(fields["X-Original-URI"]) if "X-Original-URI" in fields else url,
         "record_type": fields["WARC-Type"],
         "refers_to": number("X-Refers-To-Page-ID"),
         "payload_bytes": size,
@@ -134,11 +147,11 @@ def parse(raw: bytes) -> dict:
 
 
 def with_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """page_id, url, payload, size, digest, first (the page_id of the payload's response, null without repeats)."""
+    """page_id, url, payload, size, digest, first and first_url (page_id and url of the payload's response, null without repeats)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     groups = p.where(F.col("size") >= min_revisit).groupBy(F.col("digest").alias("_digest"))
-    groups = groups.agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    groups = groups.agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return p.join(groups, F.col("digest") == F.col("_digest"), "left").drop("_digest")
 
 
@@ -147,7 +160,8 @@ def archive(pages: DataFrame, archive_bytes: int = 8 << 20, min_revisit: int = 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
-        held = 0
+        held = done = 0
+        task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             content = pack(records)
@@ -156,9 +170,10 @@ def archive(pages: DataFrame, archive_bytes: int = 8 << 20, min_revisit: int = 1
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, payload, size, digest, first = (batch.column(j)[i].as_py() for j in range(6))
+                page_id, url, payload, size, digest, first, first_url = (batch.column(j)[i].as_py() for j in range(7))
                 revisit = first is not None and first != page_id
-                records.append(record(page_id, url, payload, size, digest, first, revisit))
+                done += 1
+                records.append(record(page_id, url, payload, size, digest, first, first_url, revisit, f"{task} {done}"))
                 held += len(records[-1])
                 if held >= archive_bytes:
                     yield flush()
@@ -166,7 +181,7 @@ def archive(pages: DataFrame, archive_bytes: int = 8 << 20, min_revisit: int = 1
         if records:
             yield flush()
 
-    return with_revisits(pages, min_revisit).select("page_id", "url", "payload", "size", "digest", "first").mapInArrow(write, "archive_id string, content binary")
+    return with_revisits(pages, min_revisit).select("page_id", "url", "payload", "size", "digest", "first", "first_url").mapInArrow(lean(write), "archive_id string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -185,7 +200,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("content").mapInArrow(read, RECORDS)
+    return archives.select("content").mapInArrow(lean(read), RECORDS)
 
 
 def save(archives: DataFrame, folder: str) -> None:

@@ -142,6 +142,39 @@ def test_targets_and_tree():
     assert mixing.targets([0, 0], [5, 2]) == [0, 0]
 
 
+def test_mix_comes_near_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    mix = mixing.Mix(docs, shard_words=1 << 14, docs_per_block=4)
+    found = mix.placed(mix.sized).toPandas()
+    found["taken"] = found._size * found._copies.map(len)
+    for _, own in found.groupby("_source", dropna=False):
+        assert abs(own.taken.sum() - own._target.iloc[0]) <= own._size.max()
+    assert (found.taken <= 3 * found._size).all()
+    blocks = mix.blocks.toPandas()
+    per_shard = collections.Counter(s for x in blocks._shards for s in x)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1 and len(per_shard) > 3
+    out = mixing.op5_mix_sources(spark, SF).toPandas()
+    assert len(out) == docs.count() and (out.taken == out["size"] * out.shards.map(len)).all()
+    places = collections.defaultdict(list)
+    for r in out.itertuples():
+        for at in zip(r.shards, r.parts, r.places, strict=True):
+            places[at[:2]].append(at[2])
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in places.values())
+    again = mixing.op5_mix_sources(spark, SF).toPandas()
+    assert out.sort_values("doc_id").astype(str).values.tolist() == again.sort_values("doc_id").astype(str).values.tolist()
+
+
+def test_draws_walk_to_the_shards_of_the_tree():
+    quotas, shards = np.array([100, 37, 0, 5]), 7
+    tree = mixing.splitting_tree(quotas.tolist(), shards, 1)
+    source = np.repeat(np.arange(4), quotas)
+    index = np.concatenate([np.arange(n) for n in quotas])
+    order = rng.permutation(len(index))
+    got = np.empty(len(index), np.int64)
+    got[order] = mixing.shards_of(quotas, shards, 1, source[order], index[order])
+    assert got.tolist() == [s for i in range(4) for s in range(shards) for _ in range(tree[s, i])]
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
