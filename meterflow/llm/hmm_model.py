@@ -336,7 +336,7 @@ class LanguageModel:
         self.words = self.own - multi["own"] + multi["words"] + (self.ends > 0)
         for _ in range(rounds if self.tokens else 0):
             self._round()
-            if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < settled * abs(self.likelihoods[-2]):
+            if len(self.likelihoods) > 2 and self.likelihoods[-1] - self.likelihoods[-2] < settled * abs(self.likelihoods[-2]):
                 break
 
     def _expected(self, rows: DataFrame) -> np.ndarray:
