@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,21 +175,19 @@ def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, max_
 def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GRADES - 1, threshold: float = 0.4) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (P(grade >= select)) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.cut))
+    carried = docs.drop("expected_grade", "tail_probability", "kept")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema)
 
-    @F.pandas_udf("struct<expected_grade double, tail_probability double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weight, cut = shared.value
-        own = Model(weight.astype(np.float64), cut)
-        for s in batches:
-            batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(s, type=pa.large_string())], ["t"])
-            out = []
-            for _, data, offsets in slices(batch, "t", 1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for part, data, offsets in slices(batch, "_t", 1 << 20):
                 tails = own.tails(own.score(*features(data, offsets)))
-                out.append(np.column_stack([tails.sum(axis=1), tails[:, select - 1]]))
-            yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2)), columns=["expected_grade", "tail_probability"])
+                kept = part.drop_columns(["_t"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, select - 1])], [*kept.schema.names, "expected_grade", "tail_probability"])
 
-    scored = docs.withColumn("_q", run(F.col(text).cast("string")))
-    scored = scored.withColumns({"expected_grade": F.col("_q.expected_grade"), "tail_probability": F.col("_q.tail_probability")}).drop("_q")
+    rows = carried.withColumn("_t", F.col(text).cast("string"))
+    scored = rows.mapInArrow(lean(run), f"{kinds}expected_grade double, tail_probability double")
     return scored.withColumn("kept", F.col("tail_probability") >= F.lit(threshold))
 
 
