@@ -9,21 +9,30 @@ _DURATION = r"\A(?:([0-9]+)y)?(?:([0-9]+)w)?(?:([0-9]+)d)?(?:([0-9]+)h)?(?:([0-9
 _MS = (31_536_000_000, 604_800_000, 86_400_000, 3_600_000, 60_000, 1_000, 1)
 _SIZE = r"\A(?:[0-9]+(?:\.[0-9]+)?(?:B|[KMGTPE]i?B))+\z"
 _POWER = {"": 0, "K": 1, "M": 2, "G": 3, "T": 4, "P": 5, "E": 6}
+_MAX_BYTES = str(2**64 - 1)
 
 
 def parse_duration_ms(text: Column) -> Column:
-    """``1h30m`` and the like (each unit once, in descending order) as milliseconds; "0" is 0, malformed is null."""
+    """``1h30m`` and the like (each unit once, in descending order) as milliseconds; "0" is 0, malformed or too long is null."""
     total = F.lit(0).cast("bigint")
     for i, ms in enumerate(_MS, 1):
-        total = total + F.coalesce(F.regexp_extract(text, _DURATION, i).try_cast("bigint"), F.lit(0)) * ms
+        digits = F.regexp_extract(text, _DURATION, i)
+        n = F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
+        total = F.try_add(total, F.try_multiply(n, F.lit(ms).cast("bigint")))
     return F.when(text == "0", F.lit(0).cast("bigint")).when((text != "") & text.rlike(_DURATION), total)
 
 
 def parse_size_bytes(text: Column) -> Column:
-    """``1.5MiB``, ``1MiB512KiB`` as bytes, 1024-based, fractions truncated; "0" is 0, malformed is null."""
+    """``1.5MiB``, ``1MiB512KiB`` as bytes, 1024-based, fractions truncated; "0" is 0, malformed or above 2^64 - 1 is null."""
     numbers = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)([KMGTPE]?)i?B"), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)([KMGTPE]?)i?B"), F.lit(2))
-    scale = F.create_map(*[F.lit(x) for k, p in _POWER.items() for x in (k, 1024**p)])
-    sizes = F.zip_with(numbers, units, lambda n, u: F.floor(n.cast("decimal(38,9)") * F.element_at(scale, u)).cast("decimal(20,0)"))
-    total = F.aggregate(sizes, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
-    return F.when(text == "0", F.lit(0).cast("decimal(38,0)")).when(text.rlike(_SIZE), total)
+    scale = F.create_map(*[x for k, p in _POWER.items() for x in (F.lit(k), F.lit(1024**p).cast("decimal(20,0)"))])
+
+    def size(n: Column, u: Column) -> Column:
+        # a fraction of up to eight digits and a whole part of up to twenty
+        whole = F.regexp_extract(n, r"\A0*([0-9]{0,20})(?:\.|\z)", 1)
+        number = F.when(n.rlike(r"\A0*[0-9]{0,20}(?:\.|\z)"), F.concat(F.when(whole == "", "0").otherwise(whole), F.regexp_extract(n, r"(\.[0-9]{1,8})", 1)))
+        return F.floor(F.try_multiply(number.try_cast("decimal(28,8)"), F.element_at(scale, u))).try_cast("decimal(38,0)")
+
+    total = F.aggregate(F.zip_with(numbers, units, size), F.lit(0).cast("decimal(38,0)"), lambda a, x: F.try_add(a, x).try_cast("decimal(38,0)"))
+    return F.when(text == "0", F.lit(0).cast("decimal(38,0)")).when(text.rlike(_SIZE) & (total <= F.lit(_MAX_BYTES).cast("decimal(38,0)")), total)

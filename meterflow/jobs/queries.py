@@ -7,13 +7,19 @@ groups from ``supplier``, Kubernetes snapshots from ``part``, ``orders``, ``line
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exposition as X
 from ..functions import labels as L
 from ..functions import units as U
+from ..functions.numbers import format_bound as format_text
+from .. import sources as I
 from ..operators import delivery as D
+from ..operators import families as M
 from ..operators import histograms as H
 from ..operators import kubernetes as K
 from ..operators import pseudonyms as P
@@ -47,7 +53,10 @@ def table(spark, sf: str, name: str) -> DataFrame:
 def scrapes(spark, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     value = F.when(F.col("event_id") % 997 == 0, "oops").otherwise(F.col("value").cast("string"))
-    line = F.concat("event_type", F.lit('{k="'), F.get_json_object("props", "$.k"), F.lit('",user="'), "user_id", F.lit('",id="'), "event_id", F.lit('"} '), value, F.lit(" "), "ms")
+    spaced = F.col("event_id") % 5 == 0
+    part = lambda plain, wide: F.when(spaced, wide).otherwise(plain)
+    time = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit(" "), "ms"))
+    line = F.concat("event_type", part('{k="', '{ k = "'), F.get_json_object("props", "$.k"), part('",user="', '" , user= "'), "user_id", part('",id="', '",\tid ="'), "event_id", part('"} ', '", } '), value, time)
     day = F.floor(F.col("ms") / DAY_MS)
     e = e.select(F.col("user_id").alias("t"), day.alias("d"), F.struct("event_id", line.alias("line")).alias("x"))
     g = e.groupBy("t", "d").agg(F.sort_array(F.collect_list("x")).alias("x"))
@@ -70,12 +79,12 @@ def pipeline(spark, sf: str):
 
 
 EV = f"""e AS (SELECT *, user_id AS t, (epoch_us(ts) // 1000) // {DAY_MS} AS d, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events),
-n AS (SELECT *, d * 10000000000 + t AS scrape_id, row_number() OVER (PARTITION BY t, d ORDER BY event_id) AS line_no FROM e),
+n AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN d * {DAY_MS} ELSE ms END AS stamp, d * 10000000000 + t AS scrape_id, row_number() OVER (PARTITION BY t, d ORDER BY event_id) AS line_no FROM e),
 s AS (SELECT scrape_id, 't' || any_value(t) AS target_id, any_value(d) * {DAY_MS} AS start_ms, count(*) AS lines,
         count(*) FILTER (event_type NOT LIKE 'err%') AS good, min(line_no) FILTER (event_id % 997 = 0) AS bad FROM n GROUP BY scrape_id)"""
 
 
-@query(f"WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, event_type AS name, 4 AS n_labels, value, ms AS ts_ms FROM n JOIN s USING (scrape_id) WHERE bad IS NULL")
+@query(f"WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, event_type AS name, 4 AS n_labels, value, stamp AS ts_ms FROM n JOIN s USING (scrape_id) WHERE bad IS NULL")
 def parse_sample_lines(spark, sf):
     df = S.parse_samples(S.fail_malformed_bodies(scrapes(spark, sf)))
     return df.select("scrape_id", "line_no", L.get(F.col("labels"), "__name__").alias("name"), F.size("labels").alias("n_labels"), "value", "ts_ms")
@@ -91,14 +100,14 @@ def enforce_sample_limit(spark, sf):
     return S.fail_malformed_bodies(scrapes(spark, sf), sample_limit=3).select("scrape_id", "error", "scraped", F.size("lines").alias("passed"))
 
 
-@query(f"""WITH {EV}, b AS (SELECT scrape_id, sum(octet_length(encode(event_type || '{{k="' || k || '",user="' || user_id || '",id="' || event_id || '"}} ' || CASE WHEN event_id % 997 = 0 THEN 'oops' ELSE value::VARCHAR END || ' ' || ms)) + 1) - 1 AS bytes FROM n GROUP BY 1)
+@query(f"""WITH {EV}, b AS (SELECT scrape_id, sum(octet_length(encode(event_type || '{{k="' || k || '",user="' || user_id || '",id="' || event_id || '"}} ' || CASE WHEN event_id % 997 = 0 THEN 'oops' ELSE value::VARCHAR END || CASE WHEN event_id % 7 = 0 THEN '' ELSE ' ' || ms END)) + CASE WHEN event_id % 5 = 0 THEN 10 ELSE 0 END + 1) - 1 AS bytes FROM n GROUP BY 1)
 SELECT scrape_id, bytes > 200 AS too_big FROM b""")
 def enforce_body_size_limit(spark, sf):
     df = S.fail_malformed_bodies(scrapes(spark, sf), body_limit=200)
     return df.select("scrape_id", F.coalesce(F.col("error") == "body size limit exceeded", F.lit(False)).alias("too_big"))
 
 
-@query(f"""WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, '__name__=' || event_type || ',customer=c-' || user_id || ',exported_k=' || k || ',id=' || event_id || ',instance=' || target_id || ',job=events,k=target,region=eu' AS labels, value, ms AS ts_ms
+@query(f"""WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, '__name__=' || event_type || ',customer=c-' || user_id || ',exported_k=' || k || ',id=' || event_id || ',instance=' || target_id || ',job=events,k=target,region=eu' AS labels, value, stamp AS ts_ms
 FROM n JOIN s USING (scrape_id) WHERE bad IS NULL AND event_type NOT LIKE 'err%'""")
 def scrape_pipeline(spark, sf):
     return pipeline(spark, sf)[1].select("scrape_id", "line_no", shown("labels"), "value", "ts_ms")
@@ -129,11 +138,6 @@ def scrape_health_transitions(spark, sf):
     return S.scrape_health_transitions(stats(spark, sf)).select("scrape_id", "transition", "failures")
 
 
-@query(f"WITH {EV} SELECT (start_ms // {7 * DAY_MS} * {7 * DAY_MS})::BIGINT AS bucket_ms, count(*) AS scrapes, count(bad) AS failures, sum(CASE WHEN bad IS NULL THEN lines ELSE 0 END)::BIGINT AS samples_scraped, sum(CASE WHEN bad IS NULL THEN good ELSE 0 END)::BIGINT AS samples_kept FROM s GROUP BY 1")
-def ingestion_metrics(spark, sf):
-    return S.ingestion_metrics(stats(spark, sf), 7 * DAY_MS)
-
-
 @query("""SELECT event_id, value AS parsed, CASE event_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN NULL WHEN 2 THEN '-inf' ELSE 'inf' END AS special, event_id * 1000 + 500 AS from_seconds, event_id AS from_ms FROM events""")
 def parse_values_and_timestamps(spark, sf):
     e = table(spark, sf, "events")
@@ -245,12 +249,13 @@ def tracked_series_count(spark, sf):
 
 
 @query(f"""WITH {HI}, r AS (SELECT target_id, start_ms + 1000 AS ts_ms, start_ms FROM sc WHERE next_start IS NULL AND target_id LIKE '%7')
-SELECT target_id, identity, ts_ms FROM r JOIN tr USING (target_id, start_ms) UNION ALL
-SELECT target_id, unnest(['up', 'scrape_duration_seconds', 'scrape_samples_scraped', 'scrape_samples_post_metric_relabeling', 'scrape_series_added']), ts_ms FROM r""")
+SELECT target_id, identity, ts_ms, true AS stale, 'id=' || identity AS labels FROM r JOIN tr USING (target_id, start_ms) UNION ALL
+SELECT target_id, name, ts_ms, true, '__name__=' || name || ',instance=' || target_id FROM (SELECT *, unnest(['up', 'scrape_duration_seconds', 'scrape_samples_scraped', 'scrape_samples_post_metric_relabeling', 'scrape_series_added']) AS name FROM r)""")
 def removed_target_markers(spark, sf):
     samples, starts = history(spark, sf)
     removed = starts.where(F.col("target_id").endswith("7")).groupBy("target_id").agg((F.max("start_ms") + 1000).alias("ts_ms"))
-    return ST.removed_target_markers(samples, starts, removed).drop("is_stale")
+    out = ST.removed_target_markers(samples, starts, removed, F.create_map(F.lit("instance"), F.col("target_id")))
+    return out.select("target_id", "identity", "ts_ms", F.isnan("value").alias("stale"), shown("labels", sort=True))
 
 
 # --- targets -----------------------------------------------------------------------------------------------------------
@@ -344,10 +349,22 @@ def endpointslice_targets(spark, sf):
     return t.select("slice", "address", get("endpointslice_endpoint_zone", "zone"), get("service_label_team", "team"), get("pod_label_app", "app"), get("pod_container_name", "container"))
 
 
-@query(f"""WITH {SL}, {PO}, x AS (SELECT slice, pod, port, host, unnest([8000 + p_size % 4, 9000]) AS cp FROM sl JOIN po ON p_partkey = pk WHERE o_orderkey % 3 <> 0)
-SELECT slice, pod, cp::INTEGER AS port, host || ':' || cp AS address FROM x WHERE cp <> port""")
+@query(f"""WITH {SL}, {PO}, x AS (SELECT slice, pod, port, host, o_custkey, p_type, unnest([8000 + p_size % 4, 9000]) AS cp FROM sl JOIN po ON p_partkey = pk WHERE o_orderkey % 3 <> 0)
+SELECT slice, pod, cp::INTEGER AS port, host || ':' || cp AS address, slice AS own, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS team, p_type AS app, NULL::VARCHAR AS zone FROM x LEFT JOIN customer ON c_custkey = o_custkey WHERE cp <> port""")
 def uncovered_pod_ports(spark, sf):
-    return K.uncovered_pod_ports(K.endpointslice_targets(slices(spark, sf)), pods(spark, sf)).select("slice", "pod", "port", "address")
+    t = K.uncovered_pod_ports(K.endpointslice_targets(slices(spark, sf)), pods(spark, sf), services(spark, sf))
+    get = lambda k, n: F.try_element_at("labels", F.lit(K.P + k)).alias(n)
+    return t.select("slice", "pod", "port", "address", get("endpointslice_name", "own"), get("service_label_team", "team"), get("pod_label_app", "app"), get("endpointslice_endpoint_zone", "zone"))
+
+
+@query(f"""WITH {SL} SELECT slice, '10.1.' || o_orderkey % 250 || '.1:' || port AS address, CASE WHEN o_orderkey % 3 <> 0 THEN n_name END AS node, CASE WHEN o_orderkey % 3 <> 0 THEN n_regionkey::VARCHAR END AS region
+FROM sl LEFT JOIN nation ON n_name = 'NATION_' || o_orderkey % 30""")
+def attach_node_metadata(spark, sf):
+    s = slices(spark, sf)
+    named = F.transform("endpoints", lambda e: e.withField("nodeName", F.concat(F.lit("NATION_"), F.regexp_extract("metadata.name", r"(\d+)", 1).cast("long") % 30)))
+    t = K.attach_endpoint_nodes(K.endpointslice_targets(s.withColumn("endpoints", named)), nodes(spark, sf))
+    get = lambda k, n: F.try_element_at("labels", F.lit(K.P + k)).alias(n)
+    return t.select("slice", "address", get("node_name", "node"), get("node_label_region", "region"))
 
 
 # --- delivery ----------------------------------------------------------------------------------------------------------
@@ -398,6 +415,14 @@ def delivery_outcomes(spark, sf):
     return D.delivery_outcomes(sent, counts).select("endpoint", "batch_id", "outcome")
 
 
+@query(f"""WITH {EP} SELECT endpoint, batch_id, event_id, CASE endpoint WHEN 'a' THEN 'kind=' || event_type || ',type=' || event_type WHEN 'b' THEN 'none=,type=' || event_type ELSE 'type=' || event_type END AS labels FROM b
+WHERE endpoint <> 'c' OR event_type = 'click'""")
+def write_relabel(spark, sf):
+    chains = {"a": [Rule("replace", ("type",), target_label="kind")], "c": [Rule("keep", ("type",), regex="click")]}
+    df = batches(spark, sf).withColumn("labels", F.create_map(F.lit("type"), F.col("event_type"), F.lit("none"), F.lit("")))
+    return D.write_relabel(df, chains).select("endpoint", "batch_id", "event_id", shown("labels"))
+
+
 # --- histograms --------------------------------------------------------------------------------------------------------
 
 
@@ -442,16 +467,16 @@ def classic(spark, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CLASSIC} SELECT flag, '_count' AS suffix, NULL::VARCHAR AS le, n::DOUBLE AS value FROM q UNION ALL SELECT flag, '_sum', NULL, total FROM q UNION ALL
-SELECT flag, '_bucket', '10', b10 FROM q UNION ALL SELECT flag, '_bucket', '25', b25 FROM q UNION ALL SELECT flag, '_bucket', '+Inf', n FROM q""")
+SELECT flag, '_bucket', '10.0', b10 FROM q UNION ALL SELECT flag, '_bucket', '25.0', b25 FROM q UNION ALL SELECT flag, '_bucket', '+Inf', n FROM q""")
 def expand_classic_histogram(spark, sf):
     out = H.expand_classic_histogram(classic(spark, sf), ["flag"])
-    return out.withColumn("le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("int").cast("string")))
+    return out.select("flag", "suffix", F.col("bound").alias("le"), "value")
 
 
 @query(f"""WITH {CLASSIC} SELECT flag, '_count' AS suffix, NULL::DOUBLE AS quantile, n::DOUBLE AS value FROM q UNION ALL SELECT flag, '_sum', NULL, total FROM q UNION ALL SELECT flag, '', 0.5, b10 FROM q UNION ALL SELECT flag, '', 0.9, b25 FROM q""")
 def expand_summary(spark, sf):
     p = lambda q, c: F.struct(F.lit(q).alias("quantile"), F.col(c).cast("double").alias("value"))
-    return H.expand_summary(classic(spark, sf).withColumn("quantiles", F.array(p(0.5, "b10"), p(0.9, "b25"))), ["flag"])
+    return H.expand_summary(classic(spark, sf).withColumn("quantiles", F.array(p(0.5, "b10"), p(0.9, "b25"))), ["flag"]).drop("bound")
 
 
 @query("SELECT p_partkey, least(p_size - 20, 8)::INTEGER AS schema, greatest(p_size - 28, 0)::INTEGER AS shift FROM part")
@@ -530,3 +555,166 @@ def leak_scan(spark, sf):
 @query(f"WITH {EV} SELECT scrape_id AS file, true AS same_bytes, true AS same_values FROM s")
 def fidelity_check(spark, sf):
     return P.fidelity_check(bodies(spark, sf), clean(spark, sf))
+
+
+# --- agent metrics -----------------------------------------------------------------------------------------------------
+
+WEEK = 7 * DAY_MS
+METRICS = f"""{HI}, {EV.replace("e AS", "ev AS", 1).replace("FROM e)", "FROM ev)").replace("s AS (SELECT", "st AS (SELECT")}, {EP.replace(", b AS", ", bt AS").replace("f AS (", "ff AS (").replace("FROM f ", "FROM ff ")},
+mk AS (SELECT next_start AS ts FROM tr JOIN sc USING (target_id, start_ms) WHERE next_start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tr x WHERE x.target_id = tr.target_id AND x.identity = tr.identity AND x.start_ms = sc.next_start)),
+tk AS (SELECT start_ms // {WEEK} * {WEEK} AS w, target_id, arg_max(n, start_ms) AS n FROM (SELECT target_id, start_ms, count(tr.identity) AS n FROM sc LEFT JOIN tr USING (target_id, start_ms) GROUP BY 1, 2) GROUP BY 1, 2),
+bc AS (SELECT endpoint, batch_id, count(*) AS n, 1704067200000 + batch_id * 3600000 AS ts FROM bt GROUP BY 1, 2),
+oc AS (SELECT *, CASE batch_id % 4 WHEN 0 THEN 'retry' WHEN 1 THEN 'dropped' ELSE 'ok' END AS o FROM bc),
+u AS (SELECT start_ms // {WEEK} * {WEEK} AS w, 1 AS scrapes, (bad IS NOT NULL)::INT AS failures, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS samples_scraped, CASE WHEN bad IS NULL THEN good ELSE 0 END AS samples_kept, 0 AS markers, 0 AS tracked_series, 0 AS batches, 0 AS sent_bytes, 0 AS retries, 0 AS failed_batches FROM st
+ UNION ALL SELECT ts // {WEEK} * {WEEK}, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0 FROM mk UNION ALL SELECT w, 0, 0, 0, 0, 0, n, 0, 0, 0, 0 FROM tk
+ UNION ALL SELECT ts // {WEEK} * {WEEK}, 0, 0, 0, 0, 0, 0, (o = 'ok')::INT, CASE WHEN o = 'ok' THEN n * 10 ELSE 0 END, (o = 'retry')::INT, (o = 'dropped')::INT FROM oc),
+im AS (SELECT w::BIGINT AS bucket_ms, {", ".join(f"sum({m})::BIGINT AS {m}" for m in S.MEASURES)} FROM u GROUP BY 1)"""
+
+
+@query(f"WITH {METRICS} SELECT * FROM im")
+def ingestion_metrics(spark, sf):
+    samples, starts = history(spark, sf)
+    tracked = ST.tracked_identities(samples).groupBy("target_id", "start_ms").agg(F.count("*").alias("tracked"))
+    tracked = starts.join(tracked, ["target_id", "start_ms"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(0)))
+    counts = D.batch_counts(batches(spark, sf))
+    status = F.element_at(F.array(F.lit(503), F.lit(400), F.lit(200), F.lit(204)), (F.col("batch_id") % 4 + 1).cast("int"))
+    sent = counts.select("endpoint", "shard", "batch_id", status.alias("http_status"), F.col("n_samples").alias("samples_written"), F.col("n_histograms").alias("histograms_written"), (1_704_067_200_000 + F.col("batch_id") * 3_600_000).alias("ts_ms"), ((F.col("n_samples") + F.col("n_histograms")) * 10).alias("bytes"))
+    return S.ingestion_metrics(stats(spark, sf), WEEK, ST.stale_markers(samples, starts), tracked, D.delivery_outcomes(sent, counts))
+
+
+@query(f"WITH {METRICS}, l AS (UNPIVOT im ON {', '.join(S.MEASURES)} INTO NAME name VALUE v) SELECT '__name__=meterflow_' || name || ',instance=i,job=agent,region=eu' AS labels, bucket_ms AS ts_ms, v::DOUBLE AS value FROM l")
+def ingestion_metric_series(spark, sf):
+    return S.ingestion_metric_series(ingestion_metrics(spark, sf), {"job": "agent", "instance": "i", "region": "eu"}).select(shown("labels"), "ts_ms", "value")
+
+
+@query("""WITH l AS (SELECT p_brand, 'size' || p_size % 3 AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '{type="' || replace(p_type, ' ', '\\\\') || '\\"",k="' || p_partkey || '"}' END AS block, p_size / 4 AS v FROM part),
+f AS (SELECT p_brand, name, '# HELP ' || name || ' Size \\\\ of' || chr(92) || 'nparts' || chr(10) || '# TYPE ' || name || ' gauge' || chr(10) || string_agg(name || block || ' ' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END, chr(10) ORDER BY encode(name || block || ' ' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END)) || chr(10) AS t FROM l GROUP BY 1, 2)
+SELECT p_brand, string_agg(t, '' ORDER BY name) AS body FROM f GROUP BY 1""".replace("\\\\", "\\\\"))
+def render_exposition(spark, sf):
+    p = table(spark, sf, "part")
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    own = F.array(pair("type", F.concat(F.replace("p_type", F.lit(" "), F.lit("\\")), F.lit('"'))), pair("k", F.col("p_partkey")))
+    labels = F.when(F.col("p_partkey") % 4 == 0, F.slice(own, 1, 0)).otherwise(own)
+    rows = p.select("p_brand", F.concat(F.lit("size"), F.col("p_size") % 3).alias("name"), F.lit("Size \\ of\nparts").alias("help"), F.lit("gauge").alias("kind"), labels.alias("labels"), (F.col("p_size") / 4).alias("value"))
+    return S.render_exposition(rows, ["p_brand"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || '\"' || chr(10) || user_id || chr(92) || 'n' ELSE event_type END AS value FROM events")
+def unescape_label_value(spark, sf):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit('\\"\\n'), "user_id", F.lit("\\\\n"))).otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", X.unescape_label_value(raw).alias("value"))
+
+
+@query(f"""WITH {EV} SELECT scrape_id, line_no::INTEGER AS line_no, event_type || CASE WHEN event_id % 5 = 0 THEN '{{ k = "' || k || '" , user= "' || user_id || '",' || chr(9) || 'id ="' || event_id || '", }}' ELSE '{{k="' || k || '",user="' || user_id || '",id="' || event_id || '"}}' END AS identity FROM n JOIN s USING (scrape_id) WHERE bad IS NULL""")
+def series_identity(spark, sf):
+    return S.parse_samples(S.fail_malformed_bodies(scrapes(spark, sf))).select("scrape_id", "line_no", "identity")
+
+
+# --- families and bounds -----------------------------------------------------------------------------------------------
+
+THIRD = """CASE p_partkey % 10 WHEN 1 THEN '{"name":"","type":"counter"}' WHEN 2 THEN '{"name":"1x","type":"counter"}' WHEN 3 THEN '{"name":"x","type":"odd"}' WHEN 4 THEN '{"name":"x","metric":[{"label":[{"name":"0"}]}]}'
+ WHEN 5 THEN '{"name":"x","metric":[{},{"label":[{"name":"a"},{"name":"a"}]}]}' WHEN 6 THEN '{"name":"x","metric":[{"label":[{"name":"__name__"}]}]}' WHEN 7 THEN '{"name":"x","type":"summary","metric":[{"label":[{"name":"quantile"}]}]}'
+ WHEN 8 THEN '{"name":"x","type":"histogram","metric":[{"label":[{"name":"le"}]}]}' WHEN 9 THEN concat('{"name":"x","metric":[{"label":[', array_join(transform(sequence(1, 128), i -> concat('{"name":"l', i, '"}')), ','), ']}]}') ELSE '{"name":"fine","type":"untyped","metric":[{"value":1}]}' END"""
+
+
+def family_bodies(spark, sf: str) -> DataFrame:
+    first = """concat('[{"name":"parts_total","type":"counter","metric":[{"label":[{"name":"brand","value":"', p_brand, '"}],"timestamp_ms":', CASE p_partkey % 30 WHEN 0 THEN '0' WHEN 10 THEN 'null' ELSE cast(p_partkey * 7 AS string) END, ',"value":', p_size, '},{"label":[{"name":"brand","value":"none"}]}]},{"name":"size","type":"gauge","metric":[{"value":', p_retailprice, '}]},', """
+    json = F.expr(first + THIRD + ", ']')")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("scrape_id"), (F.col("p_partkey") * 1000).alias("start_ms"), F.from_json(json, f"array<{M.FAMILY}>").alias("families"))
+
+
+@query("""SELECT p_partkey AS scrape_id, CASE p_partkey % 10 WHEN 1 THEN 'metric family without a name' WHEN 2 THEN 'invalid metric name' WHEN 3 THEN 'unknown metric type' WHEN 4 THEN 'invalid label name' WHEN 5 THEN 'duplicate label name' WHEN 6 THEN 'duplicate label name'
+ WHEN 7 THEN 'quantile collides with a derived label' WHEN 8 THEN 'le collides with a derived label' WHEN 9 THEN 'too many labels' END AS error, CASE WHEN p_partkey % 10 = 0 THEN 3 ELSE 0 END AS families FROM part""")
+def validate_families(spark, sf):
+    return M.validate_families(family_bodies(spark, sf)).select("scrape_id", "error", F.size("families").alias("families"))
+
+
+@query("""WITH p AS (SELECT *, CASE p_partkey % 30 WHEN 20 THEN p_partkey * 7 ELSE p_partkey * 1000 END AS stamp FROM part WHERE p_partkey % 10 = 0)
+SELECT p_partkey AS scrape_id, '__name__=parts_total,brand=' || p_brand AS labels, stamp AS ts_ms, p_size::DOUBLE AS value FROM p UNION ALL SELECT p_partkey, '__name__=parts_total,brand=none', p_partkey * 1000, 0 FROM p
+UNION ALL SELECT p_partkey, '__name__=size', p_partkey * 1000, p_retailprice FROM p UNION ALL SELECT p_partkey, '__name__=fine', p_partkey * 1000, 1 FROM p""")
+def expand_scalar_metrics(spark, sf):
+    rows = M.expand_scalar_metrics(M.family_metrics(M.validate_families(family_bodies(spark, sf))))
+    return rows.select("scrape_id", shown("labels", sort=True), "ts_ms", "value")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_id ELSE user_id END AS honored, user_id AS ignored FROM events")
+def family_timestamps(spark, sf):
+    exposed = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, F.col("event_id"))
+    return table(spark, sf, "events").select("event_id", M.family_timestamps(exposed, F.col("user_id")).alias("honored"), M.family_timestamps(exposed, F.col("user_id"), False).alias("ignored"))
+
+
+def exposed_histograms(spark, sf: str) -> DataFrame:
+    """Histogram metrics by supplier: native ones, native ones with classic buckets, classic ones."""
+    kind = F.col("l_suppkey") % 3
+    native, none = kind != 2, F.lit(None)
+    bucket = F.when(kind > 0, F.array(F.struct(F.lit(10.0), F.lit(4).cast("long"))))
+    h = F.struct(F.size("deltas"), F.when(F.col("l_suppkey") % 4 == 0, 2.5), F.lit(1.5), F.lit(3), F.lit(0.0), none, none, F.when(native, F.col("spans")), F.when(native, F.col("deltas")), none, none, none, none, bucket).cast(M.HISTOGRAM)
+    s = H.encode_buckets(buckets(spark, sf), ["l_suppkey"])
+    return s.select("l_suppkey", F.when(F.col("l_suppkey") % 2 == 0, "gauge_histogram").otherwise("histogram").alias("type"), F.struct(h.alias("histogram")).alias("metric"))
+
+
+@query(f"WITH {BU}, k AS (SELECT DISTINCT l_suppkey FROM bu) SELECT l_suppkey, 'native' AS form FROM k WHERE l_suppkey % 3 <> 2 UNION ALL SELECT l_suppkey, 'classic' FROM k WHERE l_suppkey % 3 > 0")
+def select_histogram_form(spark, sf):
+    return M.select_histogram_form(exposed_histograms(spark, sf), True, True).select("l_suppkey", "form")
+
+
+@query(f"""WITH {BU}, k AS (SELECT l_suppkey, count(*) AS n FROM bu GROUP BY 1 HAVING l_suppkey % 3 <> 2)
+SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'gauge' ELSE 'unknown' END AS reset_hint, l_suppkey % 4 = 0 AS is_float, CASE WHEN l_suppkey % 4 <> 0 THEN n END AS count_int, CASE WHEN l_suppkey % 4 = 0 THEN 2.5::DOUBLE END AS count_float, CASE WHEN l_suppkey % 4 <> 0 THEN n ELSE -1 END::INTEGER AS deltas FROM k""")
+def build_native_histogram(spark, sf):
+    rows = M.select_histogram_form(exposed_histograms(spark, sf), True).where("form = 'native'")
+    built = rows.select("l_suppkey", M.build_native_histogram(F.col("histogram"), F.col("type")).alias("h"))
+    return built.select("l_suppkey", "h.reset_hint", "h.is_float", "h.count_int", "h.count_float", F.coalesce(F.size("h.positive_deltas"), F.lit(-1)).alias("deltas"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice::VARCHAR AS plain, CASE WHEN l_orderkey = 0 THEN '0.0' ELSE rtrim(l_orderkey::VARCHAR, '0')[1] || CASE WHEN length(rtrim(l_orderkey::VARCHAR, '0')) > 1 THEN '.' || rtrim(l_orderkey::VARCHAR, '0')[2:] ELSE '' END || 'e+' || lpad((length(l_orderkey::VARCHAR) + 5)::VARCHAR, 2, '0') END AS large FROM lineitem""")
+def format_bound(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", format_text(F.col("l_extendedprice").cast("double")).alias("plain"), format_text(F.col("l_orderkey") * 1e6).alias("large"))
+
+
+# --- files -------------------------------------------------------------------------------------------------------------
+
+
+def scratch(spark) -> str:
+    """A new folder that the driver and all executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.gettempdir()
+    return f"{where.rstrip('/')}/meterflow-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id::VARCHAR AS id, value FROM events WHERE event_id % 997 <> 0")
+def read_exposition_bodies(spark, sf):
+    where, e = scratch(spark), table(spark, sf, "events")
+    line = lambda v: F.concat("event_type", F.lit('{id="'), "event_id", F.lit('"} '), v)
+    e.where("event_id % 997 <> 0").select(line(F.col("value").cast("string"))).write.text(f"{where}/a")
+    e.where("event_id % 997 = 0").select(line(F.lit("oops"))).write.text(f"{where}/b")
+    found = I.read_exposition_bodies(spark, f"{where}/*", "*.txt")
+    rows = S.fail_malformed_bodies(found.select(F.col("file").alias("scrape_id"), F.lit("t").alias("target_id"), F.lit(0).alias("start_ms"), "body", F.lit(0.0).alias("duration_s"), F.lit(None).cast("string").alias("fetch_error")))
+    return S.parse_samples(rows).select(F.element_at("labels", F.lit("id")).alias("id"), "value")
+
+
+@query(f"WITH {GR} SELECT addr, n_name AS nation, module FROM a")
+def read_target_groups(spark, sf):
+    where = scratch(spark)
+    files = groups(spark, sf).groupBy(F.floor(F.col("s_suppkey") / 50).alias("b")).agg(F.to_json(F.collect_list(F.struct("targets", "labels"))).alias("json"))
+    files.repartition("b").write.partitionBy("b").text(where)
+    table(spark, sf, "supplier").limit(1).select(F.lit('[{"labels":{}}]')).write.mode("append").text(f"{where}/b=-1")
+    got = I.read_target_groups(spark, where, "*.txt")
+    return got.select(F.explode("targets").alias("addr"), F.element_at("labels", F.lit("nation")).alias("nation"), F.element_at("labels", F.lit("__param_module")).alias("module"))
+
+
+@query("SELECT 'svc-' || c_custkey AS name, c_mktsegment AS team FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 IN (1, 3)")
+def read_k8s_objects(spark, sf):
+    where = scratch(spark)
+    services(spark, sf).write.json(where)
+    return I.read_k8s_objects(spark, where, "services", ["ns1", "ns3"]).select("metadata.name", F.element_at("metadata.labels", F.lit("team")).alias("team"))
+
+
+@query("SELECT event_id, value, (epoch_us(ts) // 1000) AS ts_ms, strftime(ts, '%Y-%m-%d') AS date FROM events")
+def write_samples(spark, sf):
+    where = scratch(spark)
+    rows = table(spark, sf, "events").select("event_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    I.write_samples(rows, where)
+    return spark.read.parquet(where).select("event_id", "value", "ts_ms", F.col("date").cast("string").alias("date"))

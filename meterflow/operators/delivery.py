@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions import labels as L
+from .relabel import Rule, relabel
+
+
+MOST_ENDPOINTS = 1000
+
 
 def fan_out_endpoints(samples: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Every sample to every endpoint; the endpoints are a configuration table of a few rows."""
-    names = endpoints.columns
-    few = endpoints.agg(F.collect_list(F.struct(*names)).alias("_e"))
-    return samples.crossJoin(F.broadcast(few)).withColumn("_e", F.explode("_e")).select(*samples.columns, *[F.col(f"_e.{c}").alias(c) for c in names])
+    """Every sample to every endpoint.  The endpoints are a configuration table of at most ``MOST_ENDPOINTS`` rows, which is
+    checked; they become a literal that each row explodes, so that nothing is joined."""
+    rows = endpoints.limit(MOST_ENDPOINTS + 1).collect()
+    if len(rows) > MOST_ENDPOINTS:
+        raise ValueError(f"more than {MOST_ENDPOINTS} endpoints")
+    one = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in endpoints.schema])
+    all_ = F.array(*map(one, rows)).cast(f"array<{endpoints.schema.simpleString()}>")
+    return samples.withColumn("_e", F.explode(all_)).select(*samples.columns, *[F.col(f"_e.{c}").alias(c) for c in endpoints.columns])
 
 
 def drop_native_histograms(df: DataFrame) -> DataFrame:
@@ -44,6 +54,20 @@ def assign_batches(df: DataFrame, order: list[str], shards: int = 1, size: str =
     return df.withColumn("batch_id", F.floor((F.col("_row") + F.col("_before")) / F.col(size)).cast("bigint")).drop("_range", "_row", "_before", "_at", "_endpoint", "_shard")
 
 
+def write_relabel(batches: DataFrame, chains: dict[str, list[Rule]], labels: str = "labels") -> DataFrame:
+    """Batched rows after their endpoint's own rules, labels (a map) sorted into the canonical form.
+
+    Rows of endpoints without a chain stay as they are, empty labels included; a batch that loses all rows has none left
+    and is not sent."""
+    df = batches.withColumns({"_kept": F.lit(True), "_new": F.col(labels)})
+    for endpoint, rules in chains.items():
+        own = F.col("endpoint") == endpoint
+        df = relabel(df.withColumn("_own", F.when(own, F.col(labels))), rules, "_own", flag="_flag")
+        df = df.withColumns({"_new": F.when(own, F.col("_own")).otherwise(F.col("_new")), "_kept": F.when(own, F.col("_flag")).otherwise(F.col("_kept"))})
+    df = df.where("_kept").withColumn(labels, L.sort_labels(F.col("_new")))
+    return df.drop("_kept", "_new", "_own", "_flag")
+
+
 def batch_counts(df: DataFrame) -> DataFrame:
     """Samples and histograms of each batch."""
     return df.groupBy("endpoint", "shard", "batch_id").agg(F.count_if(~F.col("is_histogram")).alias("n_samples"), F.count_if("is_histogram").alias("n_histograms"))
@@ -61,9 +85,15 @@ def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: s
 
 
 def delivery_outcomes(deliveries: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each attempt's outcome: ok, partial (fewer written than sent), retry (5xx, 429, transport) or dropped."""
-    sent = counts.select(F.col("endpoint").alias("_e"), F.col("batch_id").alias("_b"), "n_samples", "n_histograms")
-    df = deliveries.join(sent, (F.col("endpoint") == F.col("_e")) & (F.col("batch_id") == F.col("_b")), "left").drop("_e", "_b")
+    """Each attempt's outcome (by endpoint, shard and batch; deliveries without shard by endpoint and batch): ok, partial (fewer written than sent), retry (5xx, 429, transport) or dropped."""
+    key = [c for c in ("endpoint", "shard", "batch_id") if c in deliveries.columns and c in counts.columns]
+    if "shard" in counts.columns and "shard" not in key:
+        counts = counts.groupBy(*key).agg(F.sum("n_samples").alias("n_samples"), F.sum("n_histograms").alias("n_histograms"))
+    sent = counts.select(*(F.col(c).alias(f"_{c}") for c in key), "n_samples", "n_histograms")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c) == F.col(f"_{c}")
+    df = deliveries.join(sent, same, "left").drop(*(f"_{c}" for c in key))
     status = F.col("http_status")
     short = (F.col("samples_written") < F.col("n_samples")) | (F.col("histograms_written") < F.col("n_histograms"))
     outcome = (

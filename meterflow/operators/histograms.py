@@ -5,32 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import format_bound
+
 MIN_SCHEMA, MAX_SCHEMA = -4, 8
 SPANS = "array<struct<offset:int,length:bigint>>"
 
 
-def span_indices(spans: Column) -> Column:
-    """Absolute bucket indices of spans: the first offset is absolute, later ones are gaps."""
+def span_indices(spans: Column, buckets: Column) -> Column:
+    """Absolute bucket indices of spans that cover ``buckets`` buckets: the first offset is absolute, later ones are gaps.
+
+    Spans that cover another number (their lengths are not trusted before that) or overflow have null."""
     start = F.struct(F.lit(0).cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        first = acc["next"] + s["offset"]
-        more = F.when(s["length"] > 0, F.sequence(first, first + s["length"] - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.struct((first + s["length"]).alias("next"), F.concat(acc["out"], more).alias("out"))
+        first = F.try_add(acc["next"], s["offset"].cast("bigint"))
+        after = F.try_add(first, s["length"])
+        more = F.when(s["length"] > 0, F.sequence(first, after - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(after.alias("next"), F.when(after.isNotNull(), F.concat(acc["out"], more)).alias("out"))
+
+    return F.when(covered(spans) == buckets, F.aggregate(spans, start, step, lambda acc: acc["out"]))
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+def covered(spans: Column) -> Column:
+    """Buckets that spans cover, null beyond a long."""
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: F.try_add(n, F.greatest(s["length"], F.lit(0).cast("bigint"))))
 
 
 def running(deltas: Column) -> Column:
-    """Absolute counts of delta-coded counts."""
+    """Absolute counts of delta-coded counts, null from an overflow on."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, d: F.struct((acc["n"] + d).alias("n"), F.concat(acc["out"], F.array(acc["n"] + d)).alias("out"))
+
+    def step(acc: Column, d: Column) -> Column:
+        n = F.try_add(acc["n"], d)
+        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+
     return F.aggregate(deltas, start, step, lambda acc: acc["out"])
 
 
 def histogram_buckets(df: DataFrame, key: list[str], spans: str, deltas: str, side: str) -> DataFrame:
-    """(key, side, index, count) rows of one side."""
-    pairs = F.arrays_zip(span_indices(F.col(spans)).alias("index"), running(F.col(deltas)).alias("count"))
+    """(key, side, index, count) rows of one side; none of a histogram whose spans do not fit its buckets."""
+    index = span_indices(F.col(spans), F.size(deltas).cast("bigint"))
+    pairs = F.when(index.isNotNull(), F.arrays_zip(index.alias("index"), running(F.col(deltas)).alias("count")))
     return df.select(*key, F.lit(side).alias("side"), F.explode(pairs).alias("b")).select(*key, "side", F.col("b.index").alias("index"), F.col("b.count").alias("count"))
 
 
@@ -75,21 +90,31 @@ def limit_histogram_buckets(buckets: DataFrame, key: list[str], limit: int, sche
 
 
 def validate_native_histogram(schema: Column, spans: Column, deltas: Column) -> Column:
-    """Why one side of an integer histogram is malformed, or null."""
-    total = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["length"])
-    later = F.exists(F.slice(spans, 2, 1_000_000), lambda s: s["offset"] < 0)
-    reach = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["offset"] + s["length"])
+    """Why one side of an integer histogram is malformed, or null; sums beyond a long are found, not raised."""
+    start = F.struct(F.lit(0).cast("bigint").alias("next"), F.lit(False).alias("bad"))
+
+    def reach(acc: Column, s: Column) -> Column:
+        first = F.try_add(acc["next"], s["offset"].cast("bigint"))
+        last = F.try_add(first, F.greatest(s["length"], F.lit(1).cast("bigint")) - 1)
+        fits = F.coalesce(first.between(-(2**31), 2**31 - 1) & last.between(-(2**31), 2**31 - 1), F.lit(False))
+        return F.struct(F.coalesce(F.try_add(first, s["length"]), F.lit(0).cast("bigint")).alias("next"), (acc["bad"] | ~fits).alias("bad"))
+
+    def counts(n: Column) -> Column:
+        return F.when(F.coalesce(F.exists(n, lambda x: x < 0), F.lit(False)), "negative bucket count").when(F.exists(n, lambda x: x.isNull()), "bucket count overflow")
+
+    later = F.exists(F.filter(spans, lambda s, i: i > 0), lambda s: s["offset"] < 0)
+    total = F.coalesce(covered(spans), F.lit(-1).cast("bigint"))
     return (
         F.when(schema < MIN_SCHEMA, "unsupported schema")
-        .when(total != F.size(deltas), "spans do not cover the buckets")
         .when(later, "negative span offset")
-        .when(F.abs(reach) > 2**31 - 1, "bucket index overflow")
-        .when(F.exists(running(deltas), lambda n: n < 0), "negative bucket count")
+        .when(F.aggregate(spans, start, reach, lambda acc: acc["bad"]), "bucket index overflow")
+        .when(total != F.size(deltas), "spans do not cover the buckets")
+        .otherwise(F.get(F.transform(F.array(running(deltas)), counts), F.lit(0)))
     )
 
 
 def expand_classic_histogram(df: DataFrame, key: list[str], buckets: str = "buckets", count: str = "count", total: str = "sum") -> DataFrame:
-    """_count, _sum and cumulative _bucket{le} rows; +Inf is added unless the last bucket has it.
+    """_count, _sum and cumulative _bucket{le} rows (``bound`` is the text of le); +Inf is added unless the last bucket has it.
 
     ``buckets`` is array<struct<upper_bound double, cumulative_count bigint>>.
     """
@@ -100,7 +125,7 @@ def expand_classic_histogram(df: DataFrame, key: list[str], buckets: str = "buck
     steps = F.transform(buckets, lambda b: row("_bucket", b["upper_bound"], b["cumulative_count"]))
     top = F.when(last, F.array().cast("array<struct<suffix:string,le:double,value:double>>")).otherwise(F.array(row("_bucket", inf, F.col(count))))
     rows = F.concat(F.array(row("_count", null, F.col(count)), row("_sum", null, F.col(total))), steps, top)
-    return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.suffix", "r.le", "r.value")
+    return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.suffix", "r.le", format_bound(F.col("r.le")).alias("bound"), "r.value")
 
 
 def expand_summary(df: DataFrame, key: list[str], quantiles: str = "quantiles", count: str = "count", total: str = "sum") -> DataFrame:
@@ -108,4 +133,4 @@ def expand_summary(df: DataFrame, key: list[str], quantiles: str = "quantiles",
     row = lambda suffix, q, v: F.struct(F.lit(suffix).alias("suffix"), q.alias("quantile"), v.cast("double").alias("value"))
     null = F.lit(None).cast("double")
     rows = F.concat(F.array(row("_count", null, F.col(count)), row("_sum", null, F.col(total))), F.transform(quantiles, lambda b: row("", b["quantile"], b["value"])))
-    return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.suffix", "r.quantile", "r.value")
+    return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.suffix", "r.quantile", format_bound(F.col("r.quantile")).alias("bound"), "r.value")

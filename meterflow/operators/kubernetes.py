@@ -23,12 +23,18 @@ def _map(pairs: dict[str, Column]) -> Column:
 
 
 def _marked(meta: Column, prefix: str, kind: str) -> Column:
-    """``<kind>_<name>`` and ``<kind>present_<name>`` of a label or annotation map."""
+    """``<kind>_<name>`` and ``<kind>present_<name>`` of a label or annotation map; of names that sanitise alike the last one stays."""
     m = F.coalesce(meta, F.create_map().cast(EMPTY))
-    name = lambda head: lambda k, v: F.concat(F.lit(f"{P}{prefix}_{head}_"), L.sanitize_label_name(k))
-    unique = F.map_from_entries(F.transform(F.sort_array(F.map_entries(m)), lambda e: e))
-    flags = F.transform_values(unique, lambda k, v: F.lit("true"))
-    return F.map_concat(F.transform_keys(unique, name(kind)), F.transform_keys(flags, name(f"{kind}present")))
+    clean = F.transform(F.sort_array(F.map_entries(m)), lambda e: F.struct(L.sanitize_label_name(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def named(entries: Column) -> Column:
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+        name = lambda head, e: F.concat(F.lit(f"{P}{prefix}_{head}_"), e["k"])
+        values = F.transform(last, lambda e: F.struct(name(kind, e).alias("key"), e["v"].alias("value")))
+        flags = F.transform(last, lambda e: F.struct(name(f"{kind}present", e).alias("key"), F.lit("true").alias("value")))
+        return F.map_from_entries(F.concat(values, flags))
+
+    return F.get(F.transform(F.array(clean), named), F.lit(0))
 
 
 def pod_meta_labels() -> Column:
@@ -88,15 +94,21 @@ def attach_node_metadata(df: DataFrame, nodes: DataFrame, name: Column, how: str
     return out.withColumn("_node", F.coalesce("_nm", F.create_map().cast(EMPTY))).drop("_nn", "_nm")
 
 
+def attach_endpoint_nodes(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node labels of endpoints: of the Node that they refer to, else of the node that they name; unknown nodes add none."""
+    out = attach_node_metadata(targets, nodes, F.col("node"), "left")
+    return out.withColumn("labels", F.map_concat(F.map_filter("labels", lambda k, v: ~F.map_contains_key("_node", k)), "_node")).drop("_node")
+
+
 def endpointslice_targets(slices: DataFrame) -> DataFrame:
     """One row per endpoint, port and address, labels only where present; keys for the joins are kept."""
-    df = slices.select("metadata", "addressType", F.explode_outer("ports").alias("port"), "endpoints").withColumn("e", F.explode("endpoints")).withColumn("_a", F.explode("e.addresses"))
+    of_slice = _map({"namespace": F.col("metadata.namespace"), "endpointslice_name": F.col("metadata.name"), "endpointslice_address_type": F.col("addressType")})
+    marks = F.map_concat(_marked(F.col("metadata.labels"), "endpointslice", "label"), _marked(F.col("metadata.annotations"), "endpointslice", "annotation"))
+    slices = slices.withColumn("_own", F.map_concat(of_slice, marks))
+    df = slices.select("_own", "metadata", "addressType", F.explode_outer("ports").alias("port"), "endpoints").withColumn("e", F.explode("endpoints")).withColumn("_a", F.explode("e.addresses"))
     address = F.when(F.col("port.port").isNull(), F.col("_a")).otherwise(join_host_port(F.col("_a"), F.col("port.port")))
     own = _map(
         {
-            "namespace": F.col("metadata.namespace"),
-            "endpointslice_name": F.col("metadata.name"),
-            "endpointslice_address_type": F.col("addressType"),
             "endpointslice_port_name": F.col("port.name"),
             "endpointslice_port": F.col("port.port"),
             "endpointslice_port_protocol": F.col("port.protocol"),
@@ -111,9 +123,9 @@ def endpointslice_targets(slices: DataFrame) -> DataFrame:
             "endpointslice_address_target_name": F.col("e.targetRef.name"),
         }
     )
-    labels = F.map_concat(own, _marked(F.col("metadata.labels"), "endpointslice", "label"), _marked(F.col("metadata.annotations"), "endpointslice", "annotation"))
+    node = F.when(F.col("e.targetRef.kind") == "Node", F.col("e.targetRef.name")).otherwise(F.col("e.nodeName"))
     pod = F.when(F.col("e.targetRef.kind") == "Pod", F.struct(F.coalesce("e.targetRef.namespace", "metadata.namespace").alias("namespace"), F.col("e.targetRef.name").alias("name")))
-    return df.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("slice"), F.try_element_at("metadata.labels", F.lit(SERVICE_LABEL)).alias("service"), pod.alias("pod_ref"), F.col("e.nodeName").alias("node"), F.col("port.port").alias("port"), address.alias("address"), labels.alias("labels"))
+    return df.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("slice"), F.try_element_at("metadata.labels", F.lit(SERVICE_LABEL)).alias("service"), pod.alias("pod_ref"), node.alias("node"), F.col("port.port").alias("port"), address.alias("address"), F.map_concat("_own", own).alias("labels"), F.col("_own").alias("slice_labels"))
 
 
 def join_owning_service(targets: DataFrame, services: DataFrame) -> DataFrame:
@@ -137,13 +149,19 @@ def join_backing_pod(targets: DataFrame, pods: DataFrame) -> DataFrame:
     return out.withColumn("labels", F.when(F.col("_pm").isNull(), F.col("labels")).otherwise(L.add_absent(F.col("labels"), more))).drop("_pn", "_pp", "_pm", "_cs")
 
 
-def uncovered_pod_ports(targets: DataFrame, pods: DataFrame) -> DataFrame:
-    """Ports of referenced pods that their slice does not cover: namespace, slice, pod, address, labels of the pod."""
-    refs = targets.where("pod_ref IS NOT NULL").select(F.col("namespace").alias("ns"), "slice", F.col("pod_ref.namespace").alias("pn"), F.col("pod_ref.name").alias("pp")).distinct()
-    rows = pods.where(F.coalesce("status.podIP", F.lit("")) != "").select(F.col("metadata.namespace").alias("_n"), F.col("metadata.name").alias("_p"), "status.podIP", pod_meta_labels().alias("_m"), F.explode(containers()).alias("_c"))
-    rows = rows.withColumn("_port", F.explode("_c.ports"))
-    all_ports = refs.join(rows, (F.col("pn") == F.col("_n")) & (F.col("pp") == F.col("_p")))
-    covered = targets.where("pod_ref IS NOT NULL AND port IS NOT NULL").select(F.col("namespace").alias("cn"), F.col("slice").alias("cs"), F.col("pod_ref.namespace").alias("cpn"), F.col("pod_ref.name").alias("cpp"), F.col("port").alias("cport")).distinct()
-    on = (F.col("ns") == F.col("cn")) & (F.col("slice") == F.col("cs")) & (F.col("pn") == F.col("cpn")) & (F.col("pp") == F.col("cpp")) & (F.col("_port.containerPort") == F.col("cport"))
-    left = all_ports.join(covered, on, "left_anti")
-    return left.select(F.col("ns").alias("namespace"), "slice", F.col("pp").alias("pod"), F.col("_port.containerPort").alias("port"), join_host_port(F.col("podIP"), F.col("_port.containerPort")).alias("address"), F.map_concat("_m", _port_labels(F.col("_c"), F.col("_port"))).alias("labels"))
+def uncovered_pod_ports(targets: DataFrame, pods: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """Ports of referenced pods that their slice does not cover: namespace, slice, pod, port, address and labels.
+
+    The labels are those of the slice (and of its service, with ``services``) and of the pod, which win; none of the endpoint."""
+    refs = targets.where("pod_ref IS NOT NULL").select("namespace", "slice", "service", F.col("pod_ref.namespace").alias("pn"), F.col("pod_ref.name").alias("pp"), "port", "slice_labels")
+    # one row for each slice and pod, with the ports that it covers
+    refs = refs.groupBy("namespace", "slice", "pn", "pp").agg(F.first("service").alias("service"), F.first("slice_labels").alias("labels"), F.collect_set("port").alias("_ports"))
+    if services is not None:
+        refs = join_owning_service(refs, services)
+    known = pods.where(F.coalesce("status.podIP", F.lit("")) != "").select(F.col("metadata.namespace").alias("_n"), F.col("metadata.name").alias("_p"), "status.podIP", pod_meta_labels().alias("_m"), containers().alias("_cs"))
+    met = refs.join(known, (F.col("pn") == F.col("_n")) & (F.col("pp") == F.col("_p"))).withColumn("_c", F.explode("_cs")).withColumn("_port", F.explode("_c.ports"))
+    left = met.where(~F.array_contains("_ports", F.col("_port.containerPort")))
+    mine = F.map_concat("_m", _port_labels(F.col("_c"), F.col("_port")))
+    labels = F.map_concat(F.map_filter("labels", lambda k, v: ~F.map_contains_key("_mine", k)), "_mine")
+    left = left.withColumn("_mine", mine)
+    return left.select("namespace", "slice", F.col("pp").alias("pod"), F.col("_port.containerPort").alias("port"), join_host_port(F.col("podIP"), F.col("_port.containerPort")).alias("address"), labels.alias("labels"))

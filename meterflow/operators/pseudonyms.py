@@ -1,17 +1,23 @@
 """Pseudonymization of scrape bodies: label values that are not allowed to stay are replaced, and leaks are looked for.
 
 Bodies are a table (file, body).  ``keep`` names the labels whose values stay, ``high_risk`` those that hold identities.
-Comments, metric names, values and timestamps are copied.  Null bodies hold no labels and stay null.
+Comments, metric names, values, timestamps, blanks and commas are copied.  Null bodies hold no labels and stay null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exposition import let
+
 QUOTED = r'"(?:[^"\\]++|\\.)*+"'
 SET = rf'(?s)\A([^{{]*+\{{)((?:[^"}}]++|{QUOTED})*+)(\}}.*)\z'
-PAIR = r'([^=, ][^=]*+)="((?:[^"\\]++|\\.)*+)"'
+#: A pair up to its value's opening quote, and the value; blanks may stand around the equals sign.
+PAIR = r'([^=,{"\s][^=,{"\s]*+[ \t]*+=[ \t]*+")((?:[^"\\]++|\\.)*+)'
 DISTINCTIVE = 4
 
 
@@ -20,10 +26,25 @@ def is_distinctive(value: Column) -> Column:
     return (F.octet_length(value) >= DISTINCTIVE) & ~value.rlike(r"\A[a-z]*\z")
 
 
+def _pieces(line: Column) -> Column:
+    """A line in threes: other text, a pair's text up to its value, the value; the rest of the line last.
+
+    Comments and lines without a closed label set are one piece."""
+    block = F.regexp_replace(F.regexp_extract(line, SET, 2), PAIR, "\n$1\n$2\n")
+    whole = F.split(F.concat(F.regexp_extract(line, SET, 1), block, F.regexp_extract(line, SET, 3)), "\n")
+    return F.when(line.rlike(r"\A[ \t]*#") | ~line.rlike(SET), F.array(line)).otherwise(whole)
+
+
+def _name(piece: Column) -> Column:
+    return F.regexp_extract(piece, r"\A([^= \t]*)", 1)
+
+
 def _pairs(line: Column) -> Column:
-    block = F.when(~line.startswith("#"), F.regexp_extract(line, SET, 2)).otherwise("")
-    names, values = (F.regexp_extract_all(block, F.lit(PAIR), F.lit(i)) for i in (1, 2))
-    return F.arrays_zip(names.alias("label"), values.alias("value"))
+    def read(p: Column) -> Column:
+        names = F.transform(F.filter(p, lambda x, i: i % 3 == 1), _name)
+        return F.arrays_zip(names.alias("label"), F.filter(p, lambda x, i: i % 3 == 2).alias("value"))
+
+    return let(_pieces(line), read)
 
 
 def corpus_label_values(bodies: DataFrame) -> DataFrame:
@@ -85,10 +106,13 @@ def pseudonymize_bodies(bodies: DataFrame, denied: DataFrame, mapping: DataFrame
     kept = F.array(*[F.lit(k) for k in keep]).cast("array<string>")
 
     def rewritten(line: Column) -> Column:
-        value = lambda p: F.when(F.array_contains(kept, p["label"]), p["value"]).otherwise(F.coalesce(F.try_element_at("_m", p["value"]), p["value"]))
-        pairs = F.array_join(F.transform(_pairs(line), lambda p: F.concat(p["label"], F.lit('="'), value(p), F.lit('"'))), ",")
-        sound = ~line.startswith("#") & line.rlike(SET)
-        return F.when(sound, F.concat(F.regexp_extract(line, SET, 1), pairs, F.regexp_extract(line, SET, 3))).otherwise(line)
+        other = lambda v: F.coalesce(F.try_element_at("_m", v), v)
+
+        def put(p: Column) -> Column:
+            value = lambda v, i: F.when((i % 3 == 2) & ~F.array_contains(kept, _name(F.get(p, i - 1))), other(v)).otherwise(v)
+            return F.array_join(F.transform(p, value), "")
+
+        return let(_pieces(line), put)
 
     out = bodies.join(own, F.col("file") == F.col("_f"), "left")
     return out.withColumn("body", F.array_join(F.transform(F.split("body", "\n"), rewritten), "\n")).drop("_f", "_m")
@@ -106,25 +130,42 @@ def suspicious(text: Column) -> Column:
     return F.filter(F.split(text, r"[^a-zA-Z0-9.:_-]"), lambda t: (F.length(t) >= 7) & t.rlike(shape))
 
 
-def leak_scan(clean: DataFrame, secrets: DataFrame, keep: list[str]) -> DataFrame:
+def leak_scan(clean: DataFrame, secrets: DataFrame, keep: list[str], chunk_bytes: int = 32 << 20) -> DataFrame:
     """Leaks (file, kind, token): high-risk distinctive values anywhere, addresses in comments and in kept labels.
 
-    Values meet bodies by their first four characters, then are searched for in whole bodies.
-    """
+    Values are searched for all at once by an automaton in each task, in chunks of at most ``chunk_bytes`` of values, each
+    with a pass over the bodies; nothing but bodies and hits is moved."""
     lines = clean.select("file", F.explode(F.split("body", "\n")).alias("line"))
-    comments = lines.where(F.col("line").startswith("#")).select("file", F.lit("comment").alias("kind"), F.explode(suspicious(F.col("line"))).alias("token"))
+    comments = lines.where(F.ltrim("line").startswith("#")).select("file", F.lit("comment").alias("kind"), F.explode(suspicious(F.col("line"))).alias("token"))
     kept = corpus_label_values(clean).where(F.col("label").isin(keep))
     labels = kept.select("file", F.lit("label").alias("kind"), F.explode(suspicious(F.col("value"))).alias("token"))
-    wanted = secrets.where(is_distinctive(F.col("value"))).select(F.col("value").alias("token"), F.left("value", F.lit(DISTINCTIVE)).alias("gram"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("body") - DISTINCTIVE + 1, F.lit(1)))
-    grams = clean.select("file", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("body"), i, F.lit(DISTINCTIVE))))).alias("gram"))
-    short = F.length("gram") < DISTINCTIVE  # values of few characters but four bytes or more
-    met = grams.join(wanted.where(~short), "gram").select("file", "token")
-    few = wanted.where(short).select("token", "gram")
-    singles = clean.select("file", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1))), lambda i: F.array(*[F.substring(F.col("body"), i, F.lit(n)) for n in (1, 2, 3)]))))).alias("gram"))
-    met = met.union(singles.join(few, "gram").select("file", "token")).distinct()
-    found = met.join(clean.select("file", "body"), "file").where(F.contains("body", "token"))
-    return comments.union(labels).union(found.select("file", F.lit("value").alias("kind"), "token")).distinct()
+    wanted = secrets.where(is_distinctive(F.col("value"))).select("value").distinct()
+    size = wanted.agg(F.sum(F.octet_length("value") + 64).alias("n")).first()["n"] or 0
+    chunks = -(-int(size) // chunk_bytes)
+    out = comments.union(labels)
+    for i in range(chunks):
+        part = wanted.where(F.pmod(F.xxhash64("value"), F.lit(chunks)) == i).toArrow()["value"].to_pylist()
+        out = out.union(_found(clean, part)) if part else out
+    return out.distinct()
+
+
+def _found(clean: DataFrame, values: list[str]) -> DataFrame:
+    shared = clean.sparkSession.sparkContext.broadcast(values)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for v in shared.value:
+            machine.add_word(v, v)
+        machine.make_automaton()
+        for b in batches:
+            hits = [sorted({v for _, v in machine.iter(body)}) if body else [] for body in b.column("body").to_pylist()]
+            files = b.column("file").take(pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64()))
+            yield pa.RecordBatch.from_arrays([files, pa.array([v for h in hits for v in h], pa.string())], ["file", "token"])
+
+    kind = clean.schema["file"].dataType.simpleString()
+    return clean.select("file", "body").mapInArrow(search, f"file {kind}, token string").select("file", F.lit("value").alias("kind"), "token")
 
 
 def fidelity_check(before: DataFrame, after: DataFrame) -> DataFrame:

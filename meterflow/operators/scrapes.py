@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exposition as X
 from ..functions import labels as L
+from ..functions.numbers import format_number
 from .relabel import Rule, relabel
 
 BODY_LIMIT = 128 << 20
@@ -104,7 +105,56 @@ def scrape_health_transitions(stats: DataFrame) -> DataFrame:
     return df.withColumn("failures", run).drop("_island")
 
 
-def ingestion_metrics(stats: DataFrame, bucket_ms: int) -> DataFrame:
-    """Scrapes, failures and samples per time bucket."""
-    bucket = (F.floor(F.col("start_ms") / bucket_ms) * bucket_ms).cast("bigint")
-    return stats.groupBy(bucket.alias("bucket_ms")).agg(F.count("*").alias("scrapes"), F.count_if(F.col("up") == 0).alias("failures"), F.sum("scraped").alias("samples_scraped"), F.sum("kept").alias("samples_kept"))
+MEASURES = ("scrapes", "failures", "samples_scraped", "samples_kept", "markers", "tracked_series", "batches", "sent_bytes", "retries", "failed_batches")
+
+
+def ingestion_metrics(stats: DataFrame, bucket_ms: int, markers: DataFrame | None = None, tracked: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """``MEASURES`` per time bucket, 0 where there is nothing.
+
+    ``markers`` (ts_ms) are staleness markers; ``tracked`` (target_id, start_ms, tracked) is the number of series that a
+    target has after a scrape, of which a bucket counts each target's last; ``outcomes`` (ts_ms, outcome, bytes) are
+    delivery attempts: a batch counts when it is accepted, with its bytes."""
+    at = lambda c: (F.floor(F.col(c) / bucket_ms) * bucket_ms).cast("bigint").alias("bucket_ms")
+    up = F.when(F.col("up") == 0, 1).otherwise(0)
+    parts = [stats.select(at("start_ms"), F.lit(1).alias("scrapes"), up.alias("failures"), F.col("scraped").alias("samples_scraped"), F.col("kept").alias("samples_kept"))]
+    if markers is not None:
+        parts.append(markers.select(at("ts_ms"), F.lit(1).alias("markers")))
+    if tracked is not None:
+        last = tracked.groupBy(at("start_ms"), "target_id").agg(F.max_by("tracked", "start_ms").alias("tracked_series"))
+        parts.append(last.drop("target_id"))
+    if outcomes is not None:
+        sent = F.col("outcome").isin("ok", "partial")
+        one = lambda c: F.when(c, 1).otherwise(0)
+        parts.append(outcomes.select(at("ts_ms"), one(sent).alias("batches"), F.when(sent, F.col("bytes")).otherwise(0).alias("sent_bytes"), one(F.col("outcome") == "retry").alias("retries"), one(F.col("outcome") == "dropped").alias("failed_batches")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    for m in MEASURES:
+        rows = rows if m in rows.columns else rows.withColumn(m, F.lit(0))
+    return rows.groupBy("bucket_ms").agg(*(F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in MEASURES))
+
+
+def ingestion_metric_series(metrics: DataFrame, labels: dict[str, str], prefix: str = "meterflow_") -> DataFrame:
+    """Each measure of each bucket as a series (labels sorted, ts_ms, value), in order of labels and time.
+
+    ``labels`` are job, instance and external labels; a measure's own name wins."""
+    pairs = ", ".join(f"'{prefix}{m}', cast({m} AS double)" for m in MEASURES)
+    rows = metrics.selectExpr("bucket_ms AS ts_ms", f"stack({len(MEASURES)}, {pairs}) AS (name, value)")
+    more = F.create_map(*[F.lit(x) for k, v in labels.items() if k != "__name__" for x in (k, v)]) if labels else F.create_map().cast("map<string,string>")
+    named = L.sort_labels(F.map_concat(more, F.create_map(F.lit("__name__"), F.col("name"))))
+    return rows.select(named.alias("labels"), "ts_ms", "value").orderBy("labels", "ts_ms")
+
+
+def render_exposition(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, body): text of ``rows`` (key, name, help, kind, labels array, value), families and their lines in order.
+
+    Help texts and label values are escaped; a family without samples has no text."""
+    escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(escaped(v), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    block = F.concat(F.lit("{"), F.array_join(F.transform("labels", lambda p: F.concat(p["name"], F.lit("="), quoted(p["value"]))), ","), F.lit("}"))
+    line = F.concat("name", F.when(F.size("labels") > 0, block).otherwise(""), F.lit(" "), format_number(F.col("value")))
+    head = F.concat(F.lit("# HELP "), "name", F.lit(" "), escaped(F.col("help")), F.lit("\n# TYPE "), "name", F.lit(" "), "kind", F.lit("\n"))
+    lines = rows.select(*key, "name", head.alias("head"), line.alias("line"))
+    families = lines.groupBy(*key, "name").agg(F.min("head").alias("head"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    body = F.transform(F.sort_array(F.collect_list(F.struct("name", "head", "lines"))), lambda f: F.concat(f["head"], f["lines"], F.lit("\n")))
+    return families.groupBy(*key).agg(F.array_join(body, "").alias("body"))

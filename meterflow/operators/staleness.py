@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from ..functions import labels as L
 from .scrapes import REPORTS
 
 
@@ -47,10 +49,19 @@ def tracked_series_count(samples: DataFrame, scrapes: DataFrame) -> DataFrame:
     return scrapes.select("target_id").distinct().join(live, F.col("target_id") == F.col("_t"), "left").select("target_id", F.coalesce("n", F.lit(0)).alias("tracked"))
 
 
-def removed_target_markers(samples: DataFrame, scrapes: DataFrame, removed: DataFrame) -> DataFrame:
-    """``removed`` (target_id, ts_ms): markers for all tracked series of the target and for its five report series."""
-    gone = removed.select(F.col("target_id").alias("_r"), "ts_ms")
-    series = _last_tracked(samples, scrapes).join(gone, F.col("target_id") == F.col("_r")).select("target_id", "identity", "ts_ms")
-    reports = gone.join(scrapes.select("target_id").distinct(), F.col("target_id") == F.col("_r"), "left_semi")
-    reports = reports.select(F.col("_r").alias("target_id"), F.explode(F.array(*[F.lit(r) for r in REPORTS])).alias("identity"), "ts_ms")
-    return series.union(reports).withColumn("is_stale", F.lit(True))
+def removed_target_markers(samples: DataFrame, scrapes: DataFrame, removed: DataFrame, target_labels: Column | None = None) -> DataFrame:
+    """``removed`` (target_id, ts_ms): markers (target_id, identity, labels, ts_ms, value, is_stale) for all tracked series of
+    the target, with their final labels, and for its five report series, with ``target_labels`` (a map of the columns of
+    ``removed``) and their name."""
+    none = F.create_map().cast("map<string,string>")
+    own = none if target_labels is None else target_labels
+    gone = removed.select(F.col("target_id").alias("_r"), "ts_ms", own.alias("_own"))
+    series = _last_tracked(samples, scrapes).join(gone, F.col("target_id") == F.col("_r")).select("target_id", "identity", "labels", "ts_ms")
+    known = scrapes.select("target_id").distinct()
+    reports = gone.join(known, F.col("target_id") == F.col("_r"), "left_semi").withColumn("identity", F.explode(F.array(*[F.lit(r) for r in REPORTS])))
+    named = F.map_concat(F.map_filter("_own", lambda k, v: k != "__name__"), F.create_map(F.lit("__name__"), F.col("identity")))
+    kind = samples.schema["labels"].dataType
+    if not isinstance(kind, MapType):
+        named = L.sort_labels(named).cast(kind)
+    reports = reports.select(F.col("_r").alias("target_id"), "identity", named.alias("labels"), "ts_ms")
+    return series.unionByName(reports).withColumns({"value": F.lit(float("nan")), "is_stale": F.lit(True)})

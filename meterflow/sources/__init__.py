@@ -1 +1,5 @@
+"""Readers of scrape bodies, target groups and Kubernetes snapshots, and the writer of samples."""
 
+from .files import read_exposition_bodies, read_k8s_objects, read_target_groups, write_samples
+
+__all__ = ["read_exposition_bodies", "read_k8s_objects", "read_target_groups", "write_samples"]

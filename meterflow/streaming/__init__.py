@@ -1 +1,5 @@
+"""The batch jobs as continuous ones: scrapes arrive as a stream, order within a target is by start."""
 
+from .jobs import stream_delivery, stream_scrape_pipeline, stream_stale_markers
+
+__all__ = ["stream_delivery", "stream_scrape_pipeline", "stream_stale_markers"]

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow.operators.delivery import assign_batches
+from meterflow.operators.delivery import assign_batches, batch_counts, delivery_outcomes, fan_out_endpoints, write_relabel
+from meterflow.operators.relabel import Rule
 
 
 @pytest.mark.parametrize("shards", [1, 3])
@@ -18,3 +19,30 @@ def test_batches_follow_the_order_over_ranges(spark, shards):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_range" in plan  # no window of a whole endpoint over the rows
     assert assign_batches(df.where(F.lit(False)), ["at", "id"]).count() == 0
+
+
+def test_outcomes_meet_by_shard(spark):
+    rows = [(i, i % 50, False, "a", 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, target_id int, is_histogram boolean, endpoint string, max_samples_per_send int")
+    counts = batch_counts(assign_batches(df, ["id"], shards=4))
+    assert counts.select("shard").distinct().count() == 4
+    sent = counts.select("endpoint", "shard", "batch_id", F.lit(200).alias("http_status"), F.when(F.col("batch_id") == 0, F.col("n_samples") - 1).otherwise(F.col("n_samples")).alias("samples_written"), F.col("n_histograms").alias("histograms_written"))
+    got = delivery_outcomes(sent, counts).collect()
+    assert len(got) == counts.count() and all(r.outcome == ("partial" if r.batch_id == 0 else "ok") for r in got)
+    whole = counts.groupBy("endpoint", "batch_id").agg(F.sum("n_samples").alias("samples_written"), F.sum("n_histograms").alias("histograms_written"))
+    got = delivery_outcomes(whole.withColumn("http_status", F.lit(204)), counts).collect()
+    assert len(got) == whole.count() and {r.outcome for r in got} == {"ok"}
+
+
+def test_write_relabel_keeps_unchained_rows(spark):
+    df = spark.createDataFrame([("a", 0, {"x": "", "b": "1"}), ("b", 0, {"x": "", "b": "1"}), ("b", 0, {"b": "2"}), ("c", 1, None)], "endpoint string, batch_id int, labels map<string,string>")
+    out = write_relabel(df, {"b": [Rule("drop", ("b",), regex="2")]}).collect()
+    shown = sorted((r.endpoint, r.labels and [tuple(p) for p in r.labels]) for r in out)
+    assert shown == [("a", [("b", "1"), ("x", "")]), ("b", [("b", "1")]), ("c", None)]
+
+
+def test_endpoints_are_bounded(spark):
+    many = spark.range(1001).selectExpr("cast(id as string) as endpoint")
+    with pytest.raises(ValueError):
+        fan_out_endpoints(spark.range(1), many)
+    assert fan_out_endpoints(spark.range(3), many.limit(0)).count() == 0

@@ -68,9 +68,9 @@ def test_long_value_does_not_overflow(spark):
 
 
 def test_units(spark):
-    assert one(spark, "x", ["1h30m", "0", "1d2h", "5ms", "1m1h", "", "1.5h", "90"], U.parse_duration_ms) == [5_400_000, 0, 93_600_000, 5, None, None, None, None]
-    got = one(spark, "x", ["1.5MiB", "1MiB512KiB", "100B", "0", "1mb", "x", "2EiB"], U.parse_size_bytes)
-    assert [None if v is None else int(v) for v in got] == [1572864, 1572864, 100, 0, None, None, 2 << 60]
+    assert one(spark, "x", ["1h30m", "0", "1d2h", "5ms", "1m1h", "", "1.5h", "90", "1000000000000y", "99999999999999999999h"], U.parse_duration_ms) == [5_400_000, 0, 93_600_000, 5, *[None] * 6]
+    got = one(spark, "x", ["1.5MiB", "1MiB512KiB", "100B", "0", "1mb", "x", "2EiB", "16EiB", "99999999999999999999999B"], U.parse_size_bytes)
+    assert [None if v is None else int(v) for v in got] == [1572864, 1572864, 100, 0, None, None, 2 << 60, None, None]
 
 
 def test_body_format(spark):

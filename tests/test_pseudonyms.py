@@ -21,3 +21,22 @@ def test_pseudonyms_are_injective(spark):
     rows = P.pseudonym_map(df).collect()
     assert len(rows) == 1002 and len({r.pseudonym for r in rows}) == 1002 and all(len(r.value) == len(r.pseudonym) for r in rows)
     assert sum(r.value == r.pseudonym for r in rows) < 20
+
+
+def test_blanks_and_commas_do_not_leak(spark):
+    plain, spaced = 'm{a="x1y2",b="secret99"} 1', 'm{ a = "x1y2" ,\tb="secret99" , } 1'
+    raw = spark.createDataFrame([("p", plain), ("s", spaced), ("c", '  # m{a="x1y2"}\nm{} 1\nm{ } 1')], "file string, body string")
+    values = P.corpus_label_values(raw)
+    assert sorted((r.file, r.label, r.value) for r in values.collect()) == [(f, k, v) for f in "ps" for k, v in (("a", "x1y2"), ("b", "secret99"))]
+    denied = P.denied_values(values, [], P.public_vocabulary(values, [], []))
+    got = {r.file: r.body for r in P.pseudonymize_bodies(raw, denied, P.pseudonym_map(denied), []).collect()}
+    assert got["c"] == '  # m{a="x1y2"}\nm{} 1\nm{ } 1'
+    a, b = got["p"].split('"')[1::2]
+    assert got["s"] == spaced.replace("x1y2", a).replace("secret99", b) and "secret99" not in got["p"] + got["s"] and "x1y2" not in got["p"] + got["s"]
+
+
+def test_leaks_are_found_in_chunks(spark):
+    clean = spark.createDataFrame([("f", "# abcd1 here xx9y"), ("g", None), ("h", "nothing")], "file string, body string")
+    secrets = spark.createDataFrame([("abcd1",), ("xx9y",), ("zz99",), ("word",), (None,)], "value string")
+    for size in (1 << 20, 70):
+        assert {(r.file, r.token) for r in P.leak_scan(clean, secrets, [], size).collect()} == {("f", "abcd1"), ("f", "xx9y")}

@@ -39,3 +39,24 @@ def test_validation(spark):
     assert check([(0, 1)], [-1]) == "negative bucket count"
     assert check([(0, 1)], [1], -5) == "unsupported schema"
     assert check([(2**31 - 1, 2)], [1, 1]) == "bucket index overflow"
+
+
+def test_overflow_names_the_histogram(spark):
+    from meterflow.operators import histograms as H
+
+    most = 2**63 - 1
+    rows = [(1, [(0, 2)], [1, 1]), (2, [(0, 2)], [most, 1]), (3, [(0, most), (1, most)], [1, 1]), (4, [(2**31 - 1, 2)], [1, 1]), (5, [(0, 1), (-1, 1)], [1, 1]), (6, [(0, 2)], [1, -2]), (7, [(0, 10**12)], [1]), (8, [], [])]
+    df = spark.createDataFrame(rows, f"id int, spans {H.SPANS}, deltas array<bigint>")
+    got = {r.id: r.e for r in df.select("id", H.validate_native_histogram(F.lit(3), F.col("spans"), F.col("deltas")).alias("e")).collect()}
+    assert got == {1: None, 2: "bucket count overflow", 3: "bucket index overflow", 4: "bucket index overflow", 5: "negative span offset", 6: "negative bucket count", 7: "bucket index overflow", 8: None}
+    assert {r.id for r in H.histogram_buckets(df.where("id in (1, 3, 7, 8)"), ["id"], "spans", "deltas", "positive").collect()} == {1}
+
+
+def test_names_that_sanitise_alike(spark):
+    from meterflow.operators import kubernetes as K
+
+    nodes = spark.sql("SELECT named_struct('name', 'n', 'labels', map('a.b', '1', 'a-b', '2', 'c', '3'), 'annotations', cast(null AS map<string,string>)) AS metadata")
+    out = K.attach_node_metadata(spark.sql("SELECT 'n' AS x UNION ALL SELECT 'unknown'"), nodes, F.col("x"), "left").collect()
+    got = {r.x: r._node for r in out}
+    assert got["n"] == {"__meta_kubernetes_node_name": "n", "__meta_kubernetes_node_label_a_b": "1", "__meta_kubernetes_node_labelpresent_a_b": "true", "__meta_kubernetes_node_label_c": "3", "__meta_kubernetes_node_labelpresent_c": "true"}
+    assert got["unknown"] == {}
