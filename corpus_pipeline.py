@@ -13,7 +13,7 @@ from meterflow.llm.bpe import decode, default_path, encode
 from meterflow.llm.jaccard_join import jaccard_components
 from meterflow.llm.mixing import mixed
 from meterflow.llm.quality_classifier import classify, quality_model
-from meterflow.llm.storage import written
+from meterflow.llm.storage import discard, result, written
 from meterflow.llm.substring_dedup import dedup
 
 
@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        before, docs = docs, result(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{i}")  # noqa: B023
+        discard(before)
     return docs
