@@ -6,7 +6,7 @@ Parquet and read again.  All stages but the last return the columns of ``documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.llm.bpe import decode, default_path, encode
@@ -17,9 +17,18 @@ from meterflow.llm.storage import discard, result, written
 from meterflow.llm.substring_dedup import dedup
 
 
+def _packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """text and the ``needed`` columns, with all others in a struct that no operator's columns can clash with."""
+    return docs.select("text", *needed, F.struct(F.lit(0).alias("_none"), *(c for c in docs.columns if c != "text")).alias("_own"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return df.select(*(changed.get(c, F.col("text") if c == "text" else F.col("_own").getField(c)).alias(c) for c in docs.columns))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify(docs, quality_model(spark, docs, sf_dir)).where("kept").select(*docs.columns)
+    return _unpacked(classify(_packed(docs), quality_model(spark, docs, sf_dir)).where("kept"), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +42,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts; texts without any stay as they are."""
-    out = dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = dedup(_packed(docs))
+    gone = F.col("n_removed") > 0
+    length = F.when(gone, F.length("kept").cast("long")).otherwise(F.col("_own").getField("n_chars")) if "n_chars" in docs.columns else None
+    return _unpacked(out, docs, text=F.when(gone, F.col("kept")).otherwise(F.col("text")), **({} if length is None else {"n_chars": length}))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that the mix takes more than once appears as often."""
-    return mixed(docs)
+    return _unpacked(mixed(_packed(docs, "doc_id", "source")), docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
