@@ -85,8 +85,8 @@ def sigmoid(x):
 class Model:
     """Shared weights and ordered thresholds."""
 
-    def __init__(self, weight: np.ndarray, cut: np.ndarray):
-        self.weight, self.cut = weight, cut
+    def __init__(self, weight: np.ndarray, cut: np.ndarray, trained: bool = True):
+        self.weight, self.cut, self.trained = weight, cut, trained
 
     def score(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(self.weight[codes], dtype=np.float64)])
@@ -117,7 +117,7 @@ def fit(codes: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int = GRAD
     weight = np.zeros(size)
     if not docs:
         k = np.arange(1, grades)
-        return Model(weight, np.log(k / (grades - k)))
+        return Model(weight, np.log(k / (grades - k)), trained=False)
     df = np.bincount(codes, minlength=size)
     used = df >= min(min_df, max(1, docs // 40))
     value = np.sqrt(np.log(np.maximum(docs, 2) / df[used].clip(1)) / np.log(max(docs, 2)))  # common features say little
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GR
 
     rows = carried.withColumn("_t", F.col(text).cast("string"))
     scored = rows.mapInArrow(lean(run), f"{kinds}expected_grade double, tail_probability double")
-    return scored.withColumn("kept", F.col("tail_probability") >= F.lit(threshold))
+    return scored.withColumn("kept", F.col("tail_probability") >= F.lit(threshold) if model.trained else F.lit(True))
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:

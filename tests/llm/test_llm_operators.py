@@ -443,3 +443,55 @@ def test_forests_connect_what_links(same):
         for a in left:
             for b in right:
                 assert not links(a, b) or group[a] == group[b]
+
+
+def test_sketches_never_miss_a_repeat(spark):
+    from meterflow.llm import sketch
+
+    keys = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    blobs = [np.concatenate([keys[i * 1000 : i * 1000 + 1000], keys[:500]]).tobytes() for i in range(6)]
+    df = spark.createDataFrame([(b,) for b in blobs], "k binary").repartition(4)
+    read = lambda batch: iter([np.frombuffer(x, np.uint64) for x in batch.column("k").to_pylist()])
+    for bits in (16, 18):
+        maps = sketch.repeated_maps(df, read, bits)
+        assert sketch.repeated(maps, keys[:500], bits).all()
+        assert sketch.repeated(maps, keys[1000:], bits).mean() < 0.02
+        assert (sketch.unpacked(sketch.packed(maps)) == maps).all()
+    assert not sketch.repeated_maps(df.where("false"), read, 16).any() and sketch.width(0) == sketch.LEAST_BITS and sketch.width(1e15) == sketch.MOST_BITS
+
+
+def test_bpe_spans_and_other_vocabularies(docs, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    own = Tokenizer.from_file(path)
+    out = bpe.encode(docs, path, leaf=300, span=2000).collect()
+    assert len(out) == len(ROWS) and max(len(r.text or "") for r in out) > 2000
+    for r in out:
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode(r.text or "", add_special_tokens=False).ids and r.lang == "en"
+    spec = json.load(open(path))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**spec["model"], "type": "WordPiece"}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(other))
+
+
+def test_classifier_on_repeated_and_long_rows(spark):
+    rows = [(i, " ".join(words(30)), 2 - i % 3) for i in range(90)] + [(1, "same text", 1)] * 4 + [(None, "no id", 0), (500, "x " * 700_000, 0), (501, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int").withColumn("kept", F.lit("clash"))
+    model = quality_classifier.train(df)
+    out = quality_classifier.classify(df, model).collect()
+    assert len(out) == len(rows) and len({r.tail_probability for r in out if r.text == "same text"}) == 1 and model.trained
+    assert all(math.isfinite(r.expected_grade) for r in out) and {type(r.kept) for r in out} == {bool}
+
+
+def test_records_of_repeated_pages_have_their_own_ids(spark):
+    pages = spark.createDataFrame([(1, "u%20 x", "<p>a")] * 3 + [(None, None, None)] * 2, "page_id long, url string, html string")
+    raw = [r for a in warc.archive(pages).collect() for r in warc.unpack(a.content)]
+    names = {x for r in raw for x in re.findall(rb"WARC-Record-ID: (\S+)", r)}
+    assert len(raw) == 5 and len(names) == 5 and sum(b"WARC-Target-URI: u%20 x\r\n" in r for r in raw) == 3
+    with pytest.raises(ValueError):
+        list(warc.unpack(warc.pack(raw)[:-3]))

@@ -47,3 +47,28 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert out.columns == docs.columns and len(got) == 6
     assert [i for i, t in got if t.startswith("w0")] == [1] and [i for i, t in got if t.startswith("v0")] == [None]
     assert got.count((2, "")) == 2 and (3, "solo text") in got and (None, "null id alone") in got
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    shared = words("shared", 60)
+    rows = [
+        (1, words("a", 200), "en", "s", 5), (1, words("b", 80), None, None, None), (2, words("a", 199) + " end", "en", "s", 5), (3, None, None, None, None), (4, "", "de", "", 0), (None, "  ", None, "s", 2),
+        (5, words("c", 50) + " " + shared, "en", "t", 1), (6, words("d", 50) + " " + shared, "en", "t", 1), (7, words("long", 40_000), "en", "t", 1), (8, "x" * 300_000, "en", "u", 1), (9, words("e", 30), "en", None, 1), (9, words("e", 30), "en", None, 1),
+    ]
+    names = ["kept", "n_words", "ids", "component_id", "expected_grade", "n_tokens"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], kinds).repartition(3)
+    first = written(p.quality_classifier(spark, docs, str(tmp_path)), "t")
+    assert first.columns == docs.columns and first.count() == len(rows)  # without labels nothing is rejected
+    second = written(p.ngram_jaccard_join(spark, first, str(tmp_path)), "t")
+    assert second.columns == docs.columns and second.count() == len(rows) - 2  # document 2, and one of the equal rows
+    third = written(p.substring_dedup(spark, second, str(tmp_path)), "t")
+    texts = {r.doc_id: r.text for r in third.where("doc_id IN (5, 6, 7)").collect()}
+    assert texts == {5: words("c", 50), 6: words("d", 50), 7: words("long", 40_000)}
+    assert third.where("ids = 'ids' AND kept = 'kept'").count() == len(rows) - 2
+    fourth = written(p.mix_sources(spark, third, str(tmp_path)), "t")
+    assert fourth.columns == docs.columns
+    out = p.bpe(spark, fourth, str(tmp_path)).collect()
+    assert len(out) == fourth.count() and all(r.round_trip for r in out)
