@@ -8,7 +8,8 @@ outermost articles are not judged by their class or id, sections inside an artic
 included.  Where the page marks an article or main element with text, all lines inside it are kept and no others.
 
 Edge cases: null or empty html gives ""; a page without a surge gives its block of lines with the longest text;
-unclosed tags, comments and quotes end with the page; very long pages are read whole in one pass; repeated rows
+unclosed tags, comments and quotes end with the page, an unclosed boilerplate element also before an article or main element;
+a CDATA section is a comment, as browsers take it; very long pages are read whole in one pass; repeated rows
 give repeated results; nulls in other columns and extra columns are left alone.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>",
     re.S,
 )
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -137,6 +138,7 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
     linked = drop = article = 0
     drop_name, marked, in_link, at = "", False, False, 0
     principal: _Principal | None = None
+    last: dict[str, int] = {}
 
     def close() -> None:
         nonlocal linked
@@ -154,6 +156,12 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
             if in_link:
                 linked += len(piece)
 
+    def closed(name: str) -> int:
+        """Where the last closing tag of a name stands, -1 without one."""
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}\b", page, re.I)), default=-1)
+        return last[name]
+
     def leave() -> None:
         close()
         lines.extend([("", 0, False)] * gap)
@@ -166,9 +174,7 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
         if m.start() > at:
             text(page[at : m.start()])
         tag, at = m.group(), m.end()
-        if tag[1] in "!?":
-            if tag.startswith("<![CDATA["):
-                text(entities.unescape(tag[9:].removesuffix("]]>")))
+        if tag[1] in "!?":  # a comment, as a CDATA section is one in a page
             continue
         name, closing = NAME.match(tag)[1].lower(), tag[1] == "/"
         if name in RAW and not closing:
@@ -182,7 +188,7 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
                 drop += -1 if closing else (0 if tag.endswith("/>") or name in AUTO_CLOSED else 1)
                 if not drop:
                     leave()
-            elif name in ("body", "article", "main") and not closing and drop_name == "head":
+            elif not closing and (drop_name == "head" and name in ("body", *MARKED) or name in MARKED and at > closed(drop_name)):
                 drop = 0
                 leave()
             if drop:

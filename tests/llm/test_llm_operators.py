@@ -495,3 +495,64 @@ def test_records_of_repeated_pages_have_their_own_ids(spark):
     assert len(raw) == 5 and len(names) == 5 and sum(b"WARC-Target-URI: u%20 x\r\n" in r for r in raw) == 3
     with pytest.raises(ValueError):
         list(warc.unpack(warc.pack(raw)[:-3]))
+
+
+def test_extraction_of_all_pages_against_a_parser(spark):
+    """An independent reader, by the standard library's parser, of pages whose article is marked."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.now, self.stack = [], "", []
+
+        def flush(self):
+            t = " ".join(self.now.split())
+            self.blocks += [t] if t else []
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "h3", "br", "li", "ul", "div", "article", "blockquote"):
+                self.flush()
+            if tag in ("article", "script", "style", "nav", "aside", "form", "footer") or dict(attrs).get("class") in ("ad", "comments", "share"):
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article", "blockquote"):
+                self.flush()
+            if self.stack and self.stack[-1] == tag:
+                self.stack.pop()
+
+        def handle_data(self, data):
+            if self.stack == ["article"]:
+                self.now += data
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    found = {r.page_id: r for r in extraction.extract(pages).collect()}
+    for p in pages.collect():
+        reader = Reader()
+        reader.feed(p.html or "")
+        reader.close()
+        reader.flush()
+        assert found[p.page_id].text.split("\n") == (reader.blocks or [""]), p.page_id
+        assert found[p.page_id].n_chars == len(found[p.page_id].text)
+
+
+def test_extraction_decodes_once_and_ends_unclosed_boilerplate():
+    assert extraction.main_text(f"<article><p>{LONG} <![CDATA[&amp;lt;x]]>&amp;lt;</p></article>") == f"{LONG} &lt;"
+    assert extraction.main_text(f"<body><nav><a href=x>Home</a><article><p>{LONG}</p></article></body>") == LONG
+    long = "\n".join(f"Paragraph {i} of {LONG}" for i in range(5000))
+    page = "<main>" + "".join(f"<p>{x}</p>" for x in long.split("\n")) + "</main>"
+    assert extraction.main_text(page) == long
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rated = quality_classifier.graded(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))  # equal texts fall on one side
+    model = quality_classifier.train(rated.where(half == 0))
+    out = quality_classifier.classify(rated.where(half == 1), model).select("grade", "kept", "expected_grade").toPandas()
+    good, bad = out[out.grade == 2], out[out.grade < 2]
+    assert len(good) > 30 and len(bad) > 10
+    assert good.kept.mean() > 0.9 and bad.kept.mean() < 0.6 and good.expected_grade.mean() > bad.expected_grade.mean()
