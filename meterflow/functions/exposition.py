@@ -21,6 +21,7 @@ LINE = (
     r"(?:[ \t]++([^ \t#][^ \t]*+))?+[ \t]*+(?:(?<=[ \t])#.*)?+\z"
 )
 FLOAT = r"(?i)\A[+-]?(?:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)\z"
+PLAIN = r"\A-?[0-9]{1,15}(?:\.[0-9]{1,15})?\z"
 INTEGER = r"\A[+-]?[0-9]+\z"
 MAX_LABELS = 128
 #: Largest magnitude of a timestamp in seconds whose milliseconds fit a long.
@@ -43,7 +44,7 @@ def parse_metric_value(token: Column) -> Column:
     low = F.lower(F.regexp_replace(bare, r"\A[+-]", ""))
     big = F.when(bare.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     number = F.when(low.isin("inf", "infinity"), big).when(low == "nan", F.lit(float("nan"))).otherwise(bare.try_cast("double"))
-    return F.when(bare.rlike(FLOAT), number)
+    return F.when(token.rlike(PLAIN), token.try_cast("double")).when(bare.rlike(FLOAT), number)
 
 
 def parse_sample_timestamp(token: Column) -> Column:
@@ -52,7 +53,7 @@ def parse_sample_timestamp(token: Column) -> Column:
     ms = seconds * 1000
     ms = F.when(ms >= 0, F.floor(ms + 0.5)).otherwise(F.ceil(ms - 0.5))
     ms = F.when(seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) * 1000 < _MAX_MS), ms)
-    return F.when(token.rlike("[.eE]"), ms).otherwise(F.when(token.rlike(INTEGER), token.try_cast("bigint")))
+    return F.when(token.rlike(INTEGER), token.try_cast("bigint")).when(token.rlike("[.eE]"), ms)
 
 
 def unescape_label_value(value: Column) -> Column:
@@ -101,11 +102,12 @@ def parse_line(text: Column) -> Column:
 
     def judged(f: Column) -> Column:
         part = lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
-        read = F.struct(label_parts(part(1)).alias("parts"), parse_metric_value(part(2)).alias("value"), parse_sample_timestamp(part(3)).alias("ts_ms"))
-        return let(read, lambda r: F.struct(part(0).alias("name"), part(1).alias("block"), r["value"].alias("value"), r["ts_ms"].alias("ts_ms"), _pairs(r["parts"]).alias("labels"), _error(f, part(3), r).alias("error")))
+        ts = F.when(part(3) != "", parse_sample_timestamp(part(3)))
+        read = F.struct(parse_metric_value(part(2)).alias("value"), ts.alias("ts_ms"), let(label_parts(part(1)), _pairs).alias("labels"))
+        return let(read, lambda r: F.struct(part(0).alias("name"), part(1).alias("block"), r["value"].alias("value"), r["ts_ms"].alias("ts_ms"), r["labels"].alias("labels"), _error(f, part(3), r).alias("error")))
 
     def _error(f: Column, ts: Column, r: Column) -> Column:
-        names = _names(r["parts"])
+        names = r["labels"]["name"]
         return (
             F.when(F.size(f) < 4, "malformed line")
             .when(F.array_contains(names, "__name__"), "__name__ inside braces")

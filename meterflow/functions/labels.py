@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTRY = "array<struct<key:string,value:string>>"
 
 
+def each(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """``df`` with a row for each non-null element of an array that is dear to compute.
+
+    A plain explode lets the optimizer add a filter on the array's size, which computes it a second time."""
+    return df.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
 def from_entries(entries: Column) -> Column:
     return F.map_from_entries(entries)
 

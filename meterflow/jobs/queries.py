@@ -508,7 +508,7 @@ def bodies(spark, sf: str) -> DataFrame:
 
 def clean(spark, sf: str) -> DataFrame:
     raw = bodies(spark, sf)
-    values = P.corpus_label_values(raw)
+    values = P.corpus_label_values(raw).persist()  # read by every step
     denied = P.denied_values(values, KEEP, P.public_vocabulary(values, KEEP, HIGH_RISK))
     return P.pseudonymize_bodies(raw, denied, P.pseudonym_map(denied), KEEP)
 

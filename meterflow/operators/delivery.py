@@ -77,11 +77,11 @@ def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: s
     """(key, symbol, ref): '' is 0, others number by first appearance over series order, label order, name before value."""
     at = F.transform(F.col(labels), lambda p, i: F.array(F.struct((2 * i).alias("p"), p["name"].alias("s")), F.struct((2 * i + 1).alias("p"), p["value"].alias("s"))))
     flat = batches.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    flat = flat.select(*key, "_row", F.explode(F.flatten(at)).alias("x")).where(F.col("x.s") != "")
+    # '' stands before all others of a batch
+    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("s")))
+    flat = flat.select(*key, F.col("_row"), F.explode(F.concat(none, F.filter(F.flatten(at), lambda x: x["s"] != ""))).alias("x"))
     first = flat.groupBy(*key, F.col("x.s").alias("symbol")).agg(F.min(F.struct("_row", F.col("x.p").alias("p"))).alias("_at"))
-    ranked = first.withColumn("ref", F.row_number().over(Window.partitionBy(*key).orderBy("_at")))
-    empty = batches.select(*key).distinct().select(*key, F.lit("").alias("symbol"), F.lit(0).alias("ref"))
-    return ranked.select(*key, "symbol", "ref").union(empty)
+    return first.select(*key, "symbol", (F.row_number().over(Window.partitionBy(*key).orderBy("_at")) - 1).alias("ref"))
 
 
 def delivery_outcomes(deliveries: DataFrame, counts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions.exposition import LABEL_NAME, MAX_LABELS, NAME, let
 from .histograms import validate_native_histogram
 
@@ -83,7 +84,7 @@ def family_timestamps(exposed: Column, start: Column, honor: bool = True) -> Col
 
 def family_metrics(scrapes: DataFrame, honor_timestamps: bool = True) -> DataFrame:
     """One row per metric of sound bodies: scrape_id, family, type, labels (a map, __name__ first), ts_ms, metric."""
-    df = scrapes.select("scrape_id", "start_ms", F.explode("families").alias("f")).select("*", F.explode("f.metric").alias("metric"))
+    df = L.each(scrapes.select("scrape_id", "start_ms", "families"), F.col("families"), "f").drop("families").select("*", F.explode("f.metric").alias("metric"))
     pairs = F.transform(F.coalesce("metric.label", F.array().cast("array<struct<name:string,value:string>>")), lambda p: F.struct(p["name"].alias("key"), F.coalesce(p["value"], F.lit("")).alias("value")))
     labels = F.map_from_entries(F.concat(F.array(F.struct(F.lit("__name__").alias("key"), F.col("f.name").alias("value"))), pairs))
     kind = F.coalesce("f.type", F.lit("counter"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions.numbers import format_bound
 
 MIN_SCHEMA, MAX_SCHEMA = -4, 8
@@ -46,7 +47,7 @@ def histogram_buckets(df: DataFrame, key: list[str], spans: str, deltas: str, si
     """(key, side, index, count) rows of one side; none of a histogram whose spans do not fit its buckets."""
     index = span_indices(F.col(spans), F.size(deltas).cast("bigint"))
     pairs = F.when(index.isNotNull(), F.arrays_zip(index.alias("index"), running(F.col(deltas)).alias("count")))
-    return df.select(*key, F.lit(side).alias("side"), F.explode(pairs).alias("b")).select(*key, "side", F.col("b.index").alias("index"), F.col("b.count").alias("count"))
+    return L.each(df.withColumn("side", F.lit(side)), pairs, "b").select(*key, "side", F.col("b.index").alias("index"), F.col("b.count").alias("count"))
 
 
 def encode_buckets(buckets: DataFrame, key: list[str]) -> DataFrame:

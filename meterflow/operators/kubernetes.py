@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.exposition import let
 from .targets import join_host_port
 
 SERVICE_LABEL = "kubernetes.io/service-name"
@@ -81,7 +82,7 @@ def pod_targets(pods: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     df = pods.where(F.coalesce("status.podIP", F.lit("")) != "").withColumn("_meta", pod_meta_labels())
     if nodes is not None:
         df = attach_node_metadata(df, nodes, F.col("spec.nodeName"), "inner").withColumn("_meta", F.map_concat("_meta", "_node"))
-    df = df.withColumn("_c", F.explode(containers())).withColumn("_p", F.explode_outer("_c.ports"))
+    df = L.each(df, containers(), "_c").withColumn("_p", F.explode_outer("_c.ports"))
     ip = F.col("status.podIP")
     address = F.when(F.col("_p").isNull(), ip).otherwise(join_host_port(ip, F.col("_p.containerPort")))
     return df.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("pod"), address.alias("address"), F.map_concat("_meta", _port_labels(F.col("_c"), F.col("_p"))).alias("labels"))
@@ -144,8 +145,8 @@ def join_backing_pod(targets: DataFrame, pods: DataFrame) -> DataFrame:
     """Pod labels by the endpoint's Pod reference; labels that are there already win."""
     found = pods.select(F.col("metadata.namespace").alias("_pn"), F.col("metadata.name").alias("_pp"), pod_meta_labels().alias("_pm"), containers().alias("_cs"))
     out = targets.join(found, (F.col("pod_ref.namespace") == F.col("_pn")) & (F.col("pod_ref.name") == F.col("_pp")), "left")
-    hit = match_container_port(F.col("_cs"), F.col("port"))
-    more = F.when(hit.isNotNull(), F.map_concat("_pm", _port_labels(hit["container"], hit["port"]))).otherwise(F.col("_pm"))
+    of_port = lambda hit: F.when(hit.isNotNull(), F.map_concat("_pm", _port_labels(hit["container"], hit["port"]))).otherwise(F.col("_pm"))
+    more = let(match_container_port(F.col("_cs"), F.col("port")), of_port)
     return out.withColumn("labels", F.when(F.col("_pm").isNull(), F.col("labels")).otherwise(L.add_absent(F.col("labels"), more))).drop("_pn", "_pp", "_pm", "_cs")
 
 

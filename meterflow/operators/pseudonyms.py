@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions.exposition import let
 
 QUOTED = r'"(?:[^"\\]++|\\.)*+"'
@@ -50,7 +51,7 @@ def _pairs(line: Column) -> Column:
 def corpus_label_values(bodies: DataFrame) -> DataFrame:
     """file, line_no, label, value (escapes left as they are) of every label of every sample line."""
     lines = bodies.select("file", F.posexplode(F.split("body", "\n")).alias("i", "line"))
-    found = lines.select("file", (F.col("i") + 1).alias("line_no"), F.explode(_pairs(F.col("line"))).alias("p"))
+    found = L.each(lines.select("file", (F.col("i") + 1).alias("line_no"), "line"), _pairs(F.col("line")), "p")
     return found.select("file", "line_no", F.col("p.label").alias("label"), F.col("p.value").alias("value"))
 
 

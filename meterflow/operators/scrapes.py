@@ -50,8 +50,8 @@ def parse_samples(judged: DataFrame, honor_timestamps: bool = True, outer: bool
     """One row per sample line of sound bodies: line_no, identity, labels (map in text order, __name__ first), value, ts_ms.
 
     With ``outer`` a scrape without samples has one row of null labels."""
-    each = F.explode_outer("lines") if outer else F.explode("lines")
-    df = judged.select("scrape_id", "target_id", "start_ms", *carry, each.alias("line"))
+    df = judged.select("scrape_id", "target_id", "start_ms", *carry, "lines")
+    df = (df.withColumn("line", F.explode_outer("lines")) if outer else L.each(df, F.col("lines"), "line")).drop("lines")
     own = F.transform("line.p.labels", lambda p: F.struct(p["name"].alias("key"), p["value"].alias("value")))
     head = F.array(F.struct(F.lit("__name__").alias("key"), F.col("line.p.name").alias("value")))
     ts = F.coalesce("line.p.ts_ms", "start_ms") if honor_timestamps else F.col("start_ms")
