@@ -302,6 +302,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
     flat = found.where(F.size("_a") > 0).select("_ka", "_kb", F.explode(F.arrays_zip("_a", "_b", "_at")).alias("r"))
     flat = flat.select("_ka", "_kb", F.col("r._a").alias("a"), F.col("r._b").alias("b"), F.col("r._at").alias("at"))
     hits = flat.join(masks, ["a", "b"]).groupBy(F.col("_ka").alias("_ja"), F.col("_kb").alias("_jb")).agg(F.collect_set(F.struct("at", "mask")).alias("_hits"))
+    hits = written(hits, "hits")  # a table, so that Spark can split the join where very many documents have one text
     clean = found.where(F.size("_a") == 0).withColumn("_hits", F.lit(None).cast("array<struct<at:int,mask:bigint>>"))
     dirty = found.where(F.size("_a") > 0).join(hits, (F.col("_ka") == F.col("_ja")) & (F.col("_kb") == F.col("_jb")), "left").drop("_ja", "_jb")
     rows = clean.unionByName(dirty).drop("_ka", "_kb", "_a", "_b", "_at")
