@@ -5,7 +5,8 @@ are cut into blocks by a hash of their ids; every (query block, candidate block)
 integer products give scores with a proven error bound, and whatever has an upper bound that reaches the query's k-th best
 lower bound survives.  Survivors are pruned again by the k-th best lower bound of all tiles, the vectors of the rest are
 fetched and scored in double precision (terms added in component order), and heaps of k are merged: first inside each task, then
-per query.  Because the bounds are sound, the result equals brute force.
+per query.  Because the bounds are sound, the result equals brute force.  Of equal vectors, which
+tie everywhere, only the least ids are candidates.
 
 Edge cases: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no part, neither as
 query nor as candidate; vectors of different lengths are never compared; rows that repeat a query's id are its own
@@ -97,11 +98,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 8192
     v = written(v, "vectors")
     sizes = v.agg(F.count("*").alias("n"), F.count_if("is_q").alias("q")).first()
     n_c, n_q = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // query_block))
-    codes = v.mapInArrow(lean(_quantise), CODES)
+    # of equal vectors only those of the k + 1 smallest ids can be among the k nearest of anything: groups of copies stay small
+    few = v.withColumn("_nth", F.dense_rank().over(Window.partitionBy("_v").orderBy("id"))).where(F.col("_nth") <= k + 1).drop("_nth")
+    codes = lambda rows: rows.mapInArrow(lean(_quantise), CODES)
     own = F.xxhash64("id", F.lit(7))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = codes.select("row", "id", "dims", "code", "scale", "code_mass", F.pmod(own, F.lit(n_c)).cast("int").alias("cb"), numbers(n_q).alias("qb"))
-    q = codes.where("is_q").select("row", "id", "dims", "code", "scale", "mass", F.pmod(own, F.lit(n_q)).cast("int").alias("qb"), numbers(n_c).alias("cb"))
+    c = codes(few).select("row", "id", "dims", "code", "scale", "code_mass", F.pmod(own, F.lit(n_c)).cast("int").alias("cb"), numbers(n_q).alias("qb"))
+    q = codes(v.where("is_q")).select("row", "id", "dims", "code", "scale", "mass", F.pmod(own, F.lit(n_q)).cast("int").alias("qb"), numbers(n_c).alias("cb"))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(tile(left, right, k)) if left.num_rows and right.num_rows else []
