@@ -435,3 +435,16 @@ def brute_force(ids: list[int], texts: list[str | None], shingle: int = SHINGLE,
         least[r] = min([least.get(r, float("inf")), *(ids[k] for k in by_set[s])])
     where = {s: least[find(i)] for i, s in enumerate(kinds)}
     return [(i, len(s), where.get(s, i)) for i, s in zip(ids, sets, strict=True)]
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+e AS (SELECT r, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.r AS u, b.r AS v FROM e a JOIN e b ON a.x = b.x AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+two_way AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+reach(r, t) AS (SELECT r, r FROM s UNION SELECT reach.r, two_way.v FROM reach JOIN two_way ON reach.t = two_way.u)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id
+FROM s JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN s o ON o.r = reach.t GROUP BY reach.r) c USING (r)
+"""

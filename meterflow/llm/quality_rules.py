@@ -38,7 +38,7 @@ class Rule:
 
 #: The threshold table.
 RULES = (
-    Rule("n_words", 50, 200_000),
+    Rule("n_words", 50),
     Rule("mean_word_length", 2.0, 14.0),
     Rule("symbol_ratio", None, 0.10),
     Rule("stop_ratio", 0.03, None),
@@ -186,7 +186,7 @@ m AS (
   FROM base LEFT JOIN hit USING (r)),
 v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND n_words <= 200000
+  (NOT base_failed
    AND word_chars / n_words BETWEEN 2.0 AND 14.0
    AND n_symbols / n_words <= 0.10 AND n_stop_words / n_words >= 0.03
    AND n_dup_lines / greatest(n_lines, 1) <= 0.30 AND n_repeat_words / n_words <= 0.50

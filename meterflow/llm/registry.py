@@ -19,5 +19,6 @@ SQL = {
     "op1_warc_dictionary": warc.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_ngram_jaccard_join": jaccard_join.SQL,
     "op10_ann_block_join": ann.SQL,
 }
