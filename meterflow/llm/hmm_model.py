@@ -59,6 +59,17 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, w.at, np.insert(class_of(h), w.at[1:], END)
 
 
+def hashed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts (column t) of a batch and their offsets, read in small slices to hold little at a time."""
+    found, counts = [], []
+    for _, data, offsets in slices(part, "t", 1 << 20):
+        w = words_of(data, offsets, lower=True)
+        found.append(w.hash(0))
+        counts.append(w.counts)
+    at = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+    return np.concatenate(found), at
+
+
 class _Plan:
     """Segments of sequences in order of falling size, and their tokens step by step: first tokens, second ones and so on."""
 
@@ -288,10 +299,10 @@ def _chunks(docs: DataFrame, text: str, train: Column, carry: tuple[str, ...], h
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "t", CHUNK):
-                w = words_of(data, offsets, lower=True)
-                words, local = np.unique(w.hash(0), return_inverse=True)
-                c = _Chunk(w.at.astype(np.int64), part.column("train").to_numpy(zero_copy_only=False).astype(bool), local, words)
+            for part, _, _ in slices(batch, "t", CHUNK):
+                h, at = hashed(part)
+                words, local = np.unique(h, return_inverse=True)
+                c = _Chunk(at, part.column("train").to_numpy(zero_copy_only=False).astype(bool), local, words)
                 c.expect(hmm, np.append(class_of(words), END))
                 own = part.column("row")
                 yield c.batch(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
@@ -348,9 +359,9 @@ class LanguageModel:
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hmm, total = shared.value, np.zeros(size)
             for batch in batches:
-                for _, data, offsets in slices(batch, "t", CHUNK // 2):
-                    _, at, sym = sequences(data, offsets)
-                    total += hmm.counts(sym, at + np.arange(len(at)))
+                for part, _, _ in slices(batch, "t", CHUNK // 2):
+                    h, at = hashed(part)
+                    total += hmm.counts(np.insert(class_of(h), at[1:], END), at + np.arange(len(at)))
             for i, piece in enumerate(np.array_split(total, pieces)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["piece", "x"])
 
