@@ -21,7 +21,7 @@ from .words import lean, mix
 BLOCK = 1 << 16
 ROWS = 4
 HELD = 1 << 20
-LEAST_BITS, MOST_BITS = 16, 29
+LEAST_BITS, MOST_BITS = 16, 28
 _SALT = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 _BLOCKS = "row int, block int, once binary, twice binary"
 
@@ -104,13 +104,15 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
     return out
 
 
-def packed(maps: np.ndarray) -> tuple[tuple[int, ...], bytes]:
-    """The maps for a broadcast: mostly zeros in small corpora, so compressed."""
-    return maps.shape, zlib.compress(maps.data, 1)
+def packed(maps: np.ndarray) -> tuple[tuple[int, ...], bool, bytes]:
+    """The maps for a broadcast: compressed where they are mostly zeros; else as they are, so that a task holds them once."""
+    sparse = np.count_nonzero(maps) < maps.size // 4
+    return maps.shape, sparse, zlib.compress(maps.data, 1) if sparse else maps.tobytes()
 
 
-def unpacked(value: tuple[tuple[int, ...], bytes]) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(value[1]), np.uint8).reshape(value[0])
+def unpacked(value: tuple[tuple[int, ...], bool, bytes]) -> np.ndarray:
+    shape, sparse, raw = value
+    return np.frombuffer(zlib.decompress(raw) if sparse else raw, np.uint8).reshape(shape)
 
 
 def repeated(maps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
