@@ -31,6 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .words import lean, slices
 
 #: The pre-tokenizer's pattern of byte-level vocabularies.
@@ -169,6 +170,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF, spa
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``.
 
     ``docs`` should come from a table (or another stable plan): parts of a long text find their row again by its place."""
+    small_batches(docs.sparkSession)
     rows = docs.drop("ids", "n_tokens").withColumn("_t", F.col(text).cast("string"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_t").schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .storage import discard, written
+from .storage import discard, small_batches, written
 from .words import lean, slices, words_of
 
 STATES = 4
@@ -332,6 +332,7 @@ class LanguageModel:
 
     def __init__(self, docs: DataFrame, text: str = "text", train: Column | None = None, carry: tuple[str, ...] = (), states: int = STATES, rounds: int = 0, init_rounds: int = 4, seed: int = 5, settled: float = 1e-3):
         self.spark, self.text, self.k = docs.sparkSession, text, states
+        small_batches(self.spark)
         train = F.lit(True) if train is None else train
         rows = docs.where(train).select(F.col(text).cast("string").alias("t"))
         share = np.full(END + 1, 1.0 / (END + 1))

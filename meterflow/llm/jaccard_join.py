@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import packed, repeated, repeated_maps, unpacked, width
-from .storage import discard, text_bytes, written
+from .storage import small_batches, text_bytes, written
 from .substring_dedup import rolled
 from .words import lean, mix, pair, slices, string_parts, words_of
 
@@ -291,6 +291,7 @@ def _cut(rows: DataFrame, group: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int | None = None, slice_rows: int = 2000, slice_shingles: int = 1_500_000, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long), that and the component's ``root`` too (null where empty)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
     more = ["row"] if row else []
 

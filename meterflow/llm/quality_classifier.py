@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .words import _LOWER, lean, mix, slices, words_of
 
 BITS = 22
@@ -148,6 +149,7 @@ def _cuts(gaps: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, max_bytes: int = 1 << 20, text: str = "text", grade: str = "grade", doc_id: str = "doc_id") -> Model:
     """The model of at most ``max_train`` rows of ``labelled``, fitted in one task over their features."""
     short = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) <= max_bytes
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull() & short)
     rows = rows.select(F.col(text).cast("string").alias("t"), F.col(grade).cast("int").alias("grade"), F.xxhash64(doc_id).alias("u"))
 
@@ -174,6 +176,7 @@ def train(labelled: DataFrame, max_train: int = 8192, grades: int = GRADES, max_
 
 def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GRADES - 1, threshold: float = 0.4) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (P(grade >= select)) and kept."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.cut))
     carried = docs.drop("expected_grade", "tail_probability", "kept")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema)

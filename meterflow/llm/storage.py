@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,5 +73,11 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Whole texts go to Python in Arrow batches of about ``size`` bytes, where the session has Spark's own default (64 MB)."""
+    if spark.conf.get(_BATCH, None) == f"{64 << 20}b":
+        spark.conf.set(_BATCH, f"{size}b")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sketch import packed, repeated, repeated_maps, unpacked, width
-from .storage import discard, text_bytes, written
+from .storage import discard, small_batches, text_bytes, written
 from .words import Words, lean, pair, slices, string_parts, words_of
 
 WINDOW = 35
@@ -259,6 +259,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
     if not 1 <= gram <= window or window - gram >= 62:
         raise ValueError("gram must be at most window, and window - gram below 62")
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(text).cast("string").alias("t"))
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
