@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import freed
 from .words import lean, mix
 
 BLOCK = 1 << 16
@@ -101,6 +102,9 @@ def repeated_maps(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.
             first = r["block"] * BLOCK // 8
             piece = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
             out[r["row"], first : first + len(piece)] = piece
+    spark = rows.sparkSession
+    del merged
+    freed(spark)  # the blocks are as large as the keys; their shuffle goes before the next pass
     return out
 
 

@@ -6,6 +6,7 @@ held.  Where a local session has no such setting (tests), a temporary folder is
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -73,6 +74,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Whole texts go to Python in Arrow batches of about ``size`` bytes, where the session has Spark's own default (64 MB)."""
     if spark.conf.get(_BATCH, None) == f"{64 << 20}b":
