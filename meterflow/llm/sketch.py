@@ -28,8 +28,8 @@ _BLOCKS = "row int, block int, once binary, twice binary"
 
 
 def width(keys: float) -> int:
-    """Bits for a number of keys: two to four counters for each (at most 2.4 % of single keys are flagged)."""
-    return int(np.clip(np.ceil(np.log2(max(2 * keys, 1))), LEAST_BITS, MOST_BITS))
+    """Bits for a number of keys: four to eight counters for each (at most 0.3 % of single keys are flagged)."""
+    return int(np.clip(np.ceil(np.log2(max(4 * keys, 1))), LEAST_BITS, MOST_BITS))
 
 
 def _place(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
