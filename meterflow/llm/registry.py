@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import ann, bpe, extraction, hmm_model, jaccard_join, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, warc, whitening
+from . import alignment, ann, bpe, extraction, hmm_model, jaccard_join, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, warc, whitening
 
 QUERIES = {
     "op1_warc_dictionary": warc.op1_warc_dictionary,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_hmm_scoring": hmm_model.op9_hmm_scoring,
     "op10_ann_block_join": ann.op10_ann_block_join,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_whitening": whitening.op12_whitening,
     "op13_minhash_bayes": minhash_dedup.op13_minhash_bayes,
 }
