@@ -1,10 +1,10 @@
 """Connecting the members of groups by a test of pairs, without all pairs of a large group.
 
-``connected`` gives edges that connect whatever the test links inside each group.  Groups up to ``limit`` rows are one
-task.  A larger group is cut into slices, each joined by the group's pivot (its least member), so that most members of a
-group of near copies meet in one component after one linear pass.  Members outside a group's largest component are then
-held against all slices of the group; pairs inside that component need no test, since they are connected already.  So a
-large group costs its rows times (1 + its members outside the largest component / ``limit``), whatever its size.
+``connected`` gives edges that connect whatever the test links inside each group.  A group of up to ``limit`` rows is one
+task.  A larger group is cut into slices, and each slice is joined by the group's pivots (members of least hashes).  Pivots
+fall into classes by their own links, the same in every task; members that their slice connects with the largest of these
+classes are connected with each other already.  The rest, few in a group of near copies, is held against all slices of
+the group.  So a large group costs its rows times (1 + its rest / ``limit``), whatever its size.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
 from .storage import discard, written
 from .words import lean
 
+PIVOTS = 16
+
 #: (table, borders of its tasks) -> pairs of row numbers that connect what is linked in each task: all rows of side 0 with
 #: each other, those of side 1 with those of side 2.
 Link = Callable[[pa.Table, np.ndarray], np.ndarray]
@@ -51,53 +52,83 @@ def _borders(task: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
 
 
+def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is connected with."""
+    parent = list(range(n))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for u, v in pairs.tolist():
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    return np.array([find(i) for i in range(n)], np.int64)
+
+
+def _rest(t: pa.Table, pairs: np.ndarray, link: Link) -> np.ndarray:
+    """Rows of a slice (with its pivots) that it does not connect with the main class of pivots."""
+    pivot = np.flatnonzero(t["pivot"].to_numpy(zero_copy_only=False))
+    pivot = pivot[np.argsort(t["k"].to_numpy()[pivot], kind="stable")]
+    among = _roots(len(pivot), link(t.take(pa.array(pivot)), np.array([0, len(pivot)])))
+    main = pivot[np.bincount(among).argmax()]
+    roots = _roots(t.num_rows, pairs)
+    return np.flatnonzero(roots != roots[main])
+
+
+_FOUND = "rest_k long, rest_g long"
+
+
 def _run(tasks: DataFrame, payload: DataFrame, link: Link, node: str, kind: str) -> DataFrame:
-    """Edges (u, v) between values of ``node`` (of type ``kind``) that ``link`` finds in the tasks (k, task, side)."""
+    """Edges (u, v) between values of ``node`` (of type ``kind``) that ``link`` finds in the tasks (k, g, task, side, pivot), and
+    the rest (rest_k, rest_g) of tasks with pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, borders in whole_tasks(batches):
             pairs = link(t, borders)
+            ends = t[node].combine_chunks()
             if len(pairs):
-                ends = t[node].combine_chunks()
-                yield pa.RecordBatch.from_arrays([ends.take(pa.array(pairs[:, i])) for i in (0, 1)], ["u", "v"])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(ends.take(pa.array(pairs[:, i])) for i in (0, 1)), none, none], ["u", "v", "rest_k", "rest_g"])
+            pivot = t["pivot"].to_numpy(zero_copy_only=False)
+            task = np.searchsorted(borders, pairs[:, 0], side="right") - 1
+            for i in np.unique(np.searchsorted(borders, np.flatnonzero(pivot), side="right") - 1).tolist():
+                first, stop = int(borders[i]), int(borders[i + 1])
+                rest = _rest(t.slice(first, stop - first).combine_chunks(), pairs[task == i] - first, link) + first
+                if len(rest):
+                    none = pa.nulls(len(rest), ends.type)
+                    yield pa.RecordBatch.from_arrays([none, none, *(t[c].combine_chunks().take(pa.array(rest)) for c in ("k", "g"))], ["u", "v", "rest_k", "rest_g"])
 
     placed = tasks.join(payload, "k").repartition("task").sortWithinPartitions("task")
-    return placed.mapInArrow(lean(run), f"u {kind}, v {kind}")
+    return written(placed.mapInArrow(lean(run), f"u {kind}, v {kind}, {_FOUND}"), "crowd-edges")
 
 
-def connected(members: DataFrame, payload: DataFrame, link: Link, node: str = "k", limit: int = 2000) -> DataFrame:
-    """Edges (u, v) of values of ``node`` that connect all links inside the groups of ``members`` (k, g; distinct rows of a
-    table).  ``payload`` has what ``link`` needs for each k, and ``node`` itself."""
+def connected(members: DataFrame, payload: DataFrame, link: Link, node: str = "k", limit: int = 2000, heavy: int = 1_500_000) -> DataFrame:
+    """Edges (u, v) of values of ``node`` that connect all links inside the groups of ``members`` (k, g and their weight; distinct
+    rows of a table).  ``payload`` has what ``link`` needs for each k, and ``node`` itself.  Slices have about ``limit`` rows, and a
+    weight of ``heavy``, at most."""
     kind = dict(payload.dtypes)[node]
-    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("pivot")).where("n > 1")
-    sizes = sizes.select("g", "pivot", F.ceil(F.col("n") / limit).cast("int").alias("cuts"))
-    placed = written(members.join(sizes, "g").withColumn("slice", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int")), "slices")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    pivots = placed.where("cuts > 1 AND k = pivot").withColumn("own", F.col("slice")).withColumn("slice", every(F.col("cuts"))).where("slice <> own").drop("own")
-    tasks = placed.unionByName(pivots).select("k", F.xxhash64("g", "slice").alias("task"), F.lit(0).alias("side"))
-    edges = written(_run(tasks, payload, link, node, kind), "crowd-edges")
-
-    large = placed.where("cuts > 1")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cuts = F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("weight") / heavy)).cast("int")
+    large = written(members.groupBy("g").agg(cuts.alias("cuts")).where("cuts > 1"), "large-groups")
+    members = members.select("k", "g")
+    alone = lambda df: df.withColumns({"task": F.xxhash64("g"), "side": F.lit(0), "pivot": F.lit(False)})
     if not large.limit(1).count():
-        discard(placed)
-        return edges
-    names = payload.select("k", node) if node != "k" else None
-    both = edges if names is None else _by_key(edges, names)
-    roots = components(both).select(F.col("node").alias("k"), "root")
-    labelled = written(large.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "labelled")
-    counts = labelled.groupBy("g", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("giant"), (F.sum("n") - F.max("n")).alias("rest"))
-    most = most.where("rest > 0").select("g", "giant", F.ceil(F.col("rest") / limit).cast("int").alias("parts"))
-    open_ = labelled.join(most, "g")
-    left = open_.where("root <> giant").withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.col("parts")).cast("int")).withColumn("slice", every(F.col("cuts")))
-    right = open_.withColumn("part", every(F.col("parts")))
-    tasks = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).select("k", F.xxhash64("g", "part", "slice").alias("task"), "side")
-    return edges.unionByName(written(_run(tasks, payload, link, node, kind), "crowd-edges"))
-
-
-def _by_key(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges between other nodes as edges between their k."""
-    node = next(c for c in names.columns if c != "k")
-    for end in ("u", "v"):
-        edges = edges.join(names.select(F.col(node).alias(end), F.col("k").alias(f"_{end}")), end)
-    return edges.select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        discard(large)
+        return _run(alone(members), payload, link, node, kind).select("u", "v")
+    crowd = written(members.join(large, "g").withColumn("slice", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int")), "crowd")
+    pivots = crowd.groupBy("g", "cuts").agg(*(F.min_by("k", F.xxhash64("k", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = pivots.select("g", "cuts", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("k")).withColumn("slice", every("cuts"))
+    sliced = crowd.withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+    sliced = sliced.select("k", "g", F.xxhash64("g", "slice").alias("task"), F.lit(0).alias("side"), "pivot")
+    found = _run(alone(members.join(large, "g", "left_anti")).unionByName(sliced), payload, link, node, kind)
+
+    rest = written(found.where("rest_k IS NOT NULL").select(F.col("rest_k").alias("k"), F.col("rest_g").alias("g")).distinct(), "rest")
+    parts = rest.groupBy("g").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    left = rest.join(parts, "g").join(large, "g").withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.col("parts")).cast("int")).withColumn("slice", every("cuts"))
+    right = crowd.join(parts, "g").withColumn("part", every("parts"))
+    tasks = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).select("k", "g", F.xxhash64("g", "part", "slice").alias("task"), "side", F.lit(False).alias("pivot"))
+    edges = found.where("u IS NOT NULL").select("u", "v")
+    return edges.unionByName(_run(tasks, payload, link, node, kind).select("u", "v")) if rest.limit(1).count() else edges

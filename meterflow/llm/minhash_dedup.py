@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # buckets with the same members are searched once: extremes and a sum of hashes tell groups of members apart
     buckets = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
     buckets = buckets.where("v <> w").groupBy("n", "v", "w", "x").agg(F.min("sig").alias("sig")).select("sig")
-    members = written(met.join(buckets, "sig").distinct().select("k", F.col("sig").alias("g")), "buckets")
+    members = written(met.join(buckets, "sig").distinct().select("k", F.col("sig").alias("g"), F.lit(1).alias("weight")), "buckets")
     blocks = written(components(connected(members, firsts.select("k", "n_shingles", "codes"), _linker(threshold, plan, False), limit=limit)).select(F.col("node").alias("k"), F.col("root").alias("g")), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wanted = written(firsts.join(blocks.select("k").distinct(), "k", "left_semi"), "wanted")
     full = rows.select("row", "t").join(wanted, "row").mapInArrow(lean(sets), "key binary, k long, n_shingles long, codes binary, shingles binary")
     full = written(full, "shingle-sets")
-    links = connected(blocks, full, _linker(threshold, plan, True), node="key", limit=limit)
+    weighed = blocks.join(wanted.groupBy("k").agg(F.sum("n_shingles").alias("weight")), "k")
+    links = connected(weighed, full, _linker(threshold, plan, True), node="key", limit=limit)
     groups = components(links)
 
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
