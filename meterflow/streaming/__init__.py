@@ -1,5 +1,7 @@
 """The batch jobs as continuous ones: scrapes arrive as a stream, order within a target is by start."""
 
-from .jobs import stream_delivery, stream_scrape_pipeline, stream_stale_markers
+from .delivery import stream_batches, stream_delivery
+from .jobs import stream_scrape_pipeline
+from .staleness import staleness_events, stream_stale_markers
 
-__all__ = ["stream_delivery", "stream_scrape_pipeline", "stream_stale_markers"]
+__all__ = ["staleness_events", "stream_batches", "stream_delivery", "stream_scrape_pipeline", "stream_stale_markers"]

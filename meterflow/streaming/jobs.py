@@ -1,93 +1,17 @@
-"""Structured Streaming forms of the scrape pipeline, the staleness markers and the delivery.
+"""The scrape pipeline as a stream.
 
-Every function takes a streaming DataFrame; checkpoints and sinks are the caller's.  Staleness keeps one map of live series
-for each target in the state store (``spark.sql.streaming.stateStore.providerClass`` must be the RocksDB provider).
+Every function of this package takes streaming DataFrames; checkpoints and sinks are the caller's.  Operators with state need
+``spark.sql.streaming.stateStore.providerClass`` to be the RocksDB provider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
 
-from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.delivery import assign_batches, drop_native_histograms, fan_out_endpoints
 from ..operators.relabel import Rule
 from ..operators.scrapes import BODY_LIMIT, scrape_pipeline
-from ..sources.files import write_samples
-
-LABELS = "array<struct<name:string,value:string>>"
-#: Labels in the state are flat: names and values in turn.
-MARKERS = "target_id string, identity string, flat array<string>, ts_ms long"
 
 
 def stream_scrape_pipeline(scrapes: DataFrame, target_labels: Column, rules: list[Rule] = [], external: Column | None = None, honor_labels: bool = False, honor_timestamps: bool = True, body_limit: int = BODY_LIMIT, sample_limit: int = 0) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """(judged scrapes, final samples) of a stream of scrapes; no step keeps state."""
     return scrape_pipeline(scrapes, target_labels, rules, external, honor_labels, honor_timestamps, body_limit, sample_limit)
-
-
-class _Staleness(StatefulProcessor):
-    """Per target: the series of its last scrape and that scrape's start."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "identity string", "flat array<string>")
-        self.last = handle.getValueState("last", "start_ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        scrapes: dict[int, dict[str, list]] = {}
-        for r in rows:
-            for s in r.series or []:
-                scrapes.setdefault(r.start_ms, {}).setdefault(s["identity"], list(s["flat"]))
-            scrapes.setdefault(r.start_ms, {})
-        done = self.last.get()[0] if self.last.exists() else None
-        before: dict[str, list] | None = None
-        for start in sorted(scrapes):
-            if done is not None and start <= done:
-                continue  # a scrape that came late: its successor has been judged
-            if before is None:
-                before = {k[0]: list(v[0]) for k, v in self.live.iterator()}
-            now = scrapes[start]
-            for identity in before:
-                if identity not in now:
-                    yield Row(target_id=key[0], identity=identity, flat=before[identity], ts_ms=start)
-            before, done = now, start
-        if before is not None:
-            for (identity,) in list(self.live.keys()):
-                if identity not in before:
-                    self.live.removeKey((identity,))
-            for identity, flat in before.items():
-                self.live.updateValue((identity,), (flat,))
-            self.last.update((done,))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_stale_markers(judged: DataFrame, series: Column) -> DataFrame:
-    """Markers of a stream of judged scrapes (target_id, start_ms), failed ones included.
-
-    ``series`` is the array<struct<identity, labels>> of a scrape's tracked series, those whose time is the scrape's start
-    (empty for a failed one).  A scrape is one row, so it is judged in one piece."""
-    flat = lambda labels: F.flatten(F.transform(labels, lambda p: F.array(p["name"], p["value"])))
-    series = F.transform(series.cast(f"array<struct<identity:string,labels:{LABELS}>>"), lambda s: F.struct(s["identity"].alias("identity"), flat(s["labels"]).alias("flat")))
-    rows = judged.select("target_id", "start_ms", series.alias("series"))
-    found = rows.groupBy("target_id").transformWithState(_Staleness(), outputStructType=MARKERS, outputMode="Append", timeMode="None")
-    at = lambda r: F.filter("flat", lambda x, i: i % 2 == r)
-    labels = F.zip_with(at(0), at(1), lambda n, v: F.struct(n.alias("name"), v.alias("value")))
-    return found.select("target_id", "identity", labels.alias("labels"), "ts_ms", F.lit(float("nan")).alias("value"), F.lit(True).alias("is_stale"))
-
-
-def stream_delivery(samples: DataFrame, endpoints: DataFrame, order: list[str], path: str, checkpoint: str, deadline: str = "5 seconds", shards: int = 1) -> DataStreamWriter:
-    """A writer that flushes what has arrived by each ``deadline``: every sample goes to every endpoint, in batches of the
-    endpoint's size (``max_samples_per_send``), numbered within the flush.
-
-    A flush is a folder of its own under ``path`` and is overwritten when it is run again, so that no batch appears twice."""
-
-    def flush(rows: DataFrame, number: int) -> None:
-        if rows.isEmpty():
-            return
-        batches = assign_batches(drop_native_histograms(fan_out_endpoints(rows, endpoints)), order, shards)
-        write_samples(batches.withColumn("flush", F.lit(number)), f"{path}/flush={number}", mode="overwrite")
-
-    return samples.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime=deadline)

@@ -1,6 +1,7 @@
 """A stream of scrapes gives the rows of the batch operators."""
 
 import collections
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from meterflow.operators import delivery as D
 from meterflow.operators import scrapes as S
 from meterflow.operators import staleness as ST
 from meterflow.operators.relabel import Rule
-from meterflow.streaming import stream_delivery, stream_scrape_pipeline, stream_stale_markers
+from meterflow.streaming import staleness_events, stream_batches, stream_delivery, stream_scrape_pipeline, stream_stale_markers
 
 SCHEMA = "scrape_id long, target_id string, start_ms long, body string, duration_s double, fetch_error string"
 BODIES = ['a{x="1"} 1\nb 2\n', 'a{x="1"} 2\nc 3\n', "broken{ 1", "b 2\nc 3\nd 4 5\n", "", "b 1\n", None]
@@ -18,6 +19,11 @@ ROWS = [(10 * i + t, f"t{t}", 1000 * i, b if (i + t) % 5 else BODIES[0], 0.5, "d
 RULES = [Rule("drop", ("__name__",), regex="c"), Rule("replace", ("x",), target_label="y")]
 
 
+@pytest.fixture(autouse=True)
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def marked(df):
     return collections.Counter((r.target_id, r.identity, tuple(sorted((p.name, p.value) for p in r.labels)), r.ts_ms) for r in df.collect())
 
@@ -47,31 +53,128 @@ def test_stream_scrape_pipeline(spark, stream, tmp_path):
     assert errors(finished(judged.drop("lines"), tmp_path, "judged")) == errors(expected[0])
 
 
-def test_stream_stale_markers(spark, stream, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def series():
+    at_start = F.filter("lines", lambda x: x["p"]["ts_ms"].isNull() | (x["p"]["ts_ms"] == F.col("start_ms")))
+    return F.transform(at_start, lambda x: F.struct(identity_of(x["p"]["name"], x["p"]["block"]).alias("identity"), x["p"]["labels"].alias("labels")))
 
-    def series():
-        at_start = F.filter("lines", lambda x: x["p"]["ts_ms"].isNull() | (x["p"]["ts_ms"] == F.col("start_ms")))
-        return F.transform(at_start, lambda x: F.struct(identity_of(x["p"]["name"], x["p"]["block"]).alias("identity"), x["p"]["labels"].alias("labels")))
 
-    got = marked(finished(stream_stale_markers(S.fail_malformed_bodies(stream), series()), tmp_path, "markers"))
+def batch_side(spark):
     scrapes = spark.createDataFrame(ROWS, SCHEMA)
     samples = S.parse_samples(S.fail_malformed_bodies(scrapes))
     own = F.transform(F.map_entries(F.map_filter("labels", lambda k, v: k != "__name__")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    expected = marked(ST.stale_markers(samples.withColumn("labels", own), scrapes))
+    return samples.withColumn("labels", own), scrapes
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_stream_stale_markers(spark, stream, tmp_path, buckets):
+    got = marked(finished(stream_stale_markers(S.fail_malformed_bodies(stream), series(), buckets=buckets), tmp_path, "markers"))
+    expected = marked(ST.stale_markers(*batch_side(spark)))
     assert got == expected and sum(got.values()) > 5
 
 
-def test_stream_delivery(spark, tmp_path):
-    rows = [(i, i % 7, i % 3 == 0, i * 1000) for i in range(200)]
-    kinds = "event_id long, target_id long, is_histogram boolean, ts_ms long"
-    for i in range(4):
-        spark.createDataFrame(rows[50 * i : 50 * i + 50], kinds).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
-    out = spark.createDataFrame([("a", True, 30), ("b", False, 8)], "endpoint string, send_native_histograms boolean, max_samples_per_send int")
-    stream = spark.readStream.schema(kinds + ", b int").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in").drop("b")
-    stream_delivery(stream, out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").select("endpoint", "event_id", "flush", "batch_id").collect()
-    expected = D.drop_native_histograms(D.fan_out_endpoints(spark.createDataFrame(rows, kinds), out)).select("endpoint", "event_id").collect()
-    assert collections.Counter(r[:2] for r in map(tuple, got)) == collections.Counter(map(tuple, expected))
-    sizes = collections.Counter((r.endpoint, r.flush, r.batch_id) for r in got)
-    assert all(n <= (30 if e == "a" else 8) for (e, _, _), n in sizes.items()) and len({r.flush for r in got}) > 1
+HISTORY = "target_id string, start_ms long, series array<struct<identity:string,labels:array<struct<name:string,value:string>>>>, batch int"
+REMOVED = "target_id string, ts_ms long, zone string, batch int"
+
+
+def history(spark, path, parts, kinds, name):
+    """A stream of one part a trigger."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame([(*r, i) for r in rows], kinds).coalesce(1).write.parquet(f"{path}/{name}/b={i}")
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+
+
+def of(*identities):
+    return [(i, [("n", i)]) for i in identities]
+
+
+@pytest.mark.parametrize("at_once", [False, True])
+def test_removed_targets_drain(spark, tmp_path, at_once):
+    """Removals among scrapes give the rows of the batch operators; what comes late goes aside, and a target may come back."""
+    scrapes = [[("t", 1000, of("a", "b")), ("u", 1000, of("a"))], [("t", 2000, of("b", "c")), ("u", 2000, [])], [("u", 3000, of("z")), ("v", 1000, of("q"))], [("t", 1500, of("late")), ("t", 6000, of("again"))]]
+    removals = [[("none", 500, "y")], [], [("t", 5000, "x"), ("u", 3000, "y")], [("v", 900, "z")]]
+    if at_once:
+        scrapes, removals = [[r for part in scrapes[:3] for r in part]], [[r for part in removals[:3] for r in part]]
+    judged = history(spark, tmp_path, scrapes, HISTORY, "s")
+    gone = history(spark, tmp_path, removals, REMOVED, "r")
+    zone = F.create_map(F.lit("zone"), F.col("zone"))
+    rows = finished(staleness_events(judged, F.col("series"), gone, zone, 3), tmp_path, "events").collect()
+    late = sorted((r.target_id, r.ts_ms) for r in rows if r.kind == "late")
+    assert late == ([] if at_once else [("t", 1500), ("v", 900)])
+    flat = [(t, at, i, j, i_) for part in scrapes[:3] for t, at, s in part for j, (i, i_) in enumerate(s)]
+    samples = spark.createDataFrame([(t, at, i, at, j, dict(own)) for t, at, i, j, own in flat], "target_id string, start_ms long, identity string, ts_ms long, line_no int, labels map<string,string>")
+    starts = spark.createDataFrame([r[:2] for part in scrapes[:3] for r in part], "target_id string, start_ms long")
+    ends = spark.createDataFrame([r for part in removals[:3] for r in part], "target_id string, ts_ms long, zone string")
+    expected = [*ST.stale_markers(samples, starts).collect(), *ST.removed_target_markers(samples, starts, ends, zone).collect()]
+    shape = lambda rows, labels: collections.Counter((r.target_id, r.identity, tuple(sorted(labels(r))), r.ts_ms) for r in rows)
+    assert shape([r for r in rows if r.kind == "stale"], lambda r: map(tuple, r.labels)) == shape(expected, lambda r: r.labels.items())
+
+
+def test_state_follows_the_changes(spark, tmp_path):
+    """A large target: a scrape that changes three series writes three entries, whatever the target's size."""
+    n = 20_000
+    names = [str(i) for i in range(n)]
+    parts = [[("t", 1000, of(*names))], [("t", 2000, of(*names[1:], "x", "y"))], [("t", 3000, of(*names[1:], "x", "y"))]]
+    query = stream_stale_markers(history(spark, tmp_path, parts, HISTORY, "s"), F.col("series"), buckets=32).writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    changes = [p.stateOperators[0] for p in query.recentProgress if p.numInputRows]
+    written = [s.numRowsUpdated + s.numRowsRemoved - 32 for s in changes]  # each bucket notes the time of its last event
+    assert written[0] >= n and written[1] == 3 and written[2] == 0
+    assert [r.identity for r in spark.read.parquet(f"{tmp_path}/o").collect()] == ["0"]
+
+
+KINDS = "event_id long, target_id long, is_histogram boolean, ts_ms long, labels array<struct<name:string,value:string>>, b int"
+OUT = [("a", True, 30), ("b", False, 8)]
+
+
+def deliveries(spark, tmp_path, parts):
+    rows = [(i, i % 7, i % 3 == 0, i * 1000, [("n", str(i))]) for i in range(50 * parts)]
+    stream = history(spark, tmp_path, [rows[50 * i : 50 * i + 50] for i in range(parts)], KINDS, "in")
+    return rows, stream, spark.createDataFrame(OUT, "endpoint string, send_native_histograms boolean, max_samples_per_send int")
+
+
+def run(writer):
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_stream_delivery(spark, tmp_path, shards):
+    """Batches fill over triggers and restarts as one batch job fills them; the end sends the rest."""
+    rows, stream, out = deliveries(spark, tmp_path, 4)
+    spark.createDataFrame([], "stop long").write.parquet(f"{tmp_path}/end")
+    end = spark.readStream.schema("stop long").parquet(f"{tmp_path}/end")
+    start = lambda: run(stream_delivery(stream.drop("b"), out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c", None, shards, end))
+    start()
+    read = lambda: {(r.endpoint, r.event_id): (r.shard, r.batch_id, r.closed_by, r.labels[0].value) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    table = spark.createDataFrame([r[:4] for r in rows], KINDS.split(", labels")[0])
+    expected = {(r.endpoint, r.event_id): (r.shard, r.batch_id) for r in D.assign_batches(D.drop_native_histograms(D.fan_out_endpoints(table, out)), ["event_id"], shards).collect()}
+    sizes = collections.Counter((e, *b) for (e, _), b in expected.items())
+    full = {k: b for k, b in expected.items() if sizes[k[0], *b] == (30 if k[0] == "a" else 8)}
+    got = read()
+    assert {k: v[:2] for k, v in got.items()} == full and {v[2] for v in got.values()} == {"size"} and all(v[3] == str(k[1]) for k, v in got.items())
+    start()  # nothing new, nothing twice
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(full)
+    spark.createDataFrame([(1,)], "stop long").write.mode("append").parquet(f"{tmp_path}/end")
+    start()
+    got = read()
+    assert {k: v[:2] for k, v in got.items()} == expected and spark.read.parquet(f"{tmp_path}/out").count() == len(expected)
+    assert {v[2] for k, v in got.items() if k not in full} == {"end"}
+
+
+def test_deadline_sends_the_rest(spark, tmp_path):
+    rows, stream, out = deliveries(spark, tmp_path, 1)
+    q = stream_delivery(stream.drop("b"), out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c", 1500).trigger(processingTime="500 milliseconds").start()
+    until = time.time() + 60
+    while time.time() < until and not (q.lastProgress and spark.read.schema("endpoint string, closed_by string").parquet(f"{tmp_path}/out").where("closed_by = 'deadline'").count() >= 20 + 1):
+        time.sleep(0.5)
+    q.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    by = collections.Counter((r.endpoint, r.batch_id, r.closed_by) for r in got)
+    floats = sum(not r[2] for r in rows)
+    assert by == {("a", 0, "size"): 30, ("a", 1, "deadline"): 20, **{("b", i, "size"): 8 for i in range(floats // 8)}, ("b", floats // 8, "deadline"): floats % 8}
+
+
+def test_shards_are_bounded(spark, tmp_path):
+    _, stream, out = deliveries(spark, tmp_path, 1)
+    with pytest.raises(ValueError):
+        stream_batches(stream, out, ["event_id"], shards=0)
