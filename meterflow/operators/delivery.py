@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..functions import labels as L
+from ..sources.shared import written
 from .relabel import Rule, relabel
 
 
@@ -32,26 +32,24 @@ def drop_native_histograms(df: DataFrame) -> DataFrame:
 def assign_batches(df: DataFrame, order: list[str], shards: int = 1, size: str = "max_samples_per_send", shard_by: str = "target_id") -> DataFrame:
     """shard and batch_id in arrival order: chunks of ``size`` rows per endpoint and shard.
 
-    Rows are numbered in ranges of the first order column (if it is a number), each on from the rows of the ranges before
-    it, so that no task sorts a whole endpoint.
+    Rows are dealt out by ranges of endpoint, shard and all of ``order`` (of any orderable types, nulls first; together they
+    should tell rows apart) and sorted there.  Each range numbers its rows on from the rows that the ranges before it hold of
+    the same endpoint and shard, so no task sorts a whole endpoint.  The ranges are a table in the shared folder, as their
+    bounds come from a sample and must be the same for the counts and for the rows.
     """
-    df = df.withColumn("shard", F.pmod(F.xxhash64(shard_by), F.lit(shards)).cast("int") if shards > 1 else F.lit(0))
-    cuts: list[float] = []
-    if isinstance(df.schema[order[0]].dataType, NumericType):
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = sorted(set(df.approxQuantile(order[0], [i / n for i in range(1, n)], 0.2 / n)))
-    above = sum((F.coalesce(F.col(order[0]) >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
-    df = df.withColumn("_range", above)
-    key = ["endpoint", "shard"] if shards > 1 else ["endpoint"]
-    sizes = df.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_range").alias("_at"), before.alias("_before"))
-    same = F.col("_range") == F.col("_at")
-    for c in key:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    row = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)) - 1
-    df = df.withColumn("_row", row).join(F.broadcast(sizes), same, "left")
-    return df.withColumn("batch_id", F.floor((F.col("_row") + F.col("_before")) / F.col(size)).cast("bigint")).drop("_range", "_row", "_before", "_at", "_endpoint", "_shard")
+    names = df.columns
+    shard = F.pmod(F.xxhash64(shard_by), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
+    key = ["endpoint", "shard"]
+    ranged = df.drop("shard").withColumn("shard", shard).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    # the lower bits number a partition's rows, the upper ones are the partition
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranges")
+    parts = ranged.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_before"))
+    same = (F.col("_part") == F.col("_p")) & F.col("endpoint").eqNullSafe(F.col("_endpoint")) & (F.col("shard") == F.col("_shard"))
+    numbered = ranged.join(parts, same)
+    batch = F.floor((F.col("_at") + F.col("_before")) / F.col(size)).cast("bigint")
+    return numbered.select(*(c for c in names if c != "shard"), "shard", batch.alias("batch_id"))
 
 
 def write_relabel(batches: DataFrame, chains: dict[str, list[Rule]], labels: str = "labels") -> DataFrame:
@@ -73,17 +71,42 @@ def batch_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("endpoint", "shard", "batch_id").agg(F.count_if(~F.col("is_histogram")).alias("n_samples"), F.count_if("is_histogram").alias("n_histograms"))
 
 
-def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
-    """(key, symbol, ref): '' is 0, others number by first appearance over series order, label order, name before value."""
-    at = F.transform(F.col(labels), lambda p, i: F.array(F.struct((2 * i).alias("p"), p["name"].alias("s")), F.struct((2 * i + 1).alias("p"), p["value"].alias("s"))))
-    flat = batches.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def _symbols(batches: DataFrame, key: list[str], order: list[str], labels: str) -> DataFrame:
+    """Every name and value of the series of each batch: key, _row (of the series), p (its place) and s."""
+    at = F.transform(F.col(labels), lambda p, i: F.array(F.struct((2 * i).alias("p"), p["name"].alias("s")), F.struct((2 * i + 1).alias("p"), F.coalesce(p["value"], F.lit("")).alias("s"))))
     # '' stands before all others of a batch
     none = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("s")))
-    flat = flat.select(*key, F.col("_row"), F.explode(F.concat(none, F.filter(F.flatten(at), lambda x: x["s"] != ""))).alias("x"))
-    first = flat.groupBy(*key, F.col("x.s").alias("symbol")).agg(F.min(F.struct("_row", F.col("x.p").alias("p"))).alias("_at"))
+    return _series(batches, key, order).select(*key, "_row", F.explode(F.concat(none, F.flatten(F.coalesce(at, F.array())))).alias("x")).select(*key, "_row", "x.*")
+
+
+def _series(batches: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    return batches.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def _table(symbols: DataFrame, key: list[str]) -> DataFrame:
+    first = symbols.where("s <> '' OR p = -1").groupBy(*key, F.col("s").alias("symbol")).agg(F.min(F.struct("_row", "p")).alias("_at"))
     return first.select(*key, "symbol", (F.row_number().over(Window.partitionBy(*key).orderBy("_at")) - 1).alias("ref"))
 
 
+def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
+    """(key, symbol, ref): '' is 0, others number by first appearance over series order, label order, name before value."""
+    return _table(_symbols(batches, key, order, labels), key)
+
+
+def symbol_refs(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
+    """``batches`` with ``refs``: the table's number of each name and value of a series in turn, 0 for empty and null values.
+
+    A batch holds few rows, so its series, symbols and table meet by its key; ``order`` must tell its series apart.  Series
+    without labels have no refs."""
+    symbols = _symbols(batches, key, order, labels)
+    table = _table(symbols, key).select(*(F.col(c).alias(f"_{c}") for c in key), "symbol", "ref")
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in key]
+    found = symbols.where("p >= 0").join(table, [F.col("s") == F.col("symbol"), *same("_")])
+    refs = found.groupBy(*(F.col(c).alias(f"__{c}") for c in key), F.col("_row").alias("__row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "ref"))), lambda x: x["ref"]).alias("refs"))
+    out = _series(batches.drop("refs"), key, order).join(refs, [F.col("_row") == F.col("__row"), *same("__")], "left")
+    return out.select(*batches.drop("refs").columns, F.coalesce("refs", F.array().cast("array<int>")).alias("refs"))
+
+
 def delivery_outcomes(deliveries: DataFrame, counts: DataFrame) -> DataFrame:
     """Each attempt's outcome (by endpoint, shard and batch; deliveries without shard by endpoint and batch): ok, partial (fewer written than sent), retry (5xx, 429, transport) or dropped."""
     key = [c for c in ("endpoint", "shard", "batch_id") if c in deliveries.columns and c in counts.columns]
@@ -103,3 +126,39 @@ def delivery_outcomes(deliveries: DataFrame, counts: DataFrame) -> DataFrame:
         .otherwise("dropped")
     )
     return df.withColumn("outcome", outcome)
+
+
+#: Waits of a batch's sender, by default.
+MIN_BACKOFF_MS, MAX_BACKOFF_MS = 30, 5_000
+
+
+def retry_chains(outcomes: DataFrame, min_backoff_ms: int = MIN_BACKOFF_MS, max_backoff_ms: int = MAX_BACKOFF_MS) -> DataFrame:
+    """One row for each batch of ``delivery_outcomes`` (endpoint, shard if there, batch_id, attempt, ts_ms, outcome):
+
+    ``outcome`` of the last attempt (``retry``: still waiting for the next one), ``attempts``, ``retries``, ``waited_ms`` (the
+    waits that its retries called for: doubled from ``min_backoff_ms``, at most ``max_backoff_ms``), ``elapsed_ms`` from first to
+    last attempt, and ``fault``: what no sender does, or null.  Faults: ``attempts missing`` (numbers do not run from 1),
+    ``sent after its end`` (an attempt follows one that was no retry), ``sent too early`` (an attempt began before its wait
+    was over).  Repeated reports of one attempt count once, the first to come."""
+    key = [c for c in ("endpoint", "shard", "batch_id") if c in outcomes.columns]
+    one = outcomes.groupBy(*key, "attempt").agg(F.min_by(F.struct("ts_ms", "outcome"), F.struct("ts_ms", "outcome")).alias("x")).select(*key, "attempt", "x.*")
+    order = Window.partitionBy(*key).orderBy("attempt")
+    # 2^30 times the least wait is beyond any sensible most
+    wait = F.least(F.lit(max_backoff_ms).cast("bigint"), min_backoff_ms * F.pow(F.lit(2), F.least(F.col("attempt") - 1, F.lit(30))).cast("bigint"))
+    before = lambda c: F.lag(c).over(order)
+    steps = one.withColumn("_wait", wait).withColumns({"_n": F.row_number().over(order), "_was": before("outcome"), "_gap": F.col("ts_ms") - before("ts_ms"), "_due": before("_wait")})
+    fault = (
+        F.when(F.col("attempt") != F.col("_n"), "attempts missing")
+        .when(F.col("_was").isNotNull() & (F.col("_was") != "retry"), "sent after its end")
+        .when(F.col("_gap") < F.col("_due"), "sent too early")
+    )
+    steps = steps.withColumn("_fault", fault)
+    again = F.col("outcome") == "retry"
+    return steps.groupBy(*key).agg(
+        F.max_by("outcome", "attempt").alias("outcome"),
+        F.count("*").alias("attempts"),
+        F.count_if(again).alias("retries"),
+        F.sum(F.when(again, F.col("_wait")).otherwise(0)).alias("waited_ms"),
+        (F.max("ts_ms") - F.min("ts_ms")).alias("elapsed_ms"),
+        F.min_by("_fault", F.when(F.col("_fault").isNotNull(), F.col("attempt"))).alias("fault"),
+    )

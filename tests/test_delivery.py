@@ -1,9 +1,9 @@
-"""Batches are numbered in ranges, whatever the order column holds."""
+"""Batches are numbered in ranges, whatever the order columns hold; symbols, retries, outcomes."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow.operators.delivery import assign_batches, batch_counts, delivery_outcomes, fan_out_endpoints, write_relabel
+from meterflow.operators.delivery import assign_batches, batch_counts, delivery_outcomes, fan_out_endpoints, retry_chains, symbol_refs, symbol_table, write_relabel
 from meterflow.operators.relabel import Rule
 
 
@@ -17,7 +17,7 @@ def test_batches_follow_the_order_over_ranges(spark, shards):
         own = sorted((x.at is not None, x.at, x.id) for x in got if (x.endpoint, x.shard) == (r.endpoint, r.shard))
         assert r.batch_id == own.index((r.at is not None, r.at, r.id)) // 6
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "_range" in plan  # no window of a whole endpoint over the rows
+    assert "row_number" not in plan and plan.count("Window") <= 2  # only ranges are summed in a window, no rows
     assert assign_batches(df.where(F.lit(False)), ["at", "id"]).count() == 0
 
 
@@ -46,3 +46,48 @@ def test_endpoints_are_bounded(spark):
     with pytest.raises(ValueError):
         fan_out_endpoints(spark.range(1), many)
     assert fan_out_endpoints(spark.range(3), many.limit(0)).count() == 0
+
+
+def test_batches_in_order_of_other_types(spark):
+    """Texts and times order rows as well as numbers do, over several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(300).selectExpr("id", "'e' AS endpoint", "cast(id % 3 AS int) AS target_id", "cast(concat('x', id * 77 % 300) AS string) AS name", "timestamp_seconds(id % 50) AS at", "7 AS max_samples_per_send")
+        for order in (["name"], ["at", "id"], ["name", "at"]):
+            out = assign_batches(df, order).collect()
+            expected = sorted(out, key=lambda r: tuple(r[c] for c in order))
+            assert all(r.batch_id == i // 7 for i, r in enumerate(expected)) and len(out) == 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_symbol_refs_resolve(spark):
+    rows = [("a", 0, 1, [("__name__", "up"), ("job", "x"), ("none", "")]), ("a", 0, 2, [("__name__", "up"), ("up", "job")]), ("a", 0, 3, []), ("a", 0, 4, None), ("b", 0, 1, [("z", "__name__")]), (None, 0, 1, [("k", None)])]
+    df = spark.createDataFrame(rows, "endpoint string, batch_id long, id int, labels array<struct<name:string,value:string>>")
+    table = {}
+    for r in symbol_table(df, ["endpoint", "batch_id"], ["id"]).collect():
+        table.setdefault(r.endpoint, {})[r.ref] = r.symbol
+    assert table["a"] == dict(enumerate(["", "__name__", "up", "job", "x", "none"])) and table["b"] == dict(enumerate(["", "z", "__name__"])) and table[None] == {0: "", 1: "k"}
+    got = {(r.endpoint, r.id): r.refs for r in symbol_refs(df, ["endpoint", "batch_id"], ["id"]).collect()}
+    assert got["a", 1] == [1, 2, 3, 4, 5, 0] and got["a", 2] == [1, 2, 2, 3] and got["a", 3] == got["a", 4] == [] and got["b", 1] == [1, 2] and got[None, 1] == [1, 0]
+    for e, _, i, labels in rows:
+        assert [table[e][n] for n in got[e, i]] == [x or "" for p in labels or [] for x in p]
+
+
+def test_retry_chains(spark):
+    tries = {
+        1: [(1, 0, "retry"), (2, 30, "retry"), (3, 95, "ok")],
+        2: [(1, 0, "retry"), (2, 10, "ok")],
+        3: [(1, 0, "dropped")],
+        4: [(1, 0, "ok"), (2, 500, "ok")],
+        5: [(2, 40, "retry"), (3, 200, "partial")],
+        6: [(i, 10_000 * i, "retry") for i in range(1, 12)],
+        7: [(1, 0, "retry"), (1, 0, "retry"), (2, 30, "ok")],
+    }
+    df = spark.createDataFrame([("e", 0, b, *t) for b, ts in tries.items() for t in ts], "endpoint string, shard int, batch_id long, attempt int, ts_ms long, outcome string")
+    got = {r.batch_id: (r.outcome, r.attempts, r.retries, r.waited_ms, r.elapsed_ms, r.fault) for r in retry_chains(df).collect()}
+    assert got == {
+        1: ("ok", 3, 2, 90, 95, None), 2: ("ok", 2, 1, 30, 10, "sent too early"), 3: ("dropped", 1, 0, 0, 0, None), 4: ("ok", 2, 0, 0, 500, "sent after its end"), 5: ("partial", 2, 1, 60, 160, "attempts missing"),
+        6: ("retry", 11, 11, sum(min(30 * 2**i, 5000) for i in range(11)), 100_000, None), 7: ("ok", 2, 1, 30, 30, None),
+    }
+    assert retry_chains(df.where("false")).count() == 0
