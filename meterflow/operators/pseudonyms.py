@@ -6,14 +6,12 @@ Comments, metric names, values, timestamps, blanks and commas are copied.  Null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.exposition import let
+from .leaks import values_in
 
 QUOTED = r'"(?:[^"\\]++|\\.)*+"'
 SET = rf'(?s)\A([^{{]*+\{{)((?:[^"}}]++|{QUOTED})*+)(\}}.*)\z'
@@ -73,16 +71,19 @@ def denied_values(values: DataFrame, keep: list[str], public: DataFrame) -> Data
 
 
 def _shifted(half: Column, other: Column, key: str) -> Column:
-    """Each letter and digit of ``half`` moved within its class by a digest of the key, its place and ``other``."""
+    """Each letter and digit of ``half`` moved within its class by one digest of the key and ``other``, stretched over the places:
+    a place takes eight of the digest's digits, from one of 25 starts, and its own number."""
+    digest = F.md5(F.concat_ws("|", F.lit(key), other))
+
+    def moved(d: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            roll = F.conv(F.substring(d, i * 7 % 25 + 1, F.lit(8)), 16, 10).cast("bigint") + i
+            move = lambda first, size: F.char(F.lit(ord(first)) + (F.ascii(c) - ord(first) + roll) % size)
+            return F.when(c.rlike("[a-z]"), move("a", 26)).when(c.rlike("[A-Z]"), move("A", 26)).when(c.rlike("[0-9]"), move("0", 10)).otherwise(c)
 
-    def one(i: Column) -> Column:
-        c = F.substring(half, i, F.lit(1))
-        roll = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), i.cast("string"), other)), 1, 8), 16, 10).cast("bigint")
-        move = lambda first, size: F.char(F.lit(ord(first)) + (F.ascii(c) - ord(first) + roll) % size)
-        return F.when(c.rlike("[a-z]"), move("a", 26)).when(c.rlike("[A-Z]"), move("A", 26)).when(c.rlike("[0-9]"), move("0", 10)).otherwise(c)
+        return F.array_join(F.transform(F.split(half, ""), one), "")
 
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), lambda i: i <= F.length(half))
-    return F.array_join(F.transform(places, one), "")
+    return let(digest, moved)
 
 
 def pseudonym_map(values: DataFrame, salt: str = "0", rounds: int = 4) -> DataFrame:
@@ -131,42 +132,17 @@ def suspicious(text: Column) -> Column:
     return F.filter(F.split(text, r"[^a-zA-Z0-9.:_-]"), lambda t: (F.length(t) >= 7) & t.rlike(shape))
 
 
-def leak_scan(clean: DataFrame, secrets: DataFrame, keep: list[str], chunk_bytes: int = 32 << 20) -> DataFrame:
+def leak_scan(clean: DataFrame, secrets: DataFrame, keep: list[str]) -> DataFrame:
     """Leaks (file, kind, token): high-risk distinctive values anywhere, addresses in comments and in kept labels.
 
-    Values are searched for all at once by an automaton in each task, in chunks of at most ``chunk_bytes`` of values, each
-    with a pass over the bodies; nothing but bodies and hits is moved."""
+    Values meet bodies by their rarest grams (see ``leaks``): one pass over the bodies for any number of values, of which none
+    goes through the driver."""
     lines = clean.select("file", F.explode(F.split("body", "\n")).alias("line"))
     comments = lines.where(F.ltrim("line").startswith("#")).select("file", F.lit("comment").alias("kind"), F.explode(suspicious(F.col("line"))).alias("token"))
     kept = corpus_label_values(clean).where(F.col("label").isin(keep))
     labels = kept.select("file", F.lit("label").alias("kind"), F.explode(suspicious(F.col("value"))).alias("token"))
-    wanted = secrets.where(is_distinctive(F.col("value"))).select("value").distinct()
-    size = wanted.agg(F.sum(F.octet_length("value") + 64).alias("n")).first()["n"] or 0
-    chunks = -(-int(size) // chunk_bytes)
-    out = comments.union(labels)
-    for i in range(chunks):
-        part = wanted.where(F.pmod(F.xxhash64("value"), F.lit(chunks)) == i).toArrow()["value"].to_pylist()
-        out = out.union(_found(clean, part)) if part else out
-    return out.distinct()
-
-
-def _found(clean: DataFrame, values: list[str]) -> DataFrame:
-    shared = clean.sparkSession.sparkContext.broadcast(values)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for v in shared.value:
-            machine.add_word(v, v)
-        machine.make_automaton()
-        for b in batches:
-            hits = [sorted({v for _, v in machine.iter(body)}) if body else [] for body in b.column("body").to_pylist()]
-            files = b.column("file").take(pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64()))
-            yield pa.RecordBatch.from_arrays([files, pa.array([v for h in hits for v in h], pa.string())], ["file", "token"])
-
-    kind = clean.schema["file"].dataType.simpleString()
-    return clean.select("file", "body").mapInArrow(search, f"file {kind}, token string").select("file", F.lit("value").alias("kind"), "token")
+    found = values_in(clean, secrets.where(is_distinctive(F.col("value"))))
+    return comments.union(labels).union(found.select("file", F.lit("value").alias("kind"), F.col("value").alias("token"))).distinct()
 
 
 def fidelity_check(before: DataFrame, after: DataFrame) -> DataFrame:

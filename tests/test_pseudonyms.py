@@ -1,4 +1,7 @@
+import numpy as np
+
 from meterflow.operators import pseudonyms as P
+from meterflow.operators.leaks import WIDTHS, grams, values_in
 
 
 def test_bodies_keep_their_shape_and_values_do_not_meet(spark):
@@ -35,8 +38,31 @@ def test_blanks_and_commas_do_not_leak(spark):
     assert got["s"] == spaced.replace("x1y2", a).replace("secret99", b) and "secret99" not in got["p"] + got["s"] and "x1y2" not in got["p"] + got["s"]
 
 
-def test_leaks_are_found_in_chunks(spark):
-    clean = spark.createDataFrame([("f", "# abcd1 here xx9y"), ("g", None), ("h", "nothing")], "file string, body string")
-    secrets = spark.createDataFrame([("abcd1",), ("xx9y",), ("zz99",), ("word",), (None,)], "value string")
-    for size in (1 << 20, 70):
-        assert {(r.file, r.token) for r in P.leak_scan(clean, secrets, [], size).collect()} == {("f", "abcd1"), ("f", "xx9y")}
+def test_values_are_found_by_their_grams(spark):
+    """Against a plain search: values of all lengths at the start, the end and inside, hot grams, other alphabets, line breaks."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n, of="ab1": "".join(rng.choice(of) for _ in range(n))
+    values = [text(n) for n in (4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 64, 100) for _ in range(4)] + ["日本", "日本語の", "a\nb1", "aaaa1", "é9é9", "ab1", "zz99zz"]
+    bodies = [(f"f{i}", text(300)) for i in range(60)] + [("g", None), ("h", ""), ("s", values[0]), ("u", "x日本語のy é9é9 a\nb1")]
+    bodies += [(f"p{i}", text(50) + v + text(rng.randrange(3))) for i, v in enumerate(values)] + [("h", values[9]), (None, "in " + values[20])]
+    clean = spark.createDataFrame(bodies, "file string, body string").repartition(5)
+    secrets = spark.createDataFrame([(v,) for v in [*values, None, "", values[0], "word"]], "value string")
+    want = {(f, v) for f, b in bodies for v in values if b and len(v.encode()) >= 4 and v in b}
+    assert {tuple(r) for r in values_in(clean, secrets).collect()} == want and len(want) > 60
+    assert values_in(clean, secrets.where("value = 'nowhere'")).count() == 0 and values_in(clean.where("false"), secrets).count() == 0
+
+
+def test_gram_places():
+    data = np.frombuffer(b"0123456789abcdef0123456789abcdefXYZ", np.uint8)
+    for w, h in grams(data, WIDTHS):
+        assert len(h) == len(data) - w + 1 and (h >= 0).all()
+        assert all((h[i] == h[j]) == (data[i : i + w].tobytes() == data[j : j + w].tobytes()) for i in range(len(h)) for j in range(i))
+    assert [w for w, _ in grams(data[:9], WIDTHS)] == [4, 8] and list(grams(data[:3], WIDTHS)) == []
+
+
+def test_leak_scan_kinds(spark):
+    clean = spark.createDataFrame([("f", "# abcd1 here xx9y 10.1.2.3"), ("g", None), ("h", "nothing"), ("k", 'm{k="00:1a:2B:3c:4d:5e",z="1.2.3.44"} 1')], "file string, body string")
+    secrets = spark.createDataFrame([("abcd1",), ("xx9y",), ("zz99",), ("word",), (None,), ("nothing",)], "value string")
+    assert {tuple(r) for r in P.leak_scan(clean, secrets, ["k"]).collect()} == {("f", "value", "abcd1"), ("f", "value", "xx9y"), ("f", "comment", "10.1.2.3"), ("k", "label", "00:1a:2B:3c:4d:5e")}
