@@ -52,12 +52,21 @@ add_external_labels = add_absent
 
 
 def merge_target_labels(labels: Column, target: Column, honor: Column) -> Column:
-    """honor: scraped labels win; else target labels win and a scraped value moves to ``exported_<name>``."""
-    clash = F.map_filter(labels, lambda k, v: F.map_contains_key(target, k))
-    moved = F.transform_keys(clash, lambda k, v: F.concat(F.lit("exported_"), k))
-    rest = F.map_filter(labels, lambda k, v: ~F.map_contains_key(target, k) & ~F.map_contains_key(moved, k))
-    moved = F.map_filter(moved, lambda k, v: ~F.map_contains_key(target, k))
-    return F.when(honor, add_absent(labels, target)).otherwise(F.map_concat(rest, moved, target))
+    """honor: scraped labels win; else target labels win and a scraped value moves to ``exported_<name>``.
+
+    Target labels are taken one after the other in order of their names, each on what the one before left: an exported name
+    may be a target label itself, and then counts as scraped when that label's turn comes."""
+
+    def put(m: Column, e: Column) -> Column:
+        before = F.try_element_at(m, e["key"])
+        moved = F.concat(F.lit("exported_"), e["key"])
+        return F.when(F.map_contains_key(m, e["key"]), set_label(set_label(m, e["key"], e["value"]), moved, before)).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"])))
+
+    # no label is looked at twice: one pass does where no target label clashes, and none has an exported name
+    entries = F.sort_array(F.map_entries(target))
+    apart = ~F.exists(entries, lambda e: F.map_contains_key(labels, e["key"]) | e["key"].startswith("exported_"))
+    folded = F.when(apart, F.map_concat(labels, target)).otherwise(F.aggregate(entries, labels, put))
+    return F.when(honor, add_absent(labels, target)).otherwise(folded)
 
 
 def sanitize_label_name(name: Column) -> Column:

@@ -111,7 +111,8 @@ def _filter(labels: Column, r: Rule) -> Column | None:
 
 def _project(labels: Column, r: Rule) -> Column:
     value = join_source_labels(labels, r.source_labels, r.separator)
-    put = lambda v: F.when(v == "", L.remove_label(labels, F.lit(r.target_label))).otherwise(L.set_label(labels, F.lit(r.target_label), v))
+    # an empty result is set as well: it lasts to the end of the chain; only replace removes
+    put = lambda v: L.set_label(labels, F.lit(r.target_label), v)
     match r.action:
         case "replace":
             return relabel_replace(labels, r)

@@ -50,9 +50,43 @@ def test_bad_rules(rule):
         validate_relabel_rules([rule])
 
 
-def test_merge(spark):
+MERGES = [
+    ({"job": "custom"}, {"job": "node"}, {"job": "node", "exported_job": "custom"}, {"job": "custom"}),
+    # the exported name of a later target label is there already, and then holds the scraped value
+    ({"instance": "s"}, {"exported_instance": "e", "instance": "i"}, {"exported_instance": "s", "instance": "i"}, {"exported_instance": "e", "instance": "s"}),
+    # an exported label that the merge itself made moves on
+    ({"a": "1"}, {"a": "2", "exported_a": "3"}, {"a": "2", "exported_a": "3", "exported_exported_a": "1"}, {"a": "1", "exported_a": "3"}),
+    ({"a": "1", "exported_a": "0"}, {"a": "2"}, {"a": "2", "exported_a": "1"}, {"a": "1", "exported_a": "0"}),
+    ({"a": ""}, {"a": "2"}, {"a": "2", "exported_a": ""}, {"a": ""}),
+    ({"x": "1"}, {"exported_x": "2"}, {"x": "1", "exported_x": "2"}, {"x": "1", "exported_x": "2"}),
+    ({"x": "1"}, {}, {"x": "1"}, {"x": "1"}),
+]
+
+
+@pytest.mark.parametrize(("scraped", "target", "off", "on"), MERGES)
+def test_merge(spark, scraped, target, off, on):
     from meterflow.functions import labels as L
 
-    df = spark.createDataFrame([({"job": "custom"}, {"job": "node"})], "a map<string,string>, t map<string,string>")
+    df = spark.createDataFrame([(scraped, target)], "a map<string,string>, t map<string,string>")
     r = df.select(L.merge_target_labels(F.col("a"), F.col("t"), F.lit(False)).alias("off"), L.merge_target_labels(F.col("a"), F.col("t"), F.lit(True)).alias("on")).first()
-    assert r.off == {"job": "node", "exported_job": "custom"} and r.on == {"job": "custom"}
+    assert (r.off, r.on) == (off, on)
+
+
+@pytest.mark.parametrize("action", ["lowercase", "uppercase"])
+def test_empty_results_last_to_the_end(spark, action):
+    chain = [Rule(action, ("missing",), target_label="a"), Rule("labelmap", regex="a", replacement="b")]
+    assert run(spark, {"b": "keep", "c": "1"}, *chain) == {"c": "1"}
+    assert run(spark, {"a": "old", "b": "keep", "c": "1"}, *chain) == {"c": "1"}
+
+
+def test_sizes(spark):
+    from meterflow.functions.units import parse_size_bytes
+
+    cases = {
+        "0": 0, "1048576": 1048576, "007": 7, " 1KB": 1024, "1KB\u3000": 1024, ".5MiB": 524288, "1.MiB": 1048576, "1MiB512KiB": 1048576 + 524288, "1.000000001GiB": 1073741825,
+        "0.0000000001EiB": 115292150, "0.99999999999999999999B": 0, "0.9999999999999999999999EiB": (10**19 - 1) * 2**60 // 10**19, "15.5EiB": 31 * 2**59, "18446744073709551615": 2**64 - 1,
+        "0.5B0.5B": 0, "00000000000000000000000001KB": 1024, "18446744073709551616": None, "16EiB": None, "99999999999999999999999B": None, "15EiB1024PiB": None,
+        "": None, " ": None, ".": None, ".MiB": None, "1": 1, "1.5": None, "1 KB": None, "1kB": None, "1KB ": 1024, "-1KB": None, "1K": None, "1..5KB": None, "5B5": None, "1B\x001B": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", parse_size_bytes(F.col("t")).alias("n"))
+    assert {r.t: None if r.n is None else int(r.n) for r in df.collect()} == cases
