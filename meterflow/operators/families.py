@@ -15,9 +15,9 @@ from .histograms import validate_native_histogram
 
 SPAN = "struct<offset:int,length:bigint>"
 HISTOGRAM = (
-    "struct<sample_count:bigint,sample_count_float:double,sample_sum:double,schema:int,zero_threshold:double,zero_count:bigint,zero_count_float:double,"
+    "struct<sample_count:decimal(20,0),sample_count_float:double,sample_sum:double,schema:int,zero_threshold:double,zero_count:decimal(20,0),zero_count_float:double,"
     f"positive_span:array<{SPAN}>,positive_delta:array<bigint>,positive_count:array<double>,negative_span:array<{SPAN}>,negative_delta:array<bigint>,negative_count:array<double>,"
-    "bucket:array<struct<upper_bound:double,cumulative_count:bigint>>>"
+    "bucket:array<struct<upper_bound:double,cumulative_count:decimal(20,0),cumulative_count_float:double>>>"
 )
 METRIC = f"struct<label:array<struct<name:string,value:string>>,timestamp_ms:bigint,value:double,quantile:array<struct<quantile:double,value:double>>,histogram:{HISTOGRAM}>"
 FAMILY = f"struct<name:string,type:string,metric:array<{METRIC}>>"
@@ -32,6 +32,11 @@ def is_native(h: Column) -> Column:
     return more(F.size(h["positive_span"])) | more(F.size(h["negative_span"])) | more(h["zero_threshold"]) | more(h["zero_count"]) | more(h["zero_count_float"])
 
 
+def is_float(h: Column) -> Column:
+    """Any float count makes a histogram a float histogram, whose buckets are absolute counts."""
+    return F.coalesce(h["sample_count_float"] > 0, F.lit(False)) | F.coalesce(h["zero_count_float"] > 0, F.lit(False))
+
+
 def _first(c: Column) -> Column:
     return F.get(F.filter(c, lambda x: x.isNotNull()), F.lit(0))
 
@@ -50,9 +55,9 @@ def family_error(f: Column, native_histograms: bool = False, classic_histograms:
         derived = F.when(f["type"] == "summary", "quantile").when(f["type"].isin(*HISTOGRAMS) & (~native | classic), "le")
         spans = lambda side: F.coalesce(h[f"{side}_span"], F.array().cast(f"array<{SPAN}>"))
         deltas = lambda side: F.coalesce(h[f"{side}_delta"], F.array().cast("array<bigint>"))
-        side = lambda s: validate_native_histogram(F.coalesce(h["schema"], F.lit(0)), spans(s), deltas(s))
-        floats = F.coalesce(h["sample_count_float"] > 0, F.lit(False)) | F.coalesce(h["zero_count_float"] > 0, F.lit(False))
-        histogram = F.when(f["type"].isin(*HISTOGRAMS) & h.isNotNull() & native & ~floats, F.coalesce(side("negative"), side("positive")))
+        counts = lambda side: F.coalesce(h[f"{side}_count"], F.array().cast("array<double>"))
+        side = lambda s: validate_native_histogram(F.coalesce(h["schema"], F.lit(0)), spans(s), deltas(s), counts(s), is_float(h))
+        histogram = F.when(f["type"].isin(*HISTOGRAMS) & h.isNotNull() & native, F.coalesce(side("negative"), side("positive")))
         return (
             F.when(F.size(pairs) + 1 > MAX_LABELS, "too many labels")
             .when(F.exists(names, lambda n: ~n.rlike(rf"\A{LABEL_NAME}\z")), "invalid label name")
@@ -111,26 +116,26 @@ def build_native_histogram(h: Column, kind: Column) -> Column:
     """The native histogram of an exposed one: any float count makes it a float histogram with absolute counts, else it has
     integer counts and deltas; a gauge histogram's reset hint is gauge."""
     zero = lambda c, v: F.coalesce(c, F.lit(v))
-    floats = (zero(h["sample_count_float"], 0.0) > 0) | (zero(h["zero_count_float"], 0.0) > 0)
+    floats = is_float(h)
     spans = lambda s: F.transform(zero_array(h[s], f"array<{SPAN}>"), lambda x: F.struct(zero(x["offset"], 0).alias("offset"), F.coalesce(x["length"], F.lit(0).cast("bigint")).alias("length")))
 
-    def built(is_float: Column) -> Column:
-        long = lambda c: F.when(~is_float, F.coalesce(c, F.lit(0).cast("bigint")))
-        double = lambda c: F.when(is_float, zero(c, 0.0))
+    def built(floating: Column) -> Column:
+        whole = lambda c: F.when(~floating, F.coalesce(c, F.lit(0).cast("decimal(20,0)")))
+        double = lambda c: F.when(floating, zero(c, 0.0))
         return F.struct(
             F.when(kind == "gauge_histogram", "gauge").otherwise("unknown").alias("reset_hint"),
-            is_float.alias("is_float"),
+            floating.alias("is_float"),
             zero(h["schema"], 0).alias("schema"),
             zero(h["sample_sum"], 0.0).alias("sum"),
             zero(h["zero_threshold"], 0.0).alias("zero_threshold"),
-            long(h["sample_count"]).alias("count_int"),
+            whole(h["sample_count"]).alias("count_int"),
             double(h["sample_count_float"]).alias("count_float"),
-            long(h["zero_count"]).alias("zero_count_int"),
+            whole(h["zero_count"]).alias("zero_count_int"),
             double(h["zero_count_float"]).alias("zero_count_float"),
             spans("positive_span").alias("positive_spans"),
             spans("negative_span").alias("negative_spans"),
-            *(F.when(~is_float, zero_array(h[f"{s}_delta"], "array<bigint>")).alias(f"{s}_deltas") for s in ("positive", "negative")),
-            *(F.when(is_float, zero_array(h[f"{s}_count"], "array<double>")).alias(f"{s}_counts") for s in ("positive", "negative")),
+            *(F.when(~floating, zero_array(h[f"{s}_delta"], "array<bigint>")).alias(f"{s}_deltas") for s in ("positive", "negative")),
+            *(F.when(floating, zero_array(h[f"{s}_count"], "array<double>")).alias(f"{s}_counts") for s in ("positive", "negative")),
         )
 
     return let(floats, built)

@@ -1,4 +1,8 @@
-"""Native histograms as bucket rows: expansion, encoding, resolution reduction, limits, validation."""
+"""Native histograms as bucket rows: expansion, encoding, resolution reduction, limits, validation.
+
+Integer histograms code their buckets as deltas of counts, float histograms as the counts themselves; bucket rows hold absolute
+counts of either kind.
+"""
 
 from __future__ import annotations
 
@@ -43,23 +47,28 @@ def running(deltas: Column) -> Column:
     return F.aggregate(deltas, start, step, lambda acc: acc["out"])
 
 
-def histogram_buckets(df: DataFrame, key: list[str], spans: str, deltas: str, side: str) -> DataFrame:
-    """(key, side, index, count) rows of one side; none of a histogram whose spans do not fit its buckets."""
-    index = span_indices(F.col(spans), F.size(deltas).cast("bigint"))
-    pairs = F.when(index.isNotNull(), F.arrays_zip(index.alias("index"), running(F.col(deltas)).alias("count")))
+def histogram_buckets(df: DataFrame, key: list[str], spans: str, values: str, side: str, absolute: bool = False) -> DataFrame:
+    """(key, side, index, count) rows of one side; none of a histogram whose spans do not fit its buckets.
+
+    ``values`` are deltas, or with ``absolute`` the counts of a float histogram."""
+    index = span_indices(F.col(spans), F.size(values).cast("bigint"))
+    counts = F.col(values) if absolute else running(F.col(values))
+    pairs = F.when(index.isNotNull(), F.arrays_zip(index.alias("index"), counts.alias("count")))
     return L.each(df.withColumn("side", F.lit(side)), pairs, "b").select(*key, "side", F.col("b.index").alias("index"), F.col("b.count").alias("count"))
 
 
-def encode_buckets(buckets: DataFrame, key: list[str]) -> DataFrame:
-    """Spans and deltas of each key and side again: neighbouring indices form a span."""
+def encode_buckets(buckets: DataFrame, key: list[str], absolute: bool = False) -> DataFrame:
+    """Spans of each key and side, with deltas, or with ``counts`` if ``absolute``: neighbouring indices form a span."""
     by = [*key, "side"]
     order = Window.partitionBy(*by).orderBy("index")
-    df = buckets.withColumns({"gap": F.col("index") - F.lag("index").over(order) - 1, "delta": F.col("count") - F.coalesce(F.lag("count").over(order), F.lit(0))})
+    value = F.col("count") if absolute else F.col("count") - F.coalesce(F.lag("count").over(order), F.lit(0))
+    df = buckets.withColumns({"gap": F.col("index") - F.lag("index").over(order) - 1, "value": value})
     df = df.withColumn("_new", (F.col("gap").isNull() | (F.col("gap") > 0)).cast("int"))
     df = df.withColumn("_span", F.sum("_new").over(order))
-    spans = df.groupBy(*by, "_span").agg(F.min(F.struct("index", F.coalesce("gap", "index").cast("int").alias("offset"))).alias("f"), F.count("*").alias("length"), F.sort_array(F.collect_list(F.struct("index", "delta"))).alias("d"))
+    spans = df.groupBy(*by, "_span").agg(F.min(F.struct("index", F.coalesce("gap", "index").cast("int").alias("offset"))).alias("f"), F.count("*").alias("length"), F.sort_array(F.collect_list(F.struct("index", "value"))).alias("d"))
     rows = spans.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_span", F.col("f.offset").alias("offset"), "length", "d"))).alias("s"))
-    return rows.select(*by, F.transform("s", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"))).alias("spans"), F.flatten(F.transform("s", lambda x: F.transform(x["d"], lambda y: y["delta"]))).alias("deltas"))
+    values = F.flatten(F.transform("s", lambda x: F.transform(x["d"], lambda y: y["value"])))
+    return rows.select(*by, F.transform("s", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"))).alias("spans"), values.alias("counts" if absolute else "deltas"))
 
 
 def reduced_index(index: Column, shift: Column | int) -> Column:
@@ -77,21 +86,49 @@ def cap_histogram_schema(df: DataFrame, schema: str = "schema") -> DataFrame:
     return df.withColumn("shift", F.greatest(F.col(schema) - MAX_SCHEMA, F.lit(0))).withColumn(schema, F.least(F.col(schema), F.lit(MAX_SCHEMA)))
 
 
+def _sizes(buckets: DataFrame, key: list[str], schema: str) -> DataFrame:
+    """(key, schema, apart): for each bucket of a histogram, the least shift at which it is one with the bucket before it on its
+    side (64 for a side's first bucket).  A histogram has as many buckets after a shift as entries above it."""
+    order = Window.partitionBy(*key).orderBy("side", "index")
+    # two places are one after as many halvings as their numbers need to agree above: up to their highest differing bit
+    bits = (F.col("index") - 1).bitwiseXOR(F.lag("index").over(order) - 1)
+    apart = F.when(~F.col("side").eqNullSafe(F.lag("side").over(order)) | (bits < 0), 64).when(bits == 0, 0).otherwise(F.length(F.bin(bits)))
+    rows = buckets.withColumn("_apart", F.coalesce(apart, F.lit(64)))
+    return rows.groupBy(*key).agg(F.max(schema).alias("_schema"), F.collect_list("_apart").alias("_apart"))
+
+
+def _least_shift(first: Column, limit: int) -> Column:
+    """The least shift from ``first`` on that leaves at most ``limit`` buckets (0: no limit), or null if even the coarsest has more."""
+    shifts = F.sequence(first, F.greatest(F.col("_schema") - MIN_SCHEMA, first))
+    fits = lambda s: F.size(F.filter("_apart", lambda x: x > s)) <= limit
+    return F.get(F.filter(shifts, fits) if limit else shifts, F.lit(0))
+
+
 def limit_histogram_buckets(buckets: DataFrame, key: list[str], limit: int, schema: str = "schema") -> DataFrame:
     """(key, shift): the least coarsening with at most ``limit`` buckets on both sides; null if even -4 has more.
 
-    All at most thirteen shifts are tried at once: halving repeatedly equals one shift.  A limit of 0 is off.
+    All resolutions come from one sorted pass over a histogram's buckets: each tells at which shift it is lost.  A limit of
+    0 is off.
     """
-    if not limit:
-        return buckets.select(*key).distinct().withColumn("shift", F.lit(0))
-    tried = buckets.withColumn("shift", F.explode(F.sequence(F.lit(0), F.greatest(F.col(schema) - MIN_SCHEMA, F.lit(0)))))
-    merged = tried.groupBy(*key, "shift", "side", reduced_index(F.col("index"), F.col("shift")).alias("i")).agg(F.lit(1).alias("one"))
-    sizes = merged.groupBy(*key, "shift").agg(F.count("*").alias("n"))
-    return sizes.groupBy(*key).agg(F.min(F.when(F.col("n") <= limit, F.col("shift"))).alias("shift"))
+    return _sizes(buckets, key, schema).select(*key, _least_shift(F.lit(0), limit).alias("shift"))
 
 
-def validate_native_histogram(schema: Column, spans: Column, deltas: Column) -> Column:
-    """Why one side of an integer histogram is malformed, or null; sums beyond a long are found, not raised."""
+def fit_histograms(buckets: DataFrame, key: list[str], limit: int = 0, schema: str = "schema") -> tuple[DataFrame, DataFrame]:
+    """(bucket rows, faults): buckets of integer or float histograms with their schema brought to at most 8 and their number to at
+    most ``limit``, in one coarsening; a histogram with too many buckets even at -4 has a row (key, error) instead."""
+    first = F.greatest(F.col("_schema") - MAX_SCHEMA, F.lit(0))
+    found = _sizes(buckets, key, schema).select(*(F.col(c).alias(f"_{c}") for c in key), _least_shift(first, limit).alias("_shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    rows = buckets.join(found.where("_shift IS NOT NULL"), same)
+    rows = rows.groupBy(*key, "side", reduced_index(F.col("index"), F.col("_shift")).alias("index")).agg((F.max(schema) - F.max("_shift")).cast("int").alias(schema), F.sum("count").alias("count"))
+    faults = found.where("_shift IS NULL").select(*(F.col(f"_{c}").alias(c) for c in key), F.lit("bucket limit exceeded at the coarsest schema").alias("error"))
+    return rows, faults
+
+
+def validate_native_histogram(schema: Column, spans: Column, deltas: Column, counts: Column | None = None, is_float: Column | None = None) -> Column:
+    """Why one side of a histogram is malformed, or null; sums beyond a long are found, not raised.
+
+    Integer histograms have ``deltas``.  Where ``is_float``, the buckets are ``counts``, which may be of any size."""
     start = F.struct(F.lit(0).cast("bigint").alias("next"), F.lit(False).alias("bad"))
 
     def reach(acc: Column, s: Column) -> Column:
@@ -100,32 +137,43 @@ def validate_native_histogram(schema: Column, spans: Column, deltas: Column) ->
         fits = F.coalesce(first.between(-(2**31), 2**31 - 1) & last.between(-(2**31), 2**31 - 1), F.lit(False))
         return F.struct(F.coalesce(F.try_add(first, s["length"]), F.lit(0).cast("bigint")).alias("next"), (acc["bad"] | ~fits).alias("bad"))
 
-    def counts(n: Column) -> Column:
+    def negative(n: Column) -> Column:
         return F.when(F.coalesce(F.exists(n, lambda x: x < 0), F.lit(False)), "negative bucket count").when(F.exists(n, lambda x: x.isNull()), "bucket count overflow")
 
     later = F.exists(F.filter(spans, lambda s, i: i > 0), lambda s: s["offset"] < 0)
     total = F.coalesce(covered(spans), F.lit(-1).cast("bigint"))
+    floats = F.lit(False) if is_float is None else is_float
+    buckets = F.size(deltas) if counts is None else F.when(floats, F.size(counts)).otherwise(F.size(deltas))
     return (
         F.when(schema < MIN_SCHEMA, "unsupported schema")
         .when(later, "negative span offset")
         .when(F.aggregate(spans, start, reach, lambda acc: acc["bad"]), "bucket index overflow")
-        .when(total != F.size(deltas), "spans do not cover the buckets")
-        .otherwise(F.get(F.transform(F.array(running(deltas)), counts), F.lit(0)))
+        .when(total != buckets, "spans do not cover the buckets")
+        .when(floats, F.lit(None).cast("string"))
+        .otherwise(F.get(F.transform(F.array(running(deltas)), negative), F.lit(0)))
     )
 
 
-def expand_classic_histogram(df: DataFrame, key: list[str], buckets: str = "buckets", count: str = "count", total: str = "sum") -> DataFrame:
+def float_or_int(floating: Column, whole: Column) -> Column:
+    """A count that is exposed twice: the float one where it is above 0, else the integer one (0 where there is none)."""
+    return F.when(floating > 0, floating).otherwise(F.coalesce(whole.cast("double"), F.lit(0.0)))
+
+
+def expand_classic_histogram(df: DataFrame, key: list[str], buckets: str = "buckets", count: str = "count", total: str = "sum", count_float: str | None = None) -> DataFrame:
     """_count, _sum and cumulative _bucket{le} rows (``bound`` is the text of le); +Inf is added unless the last bucket has it.
 
-    ``buckets`` is array<struct<upper_bound double, cumulative_count bigint>>.
+    ``buckets`` is array<struct<upper_bound double, cumulative_count>>, with cumulative_count_float where float counts are
+    exposed; ``count_float`` names the float count.  Float counts win where they are above 0.
     """
     inf = F.lit(float("inf"))
     last = F.coalesce(F.try_element_at(buckets, F.lit(-1))["upper_bound"] == inf, F.lit(False))
     row = lambda suffix, le, v: F.struct(F.lit(suffix).alias("suffix"), le.alias("le"), v.cast("double").alias("value"))
     null = F.lit(None).cast("double")
-    steps = F.transform(buckets, lambda b: row("_bucket", b["upper_bound"], b["cumulative_count"]))
-    top = F.when(last, F.array().cast("array<struct<suffix:string,le:double,value:double>>")).otherwise(F.array(row("_bucket", inf, F.col(count))))
-    rows = F.concat(F.array(row("_count", null, F.col(count)), row("_sum", null, F.col(total))), steps, top)
+    floats = "cumulative_count_float" in df.schema[buckets].dataType.elementType.names
+    steps = F.transform(buckets, lambda b: row("_bucket", F.coalesce(b["upper_bound"], F.lit(0.0)), float_or_int(b["cumulative_count_float"], b["cumulative_count"]) if floats else b["cumulative_count"]))
+    n = float_or_int(F.col(count_float), F.col(count)) if count_float else F.col(count)
+    top = F.when(last, F.array().cast("array<struct<suffix:string,le:double,value:double>>")).otherwise(F.array(row("_bucket", inf, n)))
+    rows = F.concat(F.array(row("_count", null, n), row("_sum", null, F.col(total))), F.coalesce(steps, F.array()), top)
     return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.suffix", "r.le", format_bound(F.col("r.le")).alias("bound"), "r.value")
 
 
