@@ -7,9 +7,6 @@ groups from ``supplier``, Kubernetes snapshots from ``part``, ``orders``, ``line
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from ..functions import labels as L
 from ..functions import units as U
 from ..functions.numbers import format_bound as format_text
 from .. import sources as I
+from .. import streaming as STREAM
 from ..operators import delivery as D
 from ..operators import families as M
 from ..operators import histograms as H
@@ -185,14 +183,18 @@ _rel("relabel_hashmod", [Rule("hashmod", ("__meta_name",), target_label="__shard
 _rel("relabel_labelmap", [Rule("labelmap", regex="__meta_(.*)", replacement="flag_$1")], "m || ',flag_name=' || c_name || ',flag_segment=' || c_mktsegment || ',' || na || zo")
 _rel("relabel_labeldrop", [Rule("labeldrop", regex="__.*")], "na || zo")
 _rel("relabel_labelkeep", [Rule("labelkeep", regex="__meta_n.*|zone")], "'__meta_name=' || c_name || zo")
-_rel("relabel_lowercase", [Rule("lowercase", ("__meta_segment",), target_label="low")], "m || ',low=' || lower(c_mktsegment) || ',' || na || zo")
-_rel("relabel_uppercase", [Rule("uppercase", ("__meta_name", "zone"), separator="/", target_label="up")], "m || ',' || na || ',up=' || upper(c_name || '/' || zone) || zo")
+# an empty result stays in its label until the chain ends, so that it is copied over the nation
+_rel("relabel_lowercase", [Rule("lowercase", ("__meta_segment",), target_label="low"), Rule("lowercase", ("zone",), target_label="t1"), Rule("labelmap", regex="t1", replacement="nation")], "m || ',low=' || lower(c_mktsegment) || CASE WHEN zone <> '' THEN ',nation=' || zone || ',t1=' || zone ELSE '' END || zo")
+_rel("relabel_uppercase", [Rule("uppercase", ("__meta_name", "zone"), separator="/", target_label="up"), Rule("uppercase", ("zone",), target_label="t1"), Rule("labelmap", regex="t1", replacement="nation")], "m || CASE WHEN zone <> '' THEN ',nation=' || upper(zone) || ',t1=' || upper(zone) ELSE '' END || ',up=' || upper(c_name || '/' || zone) || zo")
 _rel("drop_empty_labels", [], "m || ',' || na || zo")
 
 
-@query(f"""WITH {CU} SELECT c_custkey, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',exported_nation=' || n_name || ',nation=home,region=r,zone=' || zone AS mine, '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',nation=' || n_name || ',region=r,zone=' || zone AS theirs FROM c""")
+@query(f"""WITH {CU} SELECT c_custkey,
+ '__meta_name=' || c_name || ',__meta_segment=s,exported___meta_segment=y,exported_exported___meta_segment=' || c_mktsegment || ',exported_nation=' || n_name || ',nation=home,region=r,zone=' || zone AS mine,
+ '__meta_name=' || c_name || ',__meta_segment=' || c_mktsegment || ',exported___meta_segment=y,exported_nation=e,nation=' || n_name || ',region=r,zone=' || zone AS theirs FROM c""")
 def merge_target_labels(spark, sf):
-    target = F.create_map(F.lit("nation"), F.lit("home"), F.lit("region"), F.lit("r"))
+    own = {"nation": "home", "region": "r", "exported_nation": "e", "__meta_segment": "s", "exported___meta_segment": "y"}
+    target = F.create_map(*[F.lit(x) for p in own.items() for x in p])
     df = customers(spark, sf)
     df = df.select("c_custkey", L.merge_target_labels(F.col("labels"), target, F.lit(False)).alias("mine"), L.merge_target_labels(F.col("labels"), target, F.lit(True)).alias("theirs"))
     return df.select("c_custkey", shown("mine", True), shown("theirs", True))
@@ -209,11 +211,13 @@ def sanitize_label_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", L.sanitize_label_name(F.concat("p_brand", F.lit("-"), "p_name")).alias("name"))
 
 
-@query("""SELECT p_partkey, p_partkey * 3600000 + p_size * 60000 + 5 AS ms, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 0 END::BIGINT AS odd, (p_size * 1048576 + 512 * 1024)::DOUBLE AS bytes FROM part""")
+@query("""SELECT p_partkey, p_partkey * 3600000 + p_size * 60000 + 5 AS ms, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 0 END::BIGINT AS odd,
+ CASE p_partkey % 5 WHEN 0 THEN p_size * 1048576 + 524288 WHEN 1 THEN p_partkey * 1000 WHEN 2 THEN p_size * 1024 // CASE WHEN p_size < 10 THEN 10 ELSE 100 END WHEN 3 THEN p_size * 1048576 + 1073741825 END::DOUBLE AS bytes FROM part""")
 def parse_units(spark, sf):
     p = table(spark, sf, "part")
     odd = F.when(F.col("p_partkey") % 2 == 0, "1m1h").otherwise("0")
-    size = F.concat("p_size", F.lit(".5MiB"))
+    sizes = F.array(F.concat("p_size", F.lit(".5MiB")), F.concat(F.lit(" "), F.col("p_partkey") * 1000, F.lit("\n")), F.concat(F.lit("."), "p_size", F.lit("KB")), F.concat(F.lit("\t"), "p_size", F.lit(".MiB1.000000001GiB")), F.concat("p_size", F.lit("kB")))
+    size = F.get(sizes, (F.col("p_partkey") % 5).cast("int"))
     return p.select("p_partkey", U.parse_duration_ms(F.concat("p_partkey", F.lit("h"), "p_size", F.lit("m5ms"))).alias("ms"), U.parse_duration_ms(odd).alias("odd"), U.parse_size_bytes(size).cast("double").alias("bytes"))
 
 
@@ -279,9 +283,16 @@ def build_targets(spark, sf):
     return t.select("url", F.element_at("params", F.lit("module")).alias("module"), shown("labels"))
 
 
-@query(f"WITH {GR} SELECT 'http://' || addr || '/metrics' AS url FROM a WHERE s_suppkey % 5 <> 0")
+@query(f"WITH {GR} SELECT addr, n_name AS nation FROM a UNION ALL SELECT unnest(['one:1', 'two:2']), 'none'")
+def static_target_groups(spark, sf):
+    """Groups of a configuration beside those of a table."""
+    both = T.merge_target_groups(groups(spark, sf).drop("s_suppkey"), T.static_target_groups(spark, [(["one:1", "two:2"], {"nation": "none"}), ([], {"nation": "empty"})]))
+    return both.select(F.explode("targets").alias("addr"), F.element_at("labels", F.lit("nation")).alias("nation"))
+
+
+@query(f"WITH {GR} SELECT 'http://' || addr || '/metrics' AS url FROM a")
 def distinct_targets(spark, sf):
-    g = groups(spark, sf).where(F.col("s_suppkey") % 5 != 0)
+    g = groups(spark, sf)
     return T.distinct_targets(T.build_targets(T.merge_target_groups(g, g), "j")).select("url")
 
 
@@ -379,6 +390,12 @@ def batches(spark, sf: str) -> DataFrame:
     return D.assign_batches(D.drop_native_histograms(D.fan_out_endpoints(e, out)), ["event_id"])
 
 
+def labelled_batches(spark, sf: str) -> DataFrame:
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    user = F.when(F.col("target_id") % 4 == 0, "").otherwise(F.col("target_id").cast("string"))
+    return batches(spark, sf).withColumn("labels", F.array(pair("k", F.get_json_object("props", "$.k")), pair("type", F.col("event_type")), pair("u", user)))
+
+
 @query(f"WITH {EP} SELECT endpoint, event_id FROM f")
 def fan_out_endpoints(spark, sf):
     out = spark.createDataFrame(ENDPOINTS, "endpoint string, message string, send_native_histograms boolean, max_samples_per_send int")
@@ -399,10 +416,7 @@ def batch_counts(spark, sf):
 f1 AS (SELECT endpoint, batch_id, symbol, min(r * 10 + p) AS m FROM l WHERE symbol <> '' GROUP BY 1, 2, 3)
 SELECT endpoint, batch_id, symbol, row_number() OVER (PARTITION BY endpoint, batch_id ORDER BY m)::INTEGER AS ref FROM f1 UNION ALL SELECT DISTINCT endpoint, batch_id, '', 0 FROM b""")
 def symbol_table(spark, sf):
-    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
-    user = F.when(F.col("target_id") % 4 == 0, "").otherwise(F.col("target_id").cast("string"))
-    df = batches(spark, sf).withColumn("labels", F.array(pair("k", F.get_json_object("props", "$.k")), pair("type", F.col("event_type")), pair("u", user)))
-    return D.symbol_table(df, ["endpoint", "batch_id"], ["event_id"])
+    return D.symbol_table(labelled_batches(spark, sf), ["endpoint", "batch_id"], ["event_id"])
 
 
 @query(f"""WITH {EP}, c AS (SELECT endpoint, batch_id, count(*) FILTER (NOT is_histogram) AS n FROM b GROUP BY 1, 2)
@@ -415,6 +429,40 @@ def delivery_outcomes(spark, sf):
     return D.delivery_outcomes(sent, counts).select("endpoint", "batch_id", "outcome")
 
 
+@query(f"""WITH {EP}, l AS (SELECT endpoint, batch_id, event_id, row_number() OVER (PARTITION BY endpoint, batch_id ORDER BY event_id) AS r, unnest(['k', json_extract_string(props, '$.k'), 'type', event_type, 'u', CASE WHEN user_id % 4 = 0 THEN '' ELSE user_id::VARCHAR END]) AS symbol, unnest(range(0, 6)) AS p FROM b),
+f1 AS (SELECT endpoint, batch_id, symbol, min(r * 10 + p) AS m FROM l WHERE symbol <> '' GROUP BY 1, 2, 3),
+t AS (SELECT endpoint, batch_id, symbol, row_number() OVER (PARTITION BY endpoint, batch_id ORDER BY m) AS ref FROM f1)
+SELECT endpoint, batch_id, event_id, string_agg(coalesce(ref, 0)::VARCHAR, ',' ORDER BY p) AS refs, string_agg(symbol, ',' ORDER BY p) AS decoded FROM l LEFT JOIN t USING (endpoint, batch_id, symbol) GROUP BY 1, 2, 3""")
+def symbol_refs(spark, sf):
+    """The references of each series, and what they stand for in its batch's table."""
+    df, key = labelled_batches(spark, sf), ["endpoint", "batch_id"]
+    refs = D.symbol_refs(df, key, ["event_id"])
+    symbols = D.symbol_table(df, key, ["event_id"]).groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.map_from_entries(F.collect_list(F.struct("ref", "symbol"))).alias("symbols"))
+    both = refs.join(symbols, (F.col("endpoint") == F.col("_endpoint")) & (F.col("batch_id") == F.col("_batch_id")))
+    decoded = F.array_join(F.transform("refs", lambda r: F.element_at("symbols", r)), ",")
+    return both.select(*key, "event_id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), decoded.alias("decoded"))
+
+
+RETRIES = f"""{EP}, k AS (SELECT DISTINCT endpoint, batch_id, batch_id % 4 + 1 AS n, batch_id // 4 % 3 AS last FROM b),
+q AS (SELECT *, CASE WHEN batch_id % 11 = 5 AND n > 1 THEN 'attempts missing' WHEN batch_id % 13 = 6 AND last <> 2 THEN 'sent after its end' WHEN batch_id % 7 = 3 AND n > 1 THEN 'sent too early' END AS fault FROM k),
+z AS (SELECT *, CASE fault WHEN 'attempts missing' THEN 2 ELSE 1 END AS a, CASE fault WHEN 'sent after its end' THEN n + 1 ELSE n END AS z, CASE WHEN last = 2 THEN n ELSE n - 1 END AS r, [0, 30, 90, 190, 290] AS w FROM q)"""
+
+
+@query(f"""WITH {RETRIES} SELECT endpoint, batch_id, CASE WHEN fault = 'sent after its end' OR last = 0 THEN 'ok' WHEN last = 1 THEN 'dropped' ELSE 'retry' END AS outcome, z - a + 1 AS attempts, r - a + 1 AS retries,
+ w[r + 1] - w[a] AS waited_ms, CASE fault WHEN 'sent too early' THEN 0 ELSE w[z] - w[a] END + 5 * (z - a) AS elapsed_ms, fault FROM z""")
+def retry_chains(spark, sf):
+    """Attempts of each batch: up to three retries, then an answer; some lack an attempt, come too early or go on after the end."""
+    counts = D.batch_counts(batches(spark, sf)).withColumns({"n": F.col("batch_id") % 4 + 1, "last": F.floor(F.col("batch_id") / 4) % 3})
+    kind = F.when((F.col("batch_id") % 11 == 5) & (F.col("n") > 1), "missing").when((F.col("batch_id") % 13 == 6) & (F.col("last") != 2), "after").when((F.col("batch_id") % 7 == 3) & (F.col("n") > 1), "early").otherwise("none")
+    tries = counts.withColumn("kind", kind).withColumn("attempt", F.explode(F.sequence(F.when(F.col("kind") == "missing", 2).otherwise(1), (F.col("n") + F.when(F.col("kind") == "after", 1).otherwise(0)).cast("int"))))
+    answer = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(429)), (F.col("last") + 1).cast("int"))
+    status = F.when(F.col("attempt") < F.col("n"), 503).when(F.col("attempt") == F.col("n"), answer).otherwise(204)
+    waits = F.element_at(F.array(*map(F.lit, (0, 30, 90, 190, 290))), F.col("attempt"))
+    at = F.col("batch_id") * 1000 + F.when(F.col("kind") == "early", 0).otherwise(waits) + 5 * (F.col("attempt") - 1)
+    sent = tries.select("endpoint", "batch_id", "attempt", at.alias("ts_ms"), status.alias("http_status"), F.col("n_samples").alias("samples_written"), F.col("n_histograms").alias("histograms_written"))
+    return D.retry_chains(D.delivery_outcomes(sent, counts.drop("n", "last")), max_backoff_ms=100)
+
+
 @query(f"""WITH {EP} SELECT endpoint, batch_id, event_id, CASE endpoint WHEN 'a' THEN 'kind=' || event_type || ',type=' || event_type WHEN 'b' THEN 'none=,type=' || event_type ELSE 'type=' || event_type END AS labels FROM b
 WHERE endpoint <> 'c' OR event_type = 'click'""")
 def write_relabel(spark, sf):
@@ -423,6 +471,65 @@ def write_relabel(spark, sf):
     return D.write_relabel(df, chains).select("endpoint", "batch_id", "event_id", shown("labels"))
 
 
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_stream(spark, parts: list[dict[str, DataFrame]], start) -> None:
+    """Files that arrive part by part in a folder for each name, and after each part a run of the query that ``start`` makes of
+    the streams: it takes what there is and ends, and the next one goes on from its checkpoint."""
+    where, key = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        for part in parts:
+            for name, df in part.items():
+                df.write.mode("append").parquet(f"{where}/{name}")
+            streams = {name: spark.readStream.schema(df.schema).parquet(f"{where}/{name}") for name, df in part.items()}
+            start(f"{where}/checkpoint", **streams).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def to_files(df: DataFrame, path: str, checkpoint: str):
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+
+
+@query(SQL["scrape_pipeline"])
+def stream_scrape_pipeline(spark, sf):
+    out, rows = scratch(spark), scrapes(spark, sf)
+    run = lambda checkpoint, scrapes: to_files(STREAM.stream_scrape_pipeline(scrapes, own_labels(), RULES, F.create_map(F.lit("region"), F.lit("eu"), F.lit("job"), F.lit("unused")))[1], out, checkpoint)
+    early = F.col("scrape_id") % 2 == 0
+    run_stream(spark, [{"scrapes": rows.where(early)}, {"scrapes": rows.where(~early)}], run)
+    return spark.read.parquet(out).select("scrape_id", "line_no", shown("labels"), "value", "ts_ms")
+
+
+@query(f"{SQL['stale_markers']} UNION ALL SELECT target_id, identity, ts_ms, stale FROM ({SQL['removed_target_markers']})")
+def stream_stale_markers(spark, sf):
+    """Half of the history, then the rest with the removals."""
+    samples, starts = history(spark, sf)
+    series = ST.tracked_identities(samples).groupBy(F.col("target_id").alias("_t"), F.col("start_ms").alias("_s")).agg(F.collect_list(F.struct("identity", L.sort_labels(F.col("labels")).alias("labels"))).alias("series"))
+    judged = I.written(starts.join(series, (F.col("target_id") == F.col("_t")) & (F.col("start_ms") == F.col("_s")), "left").select("target_id", "start_ms", "series"), "judged")
+    removed = starts.where(F.col("target_id").endswith("7")).groupBy("target_id").agg((F.max("start_ms") + 1000).alias("ts_ms"))
+    early, out = F.col("start_ms") < F.lit(1_705_276_800_000), scratch(spark)
+    run = lambda checkpoint, judged, removed: to_files(STREAM.stream_stale_markers(judged, F.col("series"), removed, F.create_map(F.lit("instance"), F.col("target_id"))), out, checkpoint)
+    run_stream(spark, [{"judged": judged.where(early), "removed": removed.where(F.lit(False))}, {"judged": judged.where(~early), "removed": removed}], run)
+    return spark.read.parquet(out).select("target_id", "identity", "ts_ms", "is_stale")
+
+
+@query(f"WITH {EP} SELECT endpoint, event_id, batch_id, CASE WHEN count(*) OVER (PARTITION BY endpoint, batch_id) = size THEN 'size' ELSE 'end' END AS closed_by FROM b")
+def stream_delivery(spark, sf):
+    """Three parts of the events and then the end: the batches of ``assign_batches``."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("target_id"), (F.col("event_type") == "view").alias("is_histogram"))
+    endpoints = spark.createDataFrame(ENDPOINTS, "endpoint string, message string, send_native_histograms boolean, max_samples_per_send int")
+    most, out = (e.agg(F.max("event_id")).first()[0] or 0) + 1, scratch(spark)
+    end = spark.range(1)
+    parts = [{"samples": e.where(F.floor(F.col("event_id") * 3 / most) == i), "end": end.where(F.lit(i == 2))} for i in range(3)]
+    run_stream(spark, parts, lambda checkpoint, samples, end: STREAM.stream_delivery(samples, endpoints, ["event_id"], out, checkpoint, None, end=end))
+    return spark.read.parquet(out).select("endpoint", "event_id", "batch_id", "closed_by")
+
+
 # --- histograms --------------------------------------------------------------------------------------------------------
 
 
@@ -450,26 +557,53 @@ def limit_histogram_buckets(spark, sf):
     return H.limit_histogram_buckets(buckets(spark, sf).withColumn("schema", F.lit(3)), ["l_suppkey"], 20)
 
 
-@query(f"WITH {BU} SELECT l_suppkey, count(*)::INTEGER AS n, NULL::VARCHAR AS sound, 'unsupported schema' AS low, 'negative bucket count' AS negative, 'spans do not cover the buckets' AS short FROM bu GROUP BY 1")
+@query(f"WITH {BU} SELECT l_suppkey, count(*)::INTEGER AS n, NULL::VARCHAR AS sound, 'unsupported schema' AS low, 'negative bucket count' AS negative, 'spans do not cover the buckets' AS short, NULL::VARCHAR AS float_sound, 'spans do not cover the buckets' AS float_short, 'unsupported schema' AS float_low FROM bu GROUP BY 1")
 def validate_native_histogram(spark, sf):
     s = H.encode_buckets(buckets(spark, sf), ["l_suppkey"])
     check = lambda schema, d: H.validate_native_histogram(F.lit(schema), F.col("spans"), d)
-    return s.select("l_suppkey", F.size("deltas").alias("n"), check(3, F.col("deltas")).alias("sound"), check(-5, F.col("deltas")).alias("low"), check(3, F.transform("deltas", lambda d: F.lit(-1).cast("bigint"))).alias("negative"), check(3, F.slice("deltas", 2, 100000)).alias("short"))
+    counts = F.transform("deltas", lambda d: -d / 2.0)
+    floats = lambda schema, c: H.validate_native_histogram(F.lit(schema), F.col("spans"), F.array().cast("array<bigint>"), c, F.lit(True))
+    return s.select(
+        "l_suppkey", F.size("deltas").alias("n"), check(3, F.col("deltas")).alias("sound"), check(-5, F.col("deltas")).alias("low"),
+        check(3, F.transform("deltas", lambda d: F.lit(-1).cast("bigint"))).alias("negative"), check(3, F.slice("deltas", F.lit(2), F.size("deltas"))).alias("short"),
+        floats(3, counts).alias("float_sound"), floats(3, F.slice(counts, F.lit(2), F.size("deltas"))).alias("float_short"), floats(-9, counts).alias("float_low"),
+    )
+
+
+@query(f"WITH {BU} SELECT l_suppkey, 'negative' AS side, i AS index, n * 0.5::DOUBLE AS count FROM bu")
+def float_histogram_buckets(spark, sf):
+    """Float histograms: absolute counts coded under their spans and read again."""
+    rows = buckets(spark, sf).withColumns({"count": F.col("count") * 0.5, "side": F.lit("negative")})
+    return H.histogram_buckets(H.encode_buckets(rows, ["l_suppkey"], absolute=True), ["l_suppkey"], "spans", "counts", "negative", absolute=True)
+
+
+@query(f"""WITH {BU}, sc AS (SELECT DISTINCT l_suppkey, (3 + l_suppkey % 8)::INTEGER AS schema FROM bu), t AS (SELECT l_suppkey, s, count(DISTINCT ((i - 1) >> s) + 1) AS n FROM bu CROSS JOIN range(0, 15) r(s) GROUP BY 1, 2),
+m AS (SELECT l_suppkey, schema, min(s) AS s FROM t JOIN sc USING (l_suppkey) WHERE n <= CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE 20 END AND s >= greatest(schema - 8, 0) AND s <= schema + 4 GROUP BY 1, 2)
+SELECT l_suppkey, ((i - 1) >> s) + 1 AS index, (schema - s)::INTEGER AS schema, sum(n)::DOUBLE * 0.5 AS count, NULL::VARCHAR AS error FROM bu JOIN m USING (l_suppkey) GROUP BY l_suppkey, 2, schema, s
+UNION ALL SELECT l_suppkey, NULL, NULL, NULL, 'bucket limit exceeded at the coarsest schema' FROM sc WHERE l_suppkey % 5 = 0""")
+def fit_histograms(spark, sf):
+    """Float histograms of schemas up to 10 at a limit of 20 buckets; every fifth has 64 more that no halving brings together."""
+    rows = buckets(spark, sf).select("l_suppkey", (F.col("l_suppkey") % 8 + 3).cast("int").alias("schema"), "side", "index", (F.col("count") * 0.5).alias("count"))
+    far = rows.where("l_suppkey % 5 = 0").select("l_suppkey", "schema").distinct().withColumns({"side": F.lit("positive"), "index": F.explode(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("bigint") * (1 << 20))), "count": F.lit(1.0)})
+    fitted, faults = H.fit_histograms(rows.unionByName(far), ["l_suppkey"], 20)
+    return fitted.drop("side").withColumn("error", F.lit(None).cast("string")).unionByName(faults, allowMissingColumns=True)
 
 
 CLASSIC = "q AS (SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS total, count(*) FILTER (l_quantity <= 10) AS b10, count(*) FILTER (l_quantity <= 25) AS b25 FROM lineitem GROUP BY 1)"
 
 
 def classic(spark, sf: str) -> DataFrame:
+    """Histograms with integer counts, beside which one flag has float counts and one has float counts of 0."""
     g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("count"), F.sum("l_quantity").alias("sum"), F.count_if(F.col("l_quantity") <= 10).alias("b10"), F.count_if(F.col("l_quantity") <= 25).alias("b25"))
-    b = lambda le, c: F.struct(F.lit(le).cast("double").alias("upper_bound"), F.col(c).alias("cumulative_count"))
-    return g.withColumn("buckets", F.array(b(10, "b10"), b(25, "b25")))
+    floating = lambda c: F.when(F.col("flag") == "A", F.col(c) + 0.25).when(F.col("flag") == "N", 0.0)
+    b = lambda le, c: F.struct(F.lit(le).cast("double").alias("upper_bound"), F.col(c).alias("cumulative_count"), floating(c).alias("cumulative_count_float"))
+    return g.withColumns({"buckets": F.array(b(10, "b10"), b(25, "b25")), "count_float": floating("count")})
 
 
-@query(f"""WITH {CLASSIC} SELECT flag, '_count' AS suffix, NULL::VARCHAR AS le, n::DOUBLE AS value FROM q UNION ALL SELECT flag, '_sum', NULL, total FROM q UNION ALL
-SELECT flag, '_bucket', '10.0', b10 FROM q UNION ALL SELECT flag, '_bucket', '25.0', b25 FROM q UNION ALL SELECT flag, '_bucket', '+Inf', n FROM q""")
+@query(f"""WITH {CLASSIC}, z AS (SELECT *, CASE WHEN flag = 'A' THEN 0.25 ELSE 0 END::DOUBLE AS more FROM q) SELECT flag, '_count' AS suffix, NULL::VARCHAR AS le, n + more AS value FROM z UNION ALL SELECT flag, '_sum', NULL, total FROM z UNION ALL
+SELECT flag, '_bucket', '10.0', b10 + more FROM z UNION ALL SELECT flag, '_bucket', '25.0', b25 + more FROM z UNION ALL SELECT flag, '_bucket', '+Inf', n + more FROM z""")
 def expand_classic_histogram(spark, sf):
-    out = H.expand_classic_histogram(classic(spark, sf), ["flag"])
+    out = H.expand_classic_histogram(classic(spark, sf), ["flag"], count_float="count_float")
     return out.select("flag", "suffix", F.col("bound").alias("le"), "value")
 
 
@@ -492,7 +626,7 @@ public AS (SELECT DISTINCT value FROM v WHERE label = 'k' AND NOT (length(value)
 
 
 def _moved(half: str, other: str, r: int) -> str:
-    roll = f"('0x' || md5('0|{r}|' || i || '|' || {other})[1:8])::BIGINT"
+    roll = f"(('0x' || md5('0|{r}|' || {other})[(i - 1) * 7 % 25 + 1:(i - 1) * 7 % 25 + 8])::BIGINT + i - 1)"
     kinds = " ".join(f"WHEN regexp_full_match({half}[i], '[{c}]') THEN chr(({o} + (ascii({half}[i]) - {o} + {roll}) % {m})::INTEGER)" for c, o, m in (("a-z", 97, 26), ("A-Z", 65, 26), ("0-9", 48, 10)))
     return f"array_to_string(list_transform(range(1, length({half}) + 1), lambda i: CASE {kinds} ELSE {half}[i] END), '')"
 
@@ -508,7 +642,7 @@ def bodies(spark, sf: str) -> DataFrame:
 
 def clean(spark, sf: str) -> DataFrame:
     raw = bodies(spark, sf)
-    values = P.corpus_label_values(raw).persist()  # read by every step
+    values = I.written(P.corpus_label_values(raw), "label-values")  # read by every step
     denied = P.denied_values(values, KEEP, P.public_vocabulary(values, KEEP, HIGH_RISK))
     return P.pseudonymize_bodies(raw, denied, P.pseudonym_map(denied), KEEP)
 
@@ -644,11 +778,12 @@ def family_timestamps(spark, sf):
 
 
 def exposed_histograms(spark, sf: str) -> DataFrame:
-    """Histogram metrics by supplier: native ones, native ones with classic buckets, classic ones."""
+    """Histogram metrics by supplier: native ones, native ones with classic buckets, classic ones; some counts are beyond a long."""
     kind = F.col("l_suppkey") % 3
     native, none = kind != 2, F.lit(None)
-    bucket = F.when(kind > 0, F.array(F.struct(F.lit(10.0), F.lit(4).cast("long"))))
-    h = F.struct(F.size("deltas"), F.when(F.col("l_suppkey") % 4 == 0, 2.5), F.lit(1.5), F.lit(3), F.lit(0.0), none, none, F.when(native, F.col("spans")), F.when(native, F.col("deltas")), none, none, none, none, bucket).cast(M.HISTOGRAM)
+    bucket = F.when(kind > 0, F.array(F.struct(F.lit(10.0), F.lit(4).cast("decimal(20,0)"), F.lit(None).cast("double"))))
+    count = F.size("deltas").cast("decimal(20,0)") + F.when(F.col("l_suppkey") % 8 == 1, F.lit("18446744073709551000")).otherwise(F.lit("0")).cast("decimal(20,0)")
+    h = F.struct(count.cast("decimal(20,0)"), F.when(F.col("l_suppkey") % 4 == 0, 2.5), F.lit(1.5), F.lit(3), F.lit(0.0), none, none, F.when(native, F.col("spans")), F.when(native, F.col("deltas")), none, none, none, none, bucket).cast(M.HISTOGRAM)
     s = H.encode_buckets(buckets(spark, sf), ["l_suppkey"])
     return s.select("l_suppkey", F.when(F.col("l_suppkey") % 2 == 0, "gauge_histogram").otherwise("histogram").alias("type"), F.struct(h.alias("histogram")).alias("metric"))
 
@@ -659,11 +794,11 @@ def select_histogram_form(spark, sf):
 
 
 @query(f"""WITH {BU}, k AS (SELECT l_suppkey, count(*) AS n FROM bu GROUP BY 1 HAVING l_suppkey % 3 <> 2)
-SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'gauge' ELSE 'unknown' END AS reset_hint, l_suppkey % 4 = 0 AS is_float, CASE WHEN l_suppkey % 4 <> 0 THEN n END AS count_int, CASE WHEN l_suppkey % 4 = 0 THEN 2.5::DOUBLE END AS count_float, CASE WHEN l_suppkey % 4 <> 0 THEN n ELSE -1 END::INTEGER AS deltas FROM k""")
+SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'gauge' ELSE 'unknown' END AS reset_hint, l_suppkey % 4 = 0 AS is_float, CASE WHEN l_suppkey % 4 <> 0 THEN (n::HUGEINT + CASE WHEN l_suppkey % 8 = 1 THEN 18446744073709551000 ELSE 0 END)::VARCHAR END AS count_int, CASE WHEN l_suppkey % 4 = 0 THEN 2.5::DOUBLE END AS count_float, CASE WHEN l_suppkey % 4 <> 0 THEN n ELSE -1 END::INTEGER AS deltas FROM k""")
 def build_native_histogram(spark, sf):
     rows = M.select_histogram_form(exposed_histograms(spark, sf), True).where("form = 'native'")
     built = rows.select("l_suppkey", M.build_native_histogram(F.col("histogram"), F.col("type")).alias("h"))
-    return built.select("l_suppkey", "h.reset_hint", "h.is_float", "h.count_int", "h.count_float", F.coalesce(F.size("h.positive_deltas"), F.lit(-1)).alias("deltas"))
+    return built.select("l_suppkey", "h.reset_hint", "h.is_float", F.col("h.count_int").cast("string").alias("count_int"), "h.count_float", F.coalesce(F.size("h.positive_deltas"), F.lit(-1)).alias("deltas"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice::VARCHAR AS plain, CASE WHEN l_orderkey = 0 THEN '0.0' ELSE rtrim(l_orderkey::VARCHAR, '0')[1] || CASE WHEN length(rtrim(l_orderkey::VARCHAR, '0')) > 1 THEN '.' || rtrim(l_orderkey::VARCHAR, '0')[2:] ELSE '' END || 'e+' || lpad((length(l_orderkey::VARCHAR) + 5)::VARCHAR, 2, '0') END AS large FROM lineitem""")
@@ -676,12 +811,7 @@ def format_bound(spark, sf):
 
 def scratch(spark) -> str:
     """A new folder that the driver and all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.gettempdir()
-    return f"{where.rstrip('/')}/meterflow-{uuid.uuid4().hex}"
+    return I.shared_folder(spark, "files")
 
 
 @query("SELECT event_id::VARCHAR AS id, value FROM events WHERE event_id % 997 <> 0")
