@@ -6,9 +6,10 @@ how many links of the corpus hold it.
 
 *Postings.*  The task that tokenizes a text keeps its links as multiplicities of (B id, A id, document); about
 ``PART_BYTES`` of text at a time become one posting list for each B id.  The pair counts are summed before they move.
-*Cogroup.*  Counts and posting lists meet by B id in streams that Spark sorts (and spills): first the counts of an id, of
-which the task finds the highest, then its posting lists one after the other, each of which gives its documents' shares.  A
-B id with very many postings is dealt out over several streams, each with the id's counts, so a hot id is never in one task.
+*Cogroup.*  B ids are dealt out to ``LANES`` lanes by a hash, and parts to blocks.  Counts and posting lists meet by lane and
+block in streams that Spark sorts by id (and spills): first the counts of an id, of which the task finds the highest, then
+its posting lists one after the other, each of which gives its documents' shares.  Every block has its lane's counts, so
+the postings of a hot id spread over the blocks; a document has a share in each lane at most, however many blocks there are.
 Shares are added up by document.
 
 Long texts are tokenized in pieces cut at a space between two word characters, where neither tokenizer has a token across:
@@ -41,8 +42,9 @@ from .words import lean, slices
 
 #: Text of one posting list for each B id.
 PART_BYTES = 8 << 20
-#: Postings of a B id in one stream.
-STREAM = 4_000_000
+#: Lanes of B ids, and postings in one stream.
+LANES = 16
+STREAM = 1_000_000
 #: Postings whose shares a task holds.
 HELD = 2_000_000
 #: Code points of a piece of a long text.
@@ -243,30 +245,39 @@ def pair_counts(lists: DataFrame) -> DataFrame:
     return lists.select("_b", "_as", "_ms").mapInArrow(lean(run), "b int, a int, n long").groupBy("b", "a").agg(F.sum("n").alias("n"))
 
 
+_SHARES = "part long, docs binary, best binary, sums binary"
+
+
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sorted by B id, salt and kind: counts (kind 0), then posting lists (kind 1), to shares of documents."""
-    key, ids, counts, ready = None, [], [], False
+    """Streams (lane, block) sorted by B id and kind: counts (kind 0), then posting lists (kind 1), to shares of documents."""
+    stream = key = None
+    ids, counts = [], []
+    known = count = best = None
     held, n = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        b, salt, kind = (batch.column(c).to_numpy() for c in ("b", "salt", "kind"))
-        new = np.append(True, (b[1:] != b[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1]))
+        lane, block, b, kind = (batch.column(c).to_numpy() for c in ("lane", "block", "b", "kind"))
+        new = np.append(True, (lane[1:] != lane[:-1]) | (block[1:] != block[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1]))
         at = [*np.flatnonzero(new).tolist(), batch.num_rows]
         for i, j in zip(at, at[1:]):
-            if (b[i], salt[i]) != key:
-                key, ids, counts, ready = (b[i], salt[i]), [], [], False
+            if (lane[i], block[i]) != stream:
+                if held:
+                    yield _summed(held)
+                stream, held, n = (lane[i], block[i]), [], 0
+            if (*stream, b[i]) != key:
+                key, ids, counts, known = (*stream, b[i]), [], [], None
             run = batch.slice(i, j - i)
             if kind[i] == 0:
                 ids.append(run.column("a").to_numpy())
                 counts.append(run.column("n").to_numpy())
                 continue
-            if not ready:
+            if known is None:
                 flat_ids, flat_counts = np.concatenate(ids), np.concatenate(counts)
                 order = np.argsort(flat_ids, kind="stable")
                 head = np.flatnonzero(np.append(True, flat_ids[order][1:] != flat_ids[order][:-1]))
                 known, count = flat_ids[order][head], np.add.reduceat(flat_counts[order], head)
-                best, ready = count.max(), True
+                best = count.max()
             docs, m = _lists(run, "docs"), _lists(run, "ms").astype(np.int64)
             part = np.repeat(run.column("part").to_numpy(), [len(x) // 4 for x in run.column("docs").to_pylist()])
             c = count[np.searchsorted(known, _lists(run, "as"))]
@@ -279,28 +290,45 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _summed(held)
 
 
-def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    part, doc, best, count = (np.concatenate(x) for x in zip(*held, strict=True))
+def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Shares of (part, document), each once."""
+    part, doc, best, sums = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((doc, part))
     part, doc = part[order], doc[order]
     at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(doc[at].astype(np.int32)), pa.array(np.add.reduceat(best[order], at)), pa.array(np.add.reduceat(count[order], at))], ["part", "local", "n_best", "count_sum"])
+    return part[at], doc[at], np.add.reduceat(best[order], at), np.add.reduceat(sums[order], at)
+
+
+def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A row of packed shares for each part."""
+    part, doc, best, sums = _added(held)
+    at = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(part)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), _binary(doc.astype("<u4"), at), _binary(best, at), _binary(sums, at)], ["part", "docs", "best", "sums"])
+
+
+def _by_document(key: tuple, rows: pa.Table) -> pa.Table:
+    """The shares of a part's documents, of all lanes, added up."""
+    flat = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
+    docs = flat("docs", "<u4")
+    part, doc, best, sums = _added([(np.full(len(docs), key[0].as_py()), docs, flat("best", np.int64), flat("sums", np.int64))])
+    return pa.table([pa.array(part), pa.array(doc.astype(np.int32)), pa.array(best), pa.array(sums)], ["_p", "_l", "n_best", "count_sum"])
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text", groups: str | None = None, stream: int = STREAM) -> DataFrame:
     """``docs`` without the text, with n_a, n_b, n_groups, n_links, n_best and count_sum; with ``groups`` = "text" also the
     groups themselves, with "sha256" their digest."""
     table = postings(docs, path_a, path_b, text, groups)
-    lists = table.where("_b IS NOT NULL")
+    lists = table.where("_b IS NOT NULL").withColumn("lane", F.pmod(F.xxhash64("_b"), F.lit(LANES)).cast("int"))
     counts = written(pair_counts(lists), "pair-counts")
-    # one row for each B id, so at most the vocabulary
-    streams = F.broadcast(lists.groupBy(F.col("_b").alias("id")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("_as") / 4) / stream)).cast("int").alias("salts")))
-    own = counts.join(streams, F.col("b") == F.col("id")).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "a", "n")
-    spread = lists.join(streams, F.col("_b") == F.col("id")).select(F.col("_b").alias("b"), F.pmod(F.xxhash64("_part"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("_part").alias("part"), F.col("_as").alias("as"), F.col("_docs").alias("docs"), F.col("_ms").alias("ms"))
-    both = own.unionByName(spread, allowMissingColumns=True).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-    shares = both.mapInArrow(lean(_shares), "part long, local int, n_best long, count_sum long").groupBy("part", "local").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    # parts of the corpus are dealt out to blocks; the counts go to each, so a stream holds some times more postings than those
+    most = lists.groupBy("lane").agg(F.sum(F.octet_length("_as") / 4).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(most) // max(stream, 8 * counts.count() // LANES)))
+    lane = F.pmod(F.xxhash64("b"), F.lit(LANES)).cast("int")
+    own = counts.select(lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "b", F.lit(0).alias("kind"), "a", "n")
+    spread = lists.select("lane", F.pmod(F.xxhash64("_part"), F.lit(blocks)).cast("int").alias("block"), F.col("_b").alias("b"), F.lit(1).alias("kind"), F.col("_part").alias("part"), F.col("_as").alias("as"), F.col("_docs").alias("docs"), F.col("_ms").alias("ms"))
+    both = own.unionByName(spread, allowMissingColumns=True).repartition("lane", "block").sortWithinPartitions("lane", "block", "b", "kind")
+    shares = both.mapInArrow(lean(_shares), _SHARES).groupBy("part").applyInArrow(_by_document, "_p long, _l int, n_best long, count_sum long")
     rows = table.where("_b IS NULL").drop("_b", "_n", "_as", "_docs", "_ms")
-    shares = shares.select(F.col("part").alias("_p"), F.col("local").alias("_l"), "n_best", "count_sum")
     out = rows.join(shares, (F.col("_part") == F.col("_p")) & (F.col("_local") == F.col("_l")), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")})
     return out.select(*rows.drop("_part", "_local").columns, "n_best", "count_sum")
