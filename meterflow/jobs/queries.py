@@ -93,6 +93,18 @@ def fail_malformed_bodies(spark, sf):
     return S.fail_malformed_bodies(scrapes(spark, sf)).select("scrape_id", "error", "error_line", "scraped")
 
 
+@query(f"""WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' WHEN lines > 3 THEN 'sample limit exceeded' END AS error, bad::INTEGER AS error_line, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped FROM s""")
+def judge_bodies(spark, sf):
+    """Verdicts of bodies that are cut into pieces of some lines."""
+    return S.judge_bodies(scrapes(spark, sf), sample_limit=3, piece_bytes=90)[0].select("scrape_id", "error", "error_line", "scraped")
+
+
+@query(SQL["parse_sample_lines"])
+def parse_body_pieces(spark, sf):
+    df = S.parse_samples(S.judge_bodies(scrapes(spark, sf), piece_bytes=90)[1])
+    return df.select("scrape_id", "line_no", L.get(F.col("labels"), "__name__").alias("name"), F.size("labels").alias("n_labels"), "value", "ts_ms")
+
+
 @query(f"WITH {EV} SELECT scrape_id, CASE WHEN bad IS NOT NULL THEN 'malformed value' WHEN lines > 3 THEN 'sample limit exceeded' END AS error, CASE WHEN bad IS NULL THEN lines ELSE 0 END AS scraped, CASE WHEN bad IS NULL AND lines <= 3 THEN lines ELSE 0 END::INTEGER AS passed FROM s")
 def enforce_sample_limit(spark, sf):
     return S.fail_malformed_bodies(scrapes(spark, sf), sample_limit=3).select("scrape_id", "error", "scraped", F.size("lines").alias("passed"))
@@ -111,6 +123,16 @@ def scrape_pipeline(spark, sf):
     return pipeline(spark, sf)[1].select("scrape_id", "line_no", shown("labels"), "value", "ts_ms")
 
 
+@query(SQL["scrape_pipeline"])
+def relabel_by_series(spark, sf):
+    """The pipeline's samples by a dimension of series: of the earlier half first, then brought up to date."""
+    samples = I.written(S.parse_samples(S.fail_malformed_bodies(scrapes(spark, sf))), "samples")
+    region = F.create_map(F.lit("region"), F.lit("eu"), F.lit("job"), F.lit("unused"))
+    early = I.written(S.series_dimension(samples.where(F.col("start_ms") < F.lit(1_705_276_800_000)), own_labels(), RULES, region), "series")
+    series = I.written(S.series_dimension(samples, own_labels(), RULES, region, known=early), "series")
+    return S.with_series_labels(samples, series).select("scrape_id", "line_no", shown("labels"), "value", "ts_ms")
+
+
 def shown(labels: str, sort: bool = False):
     """Labels as one string, for comparison."""
     c = L.sort_labels(F.col(labels)) if sort else F.col(labels)
@@ -705,15 +727,31 @@ u AS (SELECT start_ms // {WEEK} * {WEEK} AS w, 1 AS scrapes, (bad IS NOT NULL)::
 im AS (SELECT w::BIGINT AS bucket_ms, {", ".join(f"sum({m})::BIGINT AS {m}" for m in S.MEASURES)} FROM u GROUP BY 1)"""
 
 
-@query(f"WITH {METRICS} SELECT * FROM im")
-def ingestion_metrics(spark, sf):
+def agent_inputs(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Statistics, markers, tracked series by scrape, and delivery outcomes."""
     samples, starts = history(spark, sf)
     tracked = ST.tracked_identities(samples).groupBy("target_id", "start_ms").agg(F.count("*").alias("tracked"))
     tracked = starts.join(tracked, ["target_id", "start_ms"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(0)))
     counts = D.batch_counts(batches(spark, sf))
     status = F.element_at(F.array(F.lit(503), F.lit(400), F.lit(200), F.lit(204)), (F.col("batch_id") % 4 + 1).cast("int"))
     sent = counts.select("endpoint", "shard", "batch_id", status.alias("http_status"), F.col("n_samples").alias("samples_written"), F.col("n_histograms").alias("histograms_written"), (1_704_067_200_000 + F.col("batch_id") * 3_600_000).alias("ts_ms"), ((F.col("n_samples") + F.col("n_histograms")) * 10).alias("bytes"))
-    return S.ingestion_metrics(stats(spark, sf), WEEK, ST.stale_markers(samples, starts), tracked, D.delivery_outcomes(sent, counts))
+    return stats(spark, sf), ST.stale_markers(samples, starts), tracked, D.delivery_outcomes(sent, counts)
+
+
+@query(f"WITH {METRICS} SELECT * FROM im")
+def ingestion_metrics(spark, sf):
+    scraped, markers, tracked, outcomes = agent_inputs(spark, sf)
+    return S.ingestion_metrics(scraped, WEEK, markers, tracked, outcomes)
+
+
+@query(f"""WITH {METRICS}, pt AS (SELECT target_id, start_ms AS tm, 0 AS last, count(tr.identity) AS n FROM sc LEFT JOIN tr USING (target_id, start_ms) GROUP BY 1, 2 UNION ALL SELECT target_id, max(start_ms) + 1000, 1, 0 FROM sc WHERE target_id LIKE '%7' GROUP BY 1),
+gn AS (SELECT bucket_ms, target_id, arg_max(n, tm * 2 + last) AS n FROM im JOIN pt ON tm < bucket_ms + {WEEK} GROUP BY 1, 2), gs AS (SELECT bucket_ms, sum(n)::BIGINT AS tracked_series FROM gn GROUP BY 1)
+SELECT bucket_ms, coalesce(gs.tracked_series, 0) AS tracked_series, {", ".join(f"(sum({m}) OVER (ORDER BY bucket_ms))::BIGINT AS {m}" for m in S.MEASURES if m != "tracked_series")} FROM im LEFT JOIN gs USING (bucket_ms)""")
+def ingestion_totals(spark, sf):
+    """Totals at the end of each week; some targets go after their last scrape."""
+    scraped, markers, tracked, outcomes = agent_inputs(spark, sf)
+    removed = tracked.where(F.col("target_id").endswith("7")).groupBy("target_id").agg((F.max("start_ms") + 1000).alias("ts_ms"))
+    return S.ingestion_totals(S.ingestion_metrics(scraped, WEEK, markers, tracked, outcomes), tracked, WEEK, removed)
 
 
 @query(f"WITH {METRICS}, l AS (UNPIVOT im ON {', '.join(S.MEASURES)} INTO NAME name VALUE v) SELECT '__name__=meterflow_' || name || ',instance=i,job=agent,region=eu' AS labels, bucket_ms AS ts_ms, v::DOUBLE AS value FROM l")

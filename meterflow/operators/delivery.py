@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..sources.shared import written
+from ..shared import written
 from .relabel import Rule, relabel
 
 

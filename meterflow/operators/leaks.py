@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..shared import written
 
 WIDTHS = (4, 8, 16, 32)
 _BITS = 27

@@ -6,12 +6,16 @@ nothing is shuffled before the samples exist.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exposition as X
 from ..functions import labels as L
 from ..functions.numbers import format_number
+from ..shared import written
 from .relabel import Rule, relabel
 
 BODY_LIMIT = 128 << 20
@@ -26,11 +30,10 @@ def fail_malformed_bodies(scrapes: DataFrame, body_limit: int = BODY_LIMIT, samp
     counts as empty.  Every line is matched once.
     """
     body = F.coalesce(F.col("body"), F.lit(""))
-    lines = F.filter(X.explode_lines(body), lambda x: X.is_sample_line(x["text"]))
-    parsed = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), X.parse_line(x["text"]).alias("p")))
-    df = scrapes.withColumn("_lines", parsed)
-    df = df.withColumn("_bad", F.get(F.filter("_lines", lambda x: x["p"]["error"].isNotNull()), F.lit(0)))
     too_big = (F.octet_length(body) > body_limit) if body_limit else F.lit(False)
+    # what fails as a whole is not parsed
+    df = scrapes.withColumn("_lines", _parsed(F.when(F.col("fetch_error").isNotNull() | too_big, "").otherwise(body)))
+    df = df.withColumn("_bad", _first_bad(F.col("_lines")))
     broken = F.col("fetch_error").isNotNull() | too_big | F.col("_bad").isNotNull()
     many = (F.size("_lines") > sample_limit) if sample_limit else F.lit(False)
     return df.withColumns(
@@ -46,6 +49,72 @@ def fail_malformed_bodies(scrapes: DataFrame, body_limit: int = BODY_LIMIT, samp
     ).drop("_lines", "_bad")
 
 
+def _parsed(body: Column) -> Column:
+    lines = F.filter(X.explode_lines(body), lambda x: X.is_sample_line(x["text"]))
+    return F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), X.parse_line(x["text"]).alias("p")))
+
+
+def _first_bad(lines: Column) -> Column:
+    return F.get(F.filter(lines, lambda x: x["p"]["error"].isNotNull()), F.lit(0))
+
+
+#: Bodies above this size are parsed in pieces of about as much.
+PIECE_BYTES = 4 << 20
+
+
+def cut_bodies(scrapes: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``scrapes`` with a row for each piece of a body: ``body`` cut at line ends after ``piece_bytes`` or more, ``piece``, and
+    ``lines_before``, the number of line ends before it.  A body without line ends is one piece, a null body none."""
+    own = scrapes.drop("piece", "lines_before")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("body")
+            for i in range(batch.num_rows):
+                if not batch.column("body")[i].is_valid:
+                    continue
+                row, body = batch.slice(i, 1), batch.column("body")[i].as_buffer().to_pybytes()
+                first = piece = before = 0
+                while first <= len(body):
+                    end = body.find(b"\n", first + piece_bytes)
+                    end = len(body) if end < 0 else end
+                    text = pa.array([body[first:end]], pa.binary()).cast(pa.string())
+                    columns = [text if j == at else row.column(j) for j in range(row.num_columns)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([piece], pa.int32()), pa.array([before], pa.int64())], [*row.schema.names, "piece", "lines_before"])
+                    before += body.count(b"\n", first, end + 1)
+                    first, piece = end + 1, piece + 1
+
+    return own.mapInArrow(run, f"{kinds}, piece int, lines_before long")
+
+
+def judge_bodies(scrapes: DataFrame, body_limit: int = BODY_LIMIT, sample_limit: int = 0, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, parts) of ``scrapes`` (scrape_id tells them apart), whatever the size of their bodies.
+
+    Verdicts have what ``fail_malformed_bodies`` gives but the lines, a row for each scrape; parts are rows for
+    ``parse_samples`` and ``scrape_stats``, with the lines.  Bodies up to ``piece_bytes`` are one part and move nowhere.  Larger ones
+    are cut at line ends and their pieces dealt out, so that a task never holds the parsed lines of more than some pieces;
+    the first bad line and the number of samples are merged by scrape and go back to the pieces."""
+    body, fine = F.octet_length(F.coalesce("body", F.lit(""))), F.col("fetch_error").isNull()
+    large = fine & (body > piece_bytes) & ((body <= body_limit) if body_limit else F.lit(True))
+    small = fail_malformed_bodies(scrapes.where(~large), body_limit, sample_limit)
+
+    others = [c for c in scrapes.columns if c != "body"]
+    pieces = cut_bodies(scrapes.where(large), piece_bytes).repartition("scrape_id", "piece").withColumn("_lines", _parsed(F.coalesce("body", F.lit("")))).drop("body")
+    moved = F.transform("_lines", lambda x: F.struct((x["line_no"] + F.col("lines_before")).cast("int").alias("line_no"), x["p"].alias("p")))
+    pieces = written(pieces.withColumn("_lines", moved).withColumn("_bad", _first_bad(F.col("_lines"))), "pieces")
+    bad = F.struct(F.col("_bad.line_no").alias("line_no"), F.col("_bad.p.error").alias("error"))
+    merged = pieces.groupBy("scrape_id").agg(*(F.first(c).alias(c) for c in others if c != "scrape_id"), F.min(F.when(F.col("_bad").isNotNull(), bad)).alias("_first"), F.sum(F.size("_lines")).alias("_n"))
+    many = (F.col("_n") > sample_limit) if sample_limit else F.lit(False)
+    broken = F.col("_first").isNotNull()
+    verdict = {"error": F.coalesce(F.col("_first.error"), F.when(many, "sample limit exceeded")), "error_line": F.col("_first.line_no"), "scraped": F.when(broken, 0).otherwise(F.col("_n")).cast("bigint")}
+    judged = merged.withColumns(verdict).drop("_first", "_n")
+    own = judged.select(F.col("scrape_id").alias("_id"), *verdict)
+    parts = pieces.join(own, F.col("scrape_id") == F.col("_id")).withColumn("lines", F.when(F.col("error").isNull(), F.col("_lines")).otherwise(F.slice("_lines", 1, 0)))
+    columns = [*others, *verdict]
+    return small.select(columns).unionByName(judged.select(columns)), small.select(*columns, "lines").unionByName(parts.select(*columns, "lines"))
+
+
 def parse_samples(judged: DataFrame, honor_timestamps: bool = True, outer: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per sample line of sound bodies: line_no, identity, labels (map in text order, __name__ first), value, ts_ms.
 
@@ -66,6 +135,26 @@ def _labelled(df: DataFrame, target_labels: Column, rules: list[Rule], external:
     return df if external is None else df.withColumn("labels", L.add_external_labels(F.col("labels"), external))
 
 
+def series_dimension(samples: DataFrame, target_labels: Column, rules: list[Rule] = [], external: Column | None = None, honor_labels: bool = False, known: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """A row for each series (target_id, identity) of parsed ``samples``: ``kept``, and its final ``labels`` (sorted; null if not kept).
+
+    An identity is the text of a series, so a target's label rules give it the same labels at each scrape: they are worked out
+    once for each series and not for each sample.  ``known`` is an earlier dimension, whose series are taken over as they are;
+    ``target_labels`` must depend on nothing but the target."""
+    new = samples if known is None else samples.join(known.select("target_id", "identity"), ["target_id", "identity"], "left_anti")
+    own = new.groupBy("target_id", "identity").agg(F.first("labels").alias("labels"))
+    own = _labelled(own, target_labels, rules, external, honor_labels, flag="kept")
+    own = own.select("target_id", "identity", "kept", F.when(F.col("kept"), L.sort_labels(F.col("labels"))).alias("labels"))
+    return own if known is None else known.select(*own.columns).unionByName(own)
+
+
+def with_series_labels(samples: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Parsed ``samples`` of kept series, with the labels that the dimension has for them."""
+    own = dimension.where("kept").select(F.col("target_id").alias("_t"), F.col("identity").alias("_i"), F.col("labels").alias("_labels"))
+    joined = samples.join(own, (F.col("target_id") == F.col("_t")) & (F.col("identity") == F.col("_i")))
+    return joined.withColumn("labels", F.col("_labels")).select(*samples.columns)
+
+
 def scrape_pipeline(scrapes: DataFrame, target_labels: Column, rules: list[Rule] = [], external: Column | None = None, honor_labels: bool = False, honor_timestamps: bool = True, body_limit: int = BODY_LIMIT, sample_limit: int = 0) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """(judged scrapes, final samples): parse, merge target labels, metric relabeling, external labels, sorted labels."""
     judged = fail_malformed_bodies(scrapes, body_limit, sample_limit)
@@ -134,6 +223,26 @@ def ingestion_metrics(stats: DataFrame, bucket_ms: int, markers: DataFrame | Non
     return rows.groupBy("bucket_ms").agg(*(F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in MEASURES))
 
 
+def ingestion_totals(metrics: DataFrame, tracked: DataFrame, bucket_ms: int, removed: DataFrame | None = None) -> DataFrame:
+    """``ingestion_metrics`` as an agent shows them at the end of each bucket: counters since the first bucket, and the number of
+    series that all targets have by then.
+
+    ``tracked`` (target_id, start_ms, tracked) is as there; a target keeps its last number through buckets that do not scrape
+    it, until ``removed`` (target_id, ts_ms) ends it.  Only changes of a target are summed, so no target is repeated for a
+    bucket; what is numbered in one window is a row for each bucket."""
+    at = lambda c: (F.floor(F.col(c) / bucket_ms) * bucket_ms).cast("bigint").alias("bucket_ms")
+    states = tracked.select("target_id", at("start_ms"), F.struct(F.col("start_ms").alias("at"), F.lit(0).alias("last"), F.col("tracked").cast("bigint").alias("n")).alias("s"))
+    if removed is not None:
+        states = states.unionByName(removed.select("target_id", at("ts_ms"), F.struct(F.col("ts_ms").cast("bigint").alias("at"), F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("n")).alias("s")))
+    ends = states.groupBy("target_id", "bucket_ms").agg(F.max("s").alias("s"))
+    before = F.coalesce(F.lag("s.n").over(Window.partitionBy("target_id").orderBy("bucket_ms")), F.lit(0))
+    changes = ends.select("bucket_ms", (F.col("s.n") - before).alias("tracked_series"))
+    counters = [m for m in MEASURES if m != "tracked_series"]
+    rows = metrics.select("bucket_ms", *counters).unionByName(changes, allowMissingColumns=True).groupBy("bucket_ms").agg(*(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES))
+    so_far = Window.orderBy("bucket_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("bucket_ms", *(F.sum(m).over(so_far).cast("bigint").alias(m) for m in MEASURES))
+
+
 def ingestion_metric_series(metrics: DataFrame, labels: dict[str, str], prefix: str = "meterflow_") -> DataFrame:
     """Each measure of each bucket as a series (labels sorted, ts_ms, value), in order of labels and time.
 
