@@ -26,6 +26,14 @@ PIVOTS = 16
 Link = Callable[[pa.Table, np.ndarray], np.ndarray]
 
 
+def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one task that meet: all with each other (one array, twice), or those of side 1 and those of side 2."""
+    if side[0] == 0:
+        every = np.arange(len(side))
+        return every, every
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+
+
 def whole_tasks(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 25) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole tasks of a partition sorted by ``task`` (about ``at_once`` bytes, one task at least), with the tasks' borders."""
     held: list[pa.RecordBatch] = []

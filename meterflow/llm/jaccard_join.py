@@ -6,8 +6,9 @@ A document's set holds the distinct hashed shingles of its lower-cased words.  T
 *Meeting.*  Token hashes are cut into G groups (ranges of the hash space); sets that link differ in at most
 (|a| + |b|) * (100 - t) / (100 + t) tokens, so with more groups than that some group is equal in both.  G is chosen per size
 class, with E groups to spare, so that an equal group is not an empty one unless
-both sets have more than E empty groups; such sets also use the least hashes of their prefix.  A set's signatures are the hashes of its groups; a count-min sketch drops
-those that occur once.
+both sets have more than E empty groups; such sets also use the least hashes of their prefix.  A set's signatures are the
+hashes of its groups.  They travel once, packed by ranges of their values; the task of a range holds the distinct signatures
+of that range and gives back those of two sets or more, exactly, at any size of the corpus.
 
 *Bounding.*  The group counts of a set (with more dimensions for larger sets) are its point.  The points that share a
 signature are indexed in an R-tree, whose boxes bound the overlap with a query by the summed minima of the query's counts
@@ -15,7 +16,7 @@ and the box's upper corner.  Sets connected by pairs that survive the bound form
 joins nothing.  Signatures with the same members are searched once.
 
 *Verifying.*  In a block, pairs that survive the bound, and are not already connected, are verified exactly.  Signatures
-and blocks beyond a size are cut into slices, and every pair of slices is a task, so no task holds an unbounded group.
+and blocks of any size are spread over tasks (see ``crowds``), so that no task holds an unbounded group.
 
 Edge cases: null and empty texts, and texts without words, have empty sets, no links and themselves as component; texts
 with fewer words than a shingle are one shingle; null ids link like others and never become a component's id unless all
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import packed, repeated, repeated_maps, unpacked, width
-from .storage import small_batches, text_bytes, written
+from .crowds import connected, sides
+from .storage import discard, freed, small_batches, text_bytes, written
 from .substring_dedup import rolled
-from .words import lean, mix, pair, slices, string_parts, words_of
+from .words import lean, mix, pair, slices, words_of
 
 SHINGLE = 3
 THRESHOLD = 90
@@ -259,136 +260,163 @@ def _sets_of(batch: pa.RecordBatch, size: int):
         yield part, *shingle_sets(data, offsets, size)
 
 
-def _tasks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key of a partition that is sorted by it."""
-    held: list[pa.RecordBatch] = []
+def set_keys(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """64-bit and 128-bit key of each set."""
+    with np.errstate(over="ignore"):
+        short = _sums(mix(u ^ _U(0xA5A5)), at)
+        return short, _pack(short, _sums(mix(u ^ _U(0x5A5A5A)), at) + np.diff(at).astype(_U))
+
+
+#: Signatures of a range, about.
+RANGE = 500_000
+
+
+def repeated_signatures(rows: DataFrame, shingle: int, threshold: int, ranges: int) -> DataFrame:
+    """(sig, k): the signatures that two different sets of the texts ``rows`` (t) or more have, with the keys of those sets.
+
+    Signatures travel packed by range, 8 bytes each and 8 of their set; a range's task holds its distinct signatures, and
+    passes those of another set on as they come."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, seen = [(np.zeros(0, _U), np.zeros(0, np.int64))], np.zeros(0, _U)
+            for _, u, at in _sets_of(batch, shingle):
+                k = set_keys(u, at)[0]
+                fresh = np.zeros(len(k), bool)
+                fresh[np.unique(k, return_index=True)[1]] = True
+                fresh &= (np.diff(at) > 0) & ~np.isin(k, seen)
+                seen = np.concatenate([seen, k[fresh]])
+                sig, who = signatures(u[np.repeat(fresh, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[fresh])]), threshold)
+                held.append((sig, k[fresh].view(np.int64)[who]))
+            sig, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(sig)
+            sig, k = sig[order], k[order]
+            place = ((sig >> _U(32)) * _U(ranges)) >> _U(32)
+            cut = [*np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)]).tolist(), len(place)]
+            packed = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]].astype(np.int32)), packed(sig), packed(k)], ["range", "sigs", "ks"])
+
+    sent = rows.select("t").mapInArrow(lean(send), "range int, sigs binary, ks binary")
+    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_met_again), "sig long, k long")
+
+
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, seen = None, Seen()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)).tolist()
-        if held and held[-1].column(key)[0].as_py() != k[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        start = 0
-        for cut in cuts:
-            held.append(batch.slice(start, cut - start))
-            start = cut
-            if cut < len(k):
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _cut(rows: DataFrame, group: str) -> DataFrame:
-    """Rows (k, group, cuts) in the tasks that hold every pair of slices of their group: mine, task."""
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    return rows.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).drop("other", "cuts")
-
-
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, bits: int | None = None, slice_rows: int = 2000, slice_shingles: int = 1_500_000, row: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long), that and the component's ``root`` too (null where empty)."""
+        place, i = batch.column("range").to_numpy(), 0
+        while i < batch.num_rows:
+            if place[i] != now:
+                now, seen = place[i], Seen()
+            j, sig, k = i, [], []
+            while j < batch.num_rows and place[j] == now and sum(map(len, sig)) < RANGE:
+                sig.append(np.frombuffer(batch.column("sigs")[j].as_py(), _U))
+                k.append(np.frombuffer(batch.column("ks")[j].as_py(), np.int64))
+                j += 1
+            i = j
+            sig, k = seen.add(np.concatenate(sig), np.concatenate(k))
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(k)], ["sig", "k"])
+
+
+class Seen:
+    """Distinct signatures met so far (sorted), the set that each was first met in, and whether that is its only one."""
+
+    def __init__(self):
+        self.sig, self.k, self.once = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, sig: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """More signatures with their sets: those of two sets or more now, with all sets not passed on before."""
+        order = np.lexsort((k, sig))
+        sig, k = sig[order], k[order]
+        head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        place = np.searchsorted(self.sig, sig[head])
+        new = np.ones(len(head), bool) if not len(self.sig) else self.sig[np.minimum(place, len(self.sig) - 1)] != sig[head]
+        where = np.concatenate([self.sig, sig[head[new]]])
+        order = np.argsort(where, kind="stable")
+        self.sig, self.k = where[order], np.concatenate([self.k, k[head[new]]])[order]
+        self.once = np.concatenate([self.once, np.ones(int(new.sum()), bool)])[order]
+        at = np.searchsorted(self.sig, sig)
+        other = np.unique(at[self.once[at] & (k != self.k[at])])
+        again = ~self.once[at]
+        self.once[other] = False
+        now = ~self.once[at] & ~again & (k != self.k[at])
+        out = again | now
+        return np.concatenate([self.sig[other], sig[out]]), np.concatenate([self.k[other], k[out]])
+
+
+def _by_task(find):
+    """A link test for ``crowds`` of ``find(table, left, right)``, which gives pairs of row numbers of one task."""
+
+    def link(t: pa.Table, borders: np.ndarray) -> np.ndarray:
+        side, out = t["side"].to_numpy(), []
+        for first, stop in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            left, right = sides(side[first:stop])
+            if stop - first > 1 and len(left) and len(right):
+                out += [(a + first, b + first) for a, b in find(t.slice(first, stop - first), left, right)]
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    return link
+
+
+def _bounded(threshold: int):
+    return _by_task(lambda t, left, right: near(_folded(t["point"].to_pylist()), t["n_shingles"].to_numpy(), left, right, threshold))
+
+
+def _verified(threshold: int):
+    def find(t: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        return linked([np.frombuffer(x, _U) for x in t["shingles"].to_pylist()], left, right, threshold)
+
+    return _by_task(find)
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, slice_rows: int = 2000, slice_shingles: int = 1_500_000, ranges: int | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long, of its own for each row), that and the
+    component's ``root`` too (null where empty)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
-    more = ["row"] if row else []
-
-    def all_signatures(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, u, at in _sets_of(batch, shingle):
-            yield signatures(u, at, threshold)[0]
-
-    # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
-    bits = bits or width(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6)
-    shared = spark.sparkContext.broadcast(packed(repeated_maps(rows.select("t"), all_signatures, bits)))
+    # what tells texts apart
+    rows = rows.withColumns({"h1": F.xxhash64("t"), "h2": F.shiftleft(F.crc32("t"), 32) + F.octet_length("t")})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = unpacked(shared.value)
         for batch in batches:
-            seen: set[bytes] = set()
             for part, u, at in _sets_of(batch, shingle):
-                n = np.diff(at)
-                with np.errstate(over="ignore"):
-                    short = _sums(mix(u ^ _U(0xA5A5)), at)
-                    key = _pack(short, _sums(mix(u ^ _U(0x5A5A5A)), at) + n.astype(_U))
-                sig, who = signatures(u, at, threshold)
-                hit = repeated(maps, sig, bits)
-                sig, who = sig[hit].view(np.int64), who[hit]
-                order = np.argsort(who, kind="stable")
-                sig, where = sig[order], np.searchsorted(who[order], np.arange(len(n) + 1))
-                sets: list[bytes | None] = []
-                lists: list[np.ndarray | None] = []
-                points: list[bytes | None] = count_points(u, at)
-                for i, k in enumerate(key.to_pylist()):
-                    if where[i + 1] > where[i] and k not in seen:
-                        seen.add(k)
-                        sets.append(u[at[i] : at[i + 1]].tobytes())
-                        lists.append(sig[where[i] : where[i + 1]])
-                    else:
-                        sets.append(None)
-                        lists.append(None)
-                        points[i] = None
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in more), part.column("doc_id"), pa.array(n.astype(np.int64)), key, pa.array(short.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(sets, pa.binary())],
-                    [*more, "doc_id", "n_shingles", "key", "k", "sigs", "point", "shingles"],
-                )
-
-    described = written(rows.mapInArrow(lean(describe), f"{'row long, ' if row else ''}doc_id long, n_shingles long, key binary, k long, sigs array<long>, point binary, shingles binary"), "shingle-sets")
-    shared.destroy()  # nothing reads it any more
-    # k, half of the key, names sets until they are verified; equal halves of different sets only share a block
-    met = described.where("sigs IS NOT NULL").select("k", F.explode("sigs").alias("sig"))
+                short, key = set_keys(u, at)
+                own = [part.column(c) for c in ("row", "doc_id", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at).astype(np.int64)), key, pa.array(short.view(np.int64))], ["row", "doc_id", "h1", "h2", "n_shingles", "key", "k"])
+
+    described = written(rows.mapInArrow(lean(describe), "row long, doc_id long, h1 long, h2 long, n_shingles long, key binary, k long"), "set-keys")
+    # one text of each set; k, half of the key, names sets until they are verified: equal halves of different sets only share a block
+    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("h1", "h2", "k", "n_shingles")).alias("x"))
+    firsts = written(firsts.select("key", "x.*"), "distinct-sets")
+    # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
+    ranges = ranges or max(1, int(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6 / RANGE))
+    met = written(repeated_signatures(rows, shingle, threshold, ranges), "repeated-signatures")
+    freed(spark)  # the shuffle of all signatures goes before the next pass
     # rows, extremes and sum of hashes tell groups of members apart
-    groups = met.groupBy("sig").agg(F.count("*").alias("rows"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
-    groups = groups.where("v <> w").groupBy("rows", "v", "w", "x").agg(F.min("sig").alias("sig"))
-    groups = groups.select("sig", F.ceil(F.col("rows") / slice_rows).cast("int").alias("cuts"))
-    points = described.where("sigs IS NOT NULL").select("k", "n_shingles", "point").dropDuplicates(["k"])
-    small = written(met.join(groups, "sig").distinct(), "meetings")
-    tasks = _cut(small, "sig").join(points, "k").repartition("task").sortWithinPartitions("task")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _tasks(batches, "task"):
-            keys, first = np.unique(t["k"].to_numpy(), return_index=True)
-            if len(keys) < 2:
-                continue
-            spots = t["point"].to_pylist()
-            sizes, side = t["n_shingles"].to_numpy()[first], t["mine"].to_numpy()[first]
-            left = np.flatnonzero(side == side.min())
-            right = left if side.min() == side.max() else np.flatnonzero(side == side.max())
-            pairs = near(_folded([spots[i] for i in first.tolist()]), sizes, left, right, threshold)
-            if pairs:
-                ends = keys[np.array(pairs)]
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
-
-    blocks = written(components(tasks.mapInArrow(lean(meet), "u long, v long")).withColumnRenamed("node", "k"), "blocks")
-
-    sets = described.where("shingles IS NOT NULL")
-    placed = sets.select("k", "n_shingles").distinct().join(blocks, "k")
-    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / slice_rows), F.ceil(F.sum("n_shingles") / slice_shingles)).cast("int").alias("cuts"))
-    # written, so that Spark knows its size: few sets are placed in most corpora, and then the others are not shuffled
-    placed = written(_cut(placed.select("k", "root").join(sizes, "root"), "root").select("k", "mine", "task"), "placed")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple[bytes, bytes]] = []
-        for t in _tasks(batches, "task"):
-            t = t.combine_chunks()
-            keys, first = np.unique(np.array(t["key"].to_pylist(), dtype=object), return_index=True)
-            if len(keys) < 2:
-                continue
-            data, offsets = string_parts(t["shingles"])
-            sets = [np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.uint64) for i in first.tolist()]
-            side = t["mine"].to_numpy()[first]
-            left = np.flatnonzero(side == side.min())
-            right = left if side.min() == side.max() else np.flatnonzero(side == side.max())
-            pairs += [(keys[a], keys[b]) for a, b in linked(sets, left, right, threshold)]
-            if len(pairs) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
-                pairs = []
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
-
-    tasks = sets.select("k", "key", "shingles").join(placed, "k").drop("k").repartition("task").sortWithinPartitions("task")
-    groups = components(tasks.mapInArrow(lean(join), "u binary, v binary"))
+    groups = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
+    groups = groups.groupBy("n", "v", "w", "x").agg(F.min("sig").alias("sig")).select("sig")
+    members = written(met.join(groups, "sig").distinct().select("k", F.col("sig").alias("g"), F.lit(1).alias("weight")), "meetings")
+    discard(met)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, u, at in _sets_of(batch, shingle):
+                if not set_keys(u, at)[1].equals(part.column("key")):
+                    raise ValueError("a text changed between two passes, or two texts have all hashes in common")
+                own = [part.column(c) for c in ("key", "k", "n_shingles")]
+                content = [u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(count_points(u, at), pa.binary()), pa.array(content, pa.binary())], ["key", "k", "n_shingles", "point", "shingles"])
+
+    wanted = written(firsts.join(members.select("k").distinct(), "k", "left_semi"), "wanted")
+    texts = rows.select("h1", "h2", "t").join(wanted.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("t").alias("t"))
+    full = texts.join(wanted, ["h1", "h2"]).mapInArrow(lean(sets), "key binary, k long, n_shingles long, point binary, shingles binary")
+    full = written(full, "shingle-sets")
+    freed(spark)
+    blocks = components(connected(members, full.select("k", "n_shingles", "point"), _bounded(threshold), limit=slice_rows))
+    blocks = written(blocks.select(F.col("node").alias("k"), F.col("root").alias("g")), "blocks")
+    weighed = written(blocks.join(wanted.groupBy("k").agg(F.sum("n_shingles").alias("weight")), "k"), "weighed-blocks")
+    groups = components(connected(weighed, full.select("key", "k", "n_shingles", "shingles"), _verified(threshold), node="key", limit=slice_rows, heavy=slice_shingles))
 
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
     ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .crowds import connected
+from .crowds import connected, sides
 from .jaccard_join import SQL as JACCARD_SQL
-from .jaccard_join import _pack, _sets_of, _sums, forest
+from .jaccard_join import _sets_of, forest, set_keys
 from .storage import small_batches, written
 from .words import lean, mix, string_parts
 
@@ -113,13 +113,6 @@ def pairs_alive(codes: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarr
     return out
 
 
-def set_keys(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """64-bit and 128-bit key of each set."""
-    with np.errstate(over="ignore"):
-        short = _sums(mix(u ^ _U(0xA5A5)), at)
-        return short, _pack(short, _sums(mix(u ^ _U(0x5A5A5A)), at) + np.diff(at).astype(_U))
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     data, offsets = string_parts(column)
     return data[offsets[0] : offsets[-1]].reshape(-1, CODES)
@@ -151,14 +144,9 @@ def _linker(threshold: int, plan: list[tuple[int, int]], exact: bool):
         two = two[pairs_alive(codes, sizes, two, two + 1, threshold, plan)]
         out = [(a, a + 1) for a in two.tolist() if len(verified(a, np.array([a + 1])))]
         for first, stop in zip(borders[:-1][n > 1].tolist(), borders[1:][n > 1].tolist(), strict=True):
-            if side[first] == 0:
-                left = right = np.arange(stop - first)
-                if len(left) == 2:
-                    continue
-            else:
-                left, right = (np.flatnonzero(side[first:stop] == i) for i in (1, 2))
-                if not len(left) or not len(right):
-                    continue
+            left, right = sides(side[first:stop])
+            if not len(left) or not len(right) or left is right and len(left) == 2:
+                continue
             own, own_sizes = codes[first:stop], sizes[first:stop]
             search = lambda x, of_left: survivors(own, own_sizes, x, left if of_left else right, threshold, plan)  # noqa: B023, E731
             check = lambda x, found: verified(x + first, found + first) - first  # noqa: B023, E731

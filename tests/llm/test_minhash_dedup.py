@@ -94,3 +94,21 @@ def test_string_parts_of_empty_columns():
 def test_posterior_is_a_share(n, threshold):
     values = [M.posterior(m, n, threshold) for m in range(n + 1)]
     assert all(a <= b for a, b in zip(values, values[1:])) and 0 < values[0] < values[-1] <= 1
+
+
+def test_signatures_met_again():
+    """Ranges pass on the sets of every signature that two sets have, whatever the steps in which they come."""
+    from meterflow.llm.jaccard_join import Seen
+
+    rng = np.random.default_rng(2)
+    sig, k = rng.integers(0, 60, 500).astype(np.uint64), rng.integers(0, 40, 500)
+    sig[:40], k[:40] = 1000, 7  # one set alone, again and again
+    for steps in (1, 7, 500):
+        order, seen, got = rng.permutation(500), Seen(), set()
+        for part in np.array_split(order, steps):
+            a, b = seen.add(sig[part], k[part])
+            got |= set(zip(a.tolist(), b.tolist(), strict=True))
+        by = {}
+        for s, x in zip(sig.tolist(), k.tolist(), strict=True):
+            by.setdefault(s, set()).add(x)
+        assert got == {(s, x) for s, xs in by.items() if len(xs) > 1 for x in xs}
