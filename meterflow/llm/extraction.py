@@ -5,7 +5,9 @@ never hold article text (navigation, page header and footer, sidebars, notices,
 reader comments) leave a gap of empty lines; wrappers that hold the page's article or main element, headings and
 outermost articles are not judged by their class or id, sections inside an article not by their id.  With window sums over ``window`` lines, a surge is a window above
 ``threshold`` after a gap and the dive is the next window without text; what stands between is kept, short lines
-included.  Where the page marks an article or main element with text, all lines inside it are kept and no others.
+included.  What is dropped between two paragraphs, headings, list items or quotations leaves no gap, so that a short one
+beside it is not cut off.  Inside a marked article or main element no gap ends the text; where such an element holds text, the
+runs of lines outside it are none of the article.
 
 Edge cases: null or empty html gives ""; a page without a surge gives its block of lines with the longest text;
 unclosed tags, comments and quotes end with the page, an unclosed boilerplate element also before an article or main element;
@@ -49,6 +51,8 @@ FURNITURE = re.compile(
     r"list|lists|items?|links?|buttons?|btns?|icons?|forms?|fields?|posts?|articles?|stories|story|news|media|slots?|units?|threads?|users?|reader|header|title|text|"
     r"label|message|policy|sticky|fixed|mobile|desktop|js|id|the|to|and|us|in|on|up|email|rail|region|module|component|content|d?fp|google)?\d*"
 )
+#: Blocks of running text.
+PROSE = {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKED = {"article", "main"}
 ASIDE_NAMES = {"nav", "footer", "aside", "head", "header", "menu"}
@@ -135,6 +139,8 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, length outside links, inside an article) of each line, gaps as empty lines; whether the page marks an article."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
+    prose: list[bool | None] = []  # of each line whether it is one of ``PROSE``; None for the gap of what is dropped
+    block = ""
     linked = drop = article = 0
     drop_name, marked, in_link, at = "", False, False, 0
     principal: _Principal | None = None
@@ -146,6 +152,7 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 lines.append((text, max(0, len(text) - linked), article > 0))
+                prose.append(block in PROSE)
             parts.clear()
         linked = 0
 
@@ -162,9 +169,10 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
             last[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}\b", page, re.I)), default=-1)
         return last[name]
 
-    def leave() -> None:
+    def leave(dropped: bool = True) -> None:
         close()
         lines.extend([("", 0, False)] * gap)
+        prose.extend([None if dropped else False] * gap)
 
     while True:
         m = TOKEN.search(page, at)
@@ -207,47 +215,62 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool]], bool]:
                 drop, drop_name = 1, name
                 continue
         if name in ("article", "main"):
-            leave() if not article else close()
+            leave(dropped=False) if not article else close()
+            block = ""
             article = max(0, article + (-1 if closing else 1))
             marked = True
         elif name in BLOCK:
             close()
+            block = "" if closing else name
     close()
-    return lines, marked
+    return [x for x, keep in zip(lines, _gaps(prose), strict=True) if keep], marked
+
+
+def _gaps(prose: list[bool | None]) -> list[bool]:
+    """Which lines stay: all but the gaps that what is dropped leaves between two lines of prose."""
+    keep, i = [True] * len(prose), 0
+    while i < len(prose):
+        j = i
+        while j < len(prose) and prose[j] is None:
+            j += 1
+        if j > i and i and j < len(prose) and prose[i - 1] and prose[j]:
+            keep[i:j] = [False] * (j - i)
+        i = max(j, i + 1)
+    return keep
+
+
+def _runs(lines: list[tuple[str, int, bool]], window: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Runs of lines from a surge to the dive, the next window without text: first and stop line, the most text of a window, and
+    whether they are an article's, inside which nothing is a gap."""
+    n, total = len(lines), [0]
+    for _, size, _ in lines:
+        total.append(total[-1] + size)
+    block = [total[min(i + window, n)] - total[i] for i in range(n)]
+    i = 0
+    while i < n:
+        start, inside = i, lines[i][2]
+        if inside:
+            while i < n and (lines[i][2] or not lines[i][0] and any(x[2] for x in lines[i : i + window + 1])):
+                i += 1
+        elif block[i]:
+            while i < n and block[i] and not lines[i][2]:
+                i += 1
+        else:
+            i += 1
+            continue
+        yield start, i, max(block[start:i]), inside
 
 
 def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
     """The text between surge and dive points of the line-block distribution."""
     if not page:
         return ""
-    lines, marked = lines_of(page, window)
-    if marked and any(size and inside for _, size, inside in lines):
-        return "\n".join(t for t, _, inside in lines if t and inside)
-    lengths = [size for _, size, _ in lines]
-    shown = [bool(t) for t, _, _ in lines]
-    n = len(lines)
-    total = [0]
-    for x in lengths:
-        total.append(total[-1] + x)
-    block = [total[min(i + window, n)] - total[i] for i in range(n)]
-    kept: list[str] = []
-    best: tuple[int, int, int] = (0, 0, 0)
-    i = 0
-    while i < n:
-        if not block[i]:
-            i += 1
-            continue
-        start = i
-        while i < n and block[i]:  # up to the dive: the next window without text
-            i += 1
-        size = total[i] - total[start]
-        best = max(best, (size, -start, i))
-        if max(block[start:i]) > threshold:
-            kept += [lines[j][0] for j in range(start, min(i + window, n)) if shown[j] and (j < i or lengths[j])]
-    if not kept and best[0]:
-        start = -best[1]
-        kept = [lines[j][0] for j in range(start, best[2]) if shown[j]]
-    return "\n".join(kept)
+    lines, _ = lines_of(page, window)
+    runs = list(_runs(lines, window))
+    size = lambda run: sum(x[1] for x in lines[run[0] : run[1]])
+    article = [r for r in runs if r[3] and size(r)]
+    kept = article or [r for r in runs if r[2] > threshold] or sorted(runs, key=lambda r: (-size(r), r[0]))[:1]
+    return "\n".join(text for start, stop, _, _ in kept for text, _, _ in lines[start:stop] if text)
 
 
 def extract(pages: DataFrame, html: str = "html", window: int = 3, threshold: int = 80) -> DataFrame:
