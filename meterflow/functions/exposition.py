@@ -138,7 +138,7 @@ def body_format(content_type: Column) -> Column:
     """"text", "protobuf" or null (a scrape error) from a content type."""
     parts = F.transform(F.split(F.coalesce(content_type, F.lit("")), ";"), lambda p: F.trim(p))
     media = F.lower(F.get(parts, F.lit(0)))
-    pairs = F.transform(F.slice(parts, 2, 1000), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, "(?s)=(.*)", 1)), r'\A"(.*)"\z', "$1").alias("v")))
+    pairs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, "(?s)=(.*)", 1)), r'\A"(.*)"\z', "$1").alias("v")))
     has = lambda k, v: F.exists(pairs, lambda p: (p["k"] == k) & (p["v"] == v))
     proto = media == "application/vnd.google.protobuf"
     good = has("proto", "io.prometheus.client.MetricFamily") & has("encoding", "delimited")

@@ -37,7 +37,7 @@ def build_targets(groups: DataFrame, job: str, rules: list[Rule] = [], scheme: s
 def target_url_and_params(df: DataFrame) -> DataFrame:
     m, get = F.col("labels"), lambda k: L.get(F.col("labels"), k)
     path = F.when(get("__metrics_path__").startswith("/"), get("__metrics_path__")).otherwise(F.concat(F.lit("/"), get("__metrics_path__")))
-    params = F.transform_keys(F.map_filter(m, lambda k, v: k.startswith("__param_")), lambda k, v: F.substring(k, 9, 1_000_000))
+    params = F.transform_keys(F.map_filter(m, lambda k, v: k.startswith("__param_")), lambda k, v: F.substring(k, F.lit(9), F.length(k)))
     return df.withColumns({"url": F.concat(get("__scheme__"), F.lit("://"), get("__address__"), path), "params": params})
 
 
