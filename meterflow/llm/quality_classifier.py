@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import set_aside, small_batches
 from .words import _LOWER, lean, mix, slices, words_of
 
 BITS = 22
@@ -178,6 +178,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GR
     """``docs`` with expected_grade, tail_probability (P(grade >= select)) and kept."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.cut))
+    docs, back = set_aside(docs, "_t")
+    text = next((new for new, c in back.items() if c == text), text)
     carried = docs.drop("expected_grade", "tail_probability", "kept")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema)
 
@@ -191,7 +193,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", select: int = GR
 
     rows = carried.withColumn("_t", F.col(text).cast("string"))
     scored = rows.mapInArrow(lean(run), f"{kinds}expected_grade double, tail_probability double")
-    return scored.withColumn("kept", F.col("tail_probability") >= F.lit(threshold) if model.trained else F.lit(True))
+    return scored.withColumn("kept", F.col("tail_probability") >= F.lit(threshold) if model.trained else F.lit(True)).withColumnsRenamed(back)
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:

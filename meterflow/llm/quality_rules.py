@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import set_aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -136,7 +138,8 @@ def compiled(rules=RULES) -> Column:
 
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with measures, ratios, ``base_failed`` and ``kept`` (see the module's docstring)."""
-    text_col = F.col(text)
+    docs, back = set_aside(docs, "_words", "_lines")
+    text_col = F.col(next((new for new, c in back.items() if c == text), text))
     whole = F.coalesce(text_col, F.lit(""))
     docs = docs.withColumns(
         {
@@ -147,7 +150,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     docs = docs.withColumns(dict(measures(text_col))).drop("_words", "_lines")
     docs = docs.withColumns({name: _ratio(a, b) for name, a, b in RATIOS})
     docs = docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return docs.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return docs.withColumn("kept", ~F.col("base_failed") & compiled(rules)).withColumnsRenamed(back)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -80,6 +80,20 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with other names for its columns that clash with an operator's own ``names``, and what to rename back (new to old)."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    back = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = c
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            back[new] = c
+    return df.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Whole texts go to Python in Arrow batches of about ``size`` bytes, where the session has Spark's own default (64 MB)."""
     if spark.conf.get(_BATCH, None) == f"{64 << 20}b":
