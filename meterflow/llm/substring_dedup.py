@@ -235,21 +235,30 @@ def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w), pa.array(a), pa.array(c), pa.array(np.int64(1) << bit)], ["key", "w", "a", "b", "bit"])
 
 
+#: Rows of keys that go to all tasks, at most (some 3 MB).
+MOST_SENT = 100_000
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """Keys of a table for a join: sent to all tasks if they are few, else joined by a shuffle, which Spark can split where a key is hot."""
+    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys
+
+
 def _masks(runs: DataFrame, hot_runs: int) -> DataFrame:
     """Masks of repeated windows by run; runs of anchors with over ``hot_runs`` of them are judged window by window."""
     hot = written(runs.groupBy("key").count().where(F.col("count") > hot_runs).select("key"), "hot-anchors")
     if not hot.limit(1).count():
         hot = None
-    cold = runs if hot is None else runs.join(F.broadcast(hot), "key", "left_anti")
+    cold = runs if hot is None else runs.join(_sent(hot), "key", "left_anti")
     masks = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_judge), "a long, b long, mask long")
     if hot is not None:
-        crowd = runs.join(F.broadcast(hot), "key", "left_semi")
+        crowd = runs.join(_sent(hot), "key", "left_semi")
         again = crowd.mapInArrow(lean(_count_windows), "key long, w long, n long").groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1")
         again = written(again, "repeated-windows")
         # windows of very many runs are few; the others make no large group
         common, other = again.where(F.col("n") > hot_runs).select("key", "w"), again.where(F.col("n") <= hot_runs).select("key", "w")
         each = crowd.mapInArrow(lean(_spread_windows), "key long, w long, a long, b long, bit long")
-        found = each.join(F.broadcast(common), ["key", "w"]).unionByName(each.join(other, ["key", "w"]))
+        found = each.join(_sent(common), ["key", "w"]).unionByName(each.join(other, ["key", "w"]))
         masks = masks.unionByName(found.groupBy("a", "b").agg(F.bit_or("bit").alias("mask")))
     return written(masks, "window-masks")
 
