@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .crowds import connected, sides
-from .storage import discard, freed, small_batches, text_bytes, written
+from .storage import bit_map, discard, freed, in_bit_map, small_batches, text_bytes, written
 from .substring_dedup import rolled
 from .words import lean, mix, pair, slices, words_of
 
@@ -375,19 +375,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
-    # what tells texts apart
-    rows = rows.withColumns({"h1": F.xxhash64("t"), "h2": F.shiftleft(F.crc32("t"), 32) + F.octet_length("t")})
+    rows = rows.withColumn("h1", F.xxhash64("t"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, u, at in _sets_of(batch, shingle):
                 short, key = set_keys(u, at)
-                own = [part.column(c) for c in ("row", "doc_id", "h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at).astype(np.int64)), key, pa.array(short.view(np.int64))], ["row", "doc_id", "h1", "h2", "n_shingles", "key", "k"])
+                own = [part.column(c) for c in ("row", "doc_id", "h1")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at).astype(np.int64)), key, pa.array(short.view(np.int64))], ["row", "doc_id", "h1", "n_shingles", "key", "k"])
 
-    described = written(rows.mapInArrow(lean(describe), "row long, doc_id long, h1 long, h2 long, n_shingles long, key binary, k long"), "set-keys")
+    described = written(rows.mapInArrow(lean(describe), "row long, doc_id long, h1 long, n_shingles long, key binary, k long"), "set-keys")
     # one text of each set; k, half of the key, names sets until they are verified: equal halves of different sets only share a block
-    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("h1", "h2", "k", "n_shingles")).alias("x"))
+    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("h1", "k", "n_shingles")).alias("x"))
     firsts = written(firsts.select("key", "x.*"), "distinct-sets")
     # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
     ranges = ranges or max(1, int(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6 / RANGE))
@@ -399,19 +398,29 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     members = written(met.join(groups, "sig").distinct().select("k", F.col("sig").alias("g"), F.lit(1).alias("weight")), "meetings")
     discard(met)
 
+    wanted = written(firsts.join(members.select("k").distinct(), "k", "left_semi"), "wanted")
+    # texts stay where they are: a bit map of bounded size tells the tasks which of them may be wanted, and only their sets move
+    shared = spark.sparkContext.broadcast(bit_map(wanted, "h1"))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for part, u, at in _sets_of(batch, shingle):
-                if not set_keys(u, at)[1].equals(part.column("key")):
-                    raise ValueError("a text changed between two passes, or two texts have all hashes in common")
-                own = [part.column(c) for c in ("key", "k", "n_shingles")]
-                content = [u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(count_points(u, at), pa.binary()), pa.array(content, pa.binary())], ["key", "k", "n_shingles", "point", "shingles"])
-
-    wanted = written(firsts.join(members.select("k").distinct(), "k", "left_semi"), "wanted")
-    texts = rows.select("h1", "h2", "t").join(wanted.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("t").alias("t"))
-    full = texts.join(wanted, ["h1", "h2"]).mapInArrow(lean(sets), "key binary, k long, n_shingles long, point binary, shingles binary")
-    full = written(full, "shingle-sets")
+            hit = batch.filter(pa.array(in_bit_map(shared.value, batch.column("h1").to_numpy())))
+            for _, u, at in _sets_of(hit, shingle):
+                short, key = set_keys(u, at)
+                fresh = []
+                for i, x in enumerate(key.to_pylist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(i)
+                points, content = count_points(u, at), [u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                own = [key, pa.array(short.view(np.int64)), pa.array(np.diff(at).astype(np.int64)), pa.array(points, pa.binary()), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(fresh, pa.int64())) for c in own], ["key", "k", "n_shingles", "point", "shingles"])
+
+    found = rows.select("h1", "t").mapInArrow(lean(sets), "key binary, k long, n_shingles long, point binary, shingles binary")
+    once = found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("k", "n_shingles", "point", "shingles")))
+    full = written(once, "shingle-sets")
+    shared.destroy()
     freed(spark)
     blocks = components(connected(members, full.select("k", "n_shingles", "point"), _bounded(threshold), limit=slice_rows))
     blocks = written(blocks.select(F.col("node").alias("k"), F.col("root").alias("g")), "blocks")
