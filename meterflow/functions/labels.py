@@ -44,8 +44,13 @@ def remove_label(labels: Column, name: Column) -> Column:
 
 
 def add_absent(labels: Column, more: Column) -> Column:
-    """Labels of ``more`` that are not there yet, appended (presence counts, not emptiness)."""
-    return F.map_concat(labels, F.map_filter(more, lambda k, v: ~F.map_contains_key(labels, k)))
+    """Labels of ``more`` that are not there yet, appended (presence counts, not emptiness; label values are never null)."""
+    return F.map_zip_with(labels, more, lambda k, own, other: F.coalesce(own, other))  # by a hash table, not pair by pair
+
+
+def overlaid(labels: Column, more: Column) -> Column:
+    """Labels with those of ``more``, which win."""
+    return F.map_zip_with(labels, more, lambda k, own, other: F.coalesce(other, own))
 
 
 add_external_labels = add_absent

@@ -98,7 +98,7 @@ def attach_node_metadata(df: DataFrame, nodes: DataFrame, name: Column, how: str
 def attach_endpoint_nodes(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node labels of endpoints: of the Node that they refer to, else of the node that they name; unknown nodes add none."""
     out = attach_node_metadata(targets, nodes, F.col("node"), "left")
-    return out.withColumn("labels", F.map_concat(F.map_filter("labels", lambda k, v: ~F.map_contains_key("_node", k)), "_node")).drop("_node")
+    return out.withColumn("labels", L.overlaid(F.col("labels"), F.col("_node"))).drop("_node")
 
 
 def endpointslice_targets(slices: DataFrame) -> DataFrame:
@@ -163,6 +163,6 @@ def uncovered_pod_ports(targets: DataFrame, pods: DataFrame, services: DataFrame
     met = refs.join(known, (F.col("pn") == F.col("_n")) & (F.col("pp") == F.col("_p"))).withColumn("_c", F.explode("_cs")).withColumn("_port", F.explode("_c.ports"))
     left = met.where(~F.array_contains("_ports", F.col("_port.containerPort")))
     mine = F.map_concat("_m", _port_labels(F.col("_c"), F.col("_port")))
-    labels = F.map_concat(F.map_filter("labels", lambda k, v: ~F.map_contains_key("_mine", k)), "_mine")
+    labels = L.overlaid(F.col("labels"), F.col("_mine"))
     left = left.withColumn("_mine", mine)
     return left.select("namespace", "slice", F.col("pp").alias("pod"), F.col("_port.containerPort").alias("port"), join_host_port(F.col("podIP"), F.col("_port.containerPort")).alias("address"), labels.alias("labels"))
