@@ -369,6 +369,36 @@ def _verified(threshold: int):
     return _by_task(find)
 
 
+def _of_texts(rows: DataFrame, wanted: DataFrame, shingle: int, name: str, make) -> DataFrame:
+    """A table (key, k, n_shingles, ``name``) of the sets ``wanted`` (key, h1), each once, with what ``make(hashes, offsets)`` gives for them.
+
+    Texts stay where they are: a bit map of bounded size tells the tasks which of them may be wanted, and only results move."""
+    spark = rows.sparkSession
+    wanted = written(wanted.select("key", "h1"), "wanted")
+    shared = spark.sparkContext.broadcast(bit_map(wanted, "h1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            hit = batch.filter(pa.array(in_bit_map(shared.value, batch.column("h1").to_numpy())))
+            for _, u, at in _sets_of(hit, shingle):
+                short, key = set_keys(u, at)
+                fresh = []
+                for i, x in enumerate(key.to_pylist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(i)
+                own = [key, pa.array(short.view(np.int64)), pa.array(np.diff(at).astype(np.int64)), pa.array(make(u, at), pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(fresh, pa.int64())) for c in own], ["key", "k", "n_shingles", name])
+
+    found = rows.select("h1", "t").mapInArrow(lean(run), f"key binary, k long, n_shingles long, {name} binary")
+    once = found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("k", "n_shingles", name)))
+    out = written(once, f"{name}-of-texts", last=True)
+    shared.destroy()
+    discard(wanted)
+    return out
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, slice_rows: int = 2000, slice_shingles: int = 1_500_000, ranges: int | None = None, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; with a ``row`` key (long, of its own for each row), that and the
     component's ``root`` too (null where empty)."""
@@ -390,42 +420,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     firsts = written(firsts.select("key", "x.*"), "distinct-sets")
     # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
     ranges = ranges or max(1, int(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6 / RANGE))
-    met = written(repeated_signatures(rows, shingle, threshold, ranges), "repeated-signatures")
+    met = written(repeated_signatures(rows, shingle, threshold, ranges), "repeated-signatures", last=True)
     freed(spark)  # the shuffle of all signatures goes before the next pass
     # rows, extremes and sum of hashes tell groups of members apart
     groups = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
     groups = groups.groupBy("n", "v", "w", "x").agg(F.min("sig").alias("sig")).select("sig")
-    members = written(met.join(groups, "sig").distinct().select("k", F.col("sig").alias("g"), F.lit(1).alias("weight")), "meetings")
+    members = written(met.join(groups, "sig").distinct().select("k", F.col("sig").alias("g"), F.lit(1).alias("weight")), "meetings", last=True)
     discard(met)
 
-    wanted = written(firsts.join(members.select("k").distinct(), "k", "left_semi"), "wanted")
-    # texts stay where they are: a bit map of bounded size tells the tasks which of them may be wanted, and only their sets move
-    shared = spark.sparkContext.broadcast(bit_map(wanted, "h1"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            hit = batch.filter(pa.array(in_bit_map(shared.value, batch.column("h1").to_numpy())))
-            for _, u, at in _sets_of(hit, shingle):
-                short, key = set_keys(u, at)
-                fresh = []
-                for i, x in enumerate(key.to_pylist()):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh.append(i)
-                points, content = count_points(u, at), [u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                own = [key, pa.array(short.view(np.int64)), pa.array(np.diff(at).astype(np.int64)), pa.array(points, pa.binary()), pa.array(content, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(fresh, pa.int64())) for c in own], ["key", "k", "n_shingles", "point", "shingles"])
-
-    found = rows.select("h1", "t").mapInArrow(lean(sets), "key binary, k long, n_shingles long, point binary, shingles binary")
-    once = found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("k", "n_shingles", "point", "shingles")))
-    full = written(once, "shingle-sets")
-    shared.destroy()
-    freed(spark)
-    blocks = components(connected(members, full.select("k", "n_shingles", "point"), _bounded(threshold), limit=slice_rows))
+    # points are a small part of the sets, which only those in blocks need
+    points = _of_texts(rows, firsts.join(members.select("k").distinct(), "k", "left_semi"), shingle, "point", count_points)
+    blocks = components(connected(members, points.select("k", "n_shingles", "point"), _bounded(threshold), limit=slice_rows))
     blocks = written(blocks.select(F.col("node").alias("k"), F.col("root").alias("g")), "blocks")
-    weighed = written(blocks.join(wanted.groupBy("k").agg(F.sum("n_shingles").alias("weight")), "k"), "weighed-blocks")
-    groups = components(connected(weighed, full.select("key", "k", "n_shingles", "shingles"), _verified(threshold), node="key", limit=slice_rows, heavy=slice_shingles))
+    for table in (points, members):
+        discard(table)
+    freed(spark)
+    placed = written(firsts.join(blocks, "k"), "placed")
+    content = lambda u, at: [u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    full = _of_texts(rows, placed, shingle, "shingles", content)
+    weighed = written(placed.groupBy("k", "g").agg(F.sum("n_shingles").alias("weight")), "weighed-blocks")
+    groups = components(connected(weighed, full, _verified(threshold), node="key", limit=slice_rows, heavy=slice_shingles))
 
     ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
     ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

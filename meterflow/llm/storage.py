@@ -56,11 +56,22 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back with its schema."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back with its schema; with ``last`` nothing else reads its shuffles,
+    whose files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if last:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if last:
+            spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     for own in _open:
         own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
