@@ -26,6 +26,21 @@ def test_pseudonyms_are_injective(spark):
     assert sum(r.value == r.pseudonym for r in rows) < 20
 
 
+def test_every_place_has_its_own_digest(spark):
+    """A place is moved by a digest of its number: no two places of a long value move together for all keys."""
+    import hashlib
+
+    value = "a" * 120
+
+    def shifted(half, other, r):
+        return "".join(chr(97 + (ord(c) - 97 + int(hashlib.md5(f"0|{r}|{i}|{other}".encode()).hexdigest()[:8], 16)) % 26) for i, c in enumerate(half, 1))
+
+    a, b = value[:60], value[60:]
+    for r in range(4):
+        a, b = (shifted(a, b, r), b) if r % 2 else (a, shifted(b, a, r))
+    assert P.pseudonym_map(spark.createDataFrame([(value,)], "value string")).first().pseudonym == a + b
+
+
 def test_blanks_and_commas_do_not_leak(spark):
     plain, spaced = 'm{a="x1y2",b="secret99"} 1', 'm{ a = "x1y2" ,\tb="secret99" , } 1'
     raw = spark.createDataFrame([("p", plain), ("s", spaced), ("c", '  # m{a="x1y2"}\nm{} 1\nm{ } 1')], "file string, body string")
