@@ -41,6 +41,15 @@ def test_every_place_has_its_own_digest(spark):
     assert P.pseudonym_map(spark.createDataFrame([(value,)], "value string")).first().pseudonym == a + b
 
 
+def test_bodies_take_digests_by_place(spark):
+    """In a body, places of one letter that lie 25 apart are moved by digests of their own, not by steps of one roll."""
+    raw = spark.createDataFrame([(str(i), f'm{{id="{"0" * 400}{i:02d}"}} 1') for i in range(20)], "file string, body string")
+    denied = P.denied_values(P.corpus_label_values(raw), [], P.public_vocabulary(P.corpus_label_values(raw), [], []))
+    got = [r.body.split('"')[1] for r in P.pseudonymize_bodies(raw, denied, P.pseudonym_map(denied), []).collect()]
+    steps = {(int(v[i + 25]) - int(v[i])) % 10 for v in got for i in range(170)}
+    assert len(set(got)) == 20 and len(steps) == 10
+
+
 def test_blanks_and_commas_do_not_leak(spark):
     plain, spaced = 'm{a="x1y2",b="secret99"} 1', 'm{ a = "x1y2" ,\tb="secret99" , } 1'
     raw = spark.createDataFrame([("p", plain), ("s", spaced), ("c", '  # m{a="x1y2"}\nm{} 1\nm{ } 1')], "file string, body string")
