@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -37,19 +37,32 @@ def assign_batches(df: DataFrame, order: list[str], shards: int = 1, size: str =
     the same endpoint and shard, so no task sorts a whole endpoint.  The ranges are a table in the shared folder, as their
     bounds come from a sample and must be the same for the counts and for the rows.
     """
-    names = df.columns
+    names, ranged = df.columns, ranged_rows(df, order, shards, shard_by)
+    parts = range_counts(ranged)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_endpoint", "_shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranged.join(parts.withColumn("_before", before - F.col("_first")), in_range())
+    batch = F.floor((F.col("_at") + F.col("_before")) / F.col(size)).cast("bigint")
+    return numbered.select(*(c for c in names if c != "shard"), "shard", batch.alias("batch_id"))
+
+
+def ranged_rows(df: DataFrame, order: list[str], shards: int, shard_by: str = "target_id", path: str | None = None) -> DataFrame:
+    """``df`` with its shard as a table of sorted ranges of endpoint, shard and ``order``; ``_part`` is a row's range, ``_at`` numbers
+    the rows of one."""
     shard = F.pmod(F.xxhash64(shard_by), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
     key = ["endpoint", "shard"]
     ranged = df.drop("shard").withColumn("shard", shard).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
     # the lower bits number a partition's rows, the upper ones are the partition
-    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranges")
-    parts = ranged.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_before"))
-    same = (F.col("_part") == F.col("_p")) & F.col("endpoint").eqNullSafe(F.col("_endpoint")) & (F.col("shard") == F.col("_shard"))
-    numbered = ranged.join(parts, same)
-    batch = F.floor((F.col("_at") + F.col("_before")) / F.col(size)).cast("bigint")
-    return numbered.select(*(c for c in names if c != "shard"), "shard", batch.alias("batch_id"))
+    return written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranges", path)
+
+
+def range_counts(ranged: DataFrame) -> DataFrame:
+    """The rows (_n) of each endpoint and shard in each range (_endpoint, _shard, _p), and the number of the first (_first)."""
+    parts = ranged.groupBy("endpoint", "shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    return parts.select(F.col("endpoint").alias("_endpoint"), F.col("shard").alias("_shard"), F.col("_part").alias("_p"), "_first", "_n")
+
+
+def in_range() -> Column:
+    return (F.col("_part") == F.col("_p")) & F.col("endpoint").eqNullSafe(F.col("_endpoint")) & (F.col("shard") == F.col("_shard"))
 
 
 def write_relabel(batches: DataFrame, chains: dict[str, list[Rule]], labels: str = "labels") -> DataFrame:

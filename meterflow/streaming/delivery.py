@@ -1,7 +1,8 @@
 """Delivery as a stream: batches that fill over triggers and leave at their size, at a deadline or at the end.
 
-The rows that an endpoint's shard has not sent yet wait in the state store (RocksDB provider), fewer than one batch of them
-after each trigger; the arrival of fewer rows than fill a batch only appends to them.
+With a deadline, the rows that an endpoint's shard has not sent yet wait in the state store (RocksDB provider), fewer than one
+batch of them after each trigger; the arrival of fewer rows than fill a batch only appends to them.  Without a deadline they wait
+in a table, and triggers of any size are dealt out by ranges.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.delivery import fan_out_endpoints
+from ..operators.delivery import fan_out_endpoints, in_range, range_counts, ranged_rows
+from ..shared import delete, written
 
 
 class _Buffer(StatefulProcessor):
@@ -89,6 +91,11 @@ class _Buffer(StatefulProcessor):
         return Row(**dict(zip(self.columns, row, strict=True)), batch_id=batch, closed_by=why)
 
 
+def _check(shards: int) -> None:
+    if not 1 <= shards <= 10_000:
+        raise ValueError("from 1 to 10,000 shards")
+
+
 def stream_batches(samples: DataFrame, endpoints: DataFrame, order: list[str], deadline_ms: int | None = 5000, shards: int = 1, end: DataFrame | None = None, shard_by: str = "target_id") -> DataFrame:
     """Every sample of a stream at every endpoint (``max_samples_per_send``, ``send_native_histograms``), with shard, batch_id and
     ``closed_by``: rows appear when their batch leaves.
@@ -98,8 +105,7 @@ def stream_batches(samples: DataFrame, endpoints: DataFrame, order: list[str], d
     first row that waits (None: never), and at once for each row of the stream ``end``, of whatever columns.  Endpoints without
     native histograms lose such rows before batching.  Rows of one endpoint and shard that arrive in one trigger are sorted in one
     task: ``shards`` and the trigger bound them."""
-    if not 1 <= shards <= 10_000:
-        raise ValueError("from 1 to 10,000 shards")
+    _check(shards)
     rows = samples.withColumn("_end", F.lit(False))
     if end is not None:
         rows = rows.unionByName(end.select(F.lit(True).alias("_end")), allowMissingColumns=True)
@@ -113,6 +119,56 @@ def stream_batches(samples: DataFrame, endpoints: DataFrame, order: list[str], d
 
 
 def stream_delivery(samples: DataFrame, endpoints: DataFrame, order: list[str], path: str, checkpoint: str, deadline_ms: int | None = 5000, shards: int = 1, end: DataFrame | None = None) -> DataStreamWriter:
-    """A writer of ``stream_batches`` to Parquet files by endpoint; the files' log makes a restart from the checkpoint double nothing."""
-    batches = stream_batches(samples, endpoints, order, deadline_ms, shards, end)
-    return batches.writeStream.format("parquet").partitionBy("endpoint").option("path", path).option("checkpointLocation", checkpoint)
+    """A writer of the rows of ``stream_batches`` to Parquet files by endpoint; a restart from the checkpoint doubles nothing.
+
+    A deadline needs timers, so with one the rows go through the state store.  Without, every trigger is a batch job: its rows and
+    those that wait are dealt out by ranges as in ``assign_batches``, so that no task holds an endpoint's rows, whatever came at
+    once.  What waits, and the numbers of the next batches, are tables of the trigger beside the checkpoint; the files of a
+    trigger are a folder (column ``turn``), which a repeated trigger writes anew."""
+    if deadline_ms is not None:
+        batches = stream_batches(samples, endpoints, order, deadline_ms, shards, end)
+        return batches.writeStream.format("parquet").partitionBy("endpoint").option("path", path).option("checkpointLocation", checkpoint)
+    _check(shards)
+    rows = samples.withColumn("_end", F.lit(False))
+    if end is not None:
+        rows = rows.unionByName(end.select(F.lit(True).alias("_end")), allowMissingColumns=True)
+
+    def deliver(part: DataFrame, turn: int) -> None:
+        _deliver(part, turn, endpoints, order, path, f"{checkpoint}/delivery", shards)
+
+    return rows.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+
+
+def _deliver(part: DataFrame, turn: int, endpoints: DataFrame, order: list[str], path: str, place: str, shards: int) -> None:
+    """One trigger: what fills a batch is written, the rest waits for the next one."""
+    spark, own, last = part.sparkSession, f"{place}/{turn}", f"{place}/{turn - 1}"
+    ended = not part.where("_end").isEmpty()
+    rows = fan_out_endpoints(part.where(~F.col("_end")).drop("_end"), endpoints)
+    rows = rows.where(F.col("send_native_histograms") | ~F.coalesce("is_histogram", F.lit(False))).withColumn("_turn", F.lit(turn).cast("long"))
+    columns = [*(c for c in rows.columns if c not in ("shard", "_turn")), "shard"]
+    heads = spark.createDataFrame([], "endpoint string, shard int, first long")
+    if turn:
+        waiting = spark.read.parquet(f"{last}/waiting")
+        rows, heads = rows.drop("shard").unionByName(waiting.drop("shard"), allowMissingColumns=True), spark.read.parquet(f"{last}/heads").select("endpoint", "shard", F.col("next").alias("first"))
+    ranged = ranged_rows(rows, ["_turn", *order], shards, path=f"{own}/rows")
+    parts = range_counts(ranged)
+    # an endpoint's rows follow its newest size
+    size = ranged.groupBy(F.col("endpoint").alias("_endpoint"), F.col("shard").alias("_shard")).agg(F.count("*").alias("all"), F.max_by("max_samples_per_send", "_turn").alias("size"))
+    heads = heads.join(size, F.col("endpoint").eqNullSafe(F.col("_endpoint")) & (F.col("shard") == F.col("_shard")), "full")
+    full = F.floor(F.col("all") / F.col("size"))
+    heads = heads.select(
+        F.coalesce("endpoint", "_endpoint").alias("endpoint"), F.coalesce("shard", "_shard").alias("shard"), F.coalesce("first", F.lit(0)).alias("first"), "size", (full * F.col("size")).alias("filled"),
+        (F.coalesce("first", F.lit(0)) + F.coalesce(F.ceil(F.col("all") / F.col("size")) if ended else full, F.lit(0))).alias("next"),
+    )
+    heads = written(heads, path=f"{own}/heads")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_endpoint", "_shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own_head = heads.select(F.col("endpoint").alias("_e"), F.col("shard").alias("_s"), F.col("first").alias("_next"), F.col("size").alias("_size"), F.col("filled").alias("_filled"))
+    parts = parts.withColumn("_before", before - F.col("_first")).join(own_head, F.col("_endpoint").eqNullSafe(F.col("_e")) & (F.col("_shard") == F.col("_s")))
+    numbered = ranged.join(parts, in_range()).withColumn("_at", F.col("_at") + F.col("_before"))
+    filled = F.col("_at") < F.col("_filled")
+    sent = numbered if ended else numbered.where(filled)
+    batch = (F.col("_next") + F.floor(F.col("_at") / F.col("_size"))).cast("bigint").alias("batch_id")
+    sent.select(*columns, batch, F.when(filled, "size").otherwise("end").alias("closed_by")).write.mode("overwrite").partitionBy("endpoint").parquet(f"{path}/turn={turn}")
+    (numbered.where(F.lit(False)) if ended else numbered.where(~filled)).select(*columns, "_turn").write.mode("overwrite").parquet(f"{own}/waiting")
+    delete(spark, f"{own}/rows")
+    delete(spark, f"{place}/{turn - 2}")

@@ -161,6 +161,28 @@ def test_stream_delivery(spark, tmp_path, shards):
     assert {v[2] for k, v in got.items() if k not in full} == {"end"}
 
 
+def test_a_large_trigger_is_dealt_out(spark, tmp_path):
+    """Without a deadline no state operator, and so no task, holds an endpoint's rows; a repeated trigger doubles nothing."""
+    from meterflow.streaming.delivery import _deliver
+
+    n = 20_000
+    table = spark.range(n).selectExpr("id AS event_id", "id % 7 AS target_id", "id % 3 = 0 AS is_histogram")
+    table.write.parquet(f"{tmp_path}/in")
+    out = spark.createDataFrame(OUT, "endpoint string, send_native_histograms boolean, max_samples_per_send int")
+    query = stream_delivery(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c", None).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.recentProgress and all(not p.stateOperators for p in query.recentProgress)
+    expected = {(r.endpoint, r.event_id): r.batch_id for r in D.assign_batches(D.drop_native_histograms(D.fan_out_endpoints(table, out)), ["event_id"]).collect()}
+    waiting = {("a", n // 30): 30, ("b", (n - -(-n // 3)) // 8): 8}
+    full = {k: b for k, b in expected.items() if (k[0], b) not in waiting}
+    read = lambda: sorted((r.endpoint, r.event_id, r.batch_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert read() == sorted((*k, b) for k, b in full.items())
+    more = table.selectExpr(f"event_id + {n} AS event_id", "target_id", "is_histogram").limit(100).withColumn("_end", F.lit(False))
+    for _ in range(2):
+        _deliver(more, 1, out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c/delivery", 1)
+    assert len(got := read()) == len({g[:2] for g in got}) > len(full)
+
+
 def test_deadline_sends_the_rest(spark, tmp_path):
     rows, stream, out = deliveries(spark, tmp_path, 1)
     q = stream_delivery(stream.drop("b"), out, ["event_id"], f"{tmp_path}/out", f"{tmp_path}/c", 1500).trigger(processingTime="500 milliseconds").start()
