@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,40 +85,48 @@ def batch_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("endpoint", "shard", "batch_id").agg(F.count_if(~F.col("is_histogram")).alias("n_samples"), F.count_if("is_histogram").alias("n_histograms"))
 
 
-def _symbols(batches: DataFrame, key: list[str], order: list[str], labels: str) -> DataFrame:
-    """Every name and value of the series of each batch: key, _row (of the series), p (its place) and s."""
-    at = F.transform(F.col(labels), lambda p, i: F.array(F.struct((2 * i).alias("p"), p["name"].alias("s")), F.struct((2 * i + 1).alias("p"), F.coalesce(p["value"], F.lit("")).alias("s"))))
-    # '' stands before all others of a batch
-    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("s")))
-    return _series(batches, key, order).select(*key, "_row", F.explode(F.concat(none, F.flatten(F.coalesce(at, F.array())))).alias("x")).select(*key, "_row", "x.*")
+def _symbols(labels: str) -> Column:
+    """Names and values of a series in turn, '' for null values; none for null labels."""
+    return F.coalesce(F.flatten(F.transform(F.col(labels), lambda p: F.array(p["name"], F.coalesce(p["value"], F.lit(""))))), F.array().cast("array<string>"))
 
 
-def _series(batches: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return batches.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-
+def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
+    """(key, symbol, ref): '' is 0, others number by first appearance over series order, label order, name before value.
 
-def _table(symbols: DataFrame, key: list[str]) -> DataFrame:
-    first = symbols.where("s <> '' OR p = -1").groupBy(*key, F.col("s").alias("symbol")).agg(F.min(F.struct("_row", "p")).alias("_at"))
-    return first.select(*key, "symbol", (F.row_number().over(Window.partitionBy(*key).orderBy("_at")) - 1).alias("ref"))
+    A batch is one row until its distinct symbols are known, so that no row for each symbol of each series is sorted."""
+    series = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), _symbols(labels).alias("s"))
+    one = batches.groupBy(*key).agg(F.sort_array(F.collect_list(series)).alias("_x"))
+    found = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform("_x", lambda x: x["s"]))))
+    return one.select(*key, found.alias("_x")).select(*key, F.posexplode("_x").alias("ref", "symbol")).select(*key, "symbol", "ref")
 
 
-def symbol_table(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
-    """(key, symbol, ref): '' is 0, others number by first appearance over series order, label order, name before value."""
-    return _table(_symbols(batches, key, order, labels), key)
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type with nullable elements at all depths, as a schema in text has them."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    if pa.types.is_map(t):
+        return pa.map_(_nullable(t.key_type), pa.field(t.item_field.name, _nullable(t.item_type)))
+    return pa.list_(pa.field(t.value_field.name, _nullable(t.value_type))) if pa.types.is_list(t) else t
 
 
 def symbol_refs(batches: DataFrame, key: list[str], order: list[str], labels: str = "labels") -> DataFrame:
     """``batches`` with ``refs``: the table's number of each name and value of a series in turn, 0 for empty and null values.
 
-    A batch holds few rows, so its series, symbols and table meet by its key; ``order`` must tell its series apart.  Series
-    without labels have no refs."""
-    symbols = _symbols(batches, key, order, labels)
-    table = _table(symbols, key).select(*(F.col(c).alias(f"_{c}") for c in key), "symbol", "ref")
-    same = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in key]
-    found = symbols.where("p >= 0").join(table, [F.col("s") == F.col("symbol"), *same("_")])
-    refs = found.groupBy(*(F.col(c).alias(f"__{c}") for c in key), F.col("_row").alias("__row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "ref"))), lambda x: x["ref"]).alias("refs"))
-    out = _series(batches.drop("refs"), key, order).join(refs, [F.col("_row") == F.col("__row"), *same("__")], "left")
-    return out.select(*batches.drop("refs").columns, F.coalesce("refs", F.array().cast("array<int>")).alias("refs"))
+    A batch holds few rows: its series meet in order by its key, and a dictionary of the batch numbers their symbols, so they are
+    shuffled and sorted once.  ``order`` must tell series apart.  Series without labels have no refs."""
+    own = batches.drop("refs")
+    names = own.columns
+    rows = own.withColumns({"_symbols": _symbols(labels), "_row": F.row_number().over(Window.partitionBy(*key).orderBy(*order))})
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+
+    def numbered(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("_row")
+        refs = {"": 0}
+        found = [[refs.setdefault(s, len(refs)) for s in x] for x in batch["_symbols"].to_pylist()]
+        columns = [batch[c].cast(_nullable(batch[c].type)) for c in names]
+        return pa.table([*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "refs"])
+
+    return rows.groupBy(*key).applyInArrow(numbered, f"{kinds}, refs array<int>")
 
 
 def delivery_outcomes(deliveries: DataFrame, counts: DataFrame) -> DataFrame:

@@ -74,6 +74,21 @@ def test_symbol_refs_resolve(spark):
         assert [table[e][n] for n in got[e, i]] == [x or "" for p in labels or [] for x in p]
 
 
+def test_symbols_are_sorted_by_series_not_one_by_one(spark):
+    """No plan sorts or joins a row for each symbol: series are shuffled once, whatever other columns they have."""
+    rows = [(e, b, -i, {"m": [i]}, [("name", "x" * (i % 3)), (f"n{i % 40}", f"v{i % 7}")]) for e in "ab" for b in range(5) for i in range(200)]
+    df = spark.createDataFrame(rows, "endpoint string, batch_id long, id int, own map<string,array<int>>, labels array<struct<name:string,value:string>>").repartition(3)
+    table, refs = symbol_table(df, ["endpoint", "batch_id"], ["id"]), symbol_refs(df, ["endpoint", "batch_id"], ["id"])
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(table) + plan(refs) and "Window" not in plan(table) and "SortAggregate" not in plan(table) and "Generate" not in plan(refs)
+    symbols = {(r.endpoint, r.batch_id, r.ref): r.symbol for r in table.collect()}
+    got = refs.collect()
+    assert len(got) == len(rows) and {(r.endpoint, r.batch_id, r.id, r.own["m"][0]) for r in got} == {(e, b, i, o["m"][0]) for e, b, i, o, _ in rows}
+    assert all([symbols[r.endpoint, r.batch_id, x] for x in r.refs] == [s for p in r.labels for s in (p.name, p.value)] for r in got)
+    first = {k: symbols[(*k, 1)] for k in {(r.endpoint, r.batch_id) for r in got}}
+    assert set(first.values()) == {"name"} and len(symbols) == 10 * (1 + 1 + 2 + 40 + 7)
+
+
 def test_retry_chains(spark):
     tries = {
         1: [(1, 0, "retry"), (2, 30, "retry"), (3, 95, "ok")],
