@@ -43,6 +43,21 @@ def test_cuts_keep_every_byte(spark):
         assert all(p[1] == sum(q[2].count("\n") + 1 for q in own[:k]) for k, p in enumerate(own)) and [p[0] for p in own] == list(range(len(own)))
 
 
+def test_cuts_leave_in_large_batches():
+    """Pieces of many small bodies share an Arrow batch, which each had of its own before."""
+    import pyarrow as pa
+
+    class Scrapes:
+        schema = []
+        drop = lambda self, *names: self
+        mapInArrow = lambda self, run, kinds: run  # noqa: E731, N815
+
+    rows = pa.record_batch({"scrape_id": pa.array(range(500)), "body": pa.array(["a 1\nb 2\nc 3", None, ""] * 166 + ["x", None])})
+    got = list(S.cut_bodies(Scrapes(), 3)(iter([rows, rows.slice(0, 0)])))
+    assert len(got) == 1 and got[0].num_rows == 166 * 4 + 1
+    assert got[0].slice(0, 4).to_pydict() == {"scrape_id": [0, 0, 0, 2], "body": ["a 1", "b 2", "c 3", ""], "piece": [0, 1, 2, 0], "lines_before": [0, 1, 2, 0]}
+
+
 def test_a_large_body(spark):
     """A body of many pieces: no row of the plan holds its parsed lines together."""
     body = "\n".join(f'metric_{i % 7}{{series="{i}"}} {i}' for i in range(200_000))
