@@ -36,8 +36,10 @@ class _Bucket(StatefulProcessor):
             own = events.setdefault((r.at, r.removed), {})
             if r.identity is not None:
                 own.setdefault(r.identity, list(r.flat))
-        last, scraped = self.last.get() if self.last.exists() else (None, False)
-        known = {k[0] for k in self.live.keys()}
+        # every call to the state is a round trip, and most buckets of small targets are empty
+        head = self.last.get()
+        last, scraped = head or (None, False)
+        known = {k[0] for k in self.live.keys()} if head else set()
         #: The live series now, and the labels of those that the state does not hold as they are.
         live, labels = set(known), {}
         for at, removed in sorted(events):
@@ -57,7 +59,8 @@ class _Bucket(StatefulProcessor):
             self.live.removeKey((identity,))
         for identity, flat in labels.items():
             self.live.updateValue((identity,), (flat,))
-        self.last.update((last, scraped))
+        if head is None or (last, scraped) != tuple(head):
+            self.last.update((last, scraped))
 
     def close(self) -> None:
         pass

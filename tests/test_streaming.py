@@ -122,6 +122,23 @@ def test_state_follows_the_changes(spark, tmp_path):
     assert [r.identity for r in spark.read.parquet(f"{tmp_path}/o").collect()] == ["0"]
 
 
+def test_an_empty_bucket_asks_the_state_twice():
+    from pyspark.sql import Row
+
+    from meterflow.streaming.staleness import _Bucket
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    bucket = _Bucket()
+    bucket.live = bucket.last = State()
+    header = Row(at=1000, removed=False, identity=None, flat=None)
+    assert list(bucket.handleInputRows(("t", 3), iter([header]), None)) == [] and calls == ["get", "update"]
+
+
 KINDS = "event_id long, target_id long, is_histogram boolean, ts_ms long, labels array<struct<name:string,value:string>>, b int"
 OUT = [("a", True, 30), ("b", False, 8)]
 
