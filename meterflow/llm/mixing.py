@@ -9,7 +9,8 @@ composition, exactly adding up to the quotas.  A shard takes the next disjoint r
 blocks and shuffles locally by a seeded hash.  All randomness comes from ``seed``: reruns agree.
 
 The driver holds one row per source; tasks walk the tree from its root to the shards of their own draws, so that no table of
-sources and shards exists.  Documents never pass through the driver.
+sources and shards exists.  Documents never pass through the driver.  Sources, blocks and picks go to all tasks if they are few,
+which is counted; then a document's row moves once for each time that it is taken, to its shard, and not before.
 
 Edge cases: null source is a source of its own, last in order; null and empty texts have size 0 and follow their
 block; rows that repeat (equal id and text) are taken together; null ids are ordinary ids; an empty table gives an
@@ -32,6 +33,13 @@ from .words import lean
 PARTS = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of sources, of blocks and of picks that go to all tasks, at most (by estimate some 45 MB, with short names of sources).
+MOST_SENT = 1 << 18
+
+
+def _sent(rows: DataFrame, count: int) -> DataFrame:
+    """The right side of a join: sent to all tasks if it has few rows, else joined as Spark sees fit."""
+    return F.broadcast(rows) if count <= MOST_SENT else rows
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -116,7 +124,7 @@ class Mix:
             blocks = max(1, min(max_blocks, r["docs"] // docs_per_block))
             rows.append((r["_source"], r["size"], t, passes, t - passes * r["size"], blocks, len(rows)))
         kind = "_source string, _source_size long, _target double, _passes int, _rest double, _n_blocks long, _no int"
-        self.sources = spark.createDataFrame(rows, kind)
+        self.sources = _sent(spark.createDataFrame(rows, kind), len(rows))
         keyed = self.blocked(self.sized)
 
         order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_block"), "_block")
@@ -144,10 +152,12 @@ class Mix:
 
         self.blocks = written(ranked.mapInArrow(lean(deal), "_bs string, _bb long, edge boolean, before long, _shards array<int>"), "mix-draws")
         discard(ranked)
-        edges = self.blocks.where("edge").select("_bs", "_bb", "before")
+        self.n_blocks = self.blocks.count()
+        edges = _sent(self.blocks.where("edge").select("_bs", "_bb", "before"), len(rows))  # one for a source, at most
         at_edge = keyed.join(edges, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
         at_edge = at_edge.withColumn("room", F.col("_rest") - F.col("before")).select("_source", "_u", "_size", "room")
-        self.picks = at_edge.groupBy("_source").applyInArrow(_fill, "_ks string, _ku long")
+        self.picks = written(at_edge.groupBy("_source").applyInArrow(_fill, "_ks string, _ku long"), "mix-picks")
+        self.n_picks = self.picks.count()
 
     def blocked(self, keyed: DataFrame) -> DataFrame:
         """Rows with their source's figures and their block."""
@@ -157,8 +167,9 @@ class Mix:
 
     def placed(self, keyed: DataFrame) -> DataFrame:
         """Rows with ``_copies``: the shard of each time that the mix takes them."""
-        out = self.blocked(keyed).join(self.blocks, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
-        out = out.join(self.picks, F.col("_source").eqNullSafe(F.col("_ks")) & (F.col("_u") == F.col("_ku")), "left")
+        blocks, picks = _sent(self.blocks, self.n_blocks), _sent(self.picks, self.n_picks)
+        out = self.blocked(keyed).join(blocks, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
+        out = out.join(picks, F.col("_source").eqNullSafe(F.col("_ks")) & (F.col("_u") == F.col("_ku")), "left")
         last = F.col("edge") & F.col("_ku").isNull()
         return out.withColumn("_copies", F.when(last, F.slice("_shards", 1, F.size("_shards") - 1)).otherwise(F.col("_shards")))
 

@@ -13,6 +13,7 @@ from conftest import SF, multiset, oracle
 from pyspark.sql import functions as F
 
 from meterflow.llm import ann, bpe, extraction, hmm_model, jaccard_join, mixing, quality_classifier, quality_rules, registry, substring_dedup, warc
+from meterflow.llm.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 rng = np.random.default_rng(3)
@@ -133,6 +134,28 @@ def test_mixing(docs, none):
     assert mixing.mixed(docs, docs_per_block=2).count() == taken
 
 
+def _exchanges(plan):
+    """The columns of each shuffle of a physical plan."""
+    own = [{plan.output().apply(i).name() for i in range(plan.output().size())}] if plan.nodeName() == "Exchange" else []
+    return own + [x for i in range(plan.children().size()) for x in _exchanges(plan.children().apply(i))]
+
+
+def test_a_mix_moves_texts_once(spark, docs, monkeypatch):
+    """Whole texts go through one shuffle, that to their shards; without tables for all tasks the mix is the same."""
+    docs, key = written(docs, "t"), "spark.sql.autoBroadcastJoinThreshold"
+    moves = lambda df: sum("text" in x for x in _exchanges(df._jdf.queryExecution().executedPlan().initialPlan()))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        mix = mixing.mixed(docs, docs_per_block=2)
+        assert moves(mix) == 1
+        monkeypatch.setattr(mixing, "MOST_SENT", -1)
+        plain = mixing.mixed(docs, docs_per_block=2)
+        assert moves(plain) == 4 and rows(mix, *docs.columns) == rows(plain, *docs.columns)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_targets_and_tree():
     goal = mixing.targets([10, 1000, 100], [5, 2, 1])
     assert goal[0] == 30 and math.isclose(sum(goal), 1110) and math.isclose(goal[1] / goal[2], 2) is False
