@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, named_sets
 from .crowds import connected, sides
-from .storage import bit_map, discard, freed, in_bit_map, small_batches, text_bytes, written
+from .storage import bit_map, discard, freed, in_bit_map, map_bits, small_batches, text_bytes, written
 from .substring_dedup import rolled
 from .words import lean, mix, pair, slices, words_of
 
@@ -375,7 +375,7 @@ def _of_texts(rows: DataFrame, wanted: DataFrame, shingle: int, name: str, make)
     Texts stay where they are: a bit map of bounded size tells the tasks which of them may be wanted, and only results move."""
     spark = rows.sparkSession
     wanted = written(wanted.select("key", "h1"), "wanted")
-    shared = spark.sparkContext.broadcast(bit_map(wanted, "h1"))
+    shared = spark.sparkContext.broadcast(bit_map(wanted, "h1", map_bits(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -416,8 +416,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     described = written(rows.mapInArrow(lean(describe), "row long, doc_id long, h1 long, n_shingles long, key binary, k long"), "set-keys")
     # one text of each set; k, half of the key, names sets until they are verified: equal halves of different sets only share a block
-    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("h1", "k", "n_shingles")).alias("x"))
-    firsts = written(firsts.select("key", "x.*"), "distinct-sets")
+    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("h1", "k", "n_shingles")).alias("x"), F.min("doc_id").alias("least"))
+    firsts = written(firsts.select("key", "x.*", "least"), "distinct-sets")
     # words have some six bytes; a set has one group for each difference of its largest class, and half of the sets two plans
     ranges = ranges or max(1, int(text_bytes(rows, "t") * 4.5 * (100 - threshold) / (100 + threshold) / 6 / RANGE))
     met = written(repeated_signatures(rows, shingle, threshold, ranges), "repeated-signatures", last=True)
@@ -441,12 +441,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     weighed = written(placed.groupBy("k", "g").agg(F.sum("n_shingles").alias("weight")), "weighed-blocks")
     groups = components(connected(weighed, full, _verified(threshold), node="key", limit=slice_rows, heavy=slice_shingles))
 
-    ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = ids.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    named = ids.join(roots, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id", "root")
+    named = named_sets(firsts, groups)
     columns = ["doc_id", "n_shingles", "component_id", *(["row", "root"] if row else [])]
-    full = described.where("n_shingles > 0").join(named, F.col("key") == F.col("_key")).select(*columns)
+    full = described.where("n_shingles > 0").join(named, "key").select(*columns)
     empty = described.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("binary")}).select(*columns)
     return full.union(empty)
 

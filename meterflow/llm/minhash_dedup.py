@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, named_sets
 from .crowds import connected, sides
 from .jaccard_join import SQL as JACCARD_SQL
 from .jaccard_join import _sets_of, forest, set_keys
@@ -190,8 +190,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     described = written(rows.mapInArrow(lean(describe), "row long, doc_id long, n_shingles long, key binary, k long, bands array<long>, codes binary"), "signatures")
     # one row of each set; k, half of the key, names sets until they are verified: equal halves of different sets only share a block
     banded = described.where("bands IS NOT NULL")
-    firsts = banded.groupBy("key").agg(F.min(F.struct("row", "k", "n_shingles", "codes")).alias("x"))
-    firsts = written(firsts.select("key", "x.*"), "distinct-sets")
+    first = F.when(F.col("bands").isNotNull(), F.struct("row", "k", "n_shingles", "codes"))
+    firsts = described.where("n_shingles > 0").groupBy("key").agg(F.min(first).alias("x"), F.min("doc_id").alias("least"))
+    firsts = written(firsts.select("key", "x.*", "least"), "distinct-sets")
     met = banded.select("k", F.explode("bands").alias("sig"))
     # buckets with the same members are searched once: extremes and a sum of hashes tell groups of members apart
     buckets = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("k").alias("v"), F.max("k").alias("w"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("x"))
@@ -207,18 +208,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 own = [part.column(c) for c in ("key", "k", "n_shingles", "codes")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([u[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["key", "k", "n_shingles", "codes", "shingles"])
 
-    wanted = written(firsts.join(blocks.select("k").distinct(), "k", "left_semi"), "wanted")
+    wanted = written(firsts.drop("least").join(blocks.select("k").distinct(), "k", "left_semi"), "wanted")
     full = rows.select("row", "t").join(wanted, "row").mapInArrow(lean(sets), "key binary, k long, n_shingles long, codes binary, shingles binary")
     full = written(full, "shingle-sets")
     weighed = blocks.join(wanted.groupBy("k").agg(F.sum("n_shingles").alias("weight")), "k")
     links = connected(weighed, full, _linker(threshold, plan, True), node="key", limit=limit)
     groups = components(links)
 
-    ids = described.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = ids.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    named = ids.join(roots, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id")
-    filled = described.where("n_shingles > 0").join(named, F.col("key") == F.col("_key")).select("doc_id", "n_shingles", "component_id")
+    named = named_sets(firsts, groups)
+    filled = described.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
     empty = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

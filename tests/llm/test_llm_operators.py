@@ -447,6 +447,32 @@ def test_components(spark):
     assert components.components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_few_edges_end_in_one_task_and_give_what_stars_give(spark, kind):
+    from meterflow.llm import components
+
+    rng = np.random.default_rng(8)
+    edges = [tuple(x) for x in rng.integers(0, 900, (500, 2)).tolist()]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5).selectExpr(*(f"CAST(CAST({c} AS STRING) AS {kind}) AS {c}" for c in "uv"))
+    found = [collections.Counter((bytes(r.node), bytes(r.root)) if kind == "binary" else tuple(r) for r in components.components(df, alone=n).collect()) for n in (0, 1 << 18)]
+    assert found[0] == found[1] and max(found[0].values()) == 1 and len(found[0]) > 300
+    spark.sparkContext.setJobGroup(f"few-{kind}", "")
+    try:
+        components.components(df)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{kind}")) <= 3  # a round of stars alone has more
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sets_are_named_by_their_least_id(spark):
+    from meterflow.llm.components import named_sets
+
+    firsts = spark.createDataFrame([(b"a", 7), (b"b", 3), (b"c", None), (b"d", 5), (b"e", None), (b"f", None)], "key binary, least long")
+    groups = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"e", b"e"), (b"f", b"e")], "node binary, root binary")
+    got = {bytes(r.key): (bytes(r.root), r.component_id) for r in named_sets(firsts, groups).collect()}
+    assert got == {b"a": (b"a", 3), b"b": (b"a", 3), b"c": (b"a", 3), b"d": (b"d", 5), b"e": (b"e", None), b"f": (b"e", None)}
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_forests_connect_what_links(same):
     for _ in range(30):

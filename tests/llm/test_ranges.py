@@ -40,3 +40,21 @@ def test_bit_map(spark):
     edges = np.array([0, -1, 2**27, 2**63 - 1, -(2**63)])
     assert in_bit_map(bit_map(spark.createDataFrame([(int(v),) for v in edges], "v long"), "v"), edges).all()
     assert not any(bit_map(spark.createDataFrame([], "v long"), "v"))
+
+
+def test_the_map_of_few_wanted_texts_is_small(spark, monkeypatch):
+    """The driver and the tasks hold bits in proportion to the wanted texts, up to the bound; none of them is lost."""
+    from meterflow.llm import storage
+
+    made = []
+    real = storage.bit_map
+    monkeypatch.setattr(J, "bit_map", lambda *a: made.append(real(*a)) or made[-1])
+    texts = [" ".join(f"w{i}x{j % 90}" for j in range(120)) + f" end{k}" for i in range(20) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=80).collect()}
+    assert got == {i: i // 2 * 2 for i in range(40)}
+    assert made and max(map(len, made)) == 1 << 12
+    assert [storage.map_bits(n) for n in (0, 1, 512, 513, 1 << 21, 1 << 40)] == [15, 15, 15, 16, 27, 27]
+    values = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000)
+    bits = real(spark.createDataFrame([(int(v),) for v in values], "v long"), "v", storage.map_bits(2000))
+    others = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 100_000)
+    assert in_bit_map(bits, values).all() and in_bit_map(bits, others).mean() < 1 / 60
