@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .storage import small_batches
 from .words import lean, slices
 
-#: The pre-tokenizer's pattern of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pre-tokenizer's pattern of byte-level vocabularies, in a form that never goes back over what it has matched.
+PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 LEAF = 16_384
 SPAN = 65_536
 #: Where every tokenization has an edge: no pre-token but a run of white space holds any after its first character, and
@@ -65,7 +65,7 @@ class Codec:
         self.size = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)], dtype=np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode(ids.tolist(), errors="replace")

@@ -11,8 +11,8 @@ hashes of its groups.  They travel once, packed by ranges of their values; the t
 of that range and gives back those of two sets or more, exactly, at any size of the corpus.
 
 *Bounding.*  The group counts of a set (with more dimensions for larger sets) are its point.  The points that share a
-signature are indexed in an R-tree, whose boxes bound the overlap with a query by the summed minima of the query's counts
-and the box's upper corner.  Sets connected by pairs that survive the bound form a block, so that a common shingle alone
+signature are indexed in an R-tree, whose boxes bound the overlap with a block of queries by the summed minima of the upper
+corners of both; the trees of a single leaf in a task are searched at once.  Sets connected by pairs that survive the bound form a block, so that a common shingle alone
 joins nothing.  Signatures with the same members are searched once.
 
 *Verifying.*  In a block, pairs that survive the bound, and are not already connected, are verified exactly.  Signatures
@@ -37,7 +37,7 @@ from .components import components, named_sets
 from .crowds import connected, sides
 from .storage import bit_map, discard, freed, in_bit_map, map_bits, small_batches, text_bytes, written
 from .substring_dedup import rolled
-from .words import lean, mix, pair, slices, words_of
+from .words import lean, mix, pair, slices, string_parts, words_of
 
 SHINGLE = 3
 THRESHOLD = 90
@@ -63,9 +63,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
             for i in range(1, n[d]):
                 whole = pair(whole, h[w.at[d] + i : w.at[d] + i + 1], 70 + i)
             whole = mix(whole + _U(1000 + n[d]))
-        owner, found = np.append(owner, d), np.append(found, whole)
-    order = np.lexsort((found, owner))
-    owner, found = owner[order], found[order]
+        place = np.searchsorted(owner, d)
+        owner, found = np.insert(owner, place, d), np.insert(found, place, whole)
+    at = np.searchsorted(owner, np.arange(docs + 1))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        found[a:b].sort()
     new = np.ones(len(found), dtype=bool)
     new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
     return found[new], np.searchsorted(owner[new], np.arange(docs + 1))
@@ -129,35 +131,48 @@ def signatures(u: np.ndarray, at: np.ndarray, threshold: int = THRESHOLD) -> tup
 
 
 class RTree:
-    """Points (group counts) in nested boxes; ``search`` yields those whose summed minima with a query may suffice."""
+    """Points (group counts) in nested boxes; a search yields those whose summed minima with a query may suffice."""
 
     LEAF = 32
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, threshold: int):
+        self.points, self.sizes, self.threshold = points, sizes, threshold
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray):
-        p = self.points[rows]
-        box = (p.max(axis=0), self.sizes[rows].min())
+        p, n = self.points[rows], self.sizes[rows]
+        box = (p.max(axis=0), int(n.min()), int(n.max()))
         if len(rows) <= self.LEAF:
             return box, rows, None
-        axis = int((p.max(axis=0) - p.min(axis=0)).argmax())
-        order = rows[np.argsort(p[:, axis], kind="stable")]
+        # sizes that can't link part best, then the widest range
+        by = n if 100 * box[1] < self.threshold * box[2] else p[:, int((box[0] - p.min(axis=0)).argmax())]
+        order = rows[np.argsort(by, kind="stable")]
         half = len(order) // 2
         return box, None, (self._build(order[:half]), self._build(order[half:]))
 
-    def search(self, point: np.ndarray, size: int, threshold: int) -> np.ndarray:
+    def leaves(self) -> list[np.ndarray]:
         out, stack = [], [self.root]
         while stack:
-            (upper, least), rows, below = stack.pop()
-            if np.minimum(point, upper).sum() * (100 + threshold) < threshold * (size + least):
+            _, rows, below = stack.pop()
+            if below:
+                stack += below[::-1]
+            else:
+                out.append(rows)
+        return out
+
+    def search(self, block: np.ndarray) -> np.ndarray:
+        """Rows whose boxes may hold partners of some row of a block."""
+        t = self.threshold
+        corner, low, high = self.points[block].max(axis=0), int(self.sizes[block].min()), int(self.sizes[block].max())
+        out, stack = [], [self.root]
+        while stack:
+            (upper, least, most), rows, below = stack.pop()
+            if 100 * high < t * least or 100 * most < t * low or np.minimum(corner, upper).sum(dtype=np.float64) * (100 + t) < t * (low + least):
                 continue
             if below:
                 stack += below
-                continue
-            bound = np.minimum(point, self.points[rows]).sum(axis=1)
-            out.append(rows[bound * (100 + threshold) >= threshold * (size + self.sizes[rows])])
+            else:
+                out.append(rows)
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -215,38 +230,77 @@ def forest(left: np.ndarray, right: np.ndarray, search, verify) -> list[tuple[in
     return out
 
 
-def _searches(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int):
-    trees = {}
-
-    def search(row: int, of_left: bool) -> np.ndarray:
-        side = left if of_left else right
-        if of_left not in trees:
-            trees[of_left] = RTree(points[side], sizes[side])
-        return side[trees[of_left].search(points[row], int(sizes[row]), threshold)]
-
-    return search
+def _real(sizes: np.ndarray) -> type:
+    """A kind of floats that holds counts of these sets, and their sums, exactly."""
+    return np.float32 if not len(sizes) or sizes.max() < 1 << 24 else np.float64
+
+
+def near(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int, verify=None) -> list[tuple[int, int]]:
+    """Pairs of row numbers that connect all pairs of ``left`` and ``right`` (the same rows, or disjoint ones; together all) that
+    survive the bound, and ``verify(row, candidates)`` if given: a spanning forest.
+
+    Rows are searched by blocks of one component, or of rows that stand alone, among all rows not searched yet of other
+    components, so that a group whose rows all link is connected by a few searches."""
+    points = points.astype(_real(sizes))
+    n, both, tree = len(points), left is right, RTree(points, sizes, threshold)
+    of_left = np.zeros(n, bool)
+    of_left[left] = True
+    least, ones = threshold * sizes, np.ones(points.shape[1], points.dtype)
+    order, comp, out = np.concatenate(tree.leaves()), np.arange(n), []
+    while len(order):
+        own, seed, count = comp[order], order[0], np.bincount(comp, minlength=n)
+        alone = count[comp[seed]] == 1
+        block = order[count[own] == 1] if alone else order[own == comp[seed]]
+        if not both:
+            block = block[of_left[block] == of_left[seed]]
+        waiting = np.zeros(n, bool)
+        waiting[order] = True
+        if not alone:
+            waiting[comp == comp[seed]] = False
+        if not both:
+            waiting &= of_left != of_left[seed]
+        if waiting.any():
+            block = block[: tree.LEAF]
+            found = tree.search(block)
+            found = found[waiting[found]]
+            candidates = points[found]
+            for x in block.tolist() if len(found) else []:
+                hits = found[(np.minimum(points[x], candidates) @ ones).astype(np.int64) * (100 + threshold) >= least[x] + least[found]]
+                hits = hits[comp[hits] != comp[x]]
+                if len(hits) and verify:
+                    hits = verify(x, hits)
+                if len(hits):
+                    parts, at = np.unique(comp[hits], return_index=True)
+                    out += [(x, y) for y in hits[at].tolist()]
+                    comp[np.isin(comp, parts)] = comp[x]
+        gone = np.zeros(n, bool)
+        gone[block] = True
+        order = order[~gone[order]]
+    return out
 
 
-def near(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Pairs (row numbers) that connect all pairs of ``left`` and ``right`` that survive the bound: a spanning forest."""
-    return forest(left, right, _searches(points, sizes, left, right, threshold), lambda _, found: found)
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of a set each of the others has."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    return np.add.reduceat((own[np.minimum(at, len(own) - 1)] == flat).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links between sets of ``left`` and of ``right`` (row numbers) that connect all that is linked: a spanning forest."""
     n = np.array([len(s) for s in sets])
-    points = _folded([p for s in sets for p in count_points(s, np.array([0, len(s)]))])
 
     def verify(a: int, found: np.ndarray) -> np.ndarray:
-        own, keep = sets[a], np.zeros(len(found), dtype=bool)
-        for i, b in enumerate(found.tolist()):
-            x, y = (own, sets[b]) if n[a] >= n[b] else (sets[b], own)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            keep[i] = 100 * both >= threshold * (n[a] + n[b] - both)
-        return found[keep]
+        keep = []
+        for i in range(0, len(found), 64):
+            part = found[i : i + 64]
+            both = _shared(sets[a], [sets[b] for b in part.tolist()])
+            keep.append(part[100 * both >= threshold * (n[a] + n[part] - both)])
+        return np.concatenate(keep)
 
-    return forest(left, right, _searches(points, n, left, right, threshold), verify)
+    if len(sets) == 2:
+        return [(0, 1)] if len(verify(0, np.array([1]))) else []
+    return near(_folded([p for s in sets for p in count_points(s, np.array([0, len(s)]))]), n, left, right, threshold, verify)
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> pa.Array:
@@ -358,8 +412,81 @@ def _by_task(find):
     return link
 
 
+def _forest_of(pairs: np.ndarray) -> np.ndarray:
+    """The numbers of those pairs that connect what all do."""
+    parent, out = list(range(int(pairs.max()) + 1 if len(pairs) else 0)), []
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at, (u, v) in enumerate(pairs.tolist()):
+        a, b = find(u), find(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append(at)
+    return np.array(out, np.int64)
+
+
+def _leaf_pairs(borders: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """All pairs of rows of each task that is marked as small."""
+    n, out = np.diff(borders), [np.zeros((0, 2), np.int64)]
+    for size in np.unique(n[small & (n > 1)]).tolist():
+        a, b = np.triu_indices(size, 1)
+        first = borders[:-1][small & (n == size)][:, None]
+        out.append(np.column_stack([(first + a).ravel(), (first + b).ravel()]))
+    return np.concatenate(out)
+
+
+def _near_in_leaves(t: pa.Table, pairs: np.ndarray, threshold: int) -> np.ndarray:
+    """A spanning forest of the listed pairs that survive the bound; a pair of sets that meets in several tasks is held against it once."""
+    k, sizes = t["k"].to_numpy(), t["n_shingles"].to_numpy()
+    pairs = pairs[100 * np.minimum(sizes[pairs[:, 0]], sizes[pairs[:, 1]]) >= threshold * np.maximum(sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
+    if not len(pairs):
+        return pairs
+    used = np.unique(pairs)
+    first, code = np.unique(k[used], return_index=True, return_inverse=True)[1:]
+    place = np.zeros(len(k), np.int64)
+    place[used] = code
+    rows, pairs = used[first], np.sort(place[pairs], axis=1)
+    pairs = np.unique(pairs[:, 0] * len(rows) + pairs[:, 1])
+    pairs = np.column_stack([pairs // len(rows), pairs % len(rows)])
+    data, at = string_parts(t["point"])
+    counts = np.frombuffer(data[at[0] : at[-1]].tobytes(), "<u4")
+    begin, width, sizes = (at[rows] - at[0]) // 4, (at[rows + 1] - at[rows]) // 4, sizes[rows]
+    least, alive = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]]), np.zeros(len(pairs), bool)
+    for d in np.unique(least).tolist():
+        which = np.flatnonzero(least == d)
+        own, ends = np.unique(pairs[which], return_inverse=True)
+        points, ends, ones = np.zeros((len(own), d), _real(sizes)), ends.reshape(-1, 2), np.ones(d, _real(sizes))
+        for w in np.unique(width[own]).tolist():
+            mine = np.flatnonzero(width[own] == w)
+            for i in range(0, len(mine), step := max(1, (1 << 20) // w)):
+                part = mine[i : i + step]
+                points[part] = counts[begin[own[part]][:, None] + np.arange(w)].reshape(len(part), d, -1).sum(axis=2)
+        for i in range(0, len(which), step := max(1, (1 << 18) // d)):
+            a, b = ends[i : i + step].T
+            both = (np.minimum(points[a], points[b]) @ ones).astype(np.int64)
+            alive[which[i : i + step]] = both * (100 + threshold) >= threshold * (sizes[own[a]] + sizes[own[b]])
+    pairs = pairs[alive]
+    return rows[pairs[_forest_of(pairs)]]
+
+
 def _bounded(threshold: int):
-    return _by_task(lambda t, left, right: near(_folded(t["point"].to_pylist()), t["n_shingles"].to_numpy(), left, right, threshold))
+    """Tasks of up to a leaf's rows are searched together, others one after the other."""
+
+    def link(t: pa.Table, borders: np.ndarray) -> np.ndarray:
+        n = np.diff(borders)
+        small = (n <= RTree.LEAF) & ~np.logical_or.reduceat(t["pivot"].to_numpy(zero_copy_only=False) | (t["side"].to_numpy() != 0), borders[:-1])
+        out = [_near_in_leaves(t, _leaf_pairs(borders, small), threshold)]
+        for i in np.flatnonzero(~small).tolist():
+            out.append(large(t.slice(int(borders[i]), int(n[i])), np.array([0, n[i]])) + borders[i])
+        return np.concatenate(out)
+
+    large = _by_task(lambda t, left, right: near(_folded(t["point"].to_pylist()), t["n_shingles"].to_numpy(), left, right, threshold))
+    return link
 
 
 def _verified(threshold: int):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import set_aside, small_batches
-from .words import _LOWER, lean, mix, slices, words_of
+from .words import _LOWER, distinct, lean, mix, slices, words_of
 
 BITS = 22
 GRADES = 3
@@ -74,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
         codes.append(_starts(bare, k))
         owners.append(doc[length >= k])
     code = np.concatenate(codes) >> np.uint64(64 - bits)
-    both = np.unique(np.concatenate(owners).astype(np.uint64) << np.uint64(bits) | code)
+    both = distinct(np.concatenate(owners).astype(np.uint64) << np.uint64(bits) | code)
     at = np.searchsorted(both, np.arange(docs + 1, dtype=np.uint64) << np.uint64(bits))
     return (both & np.uint64((1 << bits) - 1)).astype(np.int32), at
 

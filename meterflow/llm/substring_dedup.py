@@ -313,10 +313,12 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
     flat = flat.select("_ka", "_kb", F.col("r._a").alias("a"), F.col("r._b").alias("b"), F.col("r._at").alias("at"))
     hits = flat.join(masks, ["a", "b"]).groupBy(F.col("_ka").alias("_ja"), F.col("_kb").alias("_jb")).agg(F.collect_set(F.struct("at", "mask")).alias("_hits"))
     hits = written(hits, "hits")  # a table, so that Spark can split the join where very many documents have one text
-    clean = found.where(F.size("_a") == 0).withColumn("_hits", F.lit(None).cast("array<struct<at:int,mask:bigint>>"))
+    # texts without a suspect need no Python: their words are joined by an expression, which is left out where nothing reads it
+    joined = F.trim(F.regexp_replace(F.coalesce("_x", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    clean = found.where(F.size("_a") == 0).withColumn("_x", F.col(text).cast("string")).withColumns({"n_removed": F.lit(0).cast("long"), "kept": joined})
     dirty = found.where(F.size("_a") > 0).join(hits, (F.col("_ka") == F.col("_ja")) & (F.col("_kb") == F.col("_jb")), "left").drop("_ja", "_jb")
-    rows = clean.unionByName(dirty).drop("_ka", "_kb", "_a", "_b", "_at")
-    return _kept(rows, text, window)
+    aside = ("_ka", "_kb", "_a", "_b", "_at")
+    return clean.drop(*aside, "_x").unionByName(_kept(dirty.drop(*aside), text, window))
 
 
 def _kept(rows: DataFrame, text: str, window: int) -> DataFrame:

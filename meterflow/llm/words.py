@@ -53,6 +53,14 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * _U(0x9E3779B97F4A7C15) + mix(b + _U(salt)))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in their order; ``x`` is sorted where it is (``np.unique`` hashes, which takes longer)."""
+    x.sort()
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _stream(seed: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
