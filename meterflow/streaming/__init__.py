@@ -2,6 +2,6 @@
 
 from .delivery import stream_batches, stream_delivery
 from .jobs import stream_scrape_pipeline
-from .staleness import staleness_events, stream_stale_markers
+from .staleness import FILES, staleness_events, stream_stale_markers, stream_staleness
 
-__all__ = ["staleness_events", "stream_batches", "stream_delivery", "stream_scrape_pipeline", "stream_stale_markers"]
+__all__ = ["FILES", "staleness_events", "stream_batches", "stream_delivery", "stream_scrape_pipeline", "stream_stale_markers", "stream_staleness"]

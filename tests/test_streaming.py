@@ -11,7 +11,7 @@ from meterflow.operators import delivery as D
 from meterflow.operators import scrapes as S
 from meterflow.operators import staleness as ST
 from meterflow.operators.relabel import Rule
-from meterflow.streaming import staleness_events, stream_batches, stream_delivery, stream_scrape_pipeline, stream_stale_markers
+from meterflow.streaming import staleness_events, stream_batches, stream_delivery, stream_scrape_pipeline, stream_stale_markers, stream_staleness
 
 SCHEMA = "scrape_id long, target_id string, start_ms long, body string, duration_s double, fetch_error string"
 BODIES = ['a{x="1"} 1\nb 2\n', 'a{x="1"} 2\nc 3\n', "broken{ 1", "b 2\nc 3\nd 4 5\n", "", "b 1\n", None]
@@ -139,6 +139,62 @@ def test_an_empty_bucket_asks_the_state_twice():
     assert list(bucket.handleInputRows(("t", 3), iter([header]), None)) == [] and calls == ["get", "update"]
 
 
+def followed(spark, path, scrapes, removals, name="w"):
+    """Events that the writer gives, a part a trigger, and the queries' progress."""
+    zone = F.create_map(F.lit("zone"), F.col("zone"))
+    judged, gone = history(spark, path, scrapes, HISTORY, f"{name}-s"), history(spark, path, removals, REMOVED, f"{name}-r")
+    query = stream_staleness(judged, F.col("series"), f"{path}/{name}", f"{path}/c-{name}", gone, zone).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert all(not p.stateOperators for p in query.recentProgress)
+    return spark.read.parquet(f"{path}/{name}").collect()
+
+
+def shaped(rows):
+    return collections.Counter((r.kind, r.target_id, r.identity, tuple(map(tuple, r.labels or [])), r.ts_ms) for r in rows)
+
+
+@pytest.mark.parametrize("at_once", [False, True])
+def test_triggers_of_staleness_are_batch_jobs(spark, tmp_path, at_once):
+    """The writer gives the events of the operator with state, without a state group for each target and bucket."""
+    scrapes = [[("t", 1000, of("a", "b", "b")), ("u", 1000, of("a"))], [("t", 2000, of("b", "c")), ("u", 2000, [])], [("u", 3000, of("z")), ("v", 1000, of("q"))], [("t", 1500, of("late")), ("t", 6000, of("again")), ("v", 1000, of("r")), ("w", 1, None)]]
+    removals = [[("none", 500, "y")], [], [("t", 5000, "x"), ("u", 3000, "y")], [("v", 900, "z"), ("v", 1000, "z"), ("u", 3000, "y"), ("t", 6000, "x"), ("t", 7000, "x")]]
+    if at_once:
+        scrapes, removals = [[r for part in scrapes for r in part]], [[r for part in removals for r in part]]
+    got = shaped(followed(spark, tmp_path, scrapes, removals))
+    judged, gone = history(spark, tmp_path, scrapes, HISTORY, "s"), history(spark, tmp_path, removals, REMOVED, "r")
+    events = staleness_events(judged, F.col("series"), gone, F.create_map(F.lit("zone"), F.col("zone")), 3)
+    assert got == shaped(finished(events, tmp_path, "events").collect()) and sum(n for k, n in got.items() if k[0] == "stale") > 15
+
+
+def test_random_histories_in_triggers_of_any_size(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    scrapes = sorted({(f"t{rnd.randrange(5)}", 1000 * rnd.randrange(40)) for _ in range(90)}, key=lambda x: x[1])
+    scrapes = [(t, at, of(*sorted(rnd.sample("abcdefg", rnd.randrange(6))))) for t, at in scrapes]
+    removals = [(f"t{i}", 1000 * at + rnd.choice([0, 1]), "z") for i in range(5) for at in rnd.sample(range(40), 3)]
+    results = []
+    for cuts in ((40_000,), (9000, 12_000, 12_001, 30_000, 40_000)):
+        parts = lambda rows: [[r for r in rows if a <= r[1] < b] for a, b in zip((0, *cuts), cuts)]  # noqa: B023, B905, E731
+        results.append(shaped(followed(spark, tmp_path, parts(scrapes), parts(removals), f"w{len(cuts)}")))
+    assert results[0] == results[1] and {k[0] for k in results[0]} == {"stale"} and sum(results[0].values()) > 100
+
+
+def test_a_repeated_trigger_of_staleness_doubles_nothing(spark, tmp_path):
+    from meterflow.streaming.staleness import _SERIES, _follow
+
+    part = lambda rows: spark.createDataFrame([(t, at, False, [(i, [("n", i)]) for i in s]) for t, at, s in rows], f"target_id string, at long, removed boolean, series {_SERIES}")
+    _follow(part([("t", 1, "ab"), ("u", 1, "q")]), 0, f"{tmp_path}/o", f"{tmp_path}/p")
+    for _ in range(2):
+        _follow(part([("t", 2, "bc"), ("t", 3, "c"), ("t", 1, "z")]), 1, f"{tmp_path}/o", f"{tmp_path}/p")
+    for _ in range(2):
+        _follow(part([("u", 4, "")]), 2, f"{tmp_path}/o", f"{tmp_path}/p")
+    got = sorted((r.kind, r.target_id, r.identity or "", r.ts_ms) for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert got == [("late", "t", "", 1), ("stale", "t", "a", 2), ("stale", "t", "b", 3), ("stale", "u", "q", 4)]
+    live = spark.read.parquet(f"{tmp_path}/p/2/walked").where("live = 'true'").collect()
+    assert [(r.target_id, r.identity) for r in live] == [("t", "c")]
+
+
 KINDS = "event_id long, target_id long, is_histogram boolean, ts_ms long, labels array<struct<name:string,value:string>>, b int"
 OUT = [("a", True, 30), ("b", False, 8)]
 
